@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .licenses import op10_license_scan, op10_sql
 from .mixing import OP7_SQL, op7_source_mixing
+from .quality_model import op4_quality_classifier
+from .quality_rules import op2_quality_rules
 from .url_filter import OP5_SQL, op5_url_filter
 
-QUERIES = {f.__name__: f for f in (op5_url_filter, op7_source_mixing, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_quality_classifier, op5_url_filter, op7_source_mixing, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
