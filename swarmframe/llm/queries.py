@@ -7,10 +7,11 @@ from .mixing import OP7_SQL, op7_source_mixing
 from .near_dup import op8_near_duplicates
 from .quality_model import op4_quality_classifier
 from .quality_rules import op2_quality_rules
+from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op3_token_counts
 from .url_filter import OP5_SQL, op5_url_filter
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op4_quality_classifier, op5_url_filter, op7_source_mixing, op8_near_duplicates, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op4_quality_classifier, op5_url_filter, op7_source_mixing, op8_near_duplicates, op9_suffix_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
