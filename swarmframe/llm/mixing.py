@@ -91,6 +91,26 @@ def mix(docs: DataFrame, seed: str = "mix-1", weights=WEIGHTS, share: float = SH
     )
 
 
+def in_the_mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` of which the mix takes something, with size, source_size, target and taken.
+
+    Rows that agree in doc_id, source and size are told apart by their texts.
+    """
+    own = ["size", "source_size", "target", "taken"]
+    carried = [c for c in docs.columns if c not in own]
+    takes = (
+        mix(docs, **options).filter("taken > 0").groupBy("doc_id", "source", "size")
+        .agg(F.sort_array(F.collect_list("taken"), asc=False).alias("takes"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+        .select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "takes", "source_size", "target")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (word_count(F.col("text")) == F.col("__size"))
+    joined = docs.select(*[F.col(f"`{c}`") for c in carried]).join(takes, same)
+    alone = joined.filter(F.size("takes") == 1).withColumn("taken", F.col("takes")[0])
+    nth = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.md5(F.coalesce("text", F.lit("")))))
+    several = joined.filter(F.size("takes") > 1).withColumn("taken", F.get("takes", nth - 1)).filter("taken is not null")
+    return alone.unionByName(several).select(*[F.col(f"`{c}`") for c in carried], F.col("__size").alias("size"), "source_size", "target", "taken")
+
+
 def op7_source_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

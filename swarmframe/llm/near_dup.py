@@ -269,5 +269,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.select("id", "digest").join(named, "digest").select(known("id"), known("class_id"), "n_copies")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names their class, one row per doc_id."""
+    classes = checkpointed(near_duplicates(docs).select("doc_id", "class_id"))
+    gone = classes.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    stay = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return kept.dropDuplicates(["doc_id"]) if stay.filter("n > 1").count() else kept
+
+
 def op8_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -461,10 +462,19 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     # 3
     found = pieces.repartition(partitions, "key").mapInArrow(index, "key bigint, a binary")
     # 4
-    schema = RESULT + (f", row {rows.schema['row'].dataType.simpleString()}, kept string" if with_text else "")
+    schema = T.StructType.fromDDL(RESULT)
+    if with_text:
+        schema = schema.add("row", rows.schema["row"].dataType).add("kept", "string")
     out = rows.groupBy("key").cogroup(message(found, REPEATED).union(copies).groupBy("key")).applyInArrow(cut(with_text), schema)
     return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["row", "kept"] if with_text else []))
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with what repeats cut out of ``text``, and ``n_chars``, where there is one, counted again. A null text becomes empty."""
+    out = remove_repeats(docs, with_text=True)
+    new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def op9_suffix_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
