@@ -232,7 +232,7 @@ class Model:
         for name in {n for p in pending.values() for n in p}:
             kind = agents.schema[name].dataType
             rows = [(i, _typed(p[name], kind)) for i, p in pending.items() if name in p]
-            new = self.spark.createDataFrame(rows, T.StructType().add("agent_id", "bigint").add("__new", kind))
+            new = self.spark.createDataFrame(rows, T.StructType().add("agent_id", T.LongType()).add("__new", kind))
             hit = new.withColumn("__set", F.lit(True))
             agents = agents.join(F.broadcast(hit) if len(rows) <= 100_000 else hit, "agent_id", "left").withColumn(name, F.when(F.col("__set"), F.col("__new")).otherwise(F.col(name))).drop("__new", "__set")
         return cut(agents)
@@ -448,7 +448,7 @@ class Model:
         step = b.steps[ctx._key[0]]
         spec, tick, function = step.pandas, self.tick, step.function
         given = frame.filter(F.col("breed") == b.index).select("agent_id", "logical_id", *spec.reads, *([F.col(folds[0][1]).alias("neighbors")] if folds else []))
-        schema = T.StructType().add("agent_id", "bigint")
+        schema = T.StructType().add("agent_id", T.LongType())
         for n in spec.writes:
             schema = schema.add(f"pandas__{b.index}__{n}", frame.schema[self._column(n)].dataType)
 
