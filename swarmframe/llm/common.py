@@ -33,9 +33,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
 
 
-def packed(df: DataFrame, **needed: str) -> DataFrame:
-    """The needed columns under internal names, the whole row beside them as ``__row``.
+def rekeyed(df: DataFrame, key: str) -> DataFrame:
+    """The same rows, with a key whose partitioning the planner does not know.
 
-    Extra input columns may have any name, also those that an operator makes.
+    A join with an aggregate on its own key would reuse the aggregate's partitions, and then adaptive
+    execution cannot split the other side's hot keys. One more exchange of the aggregate lets it.
     """
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *[F.col(f"`{c}`").alias(k) for k, c in needed.items()])
+    kind = df.schema[key].dataType.simpleString()
+    same = F.col(key).bitwiseXOR(F.lit(0).cast(kind)) if kind in ("bigint", "int") else F.unhex(F.hex(key)).cast(kind)
+    return df.withColumn(key, same)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, rekeyed
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -19,10 +19,10 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     if large:
         around = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = around.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        out = around.filter("v > u").join(rekeyed(least, "u"), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         least = links.groupBy("a").agg(F.min("b").alias("m"))
-        both = links.join(least, "a")
+        both = links.join(rekeyed(least, "a"), "a")
         out = both.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return out.filter("a <> b").distinct()
 

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, table
 from .components import components
+from .url_filter import build_level, filter_bits
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
@@ -43,6 +44,8 @@ COORDINATES = BANDS * ROWS
 #: A block of a candidate group holds about this many texts and shingles; a task holds two blocks.
 BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 1 << 22
 REMEMBERED = 300_000
+#: Texts that cannot be in a group are left out before the shuffle by a Bloom filter of at most so many bits (2 MB); where it is full, it lets all through and the join alone decides.
+FILTER_BITS, FILTER_RATE = 1 << 24, 0.01
 NULL_ID = -(1 << 63)
 U = np.uint64
 
@@ -245,6 +248,13 @@ def inside_groups(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(verify, "a bigint, b bigint")
 
 
+def likely(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """The rows whose id may be a node of ``near``, and few others: no row that is one is left out."""
+    n = near.count()
+    fits = min(n, int(FILTER_BITS / filter_bits(1 << 20, FILTER_RATE) * (1 << 20)))
+    return rows.filter(build_level(near.select(F.col("node").alias("key")), fits, FILTER_RATE, 1).lets_through(F.col("id"))) if n else rows.limit(0)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (least doc_id of its class), n_copies (rows of the same text, this one included) of every row."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
@@ -261,7 +271,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sized.join(groups, "root")
         .select("id", "digest", F.col("root").alias("grp"), blocks.alias("blocks"), F.pmod(F.xxhash64("digest"), blocks).cast("int").alias("block"))
     )
-    found = inside_groups(rows.join(members, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("id", "grp", "blocks", "block", "text"))
+    found = inside_groups(likely(rows, near).join(members, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("id", "grp", "blocks", "block", "text"))
     classes = components(found)
     named = texts.select("digest", "id", "n_copies").join(classes.withColumnRenamed("node", "id"), "id", "left")
     named = named.select("digest", F.coalesce("root", "id").alias("class_id"), "n_copies")
