@@ -101,14 +101,15 @@ def in_the_mix(docs: DataFrame, **options) -> DataFrame:
     takes = (
         mix(docs, **options).filter("taken > 0").groupBy("doc_id", "source", "size")
         .agg(F.sort_array(F.collect_list("taken"), asc=False).alias("takes"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-        .select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "takes", "source_size", "target")
+        .select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("size"), "takes", "source_size", "target")
     )
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (word_count(F.col("text")) == F.col("__size"))
-    joined = docs.select(*[F.col(f"`{c}`") for c in carried]).join(takes, same)
+    # the row travels as one column, so its columns may have any name
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col("doc_id").alias("i"), F.col("source").alias("o"), word_count(F.col("text")).alias("n"))
+    joined = rows.join(takes, F.col("i").eqNullSafe(F.col("d")) & F.col("o").eqNullSafe(F.col("s")) & (F.col("n") == F.col("size")))
     alone = joined.filter(F.size("takes") == 1).withColumn("taken", F.col("takes")[0])
-    nth = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.md5(F.coalesce("text", F.lit("")))))
+    nth = F.row_number().over(Window.partitionBy("d", "s", "size").orderBy(F.md5(F.coalesce(F.col("row")["text"], F.lit("")))))
     several = joined.filter(F.size("takes") > 1).withColumn("taken", F.get("takes", nth - 1)).filter("taken is not null")
-    return alone.unionByName(several).select(*[F.col(f"`{c}`") for c in carried], F.col("__size").alias("size"), "source_size", "target", "taken")
+    return alone.unionByName(several).select(*[F.col("row")[c].alias(c) for c in carried], *own)
 
 
 def op7_source_mixing(spark, sf_dir):

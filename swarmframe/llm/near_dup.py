@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, rekeyed, table
 from .components import components
 from .url_filter import build_level, filter_bits
 
@@ -276,14 +276,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = texts.select("digest", "id", "n_copies").join(classes.withColumnRenamed("node", "id"), "id", "left")
     named = named.select("digest", F.coalesce("root", "id").alias("class_id"), "n_copies")
     known = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias("doc_id" if c == "id" else c)
-    return rows.select("id", "digest").join(named, "digest").select(known("id"), known("class_id"), "n_copies")
+    placed = one_class_each(checkpointed(rows.select("id", "digest").join(named, "digest").select("id", "class_id", "n_copies")))
+    return placed.select(known("id"), known("class_id"), "n_copies")
+
+
+def one_class_each(placed: DataFrame) -> DataFrame:
+    """Classes that share a doc_id (its rows have different texts) become one; nothing is done where there are none."""
+    torn = checkpointed(placed.groupBy("id").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("low <> high"))
+    if not torn.count():
+        return placed
+    merged = components(placed.join(rekeyed(torn, "id"), "id").select("class_id", "low").distinct())
+    moved = placed.join(merged.withColumnRenamed("node", "class_id"), "class_id", "left")
+    return moved.select("id", F.coalesce("root", "class_id").alias("class_id"), "n_copies")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their class, one row per doc_id."""
     classes = checkpointed(near_duplicates(docs).select("doc_id", "class_id"))
-    gone = classes.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    gone = classes.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("i"))
+    kept = rows.join(gone, F.col("i").eqNullSafe(F.col("gone")), "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
     stay = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     return kept.dropDuplicates(["doc_id"]) if stay.filter("n > 1").count() else kept
 
