@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, rekeyed, table
 from .token_counts import byte_letters
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -77,7 +77,8 @@ class Tokens:
         self.bytes = {n: bytes(letters[c] for c in t) for t, n in spec["model"]["vocab"].items() if all(c in letters for c in t)}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        # a few at a time: encodings hold far more than ids
+        return [e.ids for i in range(0, len(texts), 768) for e in self.library.encode_batch(texts[i : i + 768], add_special_tokens=False)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8")
@@ -170,7 +171,7 @@ def format_chats(conversations: DataFrame, vocabulary_path: str) -> tuple[DataFr
     nodes = checkpointed(tokenized(distinct, source))
     # a node begins a new stretch if it is a root or has siblings; other nodes follow their parent at once
     several = nodes.filter("parent is not null").groupBy("parent").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("parent", F.lit(True).alias("branches"))
-    known = nodes.select("node", "parent", "owner", F.size("tokens").cast("bigint").alias("n_tokens")).join(several, "parent", "left")
+    known = nodes.select("node", "parent", "owner", F.size("tokens").cast("bigint").alias("n_tokens")).join(rekeyed(several, "parent"), "parent", "left")
     known = known.select("node", "owner", "n_tokens", (F.col("parent").isNull() | F.col("branches").isNotNull()).alias("begins"))
     along = Window.partitionBy("conv_id").orderBy("k")
     running = along.rowsBetween(Window.unboundedPreceding, 0)
