@@ -71,7 +71,10 @@ def units(text: Column) -> Column:
 
 
 def bigram_set(unit: Column) -> Column:
-    words = F.split(unit, " ")
+    return bigram_set_of(F.split(unit, " "))
+
+
+def bigram_set_of(words: Column) -> Column:
     pairs = F.greatest(F.size(words) - 1, F.lit(0))
     return F.array_distinct(F.zip_with(F.slice(words, 1, pairs), F.slice(words, 2, pairs), lambda a, b: F.concat(a, F.lit(" "), b)))
 
@@ -92,8 +95,15 @@ def best_match(units_: Column, templates: dict[str, list[str]], threshold: float
             found.append(F.when(fits, F.struct((F.lit(2.0) * both / (F.size(g) + len(t))).alias("dice"), F.lit(name).alias("name"))))
         return F.filter(F.array_compact(F.array(*found)), lambda s: s["dice"] >= threshold)
 
-    # a unit with too few words, or so many that even all-equal bigrams could not be bounded, is settled by its set's size
-    sets = F.filter(F.transform(units_, bigram_set), lambda g: F.size(g).between(F.lit(bounds[0]), F.lit(bounds[1])))
+    most = int(bounds[1])
+
+    def may_fit(unit: Column) -> Column:
+        """Exact: a unit has fewer bigrams than words, and no fewer distinct ones than any part of it."""
+        words = F.split(unit, " ", 3 * most)
+        few = F.size(words) < 3 * most
+        return (F.size(words) > bounds[0]) & (few | (F.size(bigram_set_of(F.slice(words, 1, 3 * most - 1))) <= most))
+
+    sets = F.filter(F.transform(F.filter(units_, may_fit), bigram_set), lambda g: F.size(g).between(F.lit(bounds[0]), F.lit(bounds[1])))
     return F.flatten(F.transform(sets, score))
 
 
