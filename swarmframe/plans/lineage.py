@@ -13,3 +13,14 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ticks"))
     return df.checkpoint(eager=True)
+
+
+def cut_in_place(df: DataFrame) -> DataFrame:
+    """Checkpoint rows where they are, so that the planner knows their partitioning later. (An adaptive plan does not tell its own.)"""
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
