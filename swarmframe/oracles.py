@@ -119,6 +119,14 @@ def oracle_sql() -> dict[str, str]:
         "pandas_step": f"WITH {RING} SELECT src AS agent_id, list_sort(list(dst % 11))[len(list(dst % 11)) // 2 + 1]::BIGINT AS middle FROM edges GROUP BY src",
         "neighbor_folds": f"{FOLDED}, f AS (SELECT src, count(*) AS n, sum(p)::BIGINT AS total, max(p) AS most, min(p) AS least, max(CASE WHEN p > 500000 THEN 1 ELSE 0 END) AS rich, max(p) FILTER (rn = 1) AS first_one, max(p) FILTER (rn = 2) AS second_one, count(*) FILTER (p < 0) AS poor FROM j GROUP BY src) "
         "SELECT c_custkey AS agent_id, " + ", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("n", "total", "most", "least", "rich", "first_one", "second_one", "poor")) + " FROM customer LEFT JOIN f ON src = c_custkey",
+        "third_neighbor": f"WITH {RING}, o AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn FROM edges) SELECT src AS agent_id, coalesce(max(dst) FILTER (rn = 3), 0)::BIGINT AS third, count(*) AS n FROM o GROUP BY src",
+        "history_last_values": f"{wave(3)}, h AS ("
+        + " UNION ALL ".join(f"SELECT {k}::INTEGER AS tick, id AS agent_id, state FROM t{k}" for k in range(4))
+        + "), p AS (SELECT *, lag(state) OVER (PARTITION BY agent_id ORDER BY tick) AS previous_state FROM h) SELECT tick, agent_id, CASE WHEN previous_state IS NULL THEN state::VARCHAR ELSE previous_state || ',' || state END AS last_two, previous_state FROM p",
+        "breed_ranges": "WITH n AS (SELECT c_nationkey AS breed, count(*) AS n FROM customer GROUP BY 1) SELECT breed, (sum(n) OVER (ORDER BY breed) - n)::BIGINT AS start, n FROM n",
+        "rank_counts": "SELECT (c_custkey % 4)::INTEGER AS rank, c_nationkey AS breed, count(*) AS n FROM customer GROUP BY 1, 2",
+        "widest_arrays": "SELECT max(len(embedding))::BIGINT AS embedding FROM embeddings",
+        "community_packing": "SELECT count(*) AS agents, true AS even FROM customer",
         "edges_directed": f"WITH {LINKS} SELECT src, dst, pos FROM one",
         "edges_undirected": f"WITH {BOTH} SELECT src, dst, pos FROM edges",
         "edges_disconnect": f"WITH {BOTH} SELECT src, dst, pos FROM edges e WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.src % 5 = 0 AND ((o.src = e.src AND o.dst = e.dst) OR (o.dst = e.src AND o.src = e.dst)))",

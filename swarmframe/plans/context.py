@@ -121,3 +121,12 @@ class Context:
         name = f"fold__{len(self._folds)}"
         self._folds.append((self._key, name, aggregate))
         return name
+
+
+def get_num_neighbors(ctx: Context) -> Column:
+    return ctx.neighbors.count()
+
+
+def get_neighbor(ctx: Context, k: int, name: str = "agent_id") -> Column:
+    """A property (the id, unless named) of the k-th neighbour by order of connection; null if there are fewer."""
+    return ctx.neighbors.nth(F.col("dst") if name == "agent_id" else ctx.nbr(name), k)

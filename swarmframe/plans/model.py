@@ -336,6 +336,14 @@ class Model:
             self.simulate(min(snapshot_every, ticks - at), sync_workers_every_n_ticks)
             sink(self.tick, self.agents)
 
+    def timing_stats(self) -> dict[str, float]:
+        """Least, most, mean and standard deviation of the ticks' seconds, and agent-ticks a second."""
+        t = self.tick_timings
+        if not t:
+            return {}
+        mean = sum(t) / len(t)
+        return {"min": min(t), "max": max(t), "mean": mean, "std": (sum((x - mean) ** 2 for x in t) / len(t)) ** 0.5, "agent_ticks_per_s": self.num_agents / mean}
+
     def reset(self, to_initial: bool = False) -> None:
         """The clock restarts; values stay, or are built anew."""
         self.tick = 0

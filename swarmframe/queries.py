@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays, math, rng
-from .operators import graph, partition
+from .operators import graph, partition, population
 from .plans.breed import Breed
+from .plans.context import get_neighbor, get_num_neighbors
 from .plans.model import Model
 from .plans.space import NetworkSpace
 from .sources import generators, tables
@@ -329,6 +330,39 @@ def neighbor_folds(spark, sf_dir):
     return m.agents.filter("breed = 0").select("agent_id", *names)
 
 
+def third_neighbor(spark, sf_dir):
+    """The id of each agent's third neighbour and the number of its neighbours, read inside a step."""
+    agents = customers(spark, sf_dir).select("agent_id")
+    step = lambda ctx: {"third": get_neighbor(ctx, 2), "n": get_num_neighbors(ctx)}
+    m = model_of(spark, agents, customer_ring(spark, sf_dir), [(step, 0, None)], {"third": (0, "bigint"), "n": (0, "bigint")})
+    m.simulate(1)
+    return m.agents.select("agent_id", "third", "n")
+
+
+def history_last_values(spark, sf_dir):
+    h = history.last_values(wave_with_history(spark, sf_dir, 4).history, "state", 2)
+    return history.previous(h, "state").select("tick", "agent_id", F.array_join("last_state", ",").alias("last_two"), "previous_state")
+
+
+def breed_ranges(spark, sf_dir):
+    a = customers(spark, sf_dir).select("agent_id", F.col("c_nationkey").alias("breed"))
+    return population.breed_ranges(population.sorted_by_breed(a))
+
+
+def rank_counts(spark, sf_dir):
+    a = customers(spark, sf_dir).select(F.col("c_nationkey").alias("breed"), F.pmod(F.col("agent_id"), F.lit(4)).cast("int").alias("rank"))
+    return population.counts(a, "rank", "breed")
+
+
+def widest_arrays(spark, sf_dir):
+    return population.widest(tables.read(spark, sf_dir, "embeddings"), "embedding")
+
+
+def community_packing(spark, sf_dir):
+    """Nations as communities, packed by size onto three ranks."""
+    return partition.pack(customers(spark, sf_dir).select("agent_id", F.col("c_nationkey").cast("long").alias("community")), 3).groupBy("rank").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("agents"), (F.max("n") - F.min("n") < F.max("n") / 5).alias("even"))
+
+
 # graph operators
 
 
@@ -460,6 +494,7 @@ QUERIES = {
         sir_chain_wave, sir_chain_philox, stale_ghost_sync2, sir_two_breed_bipartite, state_histogram, breed_data, sir_vector_safety,
         hierarchy_si_one_hop, hierarchy_sir_two_hop, priority_buffered, priority_in_place, priority_last_writer, augassign_snapshot, in_place_neighbor_read,
         history_circular_buffer, history_pivot, event_recording, set_property, agents_with, breed_local_array, invisible_property_zero, message_send_sum, pandas_step,
+        third_neighbor, history_last_values, breed_ranges, rank_counts, widest_arrays, community_packing,
         neighbor_folds, edges_directed, edges_undirected, edges_disconnect, degree, nth_neighbor, csr_offsets, csr_values,
         philox_uniform, xorshift_uniform, rand_normal, rand_normal_bounded, scalar_functions, initial_sample,
         partition_round_robin, partition_random, partition_balance, partition_edge_cut, ghost_topology, comm_volume, partition_quality, partition_communities,

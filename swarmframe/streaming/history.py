@@ -26,6 +26,11 @@ def last_values(history: DataFrame, name: str, n: int) -> DataFrame:
     return history.withColumn(f"last_{name}", F.collect_list(name).over(w))
 
 
+def previous(history: DataFrame, name: str) -> DataFrame:
+    """The value one tick before, beside each value; null at the first."""
+    return history.withColumn(f"previous_{name}", F.lag(name).over(Window.partitionBy("agent_id").orderBy("tick")))
+
+
 def write_csv(history: DataFrame, name: str, ticks: int, path: str) -> None:
     wide(history, name, ticks).orderBy("agent_id").write.mode("overwrite").csv(path, header=True)
 

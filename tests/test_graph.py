@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from swarmframe import cli
 from swarmframe.functions import arrays
-from swarmframe.operators import graph, partition
+from swarmframe.operators import graph, partition, population
 from swarmframe.sources import generators, graph_files, partition_files, tables
 
 
@@ -137,3 +137,11 @@ def test_padding(spark):
     row = spark.createDataFrame([([1.0, 2.0],)], "a array<double>").select(arrays.pad(F.col("a"), 4).alias("p"))
     assert len(row.head().p) == 4
     assert row.select(arrays.unpad(F.col("p"))).head()[0] == [1.0, 2.0]
+
+
+def test_population(spark):
+    a = spark.createDataFrame([(i, b) for i, b in enumerate([1, 0, 1, 2])], "agent_id bigint, breed int")
+    assert sorted(map(tuple, population.breed_ranges(a).collect())) == [(0, 0, 1), (1, 1, 2), (2, 3, 1)]
+    assert population.priority_ranges(a, {0: [1, 2], 1: [0], 2: [9]}) == {0: (1, 4), 1: (0, 1)}
+    assert [r.agent_id for r in population.sorted_by_breed(a, 1).collect()] == [1, 0, 2, 3]
+    assert population.counts(a, "breed").count() == 3

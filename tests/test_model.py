@@ -90,6 +90,7 @@ def test_setup_seed_reset(spark):
     m.setup(skip_priority_barriers=True)
     m.simulate(2)
     assert (m.tick, values(m, "counter"), len(m.tick_timings)) == (2, [2, 2], 2)
+    assert m.timing_stats()["min"] <= m.timing_stats()["mean"] <= m.timing_stats()["max"]
     m.reset()
     assert (m.tick, values(m, "counter")) == (0, [2, 2])
     m.reset(to_initial=True)
