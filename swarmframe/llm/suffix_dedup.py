@@ -42,11 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import rekeyed, table
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text worked on at a time, bytes of text after which a task hands out its hashes, anchors per batch of the index.
-BLOCK, FLUSH, BATCH = 1 << 20, 24 << 20, 1 << 16
+BLOCK, FLUSH, BATCH = 1 << 19, 16 << 20, 1 << 16
+#: Groups of documents per shuffle partition; a group's texts are in memory at once.
+GROUPS = 4
 NULL_ID = -(1 << 63)
 U = np.uint64
 POSITION = U((1 << 24) - 1)
@@ -141,7 +143,7 @@ def in_rows(kind: int, key: np.ndarray, *columns: np.ndarray):
 QUERY, TELL = 0, 1
 
 
-def ask(buckets: int):
+def ask(buckets: np.ndarray):
     """Step 1, map side: texts with their group to hash entries per bucket, and what a batch knows to be repeated by itself."""
 
     def flush(hashes, groups):
@@ -151,18 +153,18 @@ def ask(buckets: int):
         g = g[order]
         once = count == 1
         # a hash met twice here is known to be repeated: other batches are told by an entry without a group
-        owner = np.where(once, g[first], -1)
-        yield in_rows(QUERY, (distinct % U(buckets)).astype(np.int64), distinct.view(np.int64), owner)
+        owner = np.where(once, g[first], np.int32(-1))
+        yield in_rows(QUERY, buckets[(distinct % U(len(buckets))).astype(np.int64)], distinct.view(np.int64), owner)
         many = np.repeat(~once, count)
         if many.any():
-            pair = np.unique(np.stack([g[many], h[order][many].view(np.int64)]), axis=1)
+            pair = np.unique(np.stack([g[many].astype(np.int64), h[order][many].view(np.int64)]), axis=1)
             yield in_rows(TELL, pair[0], pair[1], np.zeros(pair.shape[1], np.int8))
 
     def run(batches):
         hashes, groups, size = [], [], 0
         for b in batches:
             data, offsets = text_bytes(b.column(1))
-            of = np.asarray(b.column(0), np.int64)
+            of = np.asarray(b.column(0)).astype(np.int32)
             for h, a, _, _ in anchored(data, offsets):
                 hashes.append(h)
                 groups.append(of[np.searchsorted(offsets, a, "right") - 1])
@@ -185,7 +187,7 @@ def answer(batches):
         yield tell
         for h, g in zip(*(c.to_pylist() for c in b.filter(pa.array(kind == QUERY)).select(["a", "b"]).columns), strict=True):
             hashes.append(np.frombuffer(h, np.int64))
-            owners.append(np.frombuffer(g, np.int64))
+            owners.append(np.frombuffer(g, np.int32))
     if hashes:
         h, g = np.concatenate(hashes), np.concatenate(owners)
         order, _, first = grouped(h)
@@ -198,6 +200,19 @@ def answer(batches):
             yield in_rows(TELL, g[out], h[out]).select(["key", "a"])
 
 
+def even_keys(spark, partitions: int, each: int) -> np.ndarray:
+    """``each`` numbers for each of ``partitions``, such that Spark's hash partitioning puts as many in every partition."""
+    size = 8 * each * partitions
+    while True:
+        at = spark.range(size).select(F.pmod(F.hash("id"), F.lit(partitions)).alias("p")).toPandas()["p"].to_numpy()
+        order = np.argsort(at, kind="stable")
+        nth = np.arange(size) - np.searchsorted(at[order], at[order])
+        keys = order[nth < each]
+        if len(keys) == each * partitions:
+            return keys.reshape(partitions, each).T.ravel().astype(np.int64)
+        size *= 2
+
+
 def spans_of(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All indices of ranges, one range after the other."""
     ends = np.cumsum(sizes)
@@ -225,10 +240,10 @@ def copies_in(told: pa.Table) -> set:
 
 
 REPEATED, COPY = 2, 3
-PIECES = "kind int, key bigint, a binary, b binary, c binary"
+PIECES = "kind int, key bigint, a binary, b binary"
 
 
-def carve(buckets: int):
+def carve(buckets: np.ndarray):
     """Step 2: the repeated anchors of a group's texts with their surroundings, per bucket of their hash."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -236,34 +251,30 @@ def carve(buckets: int):
         kinds = np.asarray(told["kind"].combine_chunks()) if told.num_rows else NONE
         blobs = [b for k, b in zip(kinds.tolist(), told["a"].to_pylist(), strict=True) if k == TELL]
         wanted = np.unique(np.frombuffer(b"".join(blobs), np.int64))
-        out = []
         key = int(docs["key"][0].as_py()) if docs.num_rows else 0
-        if len(wanted):
-            for h, a, p, q in anchored(group.data, group.offsets):
-                row = np.searchsorted(group.offsets, a, "right") - 1
-                at = np.minimum(np.searchsorted(wanted, h.view(np.int64)), len(wanted) - 1)
-                take = (wanted[at] == h.view(np.int64)) & ~group.copy[row]
-                h, a, p, q, row = h[take], a[take], p[take], q[take], row[take]
-                if not len(h):
-                    continue
-                size = q - p + LENGTH
-                base = group.offsets[row]
-                # id, tie, group, place of the anchor in its text, bytes before it, bytes of the first window before it, size of the piece
-                meta = np.stack([group.ids[row], group.ties[row], np.full(len(row), key), a - base, a - p, a - q, size], axis=1)
-                bucket = (h % U(buckets)).astype(np.int64)
-                order, keys, first = grouped(bucket)
-                cuts = np.append(first, len(order))
-                body = group.data[spans_of(p[order], size[order])]
-                ends = np.concatenate([[0], np.cumsum(size[order])])
-                meta = np.ascontiguousarray(meta[order])
-                out.append(pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(keys), REPEATED, np.int32)), pa.array(keys),
-                    pa.array([meta[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-                    pa.array([body[ends[i] : ends[j]].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-                    pa.nulls(len(keys), pa.binary()),
-                ], names=["kind", "key", "a", "b", "c"]))
-        schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-        return pa.Table.from_batches([b.cast(schema) for b in out], schema)
+        hashes, metas, bodies = [np.zeros(0, U)], [np.zeros((0, 7), np.int64)], [np.zeros(0, np.uint8)]
+        for h, a, p, q in anchored(group.data, group.offsets) if len(wanted) else ():
+            row = np.searchsorted(group.offsets, a, "right") - 1
+            at = np.minimum(np.searchsorted(wanted, h.view(np.int64)), len(wanted) - 1)
+            take = (wanted[at] == h.view(np.int64)) & ~group.copy[row]
+            h, a, p, q, row = h[take], a[take], p[take], q[take], row[take]
+            size = q - p + LENGTH
+            # id, tie, group, place of the anchor in its text, bytes before it, bytes of the last window before it, size of the piece
+            metas.append(np.stack([group.ids[row], group.ties[row], np.full(len(row), key), a - group.offsets[row], a - p, a - q, size], axis=1))
+            bodies.append(group.data[spans_of(p, size)])
+            hashes.append(h)
+        h, meta, body = np.concatenate(hashes), np.concatenate(metas), np.concatenate(bodies)
+        order, keys, first = grouped(buckets[(h % U(len(buckets))).astype(np.int64)])
+        cuts = np.append(first, len(order))
+        starts, size = (np.cumsum(meta[:, 6]) - meta[:, 6])[order], meta[order, 6]
+        body, meta = body[spans_of(starts, size)], np.ascontiguousarray(meta[order])
+        ends = np.concatenate([[0], np.cumsum(size)])
+        span = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        columns = [
+            pa.array(np.full(len(keys), REPEATED, np.int32)), pa.array(keys),
+            pa.array([meta[i:j].tobytes() for i, j in span], pa.binary()), pa.array([body[ends[i] : ends[j]].tobytes() for i, j in span], pa.binary()),
+        ]
+        return pa.table(columns, names=["kind", "key", "a", "b"])
 
     return run
 
@@ -443,19 +454,21 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     Kept bytes that no longer form a character are left out of ``kept``, not out of the hash.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups, buckets = 8 * partitions, 4 * partitions
+    # one bucket of hashes, and some groups of documents, per partition
+    buckets, groups = (even_keys(docs.sparkSession, partitions, n) for n in (1, GROUPS))
+    key_of = lambda ident: F.get(F.split(F.lit(",".join(map(str, groups))), ",").cast("array<bigint>"), F.pmod(F.xxhash64(ident), F.lit(len(groups))).cast("int"))
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = F.md5(text)
     ident = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID))
     rows = docs.select(ident.alias("id"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint").alias("tie"), text.alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if with_text else []))
-    rows = rows.withColumn("key", F.pmod(F.xxhash64("id"), F.lit(groups)))
+    rows = rows.withColumn("key", key_of("id"))
     # copies: digests in small rows only
     ids = docs.select(ident.alias("id"), digest.alias("digest")).groupBy("digest", "id").agg(F.count(F.lit(1)).alias("n"))
     firsts = ids.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    copies = ids.join(firsts, "digest").filter("id <> first").select(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("key"), F.lit(COPY).alias("kind"), "id", F.conv(F.substring("digest", 1, 15), 16, 10).cast("bigint").alias("tie"), F.lit(None).cast("binary").alias("a"))
+    copies = ids.join(rekeyed(firsts, "digest"), "digest").filter("id <> first").select(key_of("id").alias("key"), F.lit(COPY).alias("kind"), "id", F.conv(F.substring("digest", 1, 15), 16, 10).cast("bigint").alias("tie"), F.lit(None).cast("binary").alias("a"))
     # 1
     asked = rows.select("key", "text").mapInArrow(ask(buckets), "kind int, key bigint, a binary, b binary")
-    told = asked.repartition(partitions, "kind", "key").mapInArrow(answer, "key bigint, a binary")
+    told = asked.repartition(partitions, "key").mapInArrow(answer, "key bigint, a binary")
     message = lambda df, kind: df.select("key", F.lit(kind).alias("kind"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("tie"), "a")
     # 2
     pieces = rows.groupBy("key").cogroup(message(told, TELL).union(copies).groupBy("key")).applyInArrow(carve(buckets), PIECES)
