@@ -12,6 +12,8 @@ at equal places, and an anchor represents a run of windows, so one suffix per an
    those that occur twice are told to the documents that have them. A batch of texts
    sends a hash once however often it has it, so a passage that all documents
    share is as many entries as there are batches.
+   A hash that is hot in the whole corpus is split: its windows go one by one, by 128 bits of
+   their own hash, each once per group of documents.
 2. Repeated anchors travel with their surroundings (what their windows cover) to the
    bucket of their hash, where all equal windows meet.
 3. In a bucket, anchors come in document order, batch by batch. A batch gets a suffix array
@@ -24,7 +26,7 @@ at equal places, and an anchor represents a run of windows, so one suffix per an
 
 Copies of a whole text are recognised beforehand: only the first is indexed.
 Documents go by their hash into groups of bounded size; the texts are shuffled
-once for steps 2 and 4, and nothing is broadcast or collected.
+once for steps 2 and 4; only hot hashes, a few per partition, are collected and broadcast.
 
 Edge cases: a null text is empty; texts under ``LENGTH`` bytes lose nothing; rows that
 share a doc_id are ordered by their texts' hash, equal rows one after the other; a
@@ -35,6 +37,7 @@ are carried where texts are rewritten, or not read.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +45,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rekeyed, table
+from .common import checkpointed, rekeyed, table
 
 LENGTH, GRAM = 100, 32
-#: Bytes of text worked on at a time, bytes of text after which a task hands out its hashes, anchors per batch of the index.
-BLOCK, FLUSH, BATCH = 1 << 19, 16 << 20, 1 << 16
 #: Groups of documents per shuffle partition; a group's texts are in memory at once.
 GROUPS = 4
+#: A hash is hot, and split by the window, if its anchors are more than this part of a partition's share of all anchors (and more than ``Sizes.often``).
+#: So there are at most partitions / HOT hashes, of 8 bytes, to broadcast.
+HOT = 1 / 8
 NULL_ID = -(1 << 63)
 U = np.uint64
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Bytes of text worked on at a time, bytes of text after which a task hands out its hashes, anchors per batch of the index, anchors from which a hash may be hot."""
+
+    block: int = 1 << 19
+    flush: int = 16 << 20
+    batch: int = 1 << 16
+    often: int = 1024
+
+
 POSITION = U((1 << 24) - 1)
 NONE = np.zeros(0, np.int64)
 
@@ -71,10 +87,10 @@ def gram_hashes(buf: np.ndarray) -> np.ndarray:
     return g
 
 
-def anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position, first window, last window) of the anchors of windows that lie within one text; ``ends`` of the texts in ``buf``."""
+def anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(hash, position, first window, last window, and the hashes of all grams) of the anchors of windows that lie within one text; ``ends`` of the texts in ``buf``."""
     if len(buf) < LENGTH:
-        return np.zeros(0, U), NONE, NONE, NONE
+        return np.zeros(0, U), NONE, NONE, NONE, np.zeros(0, U)
     g = gram_hashes(buf)
     key = (g & ~POSITION) | np.arange(len(g), dtype=U)
     width = 1
@@ -91,18 +107,18 @@ def anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     stop = np.append(start[1:], len(at)) - 1
     real = at[start] >= 0
     start, stop = start[real], stop[real]
-    return g[at[start]], at[start], start, stop
+    return g[at[start]], at[start], start, stop, g
 
 
-def blocks(data: np.ndarray, offsets: np.ndarray):
-    """(first text, after the last, from byte, to byte) of stretches of about BLOCK bytes; a longer text is cut into stretches that overlap by what a window can reach."""
+def blocks(offsets: np.ndarray, block: int):
+    """(first text, after the last, from byte, to byte) of stretches of about ``block`` bytes; a longer text is cut into stretches that overlap by what a window can reach."""
     i = 0
     while i < len(offsets) - 1:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + block, "right")) - 1)
         low, high = int(offsets[i]), int(offsets[j])
-        while high - low > 8 * BLOCK:
-            yield i, j, low, low + 4 * BLOCK
-            low += 4 * BLOCK - LENGTH + 1
+        while high - low > 8 * block:
+            yield i, j, low, low + 4 * block + LENGTH
+            low += 4 * block + 1
         yield i, j, low, high
         i = j
 
@@ -115,12 +131,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
 
 
-def anchored(data: np.ndarray, offsets: np.ndarray):
-    """Per stretch: (hash, position, first and last window) in ``data``."""
-    for i, j, low, high in blocks(data, offsets):
+def anchored(data: np.ndarray, offsets: np.ndarray, block: int):
+    """Per stretch: (hash, position, first and last window) in ``data``, where the stretch begins, and its gram hashes."""
+    for i, j, low, high in blocks(offsets, block):
         ends = offsets[i + 1 : j + 1]
-        h, a, p, q = anchors(data[low:high], ends[(ends > low) & (ends <= high)] - low)
-        yield h, a + low, p + low, q + low
+        h, a, p, q, g = anchors(data[low:high], ends[(ends > low) & (ends <= high)] - low)
+        yield h, a + low, p + low, q + low, low, g
 
 
 def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,10 +156,24 @@ def in_rows(kind: int, key: np.ndarray, *columns: np.ndarray):
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64)), *blobs], names=["kind", "key", *"abcdefg"[: len(columns)]])
 
 
-QUERY, TELL = 0, 1
+def window_hashes(g: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(2, n): 128-bit hashes of the windows that begin at ``at``, from the hashes of grams that cover them."""
+    parts = [g[at], g[at + GRAM], g[at + 2 * GRAM], g[at + LENGTH - GRAM]]
+    out = []
+    with np.errstate(over="ignore"):
+        for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            h = np.full(len(at), U(seed))
+            for x in parts:
+                h = (h ^ x) * U(0xD6E8FEB86659FD93)
+                h ^= h >> U(32)
+            out.append(h.view(np.int64))
+    return np.stack(out)
+
 
+QUERY, TELL, REPEATED, COPY, TOTAL, OFTEN, PIECE = range(7)
 
-def ask(buckets: np.ndarray):
+
+def ask(buckets: np.ndarray, sizes: Sizes):
     """Step 1, map side: texts with their group to hash entries per bucket, and what a batch knows to be repeated by itself."""
 
     def flush(hashes, groups):
@@ -154,22 +184,23 @@ def ask(buckets: np.ndarray):
         once = count == 1
         # a hash met twice here is known to be repeated: other batches are told by an entry without a group
         owner = np.where(once, g[first], np.int32(-1))
-        yield in_rows(QUERY, buckets[(distinct % U(len(buckets))).astype(np.int64)], distinct.view(np.int64), owner)
+        yield in_rows(QUERY, buckets[(distinct % U(len(buckets))).astype(np.int64)], distinct.view(np.int64), owner, count.astype(np.int32))
         many = np.repeat(~once, count)
         if many.any():
             pair = np.unique(np.stack([g[many].astype(np.int64), h[order][many].view(np.int64)]), axis=1)
-            yield in_rows(TELL, pair[0], pair[1], np.zeros(pair.shape[1], np.int8))
+            none = np.zeros(pair.shape[1], np.int8)
+            yield in_rows(TELL, pair[0], pair[1], none, none)
 
     def run(batches):
         hashes, groups, size = [], [], 0
         for b in batches:
             data, offsets = text_bytes(b.column(1))
             of = np.asarray(b.column(0)).astype(np.int32)
-            for h, a, _, _ in anchored(data, offsets):
+            for h, a, *_ in anchored(data, offsets, sizes.block):
                 hashes.append(h)
                 groups.append(of[np.searchsorted(offsets, a, "right") - 1])
             size += len(data)
-            if size >= FLUSH:
+            if size >= sizes.flush:
                 yield from flush(hashes, groups)
                 hashes, groups, size = [], [], 0
         if hashes:
@@ -178,26 +209,46 @@ def ask(buckets: np.ndarray):
     return run
 
 
-def answer(batches):
-    """Step 1, reduce side: hashes that occur twice, told to the groups that have them."""
-    hashes, owners = [], []
-    for b in batches:
-        kind = np.asarray(b.column(0))
-        tell = b.filter(pa.array(kind == TELL)).select(["key", "a"])
-        yield tell
-        for h, g in zip(*(c.to_pylist() for c in b.filter(pa.array(kind == QUERY)).select(["a", "b"]).columns), strict=True):
-            hashes.append(np.frombuffer(h, np.int64))
-            owners.append(np.frombuffer(g, np.int32))
-    if hashes:
-        h, g = np.concatenate(hashes), np.concatenate(owners)
-        order, _, first = grouped(h)
-        count = np.repeat(np.diff(np.append(first, len(h))), np.diff(np.append(first, len(h))))
-        h, g = h[order], g[order]
-        # an entry without a group stands for two or more occurrences
-        known = np.repeat(np.add.reduceat(g < 0, first) > 0, np.diff(np.append(first, len(h))))
-        out = ((count > 1) | known) & (g >= 0)
-        if out.any():
-            yield in_rows(TELL, g[out], h[out]).select(["key", "a"])
+def answer(sizes: Sizes):
+    """Step 1, reduce side: hashes that occur twice, told to the groups that have them; how many anchors there are, and which hashes occur often."""
+
+    def run(batches):
+        hashes, owners, counts = [], [], []
+        for b in batches:
+            kind = np.asarray(b.column(0))
+            yield b.filter(pa.array(kind == TELL)).select(["kind", "key", "a", "b"])
+            for h, g, n in zip(*(c.to_pylist() for c in b.filter(pa.array(kind == QUERY)).select(["a", "b", "c"]).columns), strict=True):
+                hashes.append(np.frombuffer(h, np.int64))
+                owners.append(np.frombuffer(g, np.int32))
+                counts.append(np.frombuffer(n, np.int32))
+        if hashes:
+            h, g, n = np.concatenate(hashes), np.concatenate(owners), np.concatenate(counts).astype(np.int64)
+            order, distinct, first = grouped(h)
+            size = np.diff(np.append(first, len(h)))
+            total = np.add.reduceat(n[order], first)
+            out = np.repeat(total > 1, size) & (g[order] >= 0)
+            if out.any():
+                yield in_rows(TELL, g[order][out].astype(np.int64), h[order][out], np.zeros(int(out.sum()), np.int8))
+            yield in_rows(TOTAL, np.array([total.sum()]), np.zeros(1, np.int8), np.zeros(1, np.int8))
+            often = total > sizes.often
+            if often.any():
+                yield in_rows(OFTEN, np.zeros(int(often.sum()), np.int64), distinct[often], total[often])
+
+    return run
+
+
+def hot_hashes(told: DataFrame, often: int, partitions: int) -> np.ndarray:
+    """Hashes of so many anchors that their surroundings would overload a bucket; at most ``partitions / HOT`` of them."""
+    total = told.filter(F.col("kind") == TOTAL).agg(F.sum("key")).first()[0] or 0
+    least = max(often, HOT * total / partitions)
+
+    def run(batches):
+        for b in batches:
+            kept = [np.frombuffer(h, np.int64)[np.frombuffer(n, np.int64) > least].tobytes() for h, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary())], names=["a"])
+
+    rows = told.filter(F.col("kind") == OFTEN).select("a", "b").mapInArrow(run, "a binary").collect()
+    return np.sort(np.frombuffer(b"".join(bytes(r[0]) for r in rows), np.int64))
 
 
 def even_keys(spark, partitions: int, each: int) -> np.ndarray:
@@ -239,12 +290,41 @@ def copies_in(told: pa.Table) -> set:
     return set(zip(rows["id"].to_pylist(), rows["tie"].to_pylist(), strict=True))
 
 
-REPEATED, COPY = 2, 3
-PIECES = "kind int, key bigint, a binary, b binary"
+PIECES = "kind int, key bigint, a binary, b binary, c binary"
+
+
+def is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def earliest(windows: np.ndarray) -> np.ndarray:
+    """Whether each row (two hashes, id, tie, group, place) is the first of its hash in document order."""
+    order = np.lexsort((windows[:, 5], windows[:, 3], windows[:, 2], windows[:, 1], windows[:, 0]))
+    w = windows[order]
+    first = np.ones(len(w), bool)
+    first[1:] = (w[1:, :2] != w[:-1, :2]).any(axis=1)
+    out = np.zeros(len(w), bool)
+    out[order[first]] = True
+    return out
+
+
+def runs_of(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Repeated windows as (group of each run, id, tie, from, to of it)."""
+    w = windows[np.lexsort((windows[:, 5], windows[:, 3], windows[:, 2]))]
+    new = np.ones(len(w), bool)
+    new[1:] = (w[1:, 2:4] != w[:-1, 2:4]).any(1) | (w[1:, 5] > w[:-1, 5] + 1)
+    start = np.flatnonzero(new)
+    last = np.append(start[1:], len(w)) - 1
+    return w[start, 4], np.stack([w[start, 2], w[start, 3], w[start, 5], w[last, 5] + LENGTH], axis=1)
 
 
-def carve(buckets: np.ndarray):
-    """Step 2: the repeated anchors of a group's texts with their surroundings, per bucket of their hash."""
+def carve(buckets: np.ndarray, hot, sizes: Sizes):
+    """Step 2: the repeated anchors of a group's texts with their surroundings, per bucket of their hash.
+
+    Windows of hot hashes go one by one, by their own hash, and each once per group: what repeats inside the group is known at once.
+    """
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         group = Group(docs, copies_in(told))
@@ -252,11 +332,15 @@ def carve(buckets: np.ndarray):
         blobs = [b for k, b in zip(kinds.tolist(), told["a"].to_pylist(), strict=True) if k == TELL]
         wanted = np.unique(np.frombuffer(b"".join(blobs), np.int64))
         key = int(docs["key"][0].as_py()) if docs.num_rows else 0
-        hashes, metas, bodies = [np.zeros(0, U)], [np.zeros((0, 7), np.int64)], [np.zeros(0, np.uint8)]
-        for h, a, p, q in anchored(group.data, group.offsets) if len(wanted) else ():
+        hashes, metas, bodies, windows = [np.zeros(0, U)], [np.zeros((0, 7), np.int64)], [np.zeros(0, np.uint8)], [np.zeros((0, 6), np.int64)]
+        for h, a, p, q, low, g in anchored(group.data, group.offsets, sizes.block) if len(wanted) else ():
             row = np.searchsorted(group.offsets, a, "right") - 1
-            at = np.minimum(np.searchsorted(wanted, h.view(np.int64)), len(wanted) - 1)
-            take = (wanted[at] == h.view(np.int64)) & ~group.copy[row]
+            take = is_in(h.view(np.int64), wanted) & ~group.copy[row]
+            often = take & is_in(h.view(np.int64), hot.value)
+            if often.any():
+                at, r = spans_of(p[often], (q - p)[often] + 1), np.repeat(row[often], (q - p)[often] + 1)
+                windows.append(np.stack([*window_hashes(g, at - low), group.ids[r], group.ties[r], np.full(len(r), key), at - group.offsets[r]], axis=1))
+            take &= ~often
             h, a, p, q, row = h[take], a[take], p[take], q[take], row[take]
             size = q - p + LENGTH
             # id, tie, group, place of the anchor in its text, bytes before it, bytes of the last window before it, size of the piece
@@ -265,16 +349,26 @@ def carve(buckets: np.ndarray):
             hashes.append(h)
         h, meta, body = np.concatenate(hashes), np.concatenate(metas), np.concatenate(bodies)
         order, keys, first = grouped(buckets[(h % U(len(buckets))).astype(np.int64)])
-        cuts = np.append(first, len(order))
+        cuts = np.append(first, len(order)).tolist()
         starts, size = (np.cumsum(meta[:, 6]) - meta[:, 6])[order], meta[order, 6]
         body, meta = body[spans_of(starts, size)], np.ascontiguousarray(meta[order])
         ends = np.concatenate([[0], np.cumsum(size)])
-        span = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        columns = [
-            pa.array(np.full(len(keys), REPEATED, np.int32)), pa.array(keys),
-            pa.array([meta[i:j].tobytes() for i, j in span], pa.binary()), pa.array([body[ends[i] : ends[j]].tobytes() for i, j in span], pa.binary()),
-        ]
-        return pa.table(columns, names=["kind", "key", "a", "b"])
+        # one row for a bucket: pieces, their bytes, windows of hot hashes
+        rows = {k: [meta[i:j].tobytes(), body[ends[i] : ends[j]].tobytes(), None] for k, i, j in zip(keys.tolist(), cuts[:-1], cuts[1:], strict=True)}
+        single = np.concatenate(windows)
+        new = earliest(single)
+        mine = single[new]
+        order, keys, first = grouped(buckets[(mine[:, 0].view(U) % U(len(buckets))).astype(np.int64)])
+        cuts = np.append(first, len(order)).tolist()
+        for k, i, j in zip(keys.tolist(), cuts[:-1], cuts[1:], strict=True):
+            rows.setdefault(k, [None, None, None])[2] = mine[order[i:j]].tobytes()
+        columns = [pa.array([PIECE] * len(rows), pa.int32()), pa.array(list(rows), pa.int64()), *(pa.array([r[c] for r in rows.values()], pa.binary()) for c in range(3))]
+        out = [pa.RecordBatch.from_arrays(columns, names=["kind", "key", "a", "b", "c"])]
+        if not new.all():
+            to, found = runs_of(single[~new])
+            none = np.zeros(len(found), np.int8)
+            out.append(in_rows(TELL, to, found, none, none))
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -366,22 +460,43 @@ def surroundings(meta: np.ndarray, body: np.ndarray, ends: np.ndarray) -> Level:
     return Level(fixed(right), fixed(left), meta[:, 5], before)
 
 
-def index(batches):
+def index(sizes: Sizes):
     """Step 3: pieces of a bucket, through the family, to runs of repeated windows (id, tie, from, to) per group of documents."""
-    metas, bodies = [], []
-    for b in batches:
-        for m, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            metas.append(np.frombuffer(m, np.int64).reshape(-1, 7))
-            bodies.append(np.frombuffer(t, np.uint8))
-    if not metas:
-        return
-    meta, body = np.concatenate(metas), np.concatenate(bodies)
-    del metas, bodies
+
+    def run(batches):
+        metas, bodies, windows, out = [], [], [], []
+        for b in batches:
+            yield b.filter(pa.array(np.asarray(b.column(0)) == TELL)).select(["key", "a"])
+            for kind, m, t, w in zip(*(c.to_pylist() for c in (b.column(0), *b.columns[2:])), strict=True):
+                if kind == PIECE and m:
+                    metas.append(np.frombuffer(m, np.int64).reshape(-1, 7))
+                    bodies.append(np.frombuffer(t, np.uint8))
+                if kind == PIECE and w:
+                    windows.append(np.frombuffer(w, np.int64).reshape(-1, 6))
+        if windows:
+            single = np.concatenate(windows)
+            again = ~earliest(single)
+            if again.any():
+                out.append(runs_of(single[again]))
+            del windows, single
+        if metas:
+            meta, body = np.concatenate(metas), np.concatenate(bodies)
+            del metas, bodies
+            out += indexed(meta, body, sizes)
+        if out:
+            # one row per group of documents
+            yield in_rows(REPEATED, *(np.concatenate(x) for x in zip(*out, strict=True))).select(["key", "a"])
+
+    return run
+
+
+def indexed(meta: np.ndarray, body: np.ndarray, sizes: Sizes):
+    """Pieces through the family, a batch at a time: (group, and id, tie, from, to) of runs of repeated windows."""
     ends = np.cumsum(meta[:, 6])
     order = np.lexsort((meta[:, 3], meta[:, 1], meta[:, 0]))
     family = Family()
-    for at in range(0, len(order), BATCH):
-        rows = order[at : at + BATCH]
+    for at in range(0, len(order), sizes.batch):
+        rows = order[at : at + sizes.batch]
         part = meta[rows]
         size = part[:, 6]
         hit = family.add(surroundings(part, body[spans_of(ends[rows] - size, size)], np.cumsum(size)))
@@ -390,11 +505,8 @@ def index(batches):
         row, first = np.nonzero(edge == 1)
         _, last = np.nonzero(edge == -1)
         if len(row):
-            anchor = part[row, 3]
-            widest = LENGTH - GRAM
-            found = np.stack([part[row, 0], part[row, 1], anchor - widest + first, anchor - widest + last - 1 + LENGTH], axis=1)
-            out = in_rows(REPEATED, part[row, 2], np.ascontiguousarray(found))
-            yield out.select(["key", "a"])
+            base = part[row, 3] - (LENGTH - GRAM)
+            yield part[row, 2], np.stack([part[row, 0], part[row, 1], base + first, base + last - 1 + LENGTH], axis=1)
 
 
 def cut(with_text: bool):
@@ -448,7 +560,7 @@ def cut(with_text: bool):
 RESULT = "id bigint, tie bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, sizes: Sizes = Sizes()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with text also ``row`` (all columns but the text) and ``kept``.
 
     Kept bytes that no longer form a character are left out of ``kept``, not out of the hash.
@@ -467,13 +579,14 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     firsts = ids.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     copies = ids.join(rekeyed(firsts, "digest"), "digest").filter("id <> first").select(key_of("id").alias("key"), F.lit(COPY).alias("kind"), "id", F.conv(F.substring("digest", 1, 15), 16, 10).cast("bigint").alias("tie"), F.lit(None).cast("binary").alias("a"))
     # 1
-    asked = rows.select("key", "text").mapInArrow(ask(buckets), "kind int, key bigint, a binary, b binary")
-    told = asked.repartition(partitions, "key").mapInArrow(answer, "key bigint, a binary")
+    asked = rows.select("key", "text").mapInArrow(ask(buckets, sizes), "kind int, key bigint, a binary, b binary, c binary")
+    told = checkpointed(asked.repartition(partitions, "key").mapInArrow(answer(sizes), "kind int, key bigint, a binary, b binary"))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_hashes(told, sizes.often, partitions))
     message = lambda df, kind: df.select("key", F.lit(kind).alias("kind"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("tie"), "a")
     # 2
-    pieces = rows.groupBy("key").cogroup(message(told, TELL).union(copies).groupBy("key")).applyInArrow(carve(buckets), PIECES)
+    pieces = rows.groupBy("key").cogroup(message(told.filter(F.col("kind") == TELL), TELL).union(copies).groupBy("key")).applyInArrow(carve(buckets, hot, sizes), PIECES)
     # 3
-    found = pieces.repartition(partitions, "key").mapInArrow(index, "key bigint, a binary")
+    found = pieces.repartition(partitions, "key").mapInArrow(index(sizes), "key bigint, a binary")
     # 4
     schema = T.StructType.fromDDL(RESULT)
     if with_text:
