@@ -167,12 +167,13 @@ def texts_with_repeats():
     return [*rows, (405, "short"), (406, "short"), (3, base[:900]), (403, base), (407, "\0" * 300), (408, "ab" * 90 + "\0" * 150)]
 
 
-@pytest.mark.parametrize(("batch", "block", "flush"), [(1 << 16, 1 << 19, 1 << 24), (40, 1 << 10, 1 << 12)])
-def test_cut_against_brute_force(spark, batch, block, flush, monkeypatch):
-    for name, value in (("BATCH", batch), ("BLOCK", block), ("FLUSH", flush)):
-        monkeypatch.setattr(suffix_dedup, name, value)
+@pytest.mark.parametrize("sizes", [suffix_dedup.Sizes(), suffix_dedup.Sizes(1 << 10, 1 << 12, 40), suffix_dedup.Sizes(64, 1 << 12, 40, 3), suffix_dedup.Sizes(1 << 12, 1 << 14, 40, 1)])
+def test_cut_against_brute_force(spark, sizes, monkeypatch):
+    """Also in small blocks, with texts over several blocks, with many levels, with most or all hashes taken for hot."""
+    if sizes.often < 1000:
+        monkeypatch.setattr(suffix_dedup, "HOT", 0)  # the driver decides which hashes are hot
     rows = texts_with_repeats()
-    got = suffix_dedup.remove_repeats(frame(spark, rows).repartition(6)).collect()
+    got = suffix_dedup.remove_repeats(frame(spark, rows).repartition(6), sizes=sizes).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, plain_cut(in_order(rows))))
 
 

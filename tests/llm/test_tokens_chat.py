@@ -61,6 +61,28 @@ def test_prefix_scan_composes(counter):
         assert token_counts.finished(m, counter) == counter.tokens(text[: 7 * k])
 
 
+def test_followers_equal_plain_merging(counter):
+    t, rng = counter.transducer, random.Random(4)
+    tokens = [n for n, x in t.texts.items() if all(s < token_counts.END for s in x[:-1])]
+    first = [n for n in tokens if t.texts[n][-1] < token_counts.END]
+    for _ in range(4000):
+        a, b = rng.choice(first), rng.choice(tokens)
+        if rng.random() < 0.7:  # a pair that meets in some token
+            text = t.texts[b]
+            cuts = [(x, y) for i in range(1, len(text)) for x in [token_of(t, text[:i])] for y in [token_of(t, text[i:])] if x is not None and y is not None]
+            a, b = rng.choice(cuts or [(a, b)])
+        assert t.may_follow(a, b) == (t.merged([t.single[s] for s in t.texts[a] + t.texts[b]]) == [a, b])
+
+
+def token_of(t, text):
+    node = t.root
+    for s in text:
+        node = node.children.get(s)
+        if node is None:
+            return None
+    return node.token if node.token >= 0 else None
+
+
 def test_states_can_be_forgotten(counter, library, monkeypatch):
     monkeypatch.setattr(token_counts, "MAX_STATES", 10)
     monkeypatch.setattr(token_counts, "REMEMBERED", 5)
