@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import graph
 from .breed import Breed
 from .context import NEIGHBOR, OWN, Context
 from .lineage import cut, cut_in_place
@@ -532,5 +531,3 @@ def _typed(value, kind: T.DataType):
         return int(value)
     return float(value) if isinstance(kind, T.DoubleType) else value
 
-
-__all__ = ["Model", "graph"]
