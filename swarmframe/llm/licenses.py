@@ -61,20 +61,19 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def units(text: Column) -> Column:
-    """Normalised lines, paragraphs and whole of a text, each once."""
-    t = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " "), r" ?\n ?", "\n")
+def normalised(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " "), r" ?\n ?", "\n")
+
+
+def units(t: Column) -> Column:
+    """Lines, paragraphs and whole of a normalised text, each once."""
     lines = F.split(t, "\n")
     blocks = F.transform(F.split(t, "\n\n+"), lambda p: F.replace(p, F.lit("\n"), F.lit(" ")))
     whole = F.array(F.regexp_replace(t, "\n+", " "))
     return F.array_distinct(F.transform(F.concat(lines, blocks, whole), lambda u: F.trim(u)))
 
 
-def bigram_set(unit: Column) -> Column:
-    return bigram_set_of(F.split(unit, " "))
-
-
-def bigram_set_of(words: Column) -> Column:
+def bigram_set(words: Column) -> Column:
     pairs = F.greatest(F.size(words) - 1, F.lit(0))
     return F.array_distinct(F.zip_with(F.slice(words, 1, pairs), F.slice(words, 2, pairs), lambda a, b: F.concat(a, F.lit(" "), b)))
 
@@ -96,20 +95,25 @@ def best_match(units_: Column, templates: dict[str, list[str]], threshold: float
         return F.filter(F.array_compact(F.array(*found)), lambda s: s["dice"] >= threshold)
 
     most = int(bounds[1])
+    cut = 3 * most  # words that a long unit is parted into at first; the last of them is its rest
 
-    def may_fit(unit: Column) -> Column:
+    def may_fit(words: Column) -> Column:
         """Exact: a unit has fewer bigrams than words, and no fewer distinct ones than any part of it."""
-        words = F.split(unit, " ", 3 * most)
-        few = F.size(words) < 3 * most
-        return (F.size(words) > bounds[0]) & (few | (F.size(bigram_set_of(F.slice(words, 1, 3 * most - 1))) <= most))
+        return (F.size(words) > bounds[0]) & ((F.size(words) < cut) | (F.size(bigram_set(F.slice(words, 1, cut - 1))) <= most))
+
+    def whole(words: Column) -> Column:
+        return F.when(F.size(words) < cut, words).otherwise(F.concat(F.slice(words, 1, cut - 1), F.split(words[cut - 1], " ")))
 
-    sets = F.filter(F.transform(F.filter(units_, may_fit), bigram_set), lambda g: F.size(g).between(F.lit(bounds[0]), F.lit(bounds[1])))
+    parted = F.transform(units_, lambda u: F.split(u, " ", cut))
+    sets = F.filter(F.transform(F.filter(parted, may_fit), lambda w: bigram_set(whole(w))), lambda g: F.size(g).between(F.lit(bounds[0]), F.lit(bounds[1])))
     return F.flatten(F.transform(sets, score))
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license (null if none), dice, n_matches (unit and template pairs), licenses (all names found)."""
-    found = docs.select("doc_id", best_match(units(F.col("text")), templates or TEMPLATES, threshold).alias("m"))
+    # in steps, so that what is used several times is computed once
+    text = docs.select("doc_id", normalised(F.col("text")).alias("t"))
+    found = text.select("doc_id", units(F.col("t")).alias("u")).select("doc_id", best_match(F.col("u"), templates or TEMPLATES, threshold).alias("m"))
     top = F.reduce("m", F.lit(None).cast("struct<dice:double,name:string>"), lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]) | ((x["dice"] == a["dice"]) & (x["name"] < a["name"])), x).otherwise(a))
     return found.withColumn("top", top).select(
         "doc_id", F.col("top.name").alias("license"), F.col("top.dice").alias("dice"), F.size("m").cast("long").alias("n_matches"),
