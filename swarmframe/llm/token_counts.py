@@ -37,7 +37,7 @@ from .common import table
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Characters per chunk of a long text; words whose count a worker remembers; states a worker keeps.
-CHUNK, REMEMBERED, MAX_STATES = 1 << 16, 400_000, 200_000
+CHUNK, REMEMBERED, MAX_STATES = 1 << 16, 300_000, 200_000
 #: Below this code point composition changes nothing, and character classes are compiled here.
 PLAIN = 0x300
 END = 256  # added to a byte that ends its word
@@ -74,17 +74,22 @@ class Transducer:
             self.texts[number] = symbols(text)
         ids = {t: n for n, t in self.texts.items()}
         self.single = {t[0]: n for t, n in ids.items() if len(t) == 1}
-        self.merges = {}
+        self.merges, self.halves, self.made = {}, {}, dict.fromkeys(self.single.values(), -1)
         for rank, m in enumerate(merges):
             a, b = m.split(" ") if isinstance(m, str) else m
             a, b = ids[symbols(a)], ids[symbols(b)]
-            self.merges[a, b] = (rank, ids[self.texts[a] + self.texts[b]])
+            whole = ids[self.texts[a] + self.texts[b]]
+            self.merges[a, b] = (rank, whole)
+            if whole not in self.halves:
+                self.halves[whole], self.made[whole] = (a, b), rank
         for text, number in ids.items():
             node = self.root
             for s in text:
                 node = node.children.setdefault(s, Node({}))
             node.token = number
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.alone: dict[int, bool] = {}
+        self.known: dict[bytes, int] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -111,10 +116,40 @@ class Transducer:
             tokens[i : i + 2] = [self.merges[tokens[i], tokens[i + 1]][1]]
         return tokens
 
+    def edge(self, token: int, side: int) -> list[tuple[int, int, float]]:
+        """The tokens that stand at a token's edge (0 left, 1 right) while it is merged: (token, rank at which it is made, rank at which it is merged on)."""
+        out, until = [], float("inf")
+        while True:
+            out.append((token, self.made[token], until))
+            if token not in self.halves:
+                return out
+            until = self.made[token]
+            token = self.halves[token][side]
+
+    def stands(self, token: int) -> bool:
+        """Whether a token's text alone gives the token; others never come out of merging."""
+        known = self.alone.get(token)
+        if known is None:
+            known = self.alone[token] = self.merged([self.single[s] for s in self.texts[token]]) == [token]
+        return known
+
     def may_follow(self, a: int, b: int) -> bool:
+        """Whether the texts of two tokens together give these tokens again.
+
+        Until something is merged across the border, each side merges as it does alone; so it is enough that
+        no two tokens that meet at the border at some time have a merge of lower rank than what they wait for
+        (of equal ranks, the left one comes first).
+        """
         known = self.pairs.get((a, b))
         if known is None:
-            known = self.pairs[a, b] = self.merged([self.single[s] for s in self.texts[a] + self.texts[b]]) == [a, b]
+            known = self.stands(a) and self.stands(b)
+            right = self.edge(b, 0) if known else ()
+            for x, made_x, until_x in self.edge(a, 1) if known else ():
+                for y, made_y, until_y in right:
+                    hit = self.merges.get((x, y))
+                    if hit and max(made_x, made_y) < hit[0] < until_x and hit[0] <= until_y:
+                        known = False
+            self.pairs[a, b] = known
         return known
 
     def step(self, state: int, symbol: int) -> tuple[int, int]:
@@ -124,7 +159,7 @@ class Transducer:
             child = node.children.get(symbol)
             if child is None:
                 continue
-            if child.token >= 0 and last < 0 and (before < 0 or self.may_follow(before, child.token)):
+            if child.token >= 0 and last < 0 and (self.stands(child.token) if before < 0 else self.may_follow(before, child.token)):
                 last, fewer = child.token, behind
             if child.children:
                 live.append((child, before, behind))
@@ -137,6 +172,16 @@ class Transducer:
         return to, change
 
     def count(self, word: bytes) -> int:
+        known = self.known.get(word)
+        if known is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            known = self.walk(word)
+            if len(word) < 64:
+                self.known[word] = known
+        return known
+
+    def walk(self, word: bytes) -> int:
         state, total, steps = self.start, 0, self.steps
         for b in word[:-1]:
             hit = steps[state].get(b)
