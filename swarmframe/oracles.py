@@ -32,6 +32,7 @@ NATIONS = "t0 AS (SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey = 0 TH
 RING = "ring AS (SELECT c_custkey AS src, (c_custkey + d) % (SELECT count(*) FROM customer) AS dst FROM customer, (VALUES (1), (2)) v(d)), edges AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM ring UNION ALL SELECT dst, src FROM ring))"
 TRADE = f"links AS (SELECT DISTINCT o_custkey AS src, l_suppkey + {SUPPLIER_BASE} AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 TRADE10 = TRADE.replace("l_orderkey = o_orderkey", "l_orderkey = o_orderkey WHERE l_orderkey % 10 = 0") + ", edges AS (SELECT src, dst FROM links UNION ALL SELECT dst, src FROM links)"
+TRADE_BOTH = TRADE + ", edges AS (SELECT src, dst FROM links UNION ALL SELECT dst, src FROM links)"
 
 
 def sir_ticks(ticks: int, p_infection: float, p_recovery: float, seed: int, extra: str = "") -> str:
@@ -88,12 +89,13 @@ def oracle_sql() -> dict[str, str]:
         "sir_chain_philox": f"WITH {CHAIN}, {NATIONS}, {sir_ticks(5, 0.8, 0.3, 999)} SELECT id AS agent_id, state FROM t5",
         "stale_ghost_sync2": stale_sir(),
         **{
-            name: f"WITH {TRADE10}, t0 AS (SELECT c_custkey AS id, 0 AS breed, CASE WHEN c_custkey % 100 = 0 THEN 2 ELSE 1 END::BIGINT AS state FROM customer UNION ALL SELECT s_suppkey + {SUPPLIER_BASE}, 1, 1 FROM supplier), {sir_ticks(n, 0.3, 0.2, 42, ', breed')} {select}"
-            for name, n, select in (
-                ("sir_two_breed_bipartite", 3, "SELECT id AS agent_id, breed, state FROM t3"),
-                ("state_histogram", 2, "SELECT breed, state, count(*) AS n FROM t2 GROUP BY breed, state"),
-                ("breed_data", 1, "SELECT id AS agent_id, state FROM t1 WHERE breed = 1"),
+            name: f"WITH {links}, t0 AS (SELECT c_custkey AS id, 0 AS breed, CASE WHEN c_custkey % 100 = 0 THEN 2 ELSE 1 END::BIGINT AS state FROM customer UNION ALL SELECT s_suppkey + {SUPPLIER_BASE}, 1, 1 FROM supplier), {sir_ticks(n, 0.3, 0.2, 42, ', breed')} {select}"
+            for names, n, select in (
+                (("sir_two_breed_bipartite", "sir_trade_network"), 3, "SELECT id AS agent_id, breed, state FROM t3"),
+                (("state_histogram", "trade_histogram"), 2, "SELECT breed, state, count(*) AS n FROM t2 GROUP BY breed, state"),
+                (("breed_data", "trade_breed_data"), 1, "SELECT id AS agent_id, state FROM t1 WHERE breed = 1"),
             )
+            for name, links in zip(names, (TRADE10, TRADE_BOTH), strict=True)
         },
         "sir_vector_safety": "WITH v AS (SELECT vec_id AS id, list_sum(list_transform(embedding, lambda x: round(abs(x::DOUBLE) * 1000)))::DOUBLE AS total, len(embedding)::DOUBLE AS n FROM embeddings), c AS (SELECT count(*) AS m FROM v), one AS (SELECT id AS src, (id + 1) % m AS dst FROM v, c), e AS (SELECT src, dst FROM one UNION SELECT dst, src FROM one) SELECT a.id AS agent_id, round(max(a.total * b.total / (a.n * a.n)), 3) AS safety FROM v a JOIN e ON a.id = src JOIN v b ON b.id = dst GROUP BY a.id",
         "hierarchy_si_one_hop": f"WITH {HIERARCHY}, h AS (SELECT src, max(CASE WHEN state = 2 THEN 1 ELSE 0 END) AS hit FROM edges JOIN t0 ON dst = id GROUP BY src) SELECT id AS agent_id, CASE WHEN state = 1 AND hit = 1 THEN 2 ELSE state END::BIGINT AS state, 0::BIGINT AS dummy FROM t0 LEFT JOIN h ON src = id",

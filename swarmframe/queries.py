@@ -102,6 +102,22 @@ def trade_model(spark, sf_dir, every=10, base=tables.SUPPLIER_BASE, ticks=3):
     return m, breeds
 
 
+def sir_trade_network(spark, sf_dir):
+    """SIR on all trade links; the three queries after the next two run the sparse variant, a tenth of the orders."""
+    m, _ = trade_model(spark, sf_dir, every=1)
+    return m.agents.select("agent_id", "breed", "state")
+
+
+def trade_histogram(spark, sf_dir):
+    m, _ = trade_model(spark, sf_dir, every=1, ticks=2)
+    return m.agents.groupBy("breed", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def trade_breed_data(spark, sf_dir):
+    m, breeds = trade_model(spark, sf_dir, every=1, ticks=1)
+    return m.get_breed_data(breeds[1], "state")
+
+
 def sir_two_breed_bipartite(spark, sf_dir):
     m, _ = trade_model(spark, sf_dir)
     return m.agents.select("agent_id", "breed", "state")
@@ -491,7 +507,7 @@ def clustered_ring(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        sir_chain_wave, sir_chain_philox, stale_ghost_sync2, sir_two_breed_bipartite, state_histogram, breed_data, sir_vector_safety,
+        sir_chain_wave, sir_chain_philox, stale_ghost_sync2, sir_trade_network, trade_histogram, trade_breed_data, sir_two_breed_bipartite, state_histogram, breed_data, sir_vector_safety,
         hierarchy_si_one_hop, hierarchy_sir_two_hop, priority_buffered, priority_in_place, priority_last_writer, augassign_snapshot, in_place_neighbor_read,
         history_circular_buffer, history_pivot, event_recording, set_property, agents_with, breed_local_array, invisible_property_zero, message_send_sum, pandas_step,
         third_neighbor, history_last_values, breed_ranges, rank_counts, widest_arrays, community_packing,
