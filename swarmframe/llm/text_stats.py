@@ -18,6 +18,9 @@ ASCII_LOWER = bytes(range(97, 123))
 DIGITS = b"0123456789"
 STOPS = b".,;:"
 
+#: Words a block in which distinct words are counted.
+BLOCK = 200
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATIOS = ("word_len", "symbol", "dup_line", "repeat", "upper", "bang", "bar", "digit", "stop", "single", "line", "distinct", "other")
 
@@ -36,6 +39,11 @@ def repeated_words(words: list[bytes]) -> int:
     return covered
 
 
+def distinct_share(words: list[bytes]) -> float:
+    """Distinct words in consecutive blocks of ``BLOCK`` words, summed up over the whole text, by all words."""
+    return sum(len(set(words[i : i + BLOCK])) for i in range(0, len(words), BLOCK)) / max(len(words), 1)
+
+
 def text_stats(text: str | None) -> tuple[tuple[int, ...], tuple[float, ...]]:
     """(COUNTS, RATIOS) of a text. No ratio grows with the text's length."""
     text = text or ""
@@ -55,7 +63,7 @@ def text_stats(text: str | None) -> tuple[tuple[int, ...], tuple[float, ...]]:
     high = len(raw) - len(text)  # about one a letter outside ASCII
     ratios = (
         chars / w, symbols / w, dup / max(len(lines), 1), rep / w, upper / max(upper + lower, 1), bangs / w, raw.count(b"|") / w,
-        digits / c, stops / w, sum(len(x) == 1 for x in words) / w, min(len(lines) / w, 1.0), len(set(words[:200])) / max(min(n, 200), 1),
+        digits / c, stops / w, sum(len(x) == 1 for x in words) / w, min(len(lines) / w, 1.0), distinct_share(words),
         max(chars - upper - lower - digits - stops - bangs - symbols - high, 0) / c,
     )
     return (n, chars, symbols, dup, rep), ratios

@@ -29,6 +29,16 @@ def test_counts(text):
     assert text_stats.text_stats(text)[0] == plain_counts(text)
 
 
+def test_distinct_words_of_the_whole_text():
+    at = text_stats.RATIOS.index("distinct")
+    share = lambda words: text_stats.text_stats(" ".join(words))[1][at]
+    varied, poor = [f"w{i}" for i in range(200)], ["a", "b"] * 100
+    assert share(varied) == 1 and share(poor) == 0.01
+    assert share(varied + poor * 3) == share(poor * 3 + varied) == pytest.approx((200 + 3 * 2) / 800)
+    assert share(varied + poor[:50]) == pytest.approx(202 / 250)
+    assert share(varied * 40) == 1 and share(varied[:7] + ["w0"]) == 7 / 8 and share([]) == 0
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     return "/root/testdata/sf0.01"
