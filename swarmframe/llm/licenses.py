@@ -15,6 +15,7 @@ are not read.
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,36 +24,62 @@ from .common import table
 
 THRESHOLD = 0.8
 
-#: Notices by which works name their licence, and the operative paragraphs of short licences.
+TEXTS = Path(__file__).parent / "license_texts"
+
+NO_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+MIT_END = f"{NO_WARRANTY} IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+ISC_END = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+BSD_START = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+UNLICENSE = [
+    "This is free and unencumbered software released into the public domain.",
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+]
+APACHE = [
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+]
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+
+
+def whole(name: str) -> str:
+    return (TEXTS / f"{name}.txt").read_text(encoding="ascii")
+
+
+def gnu(kind: str, version: str, what: str = "program") -> str:
+    """The first paragraph of a program's notice."""
+    return f"This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+
+
+def gnu_only(kind: str, version: str, what: str = "program") -> str:
+    return f"This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} Public License version {version} as published by the Free Software Foundation."
+
+
+#: Notices by which works name their licence, operative paragraphs, and whole texts. A sentence that several
+#: of the licences share (as the first one of the BSD licences) names none of them and stands only within whole texts.
 TEMPLATES = {
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
-    "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    ],
-    "BSD-3-Clause": [
-        "Released under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    ],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", gnu("Affero General", "3"), gnu_only("Affero General", "3"), whole("AGPL-3.0")],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", " ".join(APACHE), *APACHE, whole("Apache-2.0")],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", f"{BSD_START} {BSD_END}"],
+    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", BSD_NAMES, f"{BSD_START} {BSD_NAMES} {BSD_END}"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
-    "ISC": [
-        "Released under the ISC License.",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    ],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "MIT": [
-        "Released under the MIT License.",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
-    ],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "GPL-1.0": [gnu("General", "1"), whole("GPL-1.0")],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", gnu("General", "2"), gnu_only("General", "2"), whole("GPL-2.0")],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", gnu("General", "3"), gnu_only("General", "3"), whole("GPL-3.0")],
+    "ISC": ["Released under the ISC License.", ISC_GRANT, ISC_END, f"{ISC_GRANT} {ISC_END}"],
+    "LGPL-2.0": [gnu("Library General", "2", "library"), gnu_only("Library General", "2", "library"), whole("LGPL-2.0")],
+    "LGPL-2.1": [gnu("Lesser General", "2.1", "library"), gnu_only("Lesser General", "2.1", "library"), whole("LGPL-2.1")],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", gnu("Lesser General", "3"), gnu_only("Lesser General", "3"), whole("LGPL-3.0")],
+    "MIT": ["Released under the MIT License.", MIT_GRANT, MIT_NOTICE, MIT_END, f"{MIT_GRANT} {MIT_NOTICE} {MIT_END}"],
+    "MPL-2.0": [MPL, f"{MPL} If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", whole("MPL-2.0")],
+    "Unlicense": [*UNLICENSE, " ".join([*UNLICENSE, NO_WARRANTY, MIT_END.removeprefix(NO_WARRANTY).replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS"), "For more information, please refer to <http://unlicense.org/>"])],
 }
 
 

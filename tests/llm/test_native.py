@@ -142,3 +142,25 @@ def test_licenses_against_plain_python(spark):
         want[i] = (min(found)[1], -min(found)[0], len(found)) if found else (None, None, 0)
     assert got == want
     assert got[3][0] == got[5][0] == got[6][0] == got[8][0] == "MIT"
+
+
+def test_licences_that_resemble_each_other(spark):
+    gnu = "This program is free software{0} you can redistribute it and/or modify it\nunder the terms of the GNU {1}General Public License as published by\nthe Free Software Foundation{2} either version {3} of the License, or\n(at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    one = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    two = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    three = "Neither the name of Some Company nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    end = licenses.BSD_END
+    texts = {
+        "GPL-2.0": gnu.format(";", "", ";", 2),
+        "GPL-3.0": gnu.format(":", "", ",", 3),
+        "AGPL-3.0": gnu.format(":", "Affero ", ",", 3),
+        "LGPL-3.0": gnu.format(":", "Lesser ", ",", 3),
+        "LGPL-2.1": gnu.format(";", "Lesser ", ";", "2.1").replace("program", "library"),
+        "BSD-2-Clause": f"Copyright (c) 2020, A. Person\n\n{bsd}\n\n1. {one}\n\n2. {two}\n\n{end}",
+        "BSD-3-Clause": f"Copyright (c) 2020, A. Person\n\n{bsd}\n\n1. {one}\n\n2. {two}\n\n3. {three}\n\n{end}",
+    }
+    bodies = {name: "\n\n".join(licenses.whole(name).split("\n\n")[3:-5]) for name in ("GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Apache-2.0")}
+    rows = [*texts.items(), *bodies.items()]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(rows)}
