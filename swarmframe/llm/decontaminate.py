@@ -30,9 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-Q, SEGMENT, STRIDE, RATE, MIN_ITEM = 8, 96, 48, 0.1, 24
-#: Bytes of benchmark text per pass over the documents; what is broadcast is about 40 times as much at most.
-BLOCK_BYTES = 1 << 20
+#: Q-grams of 7 bytes: at ``RATE`` edits the count below is positive for every length from ``MIN_ITEM`` on.
+#: Segments begin every 12 bytes, so one lies within 6 bytes of any quote, and leaves 3 of its 9 edits to a quote of 96 bytes.
+Q, SEGMENT, STRIDE, RATE, MIN_ITEM = 7, 96, 12, 0.1, 24
+GRAM = np.uint64((1 << 8 * Q) - 1)
+#: Bytes of benchmark text per pass over the documents; what is broadcast is about 200 times as much at most.
+BLOCK_BYTES = 1 << 18
 #: Bytes of documents that are matched at a time.
 CHUNK = 1 << 21
 TABLE_BITS = 22
@@ -48,8 +51,9 @@ def gram_hashes(buf: np.ndarray) -> np.ndarray:
     """Hash of the Q bytes from each position on."""
     if len(buf) < Q:
         return np.zeros(0, U)
+    padded = np.append(buf, np.zeros(8 - Q, np.uint8))
     with np.errstate(over="ignore"):
-        g = np.ndarray((len(buf) - Q + 1,), "<u8", buf, strides=(1,)) * U(0x9E3779B97F4A7C15)
+        g = (np.ndarray((len(buf) - Q + 1,), "<u8", padded, strides=(1,)) & GRAM) * U(0x9E3779B97F4A7C15)
     return g ^ (g >> U(32))
 
 
@@ -81,7 +85,7 @@ def segments_of(items: list[tuple[int, str]]) -> Segments:
             texts.append(t[at : at + SEGMENT])
     size = np.array([len(t) for t in texts], np.int64)
     edits = np.floor(size * RATE + 1e-9).astype(np.int64)
-    need = size + 1 - Q * (edits + 1)
+    need = size + 1 - Q * (edits + 1)  # positive
     grams = [gram_hashes(np.frombuffer(t, np.uint8)) for t in texts]
     h = np.concatenate([np.zeros(0, U), *grams])
     segment = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
@@ -90,7 +94,7 @@ def segments_of(items: list[tuple[int, str]]) -> Segments:
     hashes, first = np.unique(h[order], return_index=True)
     seen = np.zeros(1 << TABLE_BITS, bool)
     seen[(hashes & U((1 << TABLE_BITS) - 1)).astype(np.int64)] = True
-    return Segments(np.array(item, np.int64), texts, size, edits, np.maximum(need, 1), hashes, np.append(first, len(h)), segment[order], at[order], seen)
+    return Segments(np.array(item, np.int64), texts, size, edits, need, hashes, np.append(first, len(h)), segment[order], at[order], seen)
 
 
 def shared_grams(buf: np.ndarray, s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

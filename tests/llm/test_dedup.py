@@ -258,6 +258,29 @@ def test_found_equals_alignment(items):
     assert len(got) > 8
 
 
+def test_quotes_begin_anywhere():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8)))
+    item = " ".join(word() for _ in range(60))[:240].strip()
+    segments = decontaminate.segments_of([(7, item)])
+    quotes = [(a, item[a : a + 96]) for a in range(len(item) - 95) if item[a] != " " != item[a + 95]]
+    around = lambda q: f"{' '.join(word() for _ in range(9))} {q} {' '.join(word() for _ in range(9))}"
+    texts = [around(q) for _, q in quotes] + [around(q[:30] + "#" + q[31:60] + "q" + q[60:]) for _, q in quotes]
+    assert {x[0] for x in decontaminate.found_in(texts, segments)} == set(range(len(texts)))
+    assert not decontaminate.found_in([around("")] * 3, segments)
+
+
+def test_short_items_with_as_many_edits_as_allowed():
+    for size in range(24, 97):
+        item = "".join(chr(97 + (i * 7 + i // 26) % 26) for i in range(size))
+        segments = decontaminate.segments_of([(1, item)])
+        edits = int(segments.edits[0])
+        # edits spread evenly, so that no piece between them is longer than it must be
+        cut = [(k + 1) * (size + 1) // (edits + 1) - 1 for k in range(edits)]
+        text = "".join("0" if i in cut else c for i, c in enumerate(item))
+        assert [x[3] for x in decontaminate.found_in([text, "x " + text + " y"], segments)] == [edits] * 2
+
+
 def test_every_planted_item_and_nothing_else(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r.doc_id: decontaminate.normalise(r.text) for r in table(spark, sf, "documents").collect()}
