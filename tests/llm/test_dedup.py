@@ -3,6 +3,9 @@
 import hashlib
 import itertools
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -209,29 +212,36 @@ def test_documents_cut(spark, sf):
 # decontamination
 
 
-def distance(pattern, text):
-    """Least edits between a pattern and any stretch of a text."""
-    row = [0] * (len(text) + 1)
-    for i, c in enumerate(pattern, 1):
-        new = [i]
-        for j, t in enumerate(text, 1):
-            new.append(min(row[j - 1] + (c != t), row[j] + 1, new[-1] + 1))
-        row = new
-    return min(row)
+def distances(item, text, size):
+    """Least edits between each window of an item and any stretch of a text, by the whole table."""
+    rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(item, np.uint8), size)
+    letters, j = np.frombuffer(text, np.uint8), np.arange(len(text) + 1)
+    cost = np.zeros((len(rows), len(text) + 1), int)
+    for i in range(size):
+        new = cost + 1
+        new[:, 1:] = np.minimum(new[:, 1:], cost[:, :-1] + (letters != rows[:, i, None]))
+        cost = np.minimum.accumulate(new - j, axis=1) + j
+    return cost.min(1)
 
 
-def plain_found(texts, segments):
+def plain_found(texts, items):
     out = {}
     for k, t in enumerate(texts):
-        n = decontaminate.normalise(t)
-        grams = {n[i : i + 3] for i in range(len(n))}
-        for g, s in enumerate(segments.texts):
-            if len(grams & {s[i : i + 3] for i in range(len(s))}) >= len(s) / 4 and (e := distance(s, n)) <= segments.edits[g]:
-                count, least = out.get((k, int(segments.item[g])), (0, 99))
-                out[k, int(segments.item[g])] = (count + 1, min(least, e))
+        for number, item in items:
+            item, n = decontaminate.normalise(item), decontaminate.normalise(t)
+            if len(item) >= decontaminate.MIN_ITEM:
+                size = min(len(item), decontaminate.WINDOW)
+                e = distances(item, n, size)
+                hit = np.flatnonzero(e <= size // 10)
+                if len(hit):
+                    out[k, number] = (int(hit[0]), int(e[hit[0]]))
     return out
 
 
+def found(texts, items, **options):
+    return {(a, b): (s, e) for a, b, s, e in decontaminate.found_in(texts, decontaminate.blocks_of(items, **options))}
+
+
 @pytest.fixture(scope="module")
 def items(spark, sf):
     return sorted((r.item_id, r.text) for r in table(spark, sf, "benchmark").collect())[:12] + [(500, "too short"), (501, "A sentence of under fifty bytes.")]
@@ -245,40 +255,59 @@ def mutated(rng, text, n):
     return "".join(text)
 
 
-def test_found_equals_alignment(items):
+def test_found_equals_alignment(items, monkeypatch):
     rng = random.Random(6)
     texts = [None, "", "nothing of the kind", "  a SENTENCE,of under fifty (bytes)! "]
     for k in range(36):
         t = rng.choice(items[:12])[1]
         a = rng.randrange(60)
         texts.append(rng.choice(["", "before it. "]) + mutated(rng, t[a : a + 50 + rng.randrange(90)], k % 13) + rng.choice(["", " and after."]))
-    segments = decontaminate.segments_of(items)
-    got = {(a, b): (n, e) for a, b, n, e in decontaminate.found_in(texts, segments)}
-    assert got == plain_found(texts, segments)
+    got = found(texts, items)
+    assert got == plain_found(texts, items)
     assert len(got) > 8
+    # the same in many indexes, in pieces, and in slices of a few shared grams
+    monkeypatch.setattr(decontaminate, "PIECE", 128)
+    monkeypatch.setattr(decontaminate, "HITS", 500)
+    monkeypatch.setattr(decontaminate, "CHUNK", 700)
+    assert found(texts, items, block_bytes=300) == got
 
 
 def test_quotes_begin_anywhere():
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8)))
     item = " ".join(word() for _ in range(60))[:240].strip()
-    segments = decontaminate.segments_of([(7, item)])
+    blocks = decontaminate.blocks_of([(7, item)])
     quotes = [(a, item[a : a + 96]) for a in range(len(item) - 95) if item[a] != " " != item[a + 95]]
     around = lambda q: f"{' '.join(word() for _ in range(9))} {q} {' '.join(word() for _ in range(9))}"
-    texts = [around(q) for _, q in quotes] + [around(q[:30] + "#" + q[31:60] + "q" + q[60:]) for _, q in quotes]
-    assert {x[0] for x in decontaminate.found_in(texts, segments)} == set(range(len(texts)))
-    assert not decontaminate.found_in([around("")] * 3, segments)
+    texts = [around(q) for _, q in quotes] + [around(q[:30] + "q" + q[31:60] + "q" + q[60:]) for _, q in quotes]
+    # as many edits as are allowed, evenly spread
+    texts += [around("".join("0" if k % 10 == 5 and k < 90 else c for k, c in enumerate(q))) for _, q in quotes]
+    assert {x[0] for x in decontaminate.found_in(texts, blocks)} == set(range(len(texts)))
+    assert not decontaminate.found_in([around("")] * 3, blocks)
 
 
 def test_short_items_with_as_many_edits_as_allowed():
     for size in range(24, 97):
         item = "".join(chr(97 + (i * 7 + i // 26) % 26) for i in range(size))
-        segments = decontaminate.segments_of([(1, item)])
-        edits = int(segments.edits[0])
+        blocks = decontaminate.blocks_of([(1, item)])
+        edits = size // 10
         # edits spread evenly, so that no piece between them is longer than it must be
         cut = [(k + 1) * (size + 1) // (edits + 1) - 1 for k in range(edits)]
         text = "".join("0" if i in cut else c for i, c in enumerate(item))
-        assert [x[3] for x in decontaminate.found_in([text, "x " + text + " y"], segments)] == [edits] * 2
+        assert [x[3] for x in decontaminate.found_in([text, "x " + text + " y"], blocks)] == [edits] * 2
+    assert not decontaminate.blocks_of([(1, "a b c d e f g h i j k l")])
+
+
+def test_repetitive_texts_in_bounded_memory():
+    code = """
+import resource
+from swarmframe.llm import decontaminate as d
+blocks = d.blocks_of([(1, "a" * 500), (2, "ab " * 2000), (3, "prose before it " + "b" * 200)])
+got = d.found_in(["a" * 2_000_000, "ab " * 100_000, "b" * 100_000], blocks)
+assert [(t, i) for t, i, *_ in got] == [(0, 1), (1, 2), (2, 3)], got
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 900_000
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, cwd=Path(__file__).parents[2])
 
 
 def test_every_planted_item_and_nothing_else(spark):
@@ -297,6 +326,8 @@ def test_blocks_and_edge_cases(spark, items):
     whole = sorted(map(str, decontaminate.contaminated(docs, bench).collect()))
     assert len(whole) == 4
     assert whole == sorted(map(str, decontaminate.contaminated(docs, bench, block_bytes=300).collect()))
+    assert whole == sorted(map(str, decontaminate.contaminated(docs, bench, pass_bytes=1500).collect()))
+    assert [r.item_id for r in decontaminate.short_items(bench).collect()] == [500]
     kept = decontaminate.drop_contaminated(docs, bench, block_bytes=300)
     assert (kept.columns, sorted(r.doc_id for r in kept.collect())) == (docs.columns, [2, 3])
     for a, b in ((docs.limit(0), bench), (docs, bench.limit(0))):
