@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,19 +16,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage.
+def integer_ids(docs: DataFrame, column: str = "doc_id") -> None:
+    """Refuse a table whose ids are not whole numbers, before anything runs."""
+    kind = docs.schema[column].dataType.simpleString()
+    if kind not in ("bigint", "int", "smallint", "tinyint", "void"):
+        raise TypeError(f"{column} is {kind}; this operator orders documents by an integer id")
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session without that setting (tests, local runs) gets a folder of its own.
-    """
-    spark = df.sparkSession
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's folder for checkpoints: below the one that the cluster names in ``spark.checkpoint.dir``."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt"))
+        sc.setCheckpointDir(shared_folder(spark))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through reliable storage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same cut by a table in the checkpoint folder: later plans know its size and read only the columns they use, and what was
+    inferred about the rows does not pile up in them, as it does in loops over checkpoints."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a session on one machine may make its own."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines share")
+    return named or tempfile.mkdtemp(prefix="ckpt")
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as a long; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")

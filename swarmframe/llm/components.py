@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, rekeyed
+from .common import rekeyed, stored
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -30,11 +30,11 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root of every node of ``edges`` (two columns of ids): root is the least id of its component. Loops and repeats do no harm."""
     x, y = edges.columns
-    links = checkpointed(edges.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).filter("a <> b").distinct())
+    links = stored(edges.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).filter("a <> b").distinct())
     loops = edges.filter(F.col(x) == F.col(y)).select(F.col(x).alias("node"))
     state = None
     for _ in range(max_rounds):
-        links = checkpointed(_star(_star(links, True), False))
+        links = stored(_star(_star(links, True), False))
         # both sums are the same again only when no link moved
         new = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == state:

@@ -8,45 +8,49 @@ below a rank at which it expects k (ln k + 2) of them; each dart falls on one of
 coordinates, and the earliest per coordinate is the signature. Two signatures agree in a
 coordinate with a probability equal to the texts' weighted Jaccard similarity.
 
-1. Copies of a text are folded into the one of least id, by partial aggregates.
-2. Texts that share a band of the signature are linked to the band's least text, which
-   is linear in a bucket's size; components of these links are candidate groups.
-3. Inside a group every pair of similarity 0.8 or more is found: groups are cut into
-   blocks of bounded size, each pair of blocks is one task's work, which skips pairs that
-   are connected already and compares shingles exactly. Only a spanning forest leaves it.
-4. Components of the verified links are the classes; a class is named by its least id.
-
-A pair of similarity 0.8 shares no band with probability 7e-6.
+1. Copies of a text are folded into one, by partial aggregates.
+2. Texts that share a band of the signature meet the band's least text, and each pair is compared exactly
+   before anything is joined up: that is linear in a bucket's size, a text with many partners is dealt to
+   several tasks, and a task holds one text and streams its partners.
+3. Buckets that true links (components of them) do not yet hold together are begun again from the least text that the
+   first one left out. What is still apart after that is compared bucket by bucket, in pairs of
+   blocks of bounded size: texts of a block meet where they share one of their rarest shingles, so many that
+   no pair of similarity 0.8 can do without (exact for groups of any size), and pairs that are connected already are skipped.
+4. Components of the verified links are the classes; a class is named by its least doc_id.
+
+A pair of similarity 0.8 shares no band with probability 7e-6; nothing else is left to chance.
 
 Edge cases: a text without words is a class of its own (with its exact copies);
 rows that share a doc_id are one document with several texts, and fall in one
-class; a null doc_id counts as the least id and stays null in the result; ties go
-to the least id; an empty table gives an empty result. Extra columns are not read.
+class; rows whose doc_id is null are documents of their own, named by the least doc_id among their near copies and
+null where there is none; ties go to the least id; texts of any length are compared whole; an empty table gives an
+empty result; doc_id is of an integer type, others are refused. Extra columns are not read, or carried.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, rekeyed, table
+from .common import integer_ids, rekeyed, stored, table
 from .components import components
 from .url_filter import build_level, filter_bits
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 COORDINATES = BANDS * ROWS
-#: A block of a candidate group holds about this many texts and shingles; a task holds two blocks.
-BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 1 << 22
+#: A bucket's text meets at most so many others in one task.
+STAR = 128
+#: A block of a bucket holds about this many texts and shingles; a task holds two blocks.
+BLOCK_TEXTS, BLOCK_SHINGLES = 256, 1 << 22
+#: Texts whose band keys a worker remembers, for their copies.
+SIGNED = 4096
 REMEMBERED = 300_000
-#: Texts that cannot be in a group are left out before the shuffle by a Bloom filter of at most so many bits (2 MB); where it is full, it lets all through and the join alone decides.
+#: Texts that are in no bucket are left out before their shuffle by a Bloom filter of at most so many bits (2 MB). It only saves work: where candidates are many more, the join alone decides.
 FILTER_BITS, FILTER_RATE = 1 << 24, 0.01
-NULL_ID = -(1 << 63)
 U = np.uint64
 
 
@@ -148,43 +152,46 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def promising(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows whose signatures agree in so many coordinates as a pair of the wanted similarity all but surely does, most agreements first; a strip at a time."""
-    k = left.shape[1]
-    least = SIMILARITY * k - 4.5 * np.sqrt(k * SIMILARITY * (1 - SIMILARITY))
-    for at in range(0, len(left), 256):
-        agree = np.zeros((min(256, len(left) - at), len(right)), np.int16)
-        for c in range(k):
-            agree += left[at : at + 256, c, None] == right[None, :, c]
-        i, j = np.nonzero(agree >= least)
-        order = np.argsort(-agree[i, j], kind="stable")
-        yield i[order] + at, j[order]
-
-
-def linked(ids: list[int], units: list[np.ndarray], side: list[int]) -> list[tuple[int, int]]:
-    """Spanning links among similar pairs; with two sides, of pairs from different sides only (each side alone is another task's work)."""
-    sets, out, n = Sets(len(ids)), [], len(ids)
+def meeting(units: list[np.ndarray], similarity: float = SIMILARITY) -> list[np.ndarray]:
+    """Groups of texts (positions) that share one of their rarest shingles, at least one for each pair of ``similarity`` or more.
+
+    Such a pair shares so much that one of the first n - ceil(similarity n) + 1 shingles of each text, in one order for all, is common to both.
+    """
+    every, owner = np.concatenate(units), np.repeat(np.arange(len(units)), [len(u) for u in units])
+    _, number, count = np.unique(every, return_inverse=True, return_counts=True)
+    order = np.lexsort((number, count[number], owner))
+    size = np.array([len(u) for u in units])
+    first = np.cumsum(size) - size
+    place = np.arange(len(every)) - np.repeat(first, size)
+    prefix = np.repeat(size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, size)
+    taken = order[place < prefix]
+    taken = taken[count[number[taken]] > 1]
+    taken = taken[np.lexsort((owner[taken], number[taken]))]
+    n = number[taken]
+    cuts = np.flatnonzero(n[1:] != n[:-1]) + 1
+    return [g for g in np.split(owner[taken], cuts) if len(g) > 1]
+
+
+def linked(ids: list[int], units: list[np.ndarray], side: list[int], labels: list[int]) -> list[tuple[int, int]]:
+    """Spanning links among similar pairs of different labels; with two sides, of pairs from different sides only (each side alone is another task's work)."""
+    sets, out, tried = Sets(len(ids)), [], set()
     two = len(set(side)) > 1
-
-    def visit(i: int, j: int) -> None:
-        if sets.find(i) != sets.find(j) and similar(units[i], units[j]):
-            sets.join(i, j)
-            out.append((ids[i], ids[j]))
-
-    if n <= 48:
-        for i in range(n):
-            for j in range(i):
-                if not two or side[i] != side[j]:
-                    visit(i, j)
-        return out
-    names = np.stack([dart_signature(u) for u in units])
-    names = (names ^ (names >> U(32))).astype(np.uint32).astype(np.int32)
-    a = np.array([x for x in range(n) if not two or side[x] == side[0]])
-    b = np.array([x for x in range(n) if side[x] != side[0]]) if two else a
-    for i, j in promising(names[a], names[b]):
-        for x, y in zip(a[i].tolist(), b[j].tolist(), strict=True):
-            if x < y or two:
-                visit(x, y)
+    first: dict[int, int] = {}
+    for i, x in enumerate(labels):
+        sets.join(first.setdefault(x, i), i)
+    for group in meeting(units):
+        group = group.tolist()
+        roots = [sets.find(i) for i in group]
+        if min(roots) == max(roots):
+            continue
+        for at, i in enumerate(group):
+            for j in group[:at]:
+                if (two and side[i] == side[j]) or (j, i) in tried or sets.find(i) == sets.find(j):
+                    continue
+                tried.add((j, i))
+                if similar(units[i], units[j]):
+                    sets.join(i, j)
+                    out.append((ids[i], ids[j]))
     return out
 
 
@@ -192,112 +199,193 @@ def signed(docs: DataFrame) -> DataFrame:
     """id, digest, number of shingles and band keys of every row; no keys where a text has no words."""
 
     def run(batches):
+        known: dict[str, tuple[int, list[int]]] = {}
         for b in batches:
             keys, sizes = [], []
-            for t in b.column(2).to_pylist():
-                u = regions(t)
-                sizes.append(len(u))
-                keys.append(band_keys(dart_signature(u)).tolist() if len(u) else [])
+            for d, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                found = known.get(d)
+                if found is None:
+                    u = regions(t)
+                    if len(known) >= SIGNED:
+                        known.clear()
+                    found = known[d] = (len(u), band_keys(dart_signature(u)).tolist() if len(u) else [])
+                sizes.append(found[0])
+                keys.append(found[1])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "size", "bands"])
 
     return docs.mapInArrow(run, "id bigint, digest string, size bigint, bands array<bigint>")
 
 
-def inside_groups(members: DataFrame) -> DataFrame:
-    """Verified links a, b of candidate groups. members: id, grp, blocks, block, text."""
+def shingled(rows: DataFrame) -> DataFrame:
+    """node and its sorted units as bytes. rows: node, text."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([regions(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "units"])
+
+    return rows.select("node", "text").mapInArrow(run, "node bigint, units binary")
+
+
+def links_batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+
+def verified(links: DataFrame, held: DataFrame) -> DataFrame:
+    """The links a, b whose texts are similar. A ``b`` with many links is dealt to tasks of ``STAR`` at most; each holds it and streams the others."""
+
+    def run(batches):
+        key, one = None, None
+        for b in batches:
+            out = []
+            for center, part, a, units in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                u = np.frombuffer(units, U)
+                if (center, part) != key:
+                    key, one = (center, part), u  # the center itself comes first
+                elif similar(u, one):
+                    out.append((a, center))
+            yield links_batch(out)
+
+    centers = links.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
+    around = links.join(rekeyed(centers, "b"), "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a")
+    around = around.join(held.withColumnRenamed("node", "a"), "a").select("b", "part", "a", "units")
+    middle = centers.join(held.withColumnRenamed("node", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("a"), "units")
+    return stored(around.unionByName(middle).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first()).mapInArrow(run, "a bigint, b bigint"))
+
+
+def inside_buckets(members: DataFrame, held: DataFrame) -> DataFrame:
+    """Verified links a, b inside buckets. members: node, label, grp, blocks, block; texts of equal labels are connected already."""
     pairs = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("block")) * F.col("blocks") + F.greatest(o, F.col("block")))
     )
 
-    def shingle(batches):
-        for b in batches:
-            units = [regions(t).tobytes() for t in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(units, pa.binary()), b.column(5)], names=["id", "grp", "blocks", "block", "units", "pairs"])
-
-    def verify(batches):
-        key, held = None, ([], [], [])
+    def run(batches):
+        key, kept = None, ([], [], [], [])
 
         def done():
-            found = linked(*held) if len(held[0]) > 1 else []
-            for part in held:
+            found = linked(*kept) if len(kept[0]) > 1 else []
+            for part in kept:
                 part.clear()
             return found
 
         for b in batches:
             out = []
-            for i, g, p, side, u in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for g, p, side, i, label, u in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (g, p) != key:
                     out += done()
                     key = (g, p)
-                held[0].append(i)
-                held[1].append(np.frombuffer(u, U))
-                held[2].append(side)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-        out = done()
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+                for part, x in zip(kept, (i, np.frombuffer(u, U), side, label), strict=True):
+                    part.append(x)
+            yield links_batch(out)
+        yield links_batch(done())
 
     # side 0 and 1 of a pair of two blocks; both 0 where a block meets itself
     low, high = F.floor(F.col("pair") / F.col("blocks")), F.col("pair") % F.col("blocks")
     side = F.when((low < high) & (high == F.col("block")), 1).otherwise(0)
-    units = members.select("id", "grp", "blocks", "block", "text", pairs.alias("pairs")).mapInArrow(shingle, "id bigint, grp bigint, blocks int, block int, units binary, pairs array<int>")
     dealt = (
-        units.select("id", "grp", "blocks", "block", "units", F.explode("pairs").alias("pair"))
-        .select("id", "grp", "pair", side.alias("side"), "units")
-        .repartition("grp", "pair").sortWithinPartitions("grp", "pair", "side", "id")
+        members.withColumn("pair", F.explode(pairs)).select("grp", "pair", side.alias("side"), "node", "label")
+        .join(held, "node").select("grp", "pair", "side", "node", "label", "units")
+        .repartition("grp", "pair").sortWithinPartitions("grp", "pair", "side", "node")
     )
-    return dealt.mapInArrow(verify, "a bigint, b bigint")
+    return stored(dealt.mapInArrow(run, "a bigint, b bigint"))
 
 
-def likely(rows: DataFrame, near: DataFrame) -> DataFrame:
-    """The rows whose id may be a node of ``near``, and few others: no row that is one is left out."""
-    n = near.count()
+def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose digest may be in ``wanted``, and few others: no row that is in it is left out."""
+    n = wanted.count()
     fits = min(n, int(FILTER_BITS / filter_bits(1 << 20, FILTER_RATE) * (1 << 20)))
-    return rows.filter(build_level(near.select(F.col("node").alias("key")), fits, FILTER_RATE, 1).lets_through(F.col("id"))) if n else rows.limit(0)
+    return rows.filter(build_level(wanted.select(F.col("digest").alias("key")), fits, FILTER_RATE, 1).lets_through(F.col("digest"))) if n else rows.limit(0)
+
+
+def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with ``label``: the root of their node, itself if it has no links."""
+    return rows.join(rekeyed(roots, "node").withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def similar_roots(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, root by verified links that connect all similar pairs which share a band. texts: node, digest, size, bands; rows: digest, text."""
+    banded = texts.select("node", F.explode("bands").alias("band"))
+    least = banded.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    crowded = stored(banded.join(rekeyed(least, "band"), "band").select("node", "band", "first"))
+    wanted = stored(texts.select("node", "digest").join(crowded.select("node").distinct(), "node"))
+    one = likely(rows, wanted).join(wanted, "digest").dropDuplicates(["node"])
+    held = stored(shingled(one))
+    links = verified(crowded.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), held)
+    roots = stored(components(links))
+    # buckets in several components: members that the first text's component leaves out
+    labelled = rooted(crowded, roots)
+    torn = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("node") == F.col("first"), F.col("label"))).alias("of_first")).filter("low <> high").select("band", "of_first")
+    rest = stored(labelled.join(rekeyed(torn, "band"), "band").filter("node <> first"))
+    second = rest.filter("label <> of_first").groupBy("band").agg(F.min("node").alias("second"))
+    rest = rest.drop("label", "of_first").join(rekeyed(second, "band"), "band").filter("node <> second")
+    if not rest.limit(1).count():
+        return roots
+    more = verified(rest.select(F.col("node").alias("a"), F.col("second").alias("b")).distinct(), held)
+    if more.count():
+        links = links.union(more)
+        roots = stored(components(links))
+    # what is apart still
+    labelled = stored(rooted(rest.select("node", "band"), roots).join(texts.select("node", "size"), "node"))
+    torn = (
+        labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("units"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
+        .filter("low <> high").groupBy("n", "units", "who").agg(F.min("band").alias("band"))  # the same texts in several buckets are one group
+    )
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("units") / BLOCK_SHINGLES)).cast("int")
+    groups = torn.select("band", blocks.alias("blocks"))
+    members = stored(labelled.join(rekeyed(groups, "band"), "band").select("node", "label", F.col("band").alias("grp"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    if not members.count():
+        return roots
+    more = inside_buckets(members, held)
+    return stored(components(links.union(more))) if more.count() else roots
+
+
+def class_rows(docs: DataFrame) -> DataFrame:
+    """id, digest, class_id, n_copies, chosen of every row: chosen is whether the text stands for a class without any id."""
+    integer_ids(docs)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.md5(text).alias("digest"), text.alias("text"))
+    signs = stored(signed(rows))
+    # copies meet by partial aggregates; band keys are the same for all of them
+    texts = stored(
+        signs.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n_copies"), F.min("bands").alias("bands"), F.min("size").alias("size"))
+        .withColumn("node", F.monotonically_increasing_id())
+    )
+    placed = rooted(texts.select("node", "digest", "least", "n_copies"), similar_roots(texts, rows.select("digest", "text")))
+    placed = stored(placed)
+    names = placed.groupBy("label").agg(F.min("least").alias("class_id"))
+    named = placed.join(rekeyed(names, "label"), "label").select("digest", "class_id", "n_copies", (F.col("class_id").isNull() & (F.col("node") == F.col("label"))).alias("chosen"))
+    return one_class_each(stored(signs.select("id", "digest").join(rekeyed(named, "digest"), "digest").select("id", "digest", "class_id", "n_copies", "chosen")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (least doc_id of its class), n_copies (rows of the same text, this one included) of every row."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    # copies meet by partial aggregates; band keys are the same for all of them
-    texts = checkpointed(signed(rows).groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_copies"), F.min("bands").alias("bands"), F.min("size").alias("size")))
-    banded = texts.select("id", F.explode("bands").alias("band"))
-    least = banded.groupBy("band").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    near = components(banded.join(least, "band").filter("id <> first").select("id", "first").distinct())
-    near = checkpointed(near)
-    sized = texts.select("id", "digest", "size").join(near.withColumnRenamed("node", "id"), "id")
-    groups = sized.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("units"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("units") / BLOCK_SHINGLES)).cast("int")
-    members = (
-        sized.join(groups, "root")
-        .select("id", "digest", F.col("root").alias("grp"), blocks.alias("blocks"), F.pmod(F.xxhash64("digest"), blocks).cast("int").alias("block"))
-    )
-    found = inside_groups(likely(rows, near).join(members, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("id", "grp", "blocks", "block", "text"))
-    classes = components(found)
-    named = texts.select("digest", "id", "n_copies").join(classes.withColumnRenamed("node", "id"), "id", "left")
-    named = named.select("digest", F.coalesce("root", "id").alias("class_id"), "n_copies")
-    known = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias("doc_id" if c == "id" else c)
-    placed = one_class_each(checkpointed(rows.select("id", "digest").join(named, "digest").select("id", "class_id", "n_copies")))
-    return placed.select(known("id"), known("class_id"), "n_copies")
+    return class_rows(docs).select(F.col("id").alias("doc_id"), "class_id", "n_copies")
 
 
 def one_class_each(placed: DataFrame) -> DataFrame:
     """Classes that share a doc_id (its rows have different texts) become one; nothing is done where there are none."""
-    torn = checkpointed(placed.groupBy("id").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("low <> high"))
+    torn = stored(placed.filter("id is not null").groupBy("id").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("low <> high"))
     if not torn.count():
         return placed
     merged = components(placed.join(rekeyed(torn, "id"), "id").select("class_id", "low").distinct())
-    moved = placed.join(merged.withColumnRenamed("node", "class_id"), "class_id", "left")
-    return moved.select("id", F.coalesce("root", "class_id").alias("class_id"), "n_copies")
+    moved = placed.join(rekeyed(merged.withColumnRenamed("node", "class_id"), "class_id"), "class_id", "left")
+    return moved.withColumn("class_id", F.coalesce("root", "class_id")).select(*placed.columns)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their class, one row per doc_id."""
-    classes = checkpointed(near_duplicates(docs).select("doc_id", "class_id"))
-    gone = classes.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("i"))
-    kept = rows.join(gone, F.col("i").eqNullSafe(F.col("gone")), "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
-    stay = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return kept.dropDuplicates(["doc_id"]) if stay.filter("n > 1").count() else kept
+    """The rows of ``docs`` whose doc_id names their class, one row per doc_id (of several texts the one of least hash); of a class without any doc_id one row."""
+    classes = stored(class_rows(docs))
+    gone = classes.filter("id <> class_id").select(F.col("id").alias("gone")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("i"), F.md5(F.coalesce("text", F.lit(""))).alias("d"))
+    kept = rows.filter("i is not null").join(gone, F.col("i") == F.col("gone"), "left_anti")
+    several = stored(classes.filter("id = class_id").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("digest")).filter("n > 1"))
+    if several.count():
+        marked = kept.join(rekeyed(several, "id"), F.col("i") == F.col("id"), "left")
+        kept = marked.filter("id is null").select("row").union(marked.filter("d = digest").dropDuplicates(["i"]).select("row"))
+    kept = kept.select("row")
+    nameless = classes.filter("id is null and chosen").select("digest").distinct()
+    if classes.filter("id is null").limit(1).count():
+        kept = kept.union(rows.filter("i is null").join(rekeyed(nameless, "digest"), F.col("d") == F.col("digest")).dropDuplicates(["d"]).select("row"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op8_near_duplicates(spark, sf_dir):

@@ -135,7 +135,43 @@ def test_one_of_each_and_edge_cases(spark, family):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c in want.values()})
     assert near_dup.near_duplicates(docs.limit(0)).count() == near_dup.one_of_each(docs.limit(0)).count() == 0
     odd = near_dup.near_duplicates(frame(spark, [(None, "same text here"), (4, "same text here"), (4, "other"), (9, "other")])).collect()
-    assert {r.class_id for r in odd} == {None}
+    assert {r.class_id for r in odd} == {4}
+
+
+def test_documents_without_ids_are_not_one_document(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(40)) for _ in range(6)]
+    rows = [(None, t) for t in texts] + [(None, texts[0]), (7, texts[1]), (None, None), (None, "")]
+    got = near_dup.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0) for r in got) == sorted((i or 0, 7 if t == texts[1] else 0) for i, t in rows)
+    kept = near_dup.one_of_each(frame(spark, rows)).collect()
+    assert sorted(r.text or "" for r in kept) == sorted(["", *texts])
+    with pytest.raises(TypeError, match="integer id"):
+        near_dup.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_large_groups_are_compared_exactly(spark, monkeypatch):
+    """A chain of near copies of one text, each 0.8 similar to its neighbours only, among texts that share half of it."""
+    monkeypatch.setattr(near_dup, "STAR", 7)
+    rng = random.Random(9)
+    base = [f"v{rng.randrange(5000)}" for _ in range(104)]
+    rows = [(i, " ".join(base[:52] + [f"x{i}.{k}" for k in range(52)])) for i in range(60)]
+    for k in range(70):
+        rows.append((100 + k, " ".join(base)))
+        base[(7 * k) % 104] = f"y{k}"
+    for block in (256, 16):
+        monkeypatch.setattr(near_dup, "BLOCK_TEXTS", block)
+        got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(frame(spark, rows)).collect()}
+        assert got == plain_classes(rows)
+
+
+def test_no_similar_pair_is_missed_inside_a_block():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        base = rng.integers(1, 2**40, rng.integers(5, 60)).astype(np.uint64)
+        units = [np.unique(np.where(rng.random(len(base)) < rng.choice([0.02, 0.1, 0.2]), rng.integers(1, 2**40, len(base)).astype(np.uint64), base)) for _ in range(70)]
+        met = {p for g in near_dup.meeting(units) for p in itertools.combinations(g.tolist(), 2)}
+        assert {(i, j) for i, j in itertools.combinations(range(70), 2) if near_dup.similar(units[i], units[j])} <= met
 
 
 # repeated strings
