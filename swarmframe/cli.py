@@ -5,26 +5,26 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from .operators import graph, partition
+from .plans.lineage import cut
 from .sources import graph_files, partition_files
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("--input", required=True)
-    p.add_argument("--output", required=True)
-    p.add_argument("--method", choices=sorted(partition.METHODS), default="balanced")
-    p.add_argument("--workers", type=int, required=True)
-    p.add_argument("--format", choices=["auto", "pickle", "json", "npy", "text"], default="auto")
+    p.add_argument("-i", "--input", required=True)
+    p.add_argument("-o", "--output", required=True)
+    p.add_argument("-m", "--method", choices=sorted(partition.METHODS), default="balanced")
+    p.add_argument("-w", "--workers", type=int, required=True)
+    p.add_argument("-f", "--format", choices=["auto", "pickle", "json", "numpy", "npy", "text"], default="auto")
     p.add_argument("--seed", type=int, default=42)
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    edges = graph.connect(graph_files.read(spark, a.input))
-    agents = edges.select(F.col("src").alias("agent_id")).distinct()
-    found = partition.METHODS[a.method](agents, edges, a.workers, a.seed)
-    graph.analyze(edges, found, default=None).show(truncate=False)
+    agents, links = graph_files.read_graph(spark, a.input)
+    agents, edges = cut(agents.select("agent_id")), cut(graph.connect(links))
+    found = cut(partition.METHODS[a.method](agents, edges, a.workers, a.seed))
+    graph.analyze(edges, found, default=None, workers=a.workers).show(truncate=False)
     partition_files.save(found, a.output, a.format, missing=0)
 
 

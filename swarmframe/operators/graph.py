@@ -80,10 +80,10 @@ def communication_volume(edges: DataFrame, partition: DataFrame) -> DataFrame:
     return ghosts(edges, partition).groupBy("rank", "owner").agg(F.count(F.lit(1)).alias("n_agents"))
 
 
-def balance(partition: DataFrame) -> DataFrame:
-    """One row: n_ranks, least, most and mean agents of a rank, imbalance = (most - least) / mean."""
+def balance(partition: DataFrame, workers: int | None = None) -> DataFrame:
+    """One row: n_ranks, least and most agents of a rank that occurs, mean agents of all ``workers`` (of those that occur, if not given), imbalance = (most - least) / mean."""
     n = partition.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
-    one = n.agg(F.count(F.lit(1)).alias("n_ranks"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"))
+    one = n.agg(F.count(F.lit(1)).alias("n_ranks"), F.min("n").alias("least"), F.max("n").alias("most"), (F.avg("n") if workers is None else F.sum("n") / F.lit(workers)).alias("mean"))
     return one.withColumn("imbalance", (F.col("most") - F.col("least")) / F.col("mean"))
 
 
@@ -99,8 +99,8 @@ def edge_cut(edges: DataFrame, partition: DataFrame, default: int | None = -1) -
     return one.withColumn("cut_ratio", F.when(F.col("n_edges") > 0, F.col("n_cut") / F.col("n_edges")).otherwise(F.lit(0.0))).withColumn("quality", cut_quality(F.col("cut_ratio")))
 
 
-def analyze(edges: DataFrame, partition: DataFrame, default: int | None = -1) -> DataFrame:
+def analyze(edges: DataFrame, partition: DataFrame, default: int | None = -1, workers: int | None = None) -> DataFrame:
     """Balance and cut of a partition, and the mean number of neighbours, as one row."""
     n = partition.agg(F.count(F.lit(1)).alias("n_agents"))
-    both = balance(partition).withColumn("__k", F.lit(1)).join(edge_cut(edges, partition, default).withColumn("__k", F.lit(1)), "__k").join(n.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    both = balance(partition, workers).withColumn("__k", F.lit(1)).join(edge_cut(edges, partition, default).withColumn("__k", F.lit(1)), "__k").join(n.withColumn("__k", F.lit(1)), "__k").drop("__k")
     return both.withColumn("mean_neighbors", F.col("n_edges") / F.col("n_agents"))

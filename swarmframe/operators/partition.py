@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from ..functions import rng
 from ..plans.lineage import cut
 from .graph import prefix_sums
 
-#: Communities are packed on the driver up to this number; beyond it, by the hash of their label.
-MAX_PACKED = 1_000_000
+#: So many of the largest communities are placed one by one, on the driver; the others fill the room that is left, end to end.
+PLACED = 10_000
 
 
 def round_robin(agents: DataFrame, workers: int) -> DataFrame:
@@ -45,20 +46,35 @@ def label_propagation(agents: DataFrame, edges: DataFrame, rounds: int = 8, max_
 
 
 def pack(communities: DataFrame, workers: int) -> DataFrame:
-    """agent_id, rank: communities by size, each to the least loaded rank (the lowest of ties)."""
-    sizes = communities.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
-    if sizes.count() > MAX_PACKED:
-        return communities.select("agent_id", F.pmod(F.xxhash64("community"), F.lit(workers)).cast("int").alias("rank"))
-    loads = [(0, w) for w in range(workers)]
-    rows = []
-    for community, n in sizes.orderBy(F.desc("n"), "community").collect():
+    """agent_id, rank: the largest communities by size, each to the least loaded rank (the lowest of ties); then the rest, laid end to end
+    in the order of their labels, up to one common level. Ranks differ by less than two of the rest's largest, or as placing the largest leaves them."""
+    sizes = cut(communities.groupBy("community").agg(F.count(F.lit(1)).alias("n")))
+    loads, rows = [(0, w) for w in range(workers)], []
+    for community, n in sizes.orderBy(F.desc("n"), "community").limit(PLACED).collect():
         load, w = heapq.heappop(loads)
         rows.append((community, w))
         heapq.heappush(loads, (load + n, w))
     placed = communities.sparkSession.createDataFrame(rows, "community bigint, rank int")
+    rest = sizes.join(F.broadcast(placed), "community", "left_anti")
+    left = rest.agg(F.sum("n")).head()[0]
+    if left:
+        upto = [0, *itertools.accumulate(room_up_to_a_level([load for load, _ in sorted(loads, key=lambda x: x[1])], left))]
+        spread = prefix_sums(rest, "community", "n", "before")
+        middle = F.col("before") + F.col("n") / 2
+        placed = placed.union(spread.select("community", (F.size(F.filter(F.array(*[F.lit(float(x)) for x in upto[1:-1]]), lambda x: x <= middle)) if workers > 1 else F.lit(0)).cast("int")))
     return communities.join(placed, "community").select("agent_id", "rank")
 
 
+def room_up_to_a_level(loads: list[int], extra: int) -> list[float]:
+    """What each rank takes of ``extra`` so that those that take any end at one level."""
+    for k in range(len(loads), 0, -1):
+        lowest = sorted(loads)[:k]
+        level = (sum(lowest) + extra) / k
+        if level >= lowest[-1]:
+            break
+    return [max(0.0, level - x) for x in loads]
+
+
 def by_communities(agents: DataFrame, edges: DataFrame, workers: int, rounds: int = 8) -> DataFrame:
     _checked(workers)
     return pack(label_propagation(agents, edges, rounds), workers)
@@ -87,3 +103,4 @@ def _checked(workers: int) -> None:
 
 
 METHODS = {"round_robin": lambda a, e, w, s: round_robin(a, w), "random": lambda a, e, w, s: random(a, w, s), "communities": lambda a, e, w, s: by_communities(a, e, w), "balanced": lambda a, e, w, s: balanced(a, e, w)}
+METHODS |= {"roundrobin": METHODS["round_robin"], "community": METHODS["communities"], "metis": METHODS["balanced"]}

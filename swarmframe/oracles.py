@@ -31,7 +31,6 @@ CHAIN = "edges AS (SELECT n_nationkey::BIGINT AS src, n_nationkey::BIGINT + 1 AS
 NATIONS = "t0 AS (SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey = 0 THEN 2 ELSE 1 END::BIGINT AS state FROM nation)"
 RING = "ring AS (SELECT c_custkey AS src, (c_custkey + d) % (SELECT count(*) FROM customer) AS dst FROM customer, (VALUES (1), (2)) v(d)), edges AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM ring UNION ALL SELECT dst, src FROM ring))"
 TRADE = f"links AS (SELECT DISTINCT o_custkey AS src, l_suppkey + {SUPPLIER_BASE} AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
-TRADE10 = TRADE.replace("l_orderkey = o_orderkey", "l_orderkey = o_orderkey WHERE l_orderkey % 10 = 0") + ", edges AS (SELECT src, dst FROM links UNION ALL SELECT dst, src FROM links)"
 TRADE_BOTH = TRADE + ", edges AS (SELECT src, dst FROM links UNION ALL SELECT dst, src FROM links)"
 
 
@@ -89,13 +88,13 @@ def oracle_sql() -> dict[str, str]:
         "sir_chain_philox": f"WITH {CHAIN}, {NATIONS}, {sir_ticks(5, 0.8, 0.3, 999)} SELECT id AS agent_id, state FROM t5",
         "stale_ghost_sync2": stale_sir(),
         **{
-            name: f"WITH {links}, t0 AS (SELECT c_custkey AS id, 0 AS breed, CASE WHEN c_custkey % 100 = 0 THEN 2 ELSE 1 END::BIGINT AS state FROM customer UNION ALL SELECT s_suppkey + {SUPPLIER_BASE}, 1, 1 FROM supplier), {sir_ticks(n, 0.3, 0.2, 42, ', breed')} {select}"
+            name: f"WITH {TRADE_BOTH}, t0 AS (SELECT c_custkey AS id, 0 AS breed, CASE WHEN c_custkey % 100 = 0 THEN 2 ELSE 1 END::BIGINT AS state FROM customer UNION ALL SELECT s_suppkey + {SUPPLIER_BASE}, 1, 1 FROM supplier), {sir_ticks(n, p, 0.2, 42, ', breed')} {select}"
             for names, n, select in (
                 (("sir_two_breed_bipartite", "sir_trade_network"), 3, "SELECT id AS agent_id, breed, state FROM t3"),
                 (("state_histogram", "trade_histogram"), 2, "SELECT breed, state, count(*) AS n FROM t2 GROUP BY breed, state"),
                 (("breed_data", "trade_breed_data"), 1, "SELECT id AS agent_id, state FROM t1 WHERE breed = 1"),
             )
-            for name, links in zip(names, (TRADE10, TRADE_BOTH), strict=True)
+            for name, p in zip(names, (0.05, 0.3), strict=True)
         },
         "sir_vector_safety": "WITH v AS (SELECT vec_id AS id, list_sum(list_transform(embedding, lambda x: round(abs(x::DOUBLE) * 1000)))::DOUBLE AS total, len(embedding)::DOUBLE AS n FROM embeddings), c AS (SELECT count(*) AS m FROM v), one AS (SELECT id AS src, (id + 1) % m AS dst FROM v, c), e AS (SELECT src, dst FROM one UNION SELECT dst, src FROM one) SELECT a.id AS agent_id, round(max(a.total * b.total / (a.n * a.n)), 3) AS safety FROM v a JOIN e ON a.id = src JOIN v b ON b.id = dst GROUP BY a.id",
         "hierarchy_si_one_hop": f"WITH {HIERARCHY}, h AS (SELECT src, max(CASE WHEN state = 2 THEN 1 ELSE 0 END) AS hit FROM edges JOIN t0 ON dst = id GROUP BY src) SELECT id AS agent_id, CASE WHEN state = 1 AND hit = 1 THEN 2 ELSE state END::BIGINT AS state, 0::BIGINT AS dummy FROM t0 LEFT JOIN h ON src = id",
@@ -105,6 +104,12 @@ def oracle_sql() -> dict[str, str]:
             for k in range(2)
         )
         + " SELECT id AS agent_id, state, 2::BIGINT AS dummy FROM t2",
+        "skipped_barriers": f"WITH {HIERARCHY}, "
+        + ", ".join(
+            f"h{k} AS (SELECT src, max(CASE WHEN state = 2 THEN 1 ELSE 0 END) AS hit FROM edges JOIN t{k} ON dst = id GROUP BY src), t{k + 1} AS (SELECT id, CASE WHEN state = 2 THEN 3 WHEN state = 1 AND hit = 1 THEN 2 ELSE state END::BIGINT AS state FROM t{k} LEFT JOIN h{k} ON src = id)"
+            for k in range(2)
+        )
+        + " SELECT id AS agent_id, state, 2::BIGINT AS dummy FROM t2",
         "priority_buffered": CUSTOMER_COUNTERS.format(counter=10, result=0),
         "priority_in_place": CUSTOMER_COUNTERS.format(counter=10, result=20),
         "priority_last_writer": CUSTOMER_COUNTERS.format(counter="(CASE WHEN c_custkey % 3 = 0 THEN 20 ELSE 10 END)", result=0),
@@ -128,7 +133,31 @@ def oracle_sql() -> dict[str, str]:
         "breed_ranges": "WITH n AS (SELECT c_nationkey AS breed, count(*) AS n FROM customer GROUP BY 1) SELECT breed, (sum(n) OVER (ORDER BY breed) - n)::BIGINT AS start, n FROM n",
         "rank_counts": "SELECT (c_custkey % 4)::INTEGER AS rank, c_nationkey AS breed, count(*) AS n FROM customer GROUP BY 1, 2",
         "widest_arrays": "SELECT max(len(embedding))::BIGINT AS embedding FROM embeddings",
-        "community_packing": "SELECT count(*) AS agents, true AS even FROM customer",
+        "community_packing": "WITH RECURSIVE n AS (SELECT c_nationkey AS g, count(*) AS n FROM customer GROUP BY 1), o AS (SELECT n, row_number() OVER (ORDER BY n DESC, g) AS k FROM n), "
+        "p AS (SELECT 0::BIGINT AS k, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c UNION ALL SELECT o.k, CASE WHEN a <= b AND a <= c THEN a + n ELSE a END, CASE WHEN NOT (a <= b AND a <= c) AND b <= c THEN b + n ELSE b END, CASE WHEN NOT (a <= b AND a <= c) AND NOT b <= c THEN c + n ELSE c END FROM p JOIN o ON o.k = p.k + 1), "
+        "l AS (SELECT * FROM p ORDER BY k DESC LIMIT 1) SELECT 0 AS rank, a AS n FROM l UNION ALL SELECT 1, b FROM l UNION ALL SELECT 2, c FROM l",
+        "partition_precedence": "WITH g AS (SELECT c_custkey AS id, CASE WHEN c_custkey = 1 THEN 3 WHEN c_custkey > 1 AND c_custkey % 3 = 0 THEN c_custkey % 2 WHEN c_custkey % 5 = 1 THEN 2 END AS r FROM customer), "
+        "t AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) % 4 AS r FROM g WHERE r IS NULL) SELECT g.id AS agent_id, coalesce(g.r, t.r)::INTEGER AS rank FROM g LEFT JOIN t USING (id)",
+        "partition_from_file": "SELECT c_custkey AS agent_id, (c_custkey // 7 % 4)::INTEGER AS rank FROM customer",
+        "agents_added_later": f"SELECT c_custkey AS agent_id, 3::BIGINT AS counter, 2::BIGINT AS result FROM customer UNION ALL SELECT s_suppkey + {SUPPLIER_BASE}, 1, 2 FROM supplier",
+        "clock_reset": CUSTOMER_COUNTERS.format(counter=5, result=1),
+        "saved_and_loaded": f"{wave(2, False)} SELECT id AS agent_id, state FROM t2",
+        "dangling_neighbors": "WITH p AS (SELECT c_custkey AS id, c_custkey % 11 AS points FROM customer) SELECT a.id AS agent_id, count(b.id) AS n, coalesce(max(b.points), -1)::BIGINT AS most, coalesce(avg(b.points), -1)::DOUBLE AS mean, coalesce(min(CASE WHEN b.points % 2 = 0 THEN 1 WHEN b.id IS NOT NULL THEN 0 END), 1)::BIGINT AS even FROM p a LEFT JOIN p b ON b.id = a.id + 1 GROUP BY a.id",
+        "own_array_in_folds": f"WITH {RING} SELECT src AS agent_id, sum(CASE WHEN dst % 11 > src % 11 THEN 1 ELSE 0 END)::BIGINT AS n FROM edges GROUP BY src",
+        "breed_agent_ids": f"SELECT s_suppkey + {SUPPLIER_BASE} AS agent_id FROM supplier",
+        "property_read": "SELECT v.id::BIGINT AS agent_id, (c_custkey * 3)::BIGINT AS state FROM (VALUES (2), (17), (-4)) v(id) LEFT JOIN customer ON c_custkey = v.id",
+        "agents_with_python_predicate": "SELECT c_custkey AS agent_id, c_custkey % 5 AS state FROM customer WHERE c_custkey % 5 = 3 AND c_custkey > 10",
+        "breed_order": "SELECT c_custkey AS agent_id, c_nationkey AS breed, row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1 AS place FROM customer",
+        "padded_arrays": "SELECT c_custkey AS agent_id, 6::BIGINT AS width, (5 - c_custkey % 4)::BIGINT AS padded, ((c_custkey % 4) * (c_custkey % 4 + 1) / 2)::DOUBLE AS total FROM customer",
+        "scalar_functions_nan": "WITH b AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS b FROM customer) SELECT id AS agent_id, CASE WHEN b IS NOT NULL THEN greatest(0.0::DOUBLE, least(5000.0::DOUBLE, b)) END AS clamped, CASE WHEN abs(b) > 1e-30 THEN 1.0::DOUBLE / b ELSE -1.0::DOUBLE END AS ratio, b + 0.25::DOUBLE * (100.0::DOUBLE - b) AS mixed, CASE WHEN b >= 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS step FROM b",
+        "partition_balanced": "WITH t AS (SELECT count(*) AS n FROM customer), p AS (SELECT unnest(range(0, (SELECT n FROM t))) AS place) SELECT (place * 4 // (SELECT n FROM t))::INTEGER AS rank, count(*) AS n FROM p GROUP BY 1",
+        "small_world": f"WITH c AS (SELECT count(*) AS n FROM customer), r AS (SELECT src, (src + d) % n AS dst, n FROM c, (SELECT unnest(range(0, (SELECT n FROM c))) AS src), (VALUES (1), (2)) v(d)), l AS (SELECT *, src * (n + 1) + dst AS link FROM r WHERE src <> dst), "
+        f"m AS (SELECT src, dst, floor({philox(42, 0, 'link', 2)} * n)::BIGINT AS target, {philox(42, 0, 'link', 1)} AS u FROM l), o AS (SELECT src, CASE WHEN u < 0.1::DOUBLE AND target <> src THEN target ELSE dst END AS dst FROM m) SELECT src, dst, 0::BIGINT AS pos FROM (SELECT src, dst FROM o UNION SELECT dst, src FROM o)",
+        "clustered_ring": f"WITH k AS (SELECT count(*) // 10 AS per FROM customer), a AS (SELECT src, d, per, 6 AS n, src // per * per AS base, {philox(42, 0, '(src * 6 + d)', 5)} AS u FROM k, (SELECT unnest(range(0, (SELECT per * 10 FROM k))) AS src), (SELECT unnest(range(0, 6)) AS d)), "
+        "i AS (SELECT src, base + (src - base + 1 + floor(d * (per - 1) / 6) + floor(u * (floor((d + 1) * (per - 1) / 6) - floor(d * (per - 1) / 6))))::BIGINT % per AS dst FROM a), "
+        f"w AS (SELECT c, r, x, per, {philox(42, 0, '((c * 2 + r - 1) * 20 + x)', 3)} AS u FROM k, (SELECT unnest(range(0, 10)) AS c), (SELECT unnest(range(1, 3)) AS r), (SELECT unnest(range(0, 20)) AS x)), "
+        "p AS (SELECT c, r, per, (floor(x * per * per / 20) + floor(u * (floor((x + 1) * per * per / 20) - floor(x * per * per / 20))))::BIGINT AS p FROM w), "
+        "o AS (SELECT src, dst FROM i WHERE src < dst UNION SELECT c * per + p // per, (c + r) % 10 * per + p % per FROM p) SELECT src, dst, 0::BIGINT AS pos FROM (SELECT src, dst FROM o UNION SELECT dst, src FROM o)",
         "edges_directed": f"WITH {LINKS} SELECT src, dst, pos FROM one",
         "edges_undirected": f"WITH {BOTH} SELECT src, dst, pos FROM edges",
         "edges_disconnect": f"WITH {BOTH} SELECT src, dst, pos FROM edges e WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.src % 5 = 0 AND ((o.src = e.src AND o.dst = e.dst) OR (o.dst = e.src AND o.src = e.dst)))",
@@ -148,5 +177,6 @@ def oracle_sql() -> dict[str, str]:
         "partition_edge_cut": f"WITH {RING}, {RANKS} SELECT count(*) AS n_edges, sum(CASE WHEN sr <> dr THEN 1 ELSE 0 END)::BIGINT AS n_cut, sum(CASE WHEN sr <> dr THEN 1 ELSE 0 END)::DOUBLE / count(*) AS cut_ratio, CASE WHEN avg(CASE WHEN sr <> dr THEN 1 ELSE 0 END) < 0.1 THEN 'excellent' WHEN avg(CASE WHEN sr <> dr THEN 1 ELSE 0 END) < 0.2 THEN 'good' WHEN avg(CASE WHEN sr <> dr THEN 1 ELSE 0 END) < 0.4 THEN 'fair' ELSE 'poor' END AS quality FROM r",
         "ghost_topology": f"WITH {RING}, {RANKS} SELECT DISTINCT sr AS rank, dst AS agent_id, dr AS owner FROM r WHERE sr <> dr",
         "comm_volume": f"WITH {RING}, {RANKS} SELECT sr AS rank, dr AS owner, count(DISTINCT dst) AS n_agents FROM r WHERE sr <> dr GROUP BY sr, dr",
-        "partition_quality": "SELECT true AS cuts_fewer, true AS is_balanced",
+        "partition_quality": f"WITH {RING}, {RANKS}, n AS (SELECT c_custkey % 4 AS rank, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT count(*) AS n_ranks, min(n) AS least, max(n) AS most, sum(n)::DOUBLE / 5 AS mean, sum(n)::BIGINT AS n_agents FROM n), c AS (SELECT count(*) AS n_edges, count(*) FILTER (sr <> dr) AS n_cut FROM r) "
+        "SELECT n_ranks, least, most, mean, (most - least) / mean AS imbalance, n_edges, n_cut, n_cut::DOUBLE / n_edges AS cut_ratio, CASE WHEN n_cut < 0.1 * n_edges THEN 'excellent' WHEN n_cut < 0.2 * n_edges THEN 'good' WHEN n_cut < 0.4 * n_edges THEN 'fair' ELSE 'poor' END AS quality, n_agents, n_edges::DOUBLE / n_agents AS mean_neighbors FROM b, c",
     }

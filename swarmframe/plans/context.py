@@ -66,7 +66,7 @@ class Context:
     def self(self, name: str) -> Column:
         """The agent's own value: of the tick's start, or the current one if the property is written in place."""
         self._model._known(name)
-        return F.col(name)
+        return F.col(self._model._column(name))
 
     def nbr(self, name: str) -> Column:
         """A neighbour's value, inside a fold."""

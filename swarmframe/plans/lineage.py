@@ -3,15 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder named by ``spark.checkpoint.dir``; a session without one (tests) gets a folder of its own."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's folder for checkpoints, below the one named by ``spark.checkpoint.dir``; a local session without one (tests) gets a folder of its own."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ticks"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ticks"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path there."""
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import prefix_sums
 from .breed import Breed
 from .context import NEIGHBOR, OWN, Context
 from .lineage import cut, cut_in_place
@@ -40,18 +41,19 @@ class Model:
         self._globals: dict[str, float | list[float]] = {}
         self._arrays: dict[str, tuple[Breed, tuple[int, ...], bool]] = {}
         self._rows: list[dict] = []
-        self._count = 0
         self._frames: list[DataFrame] = []
-        self._partition: dict[int, int] | DataFrame | None = None
-        self._round_robin = 0
+        self._sizes: list[int | None] = []
+        self._built, self._turns = (0, 0), 0
+        self._loaded = self._next = 0
+        self._partition: DataFrame | None = None
         self._pending: dict[int, dict[str, object]] = {}
         self._agents: DataFrame | None = None
         self._edges: DataFrame | None = None
         self._edges_version = None
         self._settled = False
-        self._history: list[DataFrame] = []
+        self._history: list[tuple[int, DataFrame]] = []
         self._tracked: list[str] = []
-        self._events: list[DataFrame] = []
+        self._events: list[tuple[int, DataFrame]] = []
         self.post_step: Callable[[Breed, int, DataFrame], DataFrame | None] | None = None
 
     # catalog
@@ -64,7 +66,8 @@ class Model:
 
     @property
     def num_agents(self) -> int:
-        return self._count + sum(f.count() for f in self._frames)
+        self._sizes = [f.count() if n is None else n for n, f in zip(self._sizes, self._frames, strict=True)]
+        return self._loaded + len(self._rows) + sum(self._sizes)
 
     @property
     def properties(self) -> dict[str, object]:
@@ -129,31 +132,32 @@ class Model:
 
     def create_agent_of_breed(self, breed: Breed, add_to_space: bool = True, rank: int | None = None, **values) -> int:
         """One agent; properties that are not given are copies of the defaults, unknown names are ignored. Its rank is the given one, that of the partition, or the next in turn."""
+        if self._frames:
+            raise RuntimeError("single agents without an id come before tables of agents; see create_agent_at_index")
+        return self.create_agent_at_index(self._next, breed, add_to_space, rank, **values)
+
+    def create_agent_at_index(self, agent_id: int, breed: Breed, add_to_space: bool = True, rank: int | None = None, **values) -> int:
+        """One agent of a given id."""
         if breed not in self.breeds:
             raise ValueError(f"breed {breed.name} is not registered")
-        if self._frames:
-            raise RuntimeError("single agents come before tables of agents")
-        n = self._count
-        if rank is None and isinstance(self._partition, dict):
-            rank = self._partition.get(n)
-        if rank is None:
-            rank, self._round_robin = self._round_robin % self.workers, self._round_robin + 1
         row = {name: copy.copy(values.get(name, breed.properties[name].default if name in breed.properties else p.default)) for name, p in self.properties.items()}
-        self._rows.append({"agent_id": n, "logical_id": n, "breed": breed.index, "rank": rank} | row)
-        self._count += 1
+        self._rows.append({"agent_id": agent_id, "logical_id": agent_id, "breed": breed.index, "rank": rank} | row)
+        self._next = max(self._next, agent_id + 1)
         if add_to_space and hasattr(self.space, "add_agent"):
-            self.space.add_agent(n)
-        self._agents = None
-        return n
+            self.space.add_agent(agent_id)
+        return agent_id
 
     create_agent = create_agent_of_breed
 
     def add_agents(self, df: DataFrame, breed: Breed, id_col: str = "agent_id", rank: Column | None = None, **values: Column) -> None:
-        """A table of agents of one breed: ids from a column, properties from columns of the same name or ``values``, defaults for the rest."""
+        """A table of agents of one breed: ids from a column, properties from columns of the same name or ``values``, defaults for the rest.
+
+        Ranks are those given (null: not given), then those of the partition, then the next in turn by id.
+        """
         if breed not in self.breeds:
             raise ValueError(f"breed {breed.name} is not registered")
         ident = F.col(id_col).cast("long")
-        rank = F.pmod(ident, F.lit(self.workers)) if rank is None else rank
+        rank = F.lit(None) if rank is None else rank
         logical = F.col("logical_id").cast("long") if "logical_id" in df.columns else ident
         columns = [ident.alias("agent_id"), logical.alias("logical_id"), F.lit(breed.index).alias("breed"), rank.cast("int").alias("rank")]
         for name, p in self.properties.items():
@@ -161,7 +165,7 @@ class Model:
             value = values[name] if name in values else F.col(name) if name in df.columns else _literal(default)
             columns.append(value.cast(p.type).alias(name))
         self._frames.append(df.select(*columns))
-        self._agents = None
+        self._sizes.append(None)
 
     bulk_register_agents = add_agents
 
@@ -172,11 +176,11 @@ class Model:
         """agent_id to rank from a dict, a table (agent_id, rank) or a file; before agents exist."""
         from ..sources import partition_files
 
-        if self._count or self._frames:
+        if self._loaded or self._rows or self._frames:
             raise RuntimeError("a partition is loaded before agents exist")
-        loaded = source if isinstance(source, (dict, DataFrame)) else partition_files.load(source, format)
+        loaded = source if isinstance(source, (dict, DataFrame)) else partition_files.read(self.spark, source, format)
         partition_files.validate(loaded, self.workers)
-        self._partition = loaded
+        self._partition = partition_files.frame(self.spark, loaded) if isinstance(loaded, dict) else loaded
 
     def set_agent_logical_id(self, agent_id: int, logical_id: int) -> None:
         self._pending.setdefault(agent_id, {})["logical_id"] = int(logical_id)
@@ -185,9 +189,9 @@ class Model:
 
     @property
     def agents(self) -> DataFrame:
-        """The current state of all agents."""
-        if self._agents is None:
-            self._agents = self._build()
+        """The current state of all agents. Agents that were added since it was last looked at join it; the others keep theirs."""
+        if self._agents is None or self._built != (len(self._rows), len(self._frames)):
+            self._agents = self._build(self._agents)
         if self._pending:
             self._agents = self._apply_pending(self._agents)
         return self._agents
@@ -216,23 +220,46 @@ class Model:
             schema = schema.add(name, T._parse_datatype_string(p.type))
         return schema
 
-    def _build(self) -> DataFrame:
-        schema, frames = self._schema(), list(self._frames)
-        if self._rows or not frames:
-            rows = [tuple(_typed(r[f.name], f.dataType) for f in schema) for r in self._rows]
-            frames.insert(0, self.spark.createDataFrame(rows, schema))
-        out = frames[0]
+    def _build(self, state: DataFrame | None) -> DataFrame:
+        """``state`` and the agents that were added to it; all agents if there is none."""
+        schema = self._schema()
+        rows, frames = self._rows[self._built[0] :], self._frames[self._built[1] :]
+        if rows or not (frames or state):
+            frames = [self.spark.createDataFrame([tuple(_typed(r[f.name], f.dataType) for f in schema) for r in rows], schema), *frames]
+        new = frames[0]
         for f in frames[1:]:
-            out = out.unionByName(f)
-        if isinstance(self._partition, DataFrame):
-            given = self._partition.select("agent_id", F.col("rank").cast("int").alias("__rank"))
-            out = out.join(given, "agent_id", "left").withColumn("rank", F.coalesce("__rank", "rank")).drop("__rank").select(*[f.name for f in schema])
+            new = new.unionByName(f)
+        new = self._ranked(new).select(*[f.name for f in schema])
         for name, (breed, shape, _) in self._arrays.items():
-            zeros = F.lit(0.0)
+            zeros, kind = F.lit(0.0), "double"
             for n in reversed(shape):
-                zeros = F.array_repeat(zeros, n)
-            out = out.withColumn(ARRAY + name, F.when(F.col("breed") == breed.index, zeros))
-        return cut(out.repartition(self.num_partitions, "agent_id") if self.num_partitions else out)
+                zeros, kind = F.array_repeat(zeros, n), f"array<{kind}>"
+            zeros = zeros.cast(kind)
+            new = new.withColumn(ARRAY + name, F.when(F.col("breed") == breed.index, zeros))
+        out = new if state is None else state.unionByName(new.select(*state.columns))
+        out = cut(out.repartition(self.num_partitions, "agent_id") if self.num_partitions else out)
+        twice = out.groupBy("agent_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("agent_id").head()
+        if twice:
+            raise ValueError(f"agent {twice[0]} exists twice")
+        self._built = (len(self._rows), len(self._frames))
+        return out
+
+    def _ranked(self, agents: DataFrame) -> DataFrame:
+        """Ranks as given, else of the partition, else in turn among those that have none, by id."""
+        if self._partition is not None:
+            given = self._partition.select("agent_id", F.col("rank").cast("int").alias("__rank"))
+            agents = agents.join(given, "agent_id", "left").withColumn("rank", F.coalesce("rank", "__rank")).drop("__rank")
+        if self.workers == 1:
+            return agents.withColumn("rank", F.coalesce("rank", F.lit(0)))
+        agents = cut(agents)
+        free = agents.filter("rank is null")
+        n = free.count()
+        if n:
+            turn = prefix_sums(free.select("agent_id", F.lit(1).alias("__one")), "agent_id", "__one", "__n")
+            turn = turn.select("agent_id", F.pmod(F.col("__n") + self._turns, F.lit(self.workers)).cast("int").alias("__turn"))
+            agents = agents.join(turn, "agent_id", "left").withColumn("rank", F.coalesce("rank", "__turn")).drop("__turn")
+            self._turns = (self._turns + n) % self.workers
+        return agents
 
     def _apply_pending(self, agents: DataFrame) -> DataFrame:
         pending, self._pending = self._pending, {}
@@ -290,6 +317,14 @@ class Model:
         self.tick, self.is_setup = 0, True
         _ = self.agents, self.edges
 
+    @staticmethod
+    def _append(kept: list[tuple[int, DataFrame]], new: DataFrame) -> None:
+        """Tables of a growing series, merged where two hold as many ticks: their number stays logarithmic."""
+        n = 1
+        while kept and kept[-1][0] == n:
+            new, n = cut(kept.pop()[1].unionByName(new)), 2 * n
+        kept.append((n, new))
+
     def track_history(self, *names: str) -> None:
         """Keep these properties as of each tick's start."""
         for n in names:
@@ -299,8 +334,8 @@ class Model:
     @property
     def history(self) -> DataFrame:
         """tick, agent_id and the tracked properties."""
-        out = self._history[0] if self._history else self.agents.select(F.lit(0).alias("tick"), "agent_id", *self._tracked).limit(0)
-        for h in self._history[1:]:
+        out = self.agents.select(F.lit(0).alias("tick"), "agent_id", *self._tracked).limit(0) if not self._history else self._history[0][1]
+        for _, h in self._history[1:]:
             out = out.unionByName(h)
         return out
 
@@ -308,7 +343,7 @@ class Model:
     def events(self) -> DataFrame | None:
         """What ``post_step`` has returned in all ticks."""
         out = None
-        for e in self._events:
+        for _, e in self._events:
             out = e if out is None else out.unionByName(e)
         return out
 
@@ -336,18 +371,27 @@ class Model:
             sink(self.tick, self.agents)
 
     def timing_stats(self) -> dict[str, float]:
-        """Least, most, mean and standard deviation of the ticks' seconds, and agent-ticks a second."""
+        """Least, most, mean and standard deviation of the ticks' seconds, agent-ticks a second, and the load imbalance of the ranks in percent.
+
+        Ranks are not processes of their own here, so their load is the agents and edges that a tick reads for them: (most - least) / most.
+        """
         t = self.tick_timings
         if not t:
             return {}
         mean = sum(t) / len(t)
-        return {"min": min(t), "max": max(t), "mean": mean, "std": (sum((x - mean) ** 2 for x in t) / len(t)) ** 0.5, "agent_ticks_per_s": self.num_agents / mean}
+        return {"min": min(t), "max": max(t), "mean": mean, "std": (sum((x - mean) ** 2 for x in t) / len(t)) ** 0.5, "agent_ticks_per_s": self.num_agents / mean, "load_imbalance": self._load_imbalance()}
+
+    def _load_imbalance(self) -> float:
+        degree = self.edges.groupBy(F.col("src").alias("agent_id")).agg(F.count(F.lit(1)).alias("n"))
+        load = self.agents.select("agent_id", "rank").join(degree, "agent_id", "left").groupBy("rank").agg(F.sum(1 + F.coalesce("n", F.lit(0))).alias("load"))
+        ranks, least, most = load.agg(F.count(F.lit(1)), F.min("load"), F.max("load")).head()
+        return 100.0 * (most - (least if ranks >= self.workers else 0)) / most if most else 0.0
 
     def reset(self, to_initial: bool = False) -> None:
         """The clock restarts; values stay, or are built anew."""
         self.tick = 0
         if to_initial:
-            self._agents, self._history, self._events = None, [], []
+            self._agents, self._history, self._events, self._built, self._turns = None, [], [], (0, 0), 0
 
     def _plan(self) -> list[list[tuple[Breed, int, Context, dict, list]]]:
         """Steps in order of priority, in stages that share one join with the neighbours."""
@@ -374,7 +418,7 @@ class Model:
                         raise ValueError(f"no property {n}")
                 mine = folds[at:]
                 group.append((b, priority, ctx, writes, mine))
-            if any(c.read_of_neighbors & written or (c.messages and c.read_of_own & written) for _, _, c, _, _ in group):
+            if any((c.read_of_neighbors | c.read_of_own) & written for _, _, c, _, _ in group):
                 stages.append([])
                 written = set()
             stages[-1] += group
@@ -384,7 +428,7 @@ class Model:
     def _one_tick(self, ghosts: DataFrame | None) -> None:
         state = self.agents
         if self._tracked:
-            self._history.append(state.select(F.lit(self.tick).alias("tick"), "agent_id", *self._tracked))
+            self._append(self._history, state.select(F.lit(self.tick).alias("tick"), "agent_id", *self._tracked))
         columns, in_place = state.columns, self.in_place
         frame = state
         for stage in self._plan():
@@ -411,7 +455,7 @@ class Model:
             breeds = {s[0].index for s in stage if s[4]}
             if own or needs_rank or len(breeds) < len(self.breeds):
                 mine = frame.filter(F.col("breed").isin(*breeds)) if len(breeds) < len(self.breeds) else frame
-                edges = edges.join(mine.select(F.col("agent_id").alias("src"), F.col("rank").alias("src_rank"), *[F.col(c).alias(OWN + c) for c in own]), "src")
+                edges = edges.join(mine.select(F.col("agent_id").alias("src"), F.col("rank").alias("src_rank"), *[F.col(self._column(c)).alias(OWN + c) for c in own]), "src")
             seen = frame.select(F.col("agent_id").alias("dst"), F.col("rank").alias("dst_rank"), *[F.col(self._column(c)).alias(NEIGHBOR + c) for c in wanted])
             if needs_rank:
                 old = ghosts.select(F.col("agent_id").alias("dst"), *[F.col(self._column(c)).alias(GHOST + c) for c in wanted])
@@ -426,7 +470,7 @@ class Model:
             frame = frame.join(found, "agent_id", "left")
         for k, (b, _, ctx, _, _) in enumerate(stage):
             if ctx.messages:
-                sender = frame.filter(F.col("breed") == b.index).select(F.col("agent_id").alias("src"), *[F.col(c).alias(OWN + c) for c in sorted(ctx.read_of_own)])
+                sender = frame.filter(F.col("breed") == b.index).select(F.col("agent_id").alias("src"), *[F.col(self._column(c)).alias(OWN + c) for c in sorted(ctx.read_of_own)])
                 sent = self.edges.join(sender, "src").groupBy("dst").agg(*[combine(value).alias(f"message__{k}__{n}") for n, (value, combine) in ctx.messages.items()])
                 frame = frame.join(sent.withColumnRenamed("dst", "agent_id"), "agent_id", "left")
         return frame
@@ -460,7 +504,7 @@ class Model:
             for b, p, _, _, _ in group:
                 events = self.post_step(b, p, out.filter(F.col("breed") == b.index).withColumn("tick", F.lit(self.tick)))
                 if events is not None:
-                    self._events.append(cut(events))
+                    self._append(self._events, cut(events))
         return out.select(*[c for c in out.columns if not c.startswith("pandas__")])
 
     def _apply_pandas(self, b: Breed, ctx: Context, frame: DataFrame, folds: list) -> DataFrame:
@@ -502,7 +546,8 @@ class Model:
             raise ValueError(f"saved breeds are {meta['breeds']}")
         self.seed, self.tick, self.workers, self._globals = meta["seed"], meta["tick"], meta["workers"], meta["globals"]
         self._agents = cut(self.spark.read.parquet(f"{path}/agents"))
-        self._count, self._rows, self._frames, self._pending = self._agents.count(), [], [], {}
+        self._loaded, self._rows, self._frames, self._sizes, self._built, self._pending = self._agents.count(), [], [], [], (0, 0), {}
+        self._next = (self._agents.agg(F.max("agent_id")).head()[0] or -1) + 1
         space = NetworkSpace()
         space.connect_frame(self.spark.read.parquet(f"{path}/edges"), directed=True)
         self.space, self._edges, self.is_setup = space, None, True
@@ -528,6 +573,6 @@ def _typed(value, kind: T.DataType):
     if isinstance(kind, T.ArrayType):
         return [_typed(v, kind.elementType) for v in value]
     if isinstance(kind, (T.LongType, T.IntegerType)):
-        return int(value)
+        return None if value is None else int(value)
     return float(value) if isinstance(kind, T.DoubleType) else value
 

@@ -28,6 +28,9 @@ class NetworkSpace:
     def add_agent(self, agent_id: int) -> None:
         self._buffer.setdefault(agent_id, {})
 
+    def bulk_add_agents(self, total: int) -> None:
+        """Agents 0 to ``total`` - 1 exist. Nothing is allocated for them: an agent without links has no row."""
+
     def connect_agents(self, a: int, b: int, directed: bool = False) -> None:
         for x, y in ((a, b),) if directed else ((a, b), (b, a)):
             self._buffer.setdefault(x, {}).setdefault(y, self._next)

@@ -9,6 +9,7 @@ from .functions import arrays, math, rng
 from .operators import graph, partition, population
 from .plans.breed import Breed
 from .plans.context import get_neighbor, get_num_neighbors
+from .plans.lineage import scratch
 from .plans.model import Model
 from .plans.space import NetworkSpace
 from .sources import generators, tables
@@ -83,8 +84,8 @@ def stale_ghost_sync2(spark, sf_dir):
     return sir_chain(spark, sf_dir, 1.0, 1.0, SEED, 4, workers=4, every=2)
 
 
-def trade_model(spark, sf_dir, every=10, base=tables.SUPPLIER_BASE, ticks=3):
-    buyers, sellers, links = tables.trade_network(spark, sf_dir, every, base)
+def trade_model(spark, sf_dir, p_infection=0.3, ticks=3, network=None):
+    buyers, sellers, links = network or tables.trade_network(spark, sf_dir)
     space = NetworkSpace()
     m = Model(spark, space)
     breeds = [Breed("customer"), Breed("supplier")]
@@ -93,7 +94,7 @@ def trade_model(spark, sf_dir, every=10, base=tables.SUPPLIER_BASE, ticks=3):
         b.register_step_func(sir)
         m.register_breed(b)
     m.set_seed(SEED)
-    m.register_global_property("p_infection", 0.3)
+    m.register_global_property("p_infection", p_infection)
     m.register_global_property("p_recovery", 0.2)
     m.add_agents(buyers, breeds[0], state=F.when(F.col("agent_id") % 100 == 0, 2).otherwise(1))
     m.add_agents(sellers, breeds[1], state=F.lit(1))
@@ -103,33 +104,36 @@ def trade_model(spark, sf_dir, every=10, base=tables.SUPPLIER_BASE, ticks=3):
 
 
 def sir_trade_network(spark, sf_dir):
-    """SIR on all trade links; the three queries after the next two run the sparse variant, a tenth of the orders."""
-    m, _ = trade_model(spark, sf_dir, every=1)
+    """SIR on all trade links; the three queries after the next two run a slower epidemic on them."""
+    m, _ = trade_model(spark, sf_dir)
     return m.agents.select("agent_id", "breed", "state")
 
 
 def trade_histogram(spark, sf_dir):
-    m, _ = trade_model(spark, sf_dir, every=1, ticks=2)
+    m, _ = trade_model(spark, sf_dir, ticks=2)
     return m.agents.groupBy("breed", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
 def trade_breed_data(spark, sf_dir):
-    m, breeds = trade_model(spark, sf_dir, every=1, ticks=1)
+    m, breeds = trade_model(spark, sf_dir, ticks=1)
     return m.get_breed_data(breeds[1], "state")
 
 
+SLOW = 0.05
+
+
 def sir_two_breed_bipartite(spark, sf_dir):
-    m, _ = trade_model(spark, sf_dir)
+    m, _ = trade_model(spark, sf_dir, SLOW)
     return m.agents.select("agent_id", "breed", "state")
 
 
 def state_histogram(spark, sf_dir):
-    m, _ = trade_model(spark, sf_dir, ticks=2)
+    m, _ = trade_model(spark, sf_dir, SLOW, ticks=2)
     return m.agents.groupBy("breed", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
 def breed_data(spark, sf_dir):
-    m, breeds = trade_model(spark, sf_dir, ticks=1)
+    m, breeds = trade_model(spark, sf_dir, SLOW, ticks=1)
     return m.get_breed_data(breeds[1], "state")
 
 
@@ -375,8 +379,129 @@ def widest_arrays(spark, sf_dir):
 
 
 def community_packing(spark, sf_dir):
-    """Nations as communities, packed by size onto three ranks."""
-    return partition.pack(customers(spark, sf_dir).select("agent_id", F.col("c_nationkey").cast("long").alias("community")), 3).groupBy("rank").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("agents"), (F.max("n") - F.min("n") < F.max("n") / 5).alias("even"))
+    """Nations as communities, packed by size onto three ranks: agents of each."""
+    packed = partition.pack(customers(spark, sf_dir).select("agent_id", F.col("c_nationkey").cast("long").alias("community")), 3)
+    return packed.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+
+
+def partition_precedence(spark, sf_dir):
+    """Ranks of a table of agents: given for some, of a partition for some, in turn for the rest."""
+    agents = customers(spark, sf_dir).select("agent_id")
+    m, breed = Model(spark, workers=4), Breed("agent")
+    breed.register_property("state", 0, sql_type="bigint")
+    m.register_breed(breed)
+    m.load_partition(agents.filter("agent_id % 5 = 1").select("agent_id", F.lit(2).alias("rank")))
+    m.create_agent_of_breed(breed)
+    m.create_agent_of_breed(breed, rank=3)
+    m.add_agents(agents.filter("agent_id > 1"), breed, rank=F.when(F.col("agent_id") % 3 == 0, F.col("agent_id") % 2))
+    return m.agents.select("agent_id", "rank")
+
+
+def partition_from_file(spark, sf_dir):
+    """Ranks of a partition kept as text, read in a distributed way."""
+    agents, path = customers(spark, sf_dir).select("agent_id"), scratch(spark)
+    agents.select(F.concat_ws(" ", "agent_id", F.floor(F.col("agent_id") / 7) % 4).alias("value")).write.text(path)
+    m, breed = Model(spark, workers=4), Breed("agent")
+    m.register_breed(breed)
+    m.load_partition(path, "text")
+    m.add_agents(agents, breed)
+    return m.agents.select("agent_id", "rank")
+
+
+def count_up(ctx):
+    return {"counter": ctx.self("counter") + 1, "result": ctx.tick}
+
+
+def agents_added_later(spark, sf_dir):
+    """Customers count two ticks, then suppliers join, and all count one more."""
+    m = model_of(spark, customers(spark, sf_dir).select("agent_id"), None, [(count_up, 0, None)], {"counter": (0, "bigint"), "result": (0, "bigint")})
+    m.simulate(2)
+    m.add_agents(tables.read(spark, sf_dir, "supplier").select((F.col("s_suppkey") + tables.SUPPLIER_BASE).alias("agent_id")), m.breeds[0])
+    m.simulate(1)
+    return m.agents.select("agent_id", "counter", "result")
+
+
+def clock_reset(spark, sf_dir):
+    """Three ticks, the clock restarts, two more: values stay, ticks count from 0."""
+    m = model_of(spark, customers(spark, sf_dir).select("agent_id"), None, [(count_up, 0, None)], {"counter": (0, "bigint"), "result": (0, "bigint")})
+    m.simulate(3)
+    m.reset()
+    m.simulate(2)
+    return m.agents.select("agent_id", "counter", "result")
+
+
+def saved_and_loaded(spark, sf_dir):
+    """One tick, saved, loaded into another model, one more tick."""
+    path = scratch(spark)
+    agents, links = tables.nation_chain(spark, sf_dir)
+    m = model_of(spark, agents, links, [(infect, 0, None)], state=F.when(F.col("agent_id") == 0, 2).otherwise(1))
+    m.simulate(1)
+    m.save(path)
+    other = Model(spark)
+    other.register_breed(m.breeds[0])
+    other.load(path)
+    other.simulate(1)
+    return other.agents.select("agent_id", "state")
+
+
+def skipped_barriers(spark, sf_dir):
+    """Skipping barriers between priorities changes nothing."""
+    links = hierarchy_links(spark, sf_dir)
+    agents = links.select(F.col("src").alias("agent_id")).union(links.select("dst")).distinct()
+    m = model_of(spark, agents, links, [(infect, 0, None), (recover, 1, None)], {"state": (1, "bigint"), "dummy": (0, "bigint")}, state=F.when(F.col("agent_id") == 0, 2).otherwise(1))
+    m.setup(skip_priority_barriers={0})
+    m.simulate(2)
+    return m.agents.select("agent_id", "state", "dummy")
+
+
+def dangling_neighbors(spark, sf_dir):
+    """Links to agents that do not exist are skipped: half of each customer's two."""
+    agents = customers(spark, sf_dir).select("agent_id")
+    links = agents.select(F.col("agent_id").alias("src"), F.explode(F.array(F.col("agent_id") + 1, -1 - F.col("agent_id"))).alias("dst"))
+    step = lambda ctx: {"n": ctx.neighbors.count(), "most": ctx.neighbors.max(ctx.nbr("points")), "mean": ctx.neighbors.avg(ctx.nbr("points")), "even": ctx.neighbors.all(ctx.nbr("points") % 2 == 0).cast("bigint")}
+    m = model_of(spark, agents, links, [(step, 0, None)], {"points": (0, "bigint"), "n": (9, "bigint"), "most": (-1, "bigint"), "mean": (-1.0, "double"), "even": (9, "bigint")}, directed=True, points=F.col("agent_id") % 11)
+    m.simulate(1)
+    return m.agents.select("agent_id", "n", "most", "mean", "even")
+
+
+def own_array_in_folds(spark, sf_dir):
+    """A fold that compares neighbours with an agent's own breed-local array."""
+    m = model_of(spark, customers(spark, sf_dir).select("agent_id"), customer_ring(spark, sf_dir), [], {"points": (0, "bigint"), "n": (0, "bigint")}, points=F.col("agent_id") % 11)
+    m.register_breed_local_array("limits", m.breeds[0], 2)
+    m.breeds[0].register_step_func(lambda ctx: {"limits": arrays.set_at(ctx.self("limits"), 1, ctx.self("points").cast("double"))}, 0, ["limits"])
+    m.breeds[0].register_step_func(lambda ctx: {"n": ctx.neighbors.count(ctx.nbr("points") > ctx.own("limits")[1])}, 1)
+    m.simulate(1)
+    return m.agents.select("agent_id", "n")
+
+
+def breed_agent_ids(spark, sf_dir):
+    m, breeds = trade_model(spark, sf_dir, ticks=0)
+    return m.get_breed_agent_ids(breeds[1])
+
+
+def property_read(spark, sf_dir):
+    """One property of three agents, read one by one; null for one that does not exist."""
+    m = model_of(spark, customers(spark, sf_dir).select("agent_id"), None, properties={"state": (0, "bigint")}, state=F.col("agent_id") * 3)
+    ids = (2, 17, -4)
+    return spark.createDataFrame([(i, m.get_agent_property_value(i, "state")) for i in ids], "agent_id bigint, state bigint")
+
+
+def agents_with_python_predicate(spark, sf_dir):
+    m = model_of(spark, customers(spark, sf_dir).withColumn("state", F.col("agent_id") % 5), None)
+    return m.get_agents_with(lambda agent: agent["state"] == 3 and agent["agent_id"] > 10).select("agent_id", "state")
+
+
+def breed_order(spark, sf_dir):
+    """Places of agents laid out by breed, then id."""
+    a = customers(spark, sf_dir).select("agent_id", F.col("c_nationkey").alias("breed"))
+    return population.sorted_by_breed(a, 1).select("agent_id", "breed", F.monotonically_increasing_id().alias("place"))
+
+
+def padded_arrays(spark, sf_dir):
+    """Rows of one width with NaN behind, and what is left without it."""
+    a = customers(spark, sf_dir).select("agent_id", F.sequence(F.lit(0), F.col("agent_id") % 4).cast("array<double>").alias("v"))
+    p = arrays.pad(F.col("v"), 6)
+    return a.select("agent_id", F.size(p).cast("long").alias("width"), F.size(F.filter(p, F.isnan)).cast("long").alias("padded"), F.aggregate(arrays.unpad(p), F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 
 # graph operators
@@ -448,6 +573,13 @@ def scalar_functions(spark, sf_dir):
     return customers(spark, sf_dir).select("agent_id", math.clamp(b, 0, 5000).alias("clamped"), math.safe_divide(b, F.col("c_nationkey"), -1).alias("ratio"), math.lerp(b, 100, 0.25).alias("mixed"), math.heaviside(b).alias("step"))
 
 
+def scalar_functions_nan(spark, sf_dir):
+    """The same where every seventh value is no number; NaN is shown as null."""
+    b = F.when(F.col("agent_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))
+    shown = lambda x: F.when(~F.isnan(x), x)
+    return customers(spark, sf_dir).select("agent_id", shown(math.clamp(b, 0, 5000)).alias("clamped"), shown(math.safe_divide(F.lit(1.0), b, -1)).alias("ratio"), shown(math.lerp(b, 100, 0.25)).alias("mixed"), math.heaviside(b).alias("step"))
+
+
 def initial_sample(spark, sf_dir):
     return generators.sample(customers(spark, sf_dir), 20, SEED)
 
@@ -484,11 +616,14 @@ def comm_volume(spark, sf_dir):
 
 
 def partition_quality(spark, sf_dir):
-    """A balanced partition cuts fewer edges than dealing in turn, and its ranks differ by one agent at most."""
+    """Balance and cut of the ranks 0 to 3 among five workers."""
+    return graph.analyze(graph.connect(customer_ring(spark, sf_dir)), rank_by_mod(spark, sf_dir), workers=5)
+
+
+def partition_balanced(spark, sf_dir):
+    """Agents of each rank of a balanced partition: they differ by one at most."""
     agents, edges = customers(spark, sf_dir), graph.connect(customer_ring(spark, sf_dir))
-    a = graph.analyze(edges, partition.balanced(agents, edges, 4, rounds=4)).select(F.lit(1).alias("k"), "imbalance", F.col("most").alias("m"), F.col("least").alias("l"), F.col("n_cut").alias("c"))
-    b = graph.edge_cut(edges, partition.round_robin(agents, 4)).select(F.lit(1).alias("k"), F.col("n_cut").alias("d"))
-    return a.join(b, "k").select((F.col("c") < F.col("d")).alias("cuts_fewer"), (F.col("m") - F.col("l") <= 1).alias("is_balanced"))
+    return partition.balanced(agents, edges, 4, rounds=4).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
 
 
 def partition_communities(spark, sf_dir):
@@ -513,7 +648,9 @@ QUERIES = {
         third_neighbor, history_last_values, breed_ranges, rank_counts, widest_arrays, community_packing,
         neighbor_folds, edges_directed, edges_undirected, edges_disconnect, degree, nth_neighbor, csr_offsets, csr_values,
         philox_uniform, xorshift_uniform, rand_normal, rand_normal_bounded, scalar_functions, initial_sample,
-        partition_round_robin, partition_random, partition_balance, partition_edge_cut, ghost_topology, comm_volume, partition_quality, partition_communities,
+        partition_round_robin, partition_random, partition_balance, partition_edge_cut, ghost_topology, comm_volume, partition_quality, partition_communities, partition_balanced,
+        partition_precedence, partition_from_file, agents_added_later, clock_reset, saved_and_loaded, skipped_barriers, dangling_neighbors, own_array_in_folds,
+        breed_agent_ids, property_read, agents_with_python_predicate, breed_order, padded_arrays, scalar_functions_nan,
         small_world, clustered_ring,
     )
 }

@@ -34,16 +34,32 @@ def hierarchy(spark: SparkSession, fan_out: int = 10, levels: int = 3) -> DataFr
     return spark.range(1, size).select(F.floor((F.col("id") - 1) / fan_out).alias("src"), F.col("id").alias("dst"))
 
 
+def one_of_each_stratum(total: int, parts: int, x, u):
+    """The x-th of ``parts`` distinct numbers under ``total``: one from each stratum, by a uniform number."""
+    low, high = F.floor(x * total / parts), F.floor((x + 1) * total / parts)
+    return (low + F.floor(u * (high - low))).cast("long")
+
+
 def clustered_ring(spark: SparkSession, clusters: int, per_cluster: int, degree: int, cross: int, reach: int = 1, seed: int = 0) -> DataFrame:
-    """Clusters with rings of ``degree`` inside, and ``cross`` random links to each of the next ``reach`` clusters."""
-    step = F.explode(F.sequence(F.lit(1), F.lit(max(degree // 2, 1)))).alias("d")
-    base = spark.range(clusters * per_cluster).select(F.col("id").alias("src"), F.floor(F.col("id") / per_cluster).alias("c"), step)
-    inside = base.select("src", (F.col("c") * per_cluster + (F.col("src") + F.col("d")) % per_cluster).alias("dst")).filter("src <> dst")
-    wide = spark.range(clusters).select(F.col("id").alias("c"), F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("r")).select("c", "r", F.explode(F.sequence(F.lit(0), F.lit(max(cross - 1, 0)))).alias("x"))
-    key = (F.col("c") * reach + F.col("r")) * max(cross, 1) + F.col("x")
-    draw = lambda salt: F.floor(rng.uniform(seed, 0, key, salt) * per_cluster).cast("long")
-    between = wide.select((F.col("c") * per_cluster + draw(3)).alias("src"), (((F.col("c") + F.col("r")) % clusters) * per_cluster + draw(4)).alias("dst")).filter("src <> dst")
-    return (inside.union(between) if cross and clusters > 1 else inside).distinct()
+    """Clusters of agents that draw ``degree`` others of their cluster each (a link to a higher id is kept), and exactly ``cross`` random links to each of the next ``reach`` clusters.
+
+    Draws are one from each stratum of the possible targets or pairs, so none comes twice.
+    """
+    n = min(degree, per_cluster - 1)
+    agents = spark.range(clusters * per_cluster).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("d"))
+    offset = 1 + one_of_each_stratum(per_cluster - 1, max(n, 1), F.col("d"), rng.uniform(seed, 0, F.col("src") * max(n, 1) + F.col("d"), 5))
+    first = F.floor(F.col("src") / per_cluster) * per_cluster
+    inside = agents.select("src", (first + (F.col("src") - first + offset) % per_cluster).cast("long").alias("dst")).filter("src < dst")
+    if n < 1:
+        inside = inside.limit(0)
+    cross = min(cross, per_cluster * per_cluster)
+    if cross < 1 or clusters < 2 or reach < 1:
+        return inside
+    wide = spark.range(clusters).select(F.col("id").alias("c"), F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("r")).select("c", "r", F.explode(F.sequence(F.lit(0), F.lit(cross - 1))).alias("x"))
+    key = (F.col("c") * reach + F.col("r") - 1) * cross + F.col("x")
+    pair = one_of_each_stratum(per_cluster * per_cluster, cross, F.col("x"), rng.uniform(seed, 0, key, 3))
+    between = wide.withColumn("p", pair).select((F.col("c") * per_cluster + F.floor(F.col("p") / per_cluster)).alias("src"), (((F.col("c") + F.col("r")) % clusters) * per_cluster + F.col("p") % per_cluster).alias("dst"))
+    return inside.union(between.filter("src <> dst"))
 
 
 def sample(agents: DataFrame, k: int, seed: int, salt: int = 9) -> DataFrame:

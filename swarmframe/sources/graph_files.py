@@ -1,4 +1,8 @@
-"""Graph files as link tables: edge lists by Spark's reader, GraphML and GML by small parsers."""
+"""Graph files as tables of nodes and links: edge lists by Spark's reader, GraphML and GML by small parsers.
+
+Nodes whose labels are all whole numbers (in GraphML perhaps after an n) keep them as ids. If any label is not a
+number, all nodes are numbered from 0, by label.
+"""
 
 from __future__ import annotations
 
@@ -6,40 +10,72 @@ import re
 import xml.etree.ElementTree as ET
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LINKS = "src bigint, dst bigint"
+from ..operators.graph import prefix_sums
+
+LABELS = "src string, dst string"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
+    """src, dst."""
+    return read_graph(spark, path)[1]
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(agent_id and label of all nodes, src and dst of all links)."""
     suffix = Path(path).suffix.lower()
     if suffix in (".edgelist", ".edges", ".txt"):
-        return edge_list(spark, path)
-    if suffix == ".graphml":
-        return spark.createDataFrame(graphml(path), LINKS)
-    if suffix == ".gml":
-        return spark.createDataFrame(gml(path), LINKS)
-    raise ValueError(f"unknown graph format: {suffix}")
+        nodes, links = edge_list(spark, path)
+    elif suffix in (".graphml", ".gml"):
+        found, pairs = (graphml if suffix == ".graphml" else gml)(path)
+        nodes, links = spark.createDataFrame([(x,) for x in found], "label string"), spark.createDataFrame(pairs, LABELS)
+    else:
+        raise ValueError(f"unknown graph format: {suffix}")
+    nodes = nodes.union(links.select("src")).union(links.select("dst")).distinct()
+    number = F.regexp_extract("label", r"^n?(\d+)$" if suffix == ".graphml" else r"^(\d+)$", 1)
+    if nodes.filter(number == "").head() is None:
+        ids = nodes.select(number.cast("long").alias("agent_id"), "label")
+    else:
+        ids = numbered(nodes)
+    out = links.join(ids.select(F.col("label").alias("src"), F.col("agent_id").alias("a")), "src").join(ids.select(F.col("label").alias("dst"), F.col("agent_id").alias("b")), "dst")
+    return ids, out.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def edge_list(spark: SparkSession, path: str) -> DataFrame:
-    """Two numbers a line, ``#`` begins a comment; distributed."""
-    parts = F.split(F.trim(F.regexp_replace("value", "#.*", "")), r"[\s,]+")
-    return spark.read.text(path).select(parts.alias("p")).filter(F.size("p") >= 2).select(F.col("p")[0].cast("long").alias("src"), F.col("p")[1].cast("long").alias("dst"))
+def numbered(nodes: DataFrame) -> DataFrame:
+    """agent_id, label: places in the order of labels, by sums over ranges of hashes of their beginnings, so that no task has all."""
+    ranged = nodes.withColumn("range", F.conv(F.rpad(F.hex(F.substring("label", 1, 3)), 6, "0").substr(1, 6), 16, 10).cast("long"))
+    place = prefix_sums(ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")), "range", "n", "before")
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("label")) - 1
+    return ranged.join(place.select("range", "before"), "range").select((F.col("before") + inside).alias("agent_id"), "label")
 
 
-def _number(label: str, known: dict[str, int]) -> int:
-    """Ids that are numbers (perhaps after an n) keep them; others are numbered as they come."""
-    m = re.fullmatch(r"n?(\d+)", label)
-    return int(m[1]) if m else known.setdefault(label, len(known))
+def edge_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Two labels a line, and what follows is not read; a line of one label is a node; ``#`` begins a comment. Distributed."""
+    p = F.split(F.trim(F.regexp_replace("value", "#.*", "")), r"[\s,]+")
+    lines = spark.read.text(path).select(p.alias("p")).filter(F.col("p")[0] != "")
+    return lines.select(F.col("p")[0].alias("label")), lines.filter(F.size("p") >= 2).select(F.col("p")[0].alias("src"), F.col("p")[1].alias("dst"))
 
 
-def graphml(path: str) -> list[tuple[int, int]]:
-    known: dict[str, int] = {}
-    return [(_number(e.attrib["source"], known), _number(e.attrib["target"], known)) for e in ET.parse(path).iter() if e.tag.rpartition("}")[2] == "edge"]
+def graphml(path: str) -> tuple[list[str], list[tuple[str, str]]]:
+    nodes, links = [], []
+    for e in ET.parse(path).iter():
+        kind = e.tag.rpartition("}")[2]
+        if kind == "node":
+            nodes.append(e.attrib["id"])
+        elif kind == "edge":
+            links.append((e.attrib["source"], e.attrib["target"]))
+    return nodes, links
 
 
-def gml(path: str) -> list[tuple[int, int]]:
+def gml(path: str) -> tuple[list[str], list[tuple[str, str]]]:
+    """Nodes go by their label where they have one, as in most readers."""
     text = Path(path).read_text()
-    return [(int(s), int(t)) for s, t in re.findall(r"edge\s*\[[^\]]*?source\s+(\d+)[^\]]*?target\s+(\d+)", text)]
+    names: dict[str, str] = {}
+    for block in re.findall(r"\bnode\s*\[([^\]]*)\]", text):
+        ident = re.search(r"\bid\s+(\S+)", block)[1]
+        label = re.search(r"\blabel\s+(?:\"([^\"]*)\"|(\S+))", block)
+        names[ident] = (label[1] or label[2]) if label else ident
+    links = [(s, t) for s, t in re.findall(r"\bedge\s*\[[^\]]*?\bsource\s+(\S+)[^\]]*?\btarget\s+(\S+)", text)]
+    return list(names.values()), [(names.get(s, s), names.get(t, t)) for s, t in links]

@@ -10,11 +10,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SUFFIXES = {".pkl": "pickle", ".pickle": "pickle", ".json": "json", ".npy": "npy", ".txt": "text", ".dat": "text"}
+SUFFIXES = {".pkl": "pickle", ".pickle": "pickle", ".json": "json", ".npy": "numpy", ".txt": "text", ".dat": "text"}
 
 
 def kind_of(path: str, format: str, otherwise: str | None = None) -> str:
-    found = SUFFIXES.get(Path(path).suffix.lower(), otherwise) if format == "auto" else format
+    found = SUFFIXES.get(Path(path).suffix.lower(), otherwise) if format == "auto" else {"npy": "numpy"}.get(format, format)
     if found not in set(SUFFIXES.values()):
         raise ValueError(f"unknown partition format of {path}: {format}")
     return found
@@ -30,7 +30,7 @@ def load(path: str, format: str = "auto") -> dict[int, int]:
         found = pickle.loads(file.read_bytes())
     elif kind == "json":
         found = json.loads(file.read_text())
-    elif kind == "npy":
+    elif kind == "numpy":
         found = dict(enumerate(np.load(file).tolist()))
     else:
         found = {}
@@ -44,6 +44,21 @@ def load(path: str, format: str = "auto") -> dict[int, int]:
     return {int(k): int(v) for k, v in found.items()}
 
 
+def read(spark: SparkSession, path: str, format: str = "auto") -> dict[int, int] | DataFrame:
+    """A partition of any size: text and parquet by Spark's readers, wherever they lie; the formats of one machine as a dict."""
+    kind = "parquet" if format == "parquet" or (format == "auto" and str(path).rstrip("/").endswith(".parquet")) else kind_of(path, format)
+    if kind == "parquet":
+        return spark.read.parquet(str(path)).select(F.col("agent_id").cast("long").alias("agent_id"), F.col("rank").cast("int").alias("rank"))
+    if kind == "text":
+        p = F.split(F.trim(F.split("value", "#")[0]), r"\s+")
+        lines = spark.read.text(str(path)).select(p.alias("p")).filter(F.array_join("p", "") != "")
+        bad = lines.filter(F.size("p") != 2).head()
+        if bad:
+            raise ValueError(f"{path}: two numbers are expected, not {' '.join(bad[0])}")
+        return lines.select(F.col("p")[0].cast("long").alias("agent_id"), F.col("p")[1].cast("int").alias("rank"))
+    return load(path, format)
+
+
 def validate(partition: dict[int, int] | DataFrame, workers: int) -> None:
     """Raise if the partition is empty or has a rank outside 0 .. workers - 1."""
     if isinstance(partition, DataFrame):
@@ -67,7 +82,7 @@ def save(partition: dict[int, int] | DataFrame, path: str, format: str = "auto",
         file.write_bytes(pickle.dumps(partition))
     elif kind == "json":
         file.write_text(json.dumps(partition))
-    elif kind == "npy":
+    elif kind == "numpy":
         ranks = np.full(max(partition, default=-1) + 1, missing, np.int64)
         for k, v in partition.items():
             ranks[k] = v

@@ -19,11 +19,11 @@ def nation_chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return n, n.filter("agent_id > 0").select((F.col("agent_id") - 1).alias("src"), F.col("agent_id").alias("dst"))
 
 
-def trade_network(spark: SparkSession, sf_dir: str, every: int = 1, base: int = SUPPLIER_BASE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(customers, suppliers, links): who has ordered from whom; ``every``: only orders whose key it divides."""
+def trade_network(spark: SparkSession, sf_dir: str, base: int = SUPPLIER_BASE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(customers, suppliers, links): who has ordered from whom."""
     customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("agent_id"), F.col("c_acctbal").alias("balance"))
     suppliers = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") + base).alias("agent_id"), F.col("s_acctbal").alias("balance"))
-    lines = read(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % every == 0).select("l_orderkey", "l_suppkey")
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     links = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + base).alias("dst")).distinct()
     return customers, suppliers, links

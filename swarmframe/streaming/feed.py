@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.model import Model
 
 
-def drive(model: Model, events: DataFrame, checkpoint: str, ticks_per_batch: int = 1, name_col: str = "name", value_col: str = "value") -> StreamingQuery:
+def drive(model: Model, events: DataFrame, checkpoint: str, ticks_per_batch: int = 1, name_col: str = "name", value_col: str = "value", order_col: str | None = None) -> StreamingQuery:
     """Run ``ticks_per_batch`` ticks after each micro-batch of (name, value), which sets the latest value of each registered global.
 
+    The latest is that of the greatest ``order_col`` (of ties, the greatest value); without that column a batch must have one value per global.
+
     A batch brings one row per global at most to the driver. A batch that is replayed after a failure sets the
     same globals; ``model.tick`` tells whether its ticks were run.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         known = batch.filter(batch[name_col].isin(*model.globals)) if model.globals else batch.limit(0)
-        for name, value in known.groupBy(name_col).agg({value_col: "last"}).collect():
+        order = F.struct(*[c for c in (order_col, value_col) if c])
+        for name, value, n in known.groupBy(name_col).agg(F.max_by(value_col, order), F.count(F.lit(1))).collect():
+            if n > 1 and order_col is None:
+                raise ValueError(f"{n} values of {name} in a batch, and no column that orders them")
             model.set_global_property_value(name, value)
         model.simulate(ticks_per_batch)
 

@@ -100,7 +100,16 @@ def test_graph_files(spark, tmp_path):
     (tmp_path / "g.edgelist").write_text("# a graph\n0 1\n1 2 {'w': 1}\n")
     (tmp_path / "g.gml").write_text("graph [ node [ id 0 ] node [ id 1 ] edge [ source 0 target 1 ] ]")
     (tmp_path / "g.graphml").write_text('<graphml xmlns="x"><graph><node id="n0"/><edge source="n0" target="n4"/></graph></graphml>')
+    (tmp_path / "named.edgelist").write_text("a 0\nz 1\nlonely\n")
+    (tmp_path / "named.gml").write_text('graph [ node [ id 0 label "x y" ] node [ id 1 label "b" ] node [ id 7 label "c" ] edge [ source 0 target 1 ] ]')
+    (tmp_path / "named.graphml").write_text('<graphml><graph><node id="u"/><node id="n1"/><node id="w"/><edge source="n1" target="u"/></graph></graphml>')
     read = lambda n: sorted(map(tuple, graph_files.read(spark, str(tmp_path / n)).collect()))
+    names = lambda n: {r.label: r.agent_id for r in graph_files.read_graph(spark, str(tmp_path / n))[0].collect()}
+    assert names("named.edgelist") == {"0": 0, "1": 1, "a": 2, "lonely": 3, "z": 4}
+    assert read("named.edgelist") == [(2, 0), (4, 1)]
+    assert (names("named.gml"), read("named.gml")) == ({"b": 0, "c": 1, "x y": 2}, [(2, 0)])
+    assert (names("named.graphml"), read("named.graphml")) == ({"n1": 0, "u": 1, "w": 2}, [(0, 1)])
+    assert names("g.graphml") == {"n0": 0, "n4": 4}
     assert read("g.edgelist") == [(0, 1), (1, 2)]
     assert read("g.gml") == [(0, 1)]
     assert read("g.graphml") == [(0, 4)]
@@ -113,6 +122,42 @@ def test_cli(spark, tmp_path, capsys):
     cli.main(["--input", str(tmp_path / "g.edgelist"), "--output", str(tmp_path / "p.json"), "--workers", "2", "--method", "round_robin"])
     assert json.loads((tmp_path / "p.json").read_text()) == {str(i): i % 2 for i in range(10)}
     assert "imbalance" in capsys.readouterr().out
+    (tmp_path / "g.gml").write_text("graph [ node [ id 0 ] node [ id 1 ] node [ id 2 ] edge [ source 0 target 1 ] ]")
+    for method in ("metis", "community", "roundrobin", "random"):
+        cli.main(["-i", str(tmp_path / "g.gml"), "-o", str(tmp_path / "p"), "-w", "2", "-m", method, "-f", "numpy"])
+        assert len(np.load(tmp_path / "p.npy" if (tmp_path / "p.npy").exists() else tmp_path / "p")) == 3
+
+
+def test_balance_counts_workers_without_agents(spark):
+    p = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "agent_id bigint, rank int")
+    assert (graph.balance(p).head().mean, graph.balance(p, 4).head().mean) == (1.5, 0.75)
+
+
+def test_many_communities_are_packed_by_one_rule(spark, monkeypatch):
+    rows = [(c * 1000 + i, c) for c, n in enumerate([60, 50, 40, 7, 6, 5, 5, 4, 3, 3, 2, 2, 1, 1, 1]) for i in range(n)]
+    df = spark.createDataFrame(rows, "agent_id bigint, community bigint")
+    for placed in (10_000, 3, 0):
+        monkeypatch.setattr(partition, "PLACED", placed)
+        out = partition.pack(df, 4).collect()
+        n = [sum(r.rank == w for r in out) for w in range(4)]
+        assert sum(n) == len(rows) == len({r.agent_id for r in out})
+        assert len({(r.agent_id // 1000, r.rank) for r in out}) == 15
+        if placed == 3:
+            assert n[:3] == [60, 50, 40] or max(n) - min(n) <= 60 - 40
+    assert partition.room_up_to_a_level([60, 50, 40, 0], 40) == [0, 0, 0, 40]
+    assert partition.room_up_to_a_level([10, 0, 0], 20) == [0, 10, 10]
+    assert sum(partition.room_up_to_a_level([10, 4, 0], 31)) == pytest.approx(31)
+
+
+def test_partitions_of_any_size(spark, tmp_path):
+    df = spark.createDataFrame([(0, 1), (7, 0)], "agent_id bigint, rank int")
+    df.write.parquet(str(tmp_path / "p.parquet"))
+    (tmp_path / "p.txt").write_text("# ranks\n0 1\n\n7 0 # last\n")
+    for name in ("p.parquet", "p.txt"):
+        assert sorted(map(tuple, partition_files.read(spark, str(tmp_path / name)).collect())) == [(0, 1), (7, 0)]
+    (tmp_path / "bad.txt").write_text("0\n")
+    with pytest.raises(ValueError, match="two numbers"):
+        partition_files.read(spark, str(tmp_path / "bad.txt"))
 
 
 def test_generators(spark, tmp_path):
@@ -124,8 +169,10 @@ def test_generators(spark, tmp_path):
     kept = moved.join(generators.ring(spark, 200, 4), ["src", "dst"]).count()
     assert 0.7 < kept / 400 < 0.9
     c = generators.clustered_ring(spark, 4, 20, 4, 7, 1, 3).withColumn("same", F.floor(F.col("src") / 20) == F.floor(F.col("dst") / 20))
-    assert c.filter("same").count() == 4 * 20 * 2
-    assert c.filter("not same").count() <= 4 * 7
+    inside = c.filter("same").groupBy("src").count().collect()
+    assert c.filter("same and src >= dst").count() == 0 and max(r["count"] for r in inside) <= 4
+    assert 4 * 20 < c.filter("same").count() < 4 * 20 * 3
+    assert c.filter("not same").count() == c.filter("not same").distinct().count() == 4 * 7
     assert generators.sample(agents_of(spark, 50), 7, 1).count() == 7
     make = lambda s, n: generators.chain(s, n)
     make.__name__ = "chain"

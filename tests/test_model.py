@@ -9,7 +9,7 @@ from swarmframe import Breed, Model, NetworkSpace
 from swarmframe.functions import arrays
 from swarmframe.operators import graph
 from swarmframe.queries import infect, reader, recover, sir, trade_model, writer
-from swarmframe.sources import generators
+from swarmframe.sources import generators, tables
 from swarmframe.streaming import feed, history
 
 
@@ -197,7 +197,11 @@ def test_plan_does_not_grow(spark):
 
 
 def test_two_breeds_golden_counts(spark):
-    m, breeds = trade_model(spark, "/root/testdata/sf0.01", base=1_000_000)
+    sf = "/root/testdata/sf0.01"
+    buyers, sellers, _ = tables.trade_network(spark, sf, 1_000_000)
+    orders = tables.read(spark, sf, "lineitem").filter("l_orderkey % 10 = 0").join(tables.read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    links = orders.select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst")).distinct()
+    m, breeds = trade_model(spark, sf, network=(buyers, sellers, links))
     counts = {r.state: r["count"] for r in m.agents.groupBy("state").count().collect()}
     assert counts == {1: 1260, 2: 301, 3: 39}
     assert m.get_breed_agent_ids(breeds[1]).count() == 100
@@ -257,6 +261,88 @@ def test_partition_gives_ranks(spark, tmp_path):
     assert values(m, "rank") == [1, 1, 0, 0, 1]
 
 
+def test_ranks_given_or_of_a_partition_or_in_turn(spark):
+    m, b = make(spark, 0, workers=3, n=(0, "bigint"))
+    m.load_partition(spark.createDataFrame([(0, 2), (1, 2), (5, 2), (6, 2)], "agent_id bigint, rank int"))
+    m.create_agent_of_breed(b, rank=0)
+    m.create_agent_of_breed(b)
+    m.create_agent_of_breed(b)
+    m.add_agents(spark.range(3, 7).withColumnRenamed("id", "agent_id"), b, rank=F.when(F.col("agent_id") == 5, 1))
+    assert values(m, "rank") == [0, 2, 0, 1, 2, 1, 2]
+    m.add_agents(spark.range(7, 9).withColumnRenamed("id", "agent_id"), b)
+    assert values(m, "rank") == [0, 2, 0, 1, 2, 1, 2, 0, 1]
+
+
+def test_all_agents_of_a_table_on_the_rank_of_a_dict(spark):
+    m, b = make(spark, 0, workers=2, n=(0, "bigint"))
+    m.load_partition({i: 1 for i in range(4)})
+    m.add_agents(spark.range(4).withColumnRenamed("id", "agent_id"), b)
+    assert values(m, "rank") == [1] * 4
+
+
+def test_agents_that_join_later_leave_the_others_as_they_are(spark):
+    m, b = make(spark, 2, [(lambda ctx: {"n": ctx.self("n") + 1},)], n=(0, "bigint"))
+    m.simulate(1)
+    m.create_agent_of_breed(b)
+    m.add_agents(spark.range(10, 11).withColumnRenamed("id", "agent_id"), b)
+    m.simulate(1)
+    assert (values(m, "n"), m.num_agents) == ([2, 2, 1, 1], 4)
+    m.reset(to_initial=True)
+    assert values(m, "n") == [0] * 4
+
+
+def test_an_id_given_twice_is_refused(spark):
+    m, b = make(spark, 1, n=(0, "bigint"))
+    m.add_agents(spark.range(2).withColumnRenamed("id", "agent_id"), b)
+    with pytest.raises(ValueError, match="agent 0 exists twice"):
+        m.setup()
+
+
+def test_agents_at_given_ids(spark):
+    m, b = make(spark, 0, n=(0, "bigint"))
+    m.space.bulk_add_agents(3)
+    for i in (2, 0, 1):
+        m.create_agent_at_index(i, b, n=10 * i)
+    assert values(m, "n") == [0, 10, 20]
+    assert m.create_agent_of_breed(b) == 3
+
+
+def test_long_histories_keep_a_short_plan(spark):
+    m, _ = make(spark, 2, [(lambda ctx: {"n": ctx.self("n") + 1},)], n=(0, "bigint"))
+    m.track_history("n")
+    m.post_step = lambda breed, priority, agents: agents.filter("agent_id = 0").select("tick", "agent_id")
+    m.simulate(21)
+    assert (len(m._history), len(m._events)) == (3, 3)
+    assert sorted((r.tick, r.n) for r in m.history.collect()) == sorted([(t, t) for t in range(21)] * 2)
+    assert sorted(r.tick for r in m.events.collect()) == list(range(21))
+
+
+def test_load_imbalance(spark):
+    m, _ = make(spark, 4, [(lambda ctx: {},)], [(0, 1), (0, 2), (0, 3)], 2, [0, 1, 1, 1], n=(0, "bigint"))
+    m.simulate(1)
+    assert m.timing_stats()["load_imbalance"] == pytest.approx(100 * (6 - 4) / 6)
+
+
+def test_subclass_hooks(spark):
+    class Counting(Model):
+        def setup(self, *a):
+            self.set_ups = getattr(self, "set_ups", 0) + 1
+            super().setup(*a)
+
+        def simulate(self, ticks, *a):
+            super().simulate(ticks, *a)
+            self.run_so_far = self.tick
+
+    m = Counting(spark)
+    b = Breed("b")
+    b.register_property("n", 0, sql_type="bigint")
+    m.register_breed(b)
+    m.create_agent_of_breed(b)
+    m.simulate(2)
+    m.simulate(1)
+    assert (m.set_ups, m.run_so_far) == (1, 3)
+
+
 def test_messages_and_pandas_steps(spark):
     def step(ctx):
         ctx.send("inbox", ctx.own("n"), F.max)
@@ -289,6 +375,15 @@ def test_stream_feeds_globals(spark, tmp_path):
     assert values(m, "n") == [10]
 
 
+def test_the_latest_value_of_a_batch(spark, tmp_path):
+    m, _ = make(spark, 1, [(lambda ctx: {"n": ctx.glob("rate").cast("bigint")},)], n=(0, "bigint"))
+    m.register_global_property("rate", 0)
+    spark.createDataFrame([("rate", 5.0, 2), ("rate", 9.0, 1), ("rate", 4.0, 2)], "name string, value double, at int").repartition(3).write.parquet(str(tmp_path / "in"))
+    q = feed.drive(m, spark.readStream.schema("name string, value double, at int").parquet(str(tmp_path / "in")), str(tmp_path / "ck"), order_col="at")
+    q.awaitTermination(60)
+    assert values(m, "n") == [5]
+
+
 def test_vectors(spark):
     row = spark.createDataFrame([([1.0, 2.0], [3.0, 5.0])], "a array<double>, b array<double>")
     got = row.select(arrays.mean_of_products(arrays.total(F.col("a")), arrays.total(F.col("b")), 2), arrays.get_at(F.col("a"), 3), arrays.set_at(F.col("a"), 2, F.lit(9.0))).head()
