@@ -25,13 +25,16 @@ at equal places, and an anchor represents a run of windows, so one suffix per an
 4. Runs of repeated windows go back to their documents, which are cut.
 
 Copies of a whole text are recognised beforehand: only the first is indexed.
-Documents go by their hash into groups of bounded size; the texts are shuffled
-once for steps 2 and 4; only hot hashes, a few per partition, are collected and broadcast.
+Documents go by the hash of their id and text into groups, and hashes into buckets, of so many bytes that their number follows from
+the corpus's size: one group or bucket is in a task's memory at a time, whatever ``spark.sql.shuffle.partitions`` says. The texts are shuffled
+once for steps 2 and 4; only hot hashes, ``MOST_HOT`` at most, are collected and broadcast.
+Windows of hot hashes are told apart by two independent 64-bit hashes of their bytes: among n such windows two different ones are taken for equal
+with a probability under n * n / 2**129. All other windows are compared byte by byte.
 
 Edge cases: a null text is empty; texts under ``LENGTH`` bytes lose nothing; rows that
-share a doc_id are ordered by their texts' hash, equal rows one after the other; a
-null doc_id counts as the least; an empty table gives an empty result. Extra columns
-are carried where texts are rewritten, or not read.
+share a doc_id are ordered by their texts' hash, equal rows one after the other (rows equal in id and text are in one group); a
+null doc_id counts as the least, for any number of rows; a text of any length is worked on in blocks; an empty table gives an empty result; doc_id is of an integer type,
+others are refused. Extra columns are carried where texts are rewritten, or not read.
 """
 
 from __future__ import annotations
@@ -41,18 +44,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, rekeyed, table
+from .common import checkpointed, integer_ids, rekeyed, stored, table
 
 LENGTH, GRAM = 100, 32
-#: Groups of documents per shuffle partition; a group's texts are in memory at once.
-GROUPS = 4
-#: A hash is hot, and split by the window, if its anchors are more than this part of a partition's share of all anchors (and more than ``Sizes.often``).
-#: So there are at most partitions / HOT hashes, of 8 bytes, to broadcast.
-HOT = 1 / 8
+#: Bytes of text to a group of documents, and to a bucket of hashes, on average; there are ``GROUPS`` groups and one bucket per shuffle partition at least.
+GROUP_BYTES, BUCKET_BYTES, GROUPS = 16 << 20, 32 << 20, 4
+#: A hash is hot, and split by the window, if its anchors are more than this part of a bucket's share of all anchors, more than ``Sizes.often``, and more
+#: than one in ``MOST_HOT`` of all anchors. So at most ``MOST_HOT`` hashes, of 8 bytes, are broadcast.
+HOT, MOST_HOT = 1 / 8, 1 << 22
 NULL_ID = -(1 << 63)
 U = np.uint64
 
@@ -156,16 +159,18 @@ def in_rows(kind: int, key: np.ndarray, *columns: np.ndarray):
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64)), *blobs], names=["kind", "key", *"abcdefg"[: len(columns)]])
 
 
-def window_hashes(g: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(2, n): 128-bit hashes of the windows that begin at ``at``, from the hashes of grams that cover them."""
-    parts = [g[at], g[at + GRAM], g[at + 2 * GRAM], g[at + LENGTH - GRAM]]
+def window_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(2, n): two independent hashes of the bytes of the windows that begin at ``at``."""
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     out = []
     with np.errstate(over="ignore"):
-        for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        for seed, factor in ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)):
             h = np.full(len(at), U(seed))
-            for x in parts:
-                h = (h ^ x) * U(0xD6E8FEB86659FD93)
+            for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+                h = (h ^ words[at + k]) * U(factor)
                 h ^= h >> U(32)
+                h *= U(0xE7037ED1A0B428DB)
+                h ^= h >> U(29)
             out.append(h.view(np.int64))
     return np.stack(out)
 
@@ -173,7 +178,7 @@ def window_hashes(g: np.ndarray, at: np.ndarray) -> np.ndarray:
 QUERY, TELL, REPEATED, COPY, TOTAL, OFTEN, PIECE = range(7)
 
 
-def ask(buckets: np.ndarray, sizes: Sizes):
+def ask(buckets: Keys, sizes: Sizes):
     """Step 1, map side: texts with their group to hash entries per bucket, and what a batch knows to be repeated by itself."""
 
     def flush(hashes, groups):
@@ -184,7 +189,7 @@ def ask(buckets: np.ndarray, sizes: Sizes):
         once = count == 1
         # a hash met twice here is known to be repeated: other batches are told by an entry without a group
         owner = np.where(once, g[first], np.int32(-1))
-        yield in_rows(QUERY, buckets[(distinct % U(len(buckets))).astype(np.int64)], distinct.view(np.int64), owner, count.astype(np.int32))
+        yield in_rows(QUERY, buckets.of(distinct), distinct.view(np.int64), owner, count.astype(np.int32))
         many = np.repeat(~once, count)
         if many.any():
             pair = np.unique(np.stack([g[many].astype(np.int64), h[order][many].view(np.int64)]), axis=1)
@@ -209,38 +214,59 @@ def ask(buckets: np.ndarray, sizes: Sizes):
     return run
 
 
+def by_key(batches, column: str):
+    """(key, its part of a batch, whether the key ends there) of batches sorted by key; None for the key's last part if it ended with the batch before."""
+    before = None
+    for b in batches:
+        key = np.asarray(b.column(column))
+        if not len(key):
+            continue
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        if before is not None and key[0] != before:
+            yield before, None, True
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(key[i]), b.slice(i, j - i), j < len(key)
+        before = int(key[-1])
+    if before is not None:
+        yield before, None, True
+
+
 def answer(sizes: Sizes):
     """Step 1, reduce side: hashes that occur twice, told to the groups that have them; how many anchors there are, and which hashes occur often."""
 
+    def told(hashes, owners, counts):
+        h, g, n = np.concatenate(hashes), np.concatenate(owners), np.concatenate(counts).astype(np.int64)
+        order, distinct, first = grouped(h)
+        size = np.diff(np.append(first, len(h)))
+        total = np.add.reduceat(n[order], first)
+        out = np.repeat(total > 1, size) & (g[order] >= 0)
+        if out.any():
+            yield in_rows(TELL, g[order][out].astype(np.int64), h[order][out], np.zeros(int(out.sum()), np.int8))
+        yield in_rows(TOTAL, np.array([total.sum()]), np.zeros(1, np.int8), np.zeros(1, np.int8))
+        often = total > sizes.often
+        if often.any():
+            yield in_rows(OFTEN, np.zeros(int(often.sum()), np.int64), distinct[often], total[often])
+
     def run(batches):
-        hashes, owners, counts = [], [], []
-        for b in batches:
-            kind = np.asarray(b.column(0))
-            yield b.filter(pa.array(kind == TELL)).select(["kind", "key", "a", "b"])
-            for h, g, n in zip(*(c.to_pylist() for c in b.filter(pa.array(kind == QUERY)).select(["a", "b", "c"]).columns), strict=True):
-                hashes.append(np.frombuffer(h, np.int64))
-                owners.append(np.frombuffer(g, np.int32))
-                counts.append(np.frombuffer(n, np.int32))
-        if hashes:
-            h, g, n = np.concatenate(hashes), np.concatenate(owners), np.concatenate(counts).astype(np.int64)
-            order, distinct, first = grouped(h)
-            size = np.diff(np.append(first, len(h)))
-            total = np.add.reduceat(n[order], first)
-            out = np.repeat(total > 1, size) & (g[order] >= 0)
-            if out.any():
-                yield in_rows(TELL, g[order][out].astype(np.int64), h[order][out], np.zeros(int(out.sum()), np.int8))
-            yield in_rows(TOTAL, np.array([total.sum()]), np.zeros(1, np.int8), np.zeros(1, np.int8))
-            often = total > sizes.often
-            if often.any():
-                yield in_rows(OFTEN, np.zeros(int(often.sum()), np.int64), distinct[often], total[often])
+        held = ([], [], [])
+        for _, b, ends in by_key(batches, "key"):
+            if b is not None:
+                kind = np.asarray(b.column(0))
+                yield b.filter(pa.array(kind == TELL)).select(["kind", "key", "a", "b"])
+                for row in zip(*(c.to_pylist() for c in b.filter(pa.array(kind == QUERY)).select(["a", "b", "c"]).columns), strict=True):
+                    for part, x, t in zip(held, row, (np.int64, np.int32, np.int32), strict=True):
+                        part.append(np.frombuffer(x, t))
+            if ends and held[0]:
+                yield from told(*held)
+                held = ([], [], [])
 
     return run
 
 
-def hot_hashes(told: DataFrame, often: int, partitions: int) -> np.ndarray:
-    """Hashes of so many anchors that their surroundings would overload a bucket; at most ``partitions / HOT`` of them."""
+def hot_hashes(told: DataFrame, often: int, buckets: int) -> np.ndarray:
+    """Hashes of so many anchors that their surroundings would overload a bucket; at most ``MOST_HOT`` of them."""
     total = told.filter(F.col("kind") == TOTAL).agg(F.sum("key")).first()[0] or 0
-    least = max(often, HOT * total / partitions)
+    least = max(often, HOT * total / buckets, total / MOST_HOT)
 
     def run(batches):
         for b in batches:
@@ -251,8 +277,27 @@ def hot_hashes(told: DataFrame, often: int, partitions: int) -> np.ndarray:
     return np.sort(np.frombuffer(b"".join(bytes(r[0]) for r in rows), np.int64))
 
 
-def even_keys(spark, partitions: int, each: int) -> np.ndarray:
-    """``each`` numbers for each of ``partitions``, such that Spark's hash partitioning puts as many in every partition."""
+@dataclass(frozen=True)
+class Keys:
+    """``count`` shuffle keys. While they are few per partition, ``table`` has numbers that Spark's hash partitioning deals evenly; many fall evenly by themselves."""
+
+    count: int
+    table: np.ndarray | None
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        number = (hashes % U(self.count)).astype(np.int64)
+        return number if self.table is None else self.table[number]
+
+    def column(self, *values) -> Column:
+        number = F.pmod(F.xxhash64(*values), F.lit(self.count)).cast("bigint")
+        return number if self.table is None else F.get(F.split(F.lit(",".join(map(str, self.table))), ",").cast("array<bigint>"), number.cast("int"))
+
+
+def shuffle_keys(spark, partitions: int, least: int) -> Keys:
+    """Keys of ``least`` kinds at least, as many for each partition."""
+    each = -(-least // partitions)
+    if each > 16:
+        return Keys(least, None)
     size = 8 * each * partitions
     while True:
         at = spark.range(size).select(F.pmod(F.hash("id"), F.lit(partitions)).alias("p")).toPandas()["p"].to_numpy()
@@ -260,7 +305,7 @@ def even_keys(spark, partitions: int, each: int) -> np.ndarray:
         nth = np.arange(size) - np.searchsorted(at[order], at[order])
         keys = order[nth < each]
         if len(keys) == each * partitions:
-            return keys.reshape(partitions, each).T.ravel().astype(np.int64)
+            return Keys(len(keys), keys.reshape(partitions, each).T.ravel().astype(np.int64))
         size *= 2
 
 
@@ -320,7 +365,7 @@ def runs_of(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w[start, 4], np.stack([w[start, 2], w[start, 3], w[start, 5], w[last, 5] + LENGTH], axis=1)
 
 
-def carve(buckets: np.ndarray, hot, sizes: Sizes):
+def carve(buckets: Keys, hot, sizes: Sizes):
     """Step 2: the repeated anchors of a group's texts with their surroundings, per bucket of their hash.
 
     Windows of hot hashes go one by one, by their own hash, and each once per group: what repeats inside the group is known at once.
@@ -339,7 +384,7 @@ def carve(buckets: np.ndarray, hot, sizes: Sizes):
             often = take & is_in(h.view(np.int64), hot.value)
             if often.any():
                 at, r = spans_of(p[often], (q - p)[often] + 1), np.repeat(row[often], (q - p)[often] + 1)
-                windows.append(np.stack([*window_hashes(g, at - low), group.ids[r], group.ties[r], np.full(len(r), key), at - group.offsets[r]], axis=1))
+                windows.append(np.stack([*window_hashes(group.data, at), group.ids[r], group.ties[r], np.full(len(r), key), at - group.offsets[r]], axis=1))
             take &= ~often
             h, a, p, q, row = h[take], a[take], p[take], q[take], row[take]
             size = q - p + LENGTH
@@ -348,7 +393,7 @@ def carve(buckets: np.ndarray, hot, sizes: Sizes):
             bodies.append(group.data[spans_of(p, size)])
             hashes.append(h)
         h, meta, body = np.concatenate(hashes), np.concatenate(metas), np.concatenate(bodies)
-        order, keys, first = grouped(buckets[(h % U(len(buckets))).astype(np.int64)])
+        order, keys, first = grouped(buckets.of(h))
         cuts = np.append(first, len(order)).tolist()
         starts, size = (np.cumsum(meta[:, 6]) - meta[:, 6])[order], meta[order, 6]
         body, meta = body[spans_of(starts, size)], np.ascontiguousarray(meta[order])
@@ -358,7 +403,7 @@ def carve(buckets: np.ndarray, hot, sizes: Sizes):
         single = np.concatenate(windows)
         new = earliest(single)
         mine = single[new]
-        order, keys, first = grouped(buckets[(mine[:, 0].view(U) % U(len(buckets))).astype(np.int64)])
+        order, keys, first = grouped(buckets.of(np.ascontiguousarray(mine[:, 0]).view(U)))
         cuts = np.append(first, len(order)).tolist()
         for k, i, j in zip(keys.tolist(), cuts[:-1], cuts[1:], strict=True):
             rows.setdefault(k, [None, None, None])[2] = mine[order[i:j]].tobytes()
@@ -463,30 +508,34 @@ def surroundings(meta: np.ndarray, body: np.ndarray, ends: np.ndarray) -> Level:
 def index(sizes: Sizes):
     """Step 3: pieces of a bucket, through the family, to runs of repeated windows (id, tie, from, to) per group of documents."""
 
-    def run(batches):
-        metas, bodies, windows, out = [], [], [], []
-        for b in batches:
-            yield b.filter(pa.array(np.asarray(b.column(0)) == TELL)).select(["key", "a"])
-            for kind, m, t, w in zip(*(c.to_pylist() for c in (b.column(0), *b.columns[2:])), strict=True):
-                if kind == PIECE and m:
-                    metas.append(np.frombuffer(m, np.int64).reshape(-1, 7))
-                    bodies.append(np.frombuffer(t, np.uint8))
-                if kind == PIECE and w:
-                    windows.append(np.frombuffer(w, np.int64).reshape(-1, 6))
+    def repeated(metas, bodies, windows):
+        out = []
         if windows:
             single = np.concatenate(windows)
             again = ~earliest(single)
             if again.any():
                 out.append(runs_of(single[again]))
-            del windows, single
         if metas:
-            meta, body = np.concatenate(metas), np.concatenate(bodies)
-            del metas, bodies
-            out += indexed(meta, body, sizes)
+            out += indexed(np.concatenate(metas), np.concatenate(bodies), sizes)
         if out:
             # one row per group of documents
             yield in_rows(REPEATED, *(np.concatenate(x) for x in zip(*out, strict=True))).select(["key", "a"])
 
+    def run(batches):
+        metas, bodies, windows = [], [], []
+        for _, b, ends in by_key(batches, "key"):
+            if b is not None:
+                yield b.filter(pa.array(np.asarray(b.column(0)) == TELL)).select(["key", "a"])
+                for kind, m, t, w in zip(*(c.to_pylist() for c in (b.column(0), *b.columns[2:])), strict=True):
+                    if kind == PIECE and m:
+                        metas.append(np.frombuffer(m, np.int64).reshape(-1, 7))
+                        bodies.append(np.frombuffer(t, np.uint8))
+                    if kind == PIECE and w:
+                        windows.append(np.frombuffer(w, np.int64).reshape(-1, 6))
+            if ends:
+                yield from repeated(metas, bodies, windows)
+                metas, bodies, windows = [], [], []
+
     return run
 
 
@@ -565,28 +614,33 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, sizes: Sizes = Size
 
     Kept bytes that no longer form a character are left out of ``kept``, not out of the hash.
     """
+    integer_ids(docs)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # one bucket of hashes, and some groups of documents, per partition
-    buckets, groups = (even_keys(docs.sparkSession, partitions, n) for n in (1, GROUPS))
-    key_of = lambda ident: F.get(F.split(F.lit(",".join(map(str, groups))), ",").cast("array<bigint>"), F.pmod(F.xxhash64(ident), F.lit(len(groups))).cast("int"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    digest = F.md5(text)
+    digest, tie_of = F.md5(text), lambda d: F.conv(F.substring(d, 1, 15), 16, 10).cast("bigint")
     ident = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID))
-    rows = docs.select(ident.alias("id"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint").alias("tie"), text.alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if with_text else []))
-    rows = rows.withColumn("key", key_of("id"))
-    # copies: digests in small rows only
-    ids = docs.select(ident.alias("id"), digest.alias("digest")).groupBy("digest", "id").agg(F.count(F.lit(1)).alias("n"))
+    # copies, and how much text there is: digests in small rows only
+    ids = stored(docs.select(ident.alias("id"), digest.alias("digest"), F.octet_length(text).alias("bytes")).groupBy("digest", "id").agg(F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes")))
+    total = ids.agg(F.sum(F.col("bytes") * F.col("n"))).first()[0] or 0
+    buckets = shuffle_keys(docs.sparkSession, partitions, max(partitions, -(-total // BUCKET_BYTES)))
+    groups = shuffle_keys(docs.sparkSession, partitions, max(GROUPS * partitions, -(-total // GROUP_BYTES)))
+    rows = docs.select(ident.alias("id"), tie_of(digest).alias("tie"), text.alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if with_text else []))
+    # what is too short to lose anything may be anywhere
+    rows = rows.withColumn("key", F.when(F.octet_length("text") < LENGTH, groups.column(F.monotonically_increasing_id())).otherwise(groups.column("id", "tie")))
     firsts = ids.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    copies = ids.join(rekeyed(firsts, "digest"), "digest").filter("id <> first").select(key_of("id").alias("key"), F.lit(COPY).alias("kind"), "id", F.conv(F.substring("digest", 1, 15), 16, 10).cast("bigint").alias("tie"), F.lit(None).cast("binary").alias("a"))
+    copies = (
+        ids.filter(F.col("bytes") >= LENGTH).join(rekeyed(firsts, "digest"), "digest").filter("id <> first")
+        .select("id", tie_of(F.col("digest")).alias("tie")).select(groups.column("id", "tie").alias("key"), F.lit(COPY).alias("kind"), "id", "tie", F.lit(None).cast("binary").alias("a"))
+    )
     # 1
     asked = rows.select("key", "text").mapInArrow(ask(buckets, sizes), "kind int, key bigint, a binary, b binary, c binary")
-    told = checkpointed(asked.repartition(partitions, "key").mapInArrow(answer(sizes), "kind int, key bigint, a binary, b binary"))
-    hot = docs.sparkSession.sparkContext.broadcast(hot_hashes(told, sizes.often, partitions))
+    told = checkpointed(asked.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(answer(sizes), "kind int, key bigint, a binary, b binary"))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_hashes(told, sizes.often, buckets.count))
     message = lambda df, kind: df.select("key", F.lit(kind).alias("kind"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("tie"), "a")
     # 2
     pieces = rows.groupBy("key").cogroup(message(told.filter(F.col("kind") == TELL), TELL).union(copies).groupBy("key")).applyInArrow(carve(buckets, hot, sizes), PIECES)
     # 3
-    found = pieces.repartition(partitions, "key").mapInArrow(index(sizes), "key bigint, a binary")
+    found = pieces.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(index(sizes), "key bigint, a binary")
     # 4
     schema = T.StructType.fromDDL(RESULT)
     if with_text:

@@ -216,6 +216,35 @@ def test_cut_against_brute_force(spark, sizes, monkeypatch):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, plain_cut(in_order(rows))))
 
 
+@pytest.mark.parametrize("partitions", [3, 64])
+def test_cut_in_many_small_groups_and_buckets(spark, partitions, monkeypatch):
+    """As many as the bytes call for, whatever the shuffle partitions; documents without ids and very short ones in any group."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 300)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 500)
+    rows = [(None if i is not None and i % 3 else i, t) for i, t in texts_with_repeats()]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = suffix_dedup.remove_repeats(frame(spark, rows).repartition(6), sizes=suffix_dedup.Sizes(1 << 12, 1 << 14, 40)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, plain_cut(in_order(rows))))
+    with pytest.raises(TypeError, match="integer id"):
+        suffix_dedup.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_window_hashes_tell_bytes_apart():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 3, 4000).astype(np.uint8)
+    at = np.arange(len(data) - suffix_dedup.LENGTH + 1)
+    for h in suffix_dedup.window_hashes(data, at):
+        assert len(np.unique(h)) == len({data[a : a + suffix_dedup.LENGTH].tobytes() for a in at})
+    for place in range(suffix_dedup.LENGTH):
+        other = data.copy()
+        other[place] ^= 1
+        assert (suffix_dedup.window_hashes(other, at[:1]) != suffix_dedup.window_hashes(data, at[:1])).all()
+
+
 def test_family_has_few_levels():
     rng = np.random.default_rng(5)
     family = suffix_dedup.Family()
