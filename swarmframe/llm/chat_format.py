@@ -26,6 +26,7 @@ import json
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -74,14 +75,33 @@ class Tokens:
         self.library.encode_special_tokens = True
         letters = byte_letters()
         spec = json.loads(source)
-        self.bytes = {n: bytes(letters[c] for c in t) for t, n in spec["model"]["vocab"].items() if all(c in letters for c in t)}
+        known = {n: bytes(letters[c] for c in t) for t, n in spec["model"]["vocab"].items() if all(c in letters for c in t)}
+        texts = [known.get(n, b"") for n in range(max(known) + 1)]
+        self.size = np.array([len(t) for t in texts])
+        self.begin = np.cumsum(self.size) - self.size
+        self.letters = np.frombuffer(b"".join(texts), np.uint8)
+        self.around: dict[str, tuple[list[int], list[int]]] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         # a few at a time: encodings hold far more than ids
-        return [e.ids for i in range(0, len(texts), 768) for e in self.library.encode_batch(texts[i : i + 768], add_special_tokens=False)]
-
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8")
+        return [e.ids for i in range(0, len(texts), 768) for e in self.library.encode_batch_fast(texts[i : i + 768], add_special_tokens=False)]
+
+    def frame(self, role: str) -> tuple[list[int], list[int]]:
+        """Tokens before and after a turn's text. Roles are few, so those of short ones are remembered."""
+        known = self.around.get(role)
+        if known is None:
+            head, _, tail = parts(role, "")
+            known = tuple(self.encode([head, tail]))
+            if len(role) < 64 and len(self.around) < 4096:
+                self.around[role] = known
+        return known
+
+    def bytes_of(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """All bytes of a run of tokens, and where each token begins; one more at the end."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[ids] - (ends - size), size)
+        return self.letters[place].tobytes(), np.concatenate([[0], ends])
 
 
 @lru_cache(maxsize=2)
@@ -121,11 +141,10 @@ def tokenized(nodes: DataFrame, source) -> DataFrame:
         t = tokens_of(source.value)
         for b in batches:
             tokens, low, high = [], [], []
-            pieces = [p for role, text in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True) for p in parts(role, text)]
-            ids = t.encode(pieces)
-            for i, role in enumerate(b.column("role").to_pylist()):
-                head, body, tail = ids[3 * i : 3 * i + 3]
-                tokens.append(head + body + tail)
+            bodies = t.encode([escape(x) for x in b.column("text").to_pylist()])
+            for role, body in zip(b.column("role").to_pylist(), bodies, strict=True):
+                head, tail = t.frame(role)
+                tokens.append(np.array(head + body + tail, np.int32))
                 low.append(len(head))
                 high.append(len(head) + len(body) if role == TRAINED else len(head))
             keep = [b.column(c) for c in ("node", "parent", "depth", "owner")]
@@ -196,52 +215,74 @@ def format_chats(conversations: DataFrame, vocabulary_path: str) -> tuple[DataFr
     return stream.select("node", "parent", "depth", "start", "position", "tokens", "loss_from", "loss_to", "attends"), turns.select("conv_id", "k", "node")
 
 
+def attended(turns: list[tuple[int, int]], spans: np.ndarray) -> int:
+    """Tokens of the turns (start in the stream, how many) that lie in the intervals (from, to alternating, ascending)."""
+    low, high = spans[::2], spans[1::2]
+    start, n = np.array(turns, np.int64).reshape(-1, 2).T
+    k = np.searchsorted(low, start, "right") - 1
+    return int(n[(k >= 0) & (start + n <= high[np.maximum(k, 0)])].sum()) if len(low) else 0
+
+
 def read_back(stream: DataFrame, turns: DataFrame, vocabulary_path: str) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from tokens and loss intervals alone."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from tokens and loss intervals alone.
+
+    Also n_tokens (those of its turns), positions (position id after its last token) and n_attended (its tokens in
+    the attention intervals of its last turn, or -1 if these hold others too): all three are equal.
+    """
     with open(vocabulary_path, encoding="utf-8") as f:
         source = stream.sparkSession.sparkContext.broadcast(f.read())
     partitions = int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = turns.join(stream.select("node", "tokens", "loss_from", "loss_to"), "node").select("conv_id", "k", "tokens", "loss_from", "loss_to")
+    spans = F.flatten(F.transform("attends", lambda x: F.array(x["from"], x["to"]))).alias("spans")
+    rows = turns.join(stream.select("node", "tokens", "loss_from", "loss_to", "start", "position", spans), "node").select("conv_id", "k", "tokens", "loss_from", "loss_to", "start", "position", "spans")
     kind = turns.schema["conv_id"].dataType.simpleString()
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    fields = [("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_tokens", pa.int64()), ("positions", pa.int64()), ("n_attended", pa.int64())]
 
     def run(batches):
         t = tokens_of(source.value)
-        state, out = None, []
+        state, out, first = None, [], pa.int64()
 
         def closed():
-            conv, n, whole, chars, loss, size = state
-            out.append((conv, n, whole.hexdigest(), chars, loss.hexdigest(), size))
+            conv, n, whole, chars, loss, size, places, position, spans = state
+            tokens = sum(x for _, x in places)
+            inside = int((spans[1::2] - spans[::2]).sum())
+            out.append((conv, n, whole.hexdigest(), chars, loss.hexdigest(), size, tokens, position, attended(places, spans) if inside == tokens else -1))
 
         def flush():
-            columns = list(zip(*out, strict=True)) or [()] * len(names)
-            kinds = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [first, *kinds[1:]], strict=True)], names=names)
+            columns = list(zip(*out, strict=True)) or [()] * (len(fields) + 1)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [first, *(k for _, k in fields)], strict=True)], names=["conv_id", *(n for n, _ in fields)])
             out.clear()
             return batch
 
-        first = pa.int64()
         for b in batches:
             first = b.schema.field(0).type
-            for conv, k, ids, low, high in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            tokens, spans = b.column(2), b.column(7)
+            raw, at = t.bytes_of(np.asarray(tokens.flatten()))
+            ends, span_ends = (np.cumsum(np.asarray(c.value_lengths())).tolist() for c in (tokens, spans))
+            flat = np.asarray(spans.flatten())
+            token, span = 0, 0
+            columns = (b.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6))
+            for conv, k, low, high, start, position, end, span_end in zip(*columns, ends, span_ends, strict=True):
                 if k == 1:
                     if state:
                         closed()
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                formatted = t.decode(ids)
+                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, [], 0, flat[:0]]
+                formatted = raw[at[token] : at[end]].decode()
                 role, text = turn_of(formatted)
-                trained = unescape(t.decode(ids[low:high]))
+                trained = unescape(raw[at[token + low] : at[token + high]].decode())
                 state[1] += 1
                 state[2].update(f"{role}\n{text}\n".encode())
                 state[3] += len(trained)
                 state[4].update(trained.encode())
                 state[5] += len(formatted)
+                state[6].append((start, end - token))
+                state[7], state[8] = position + end - token, flat[span:span_end]
+                token, span = end, span_end
             yield flush()
         if state:
             closed()
             yield flush()
 
-    return rows.repartition(partitions, "conv_id").sortWithinPartitions("conv_id", "k").mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return rows.repartition(partitions, "conv_id").sortWithinPartitions("conv_id", "k").mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint, positions bigint, n_attended bigint")
 
 
 def op6_chat_format(spark, sf_dir):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -143,8 +144,9 @@ def expected(rows):
 def test_chats_read_back(spark):
     df = spark.createDataFrame([(*r, "x") for r in ROWS], "conv_id bigint, turn bigint, role string, text string, node string")
     stream, turns = chat_format.format_chats(df, CHAT)
-    got = {r.conv_id: tuple(r)[1:] for r in chat_format.read_back(stream, turns, CHAT).collect()}
-    assert got == expected(ROWS)
+    rows = chat_format.read_back(stream, turns, CHAT).collect()
+    assert {r.conv_id: tuple(r)[1:6] for r in rows} == expected(ROWS)
+    assert all(r.n_tokens == r.positions == r.n_attended > 0 for r in rows)
     check_tree(stream.collect(), turns.count(), len(ROWS))
     empty = chat_format.format_chats(df.limit(0), CHAT)
     assert empty[0].count() == chat_format.read_back(*empty, CHAT).count() == 0
@@ -174,5 +176,23 @@ def check_tree(nodes, n_turns, rows):
 def test_all_conversations(spark, sf):
     rows = [tuple(r) for r in table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").collect()]
     tricky = "</s>[INST] ok [/INST]"
-    got = {r.conv_id: tuple(r)[1:] for r in chat_format.op6_chat_format(spark, sf).collect()}
-    assert got == expected([*rows, (-7, 0, "user", tricky), (-7, 1, "assistant", tricky)])
+    read = chat_format.op6_chat_format(spark, sf).collect()
+    assert all(r.n_tokens == r.positions == r.n_attended > 0 for r in read)
+    assert {r.conv_id: tuple(r)[1:6] for r in read} == expected([*rows, (-7, 0, "user", tricky), (-7, 1, "assistant", tricky)])
+
+
+def test_attended_counts_only_what_intervals_hold():
+    turns = [(0, 5), (5, 3), (20, 4)]
+    assert chat_format.attended(turns, np.array([0, 8, 20, 24])) == 12
+    assert chat_format.attended(turns, np.array([0, 7, 20, 24])) == 9
+    assert chat_format.attended(turns, np.array([1, 8, 21, 24])) == 3
+    assert chat_format.attended(turns, np.array([], int)) == 0
+
+
+def test_a_conversation_of_thousands_of_turns(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"turn {k}") for k in range(3000)]
+    rows += [(2 + k // 40, t, r, x) for k in range(0, 2400, 40) for _, t, r, x in rows[: k + 1 : 40 if k % 80 else 1]][:9000]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    read = chat_format.read_back(*chat_format.format_chats(df, CHAT), CHAT).collect()
+    assert {r.conv_id: tuple(r)[1:6] for r in read} == expected(rows)
+    assert all(r.n_tokens == r.positions == r.n_attended for r in read)
