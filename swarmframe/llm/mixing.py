@@ -1,16 +1,20 @@
 """Mixing sources to target weights by hash-random keys and distributed prefix sums.
 
-Each document gets a random key from its id. Within its source, keys are cut into
+Each document gets a random key from its id and text. Within its source, keys are cut into
 ranges of equal width (about ``ROWS_PER_RANGE`` documents each, so a hot source is
 many ranges and no task holds more), sorted inside each range, and a document's
 prefix sum is the total of the earlier ranges plus the running sum in its own. A
 source takes whole epochs while its budget lasts and then the documents, in key
 order, up to the exact word at which the budget ends.
 
-Edge cases: a null text has size 0; null is a source of its own, ordered last; an
-empty source or corpus takes nothing; equal keys (repeated ids) are ordered by
-size, and rows equal in all of these share the budget in either order. Extra
-columns are not read. Reruns agree because nothing depends on partition numbers.
+Sources are ranked, and their targets found, in one small window of one row per source (a few million sources at
+most; a column of urls is no source).
+
+Edge cases: a null text has size 0, one of any length is counted whole; null is a source of its own, ordered last; an
+empty source or corpus takes nothing; any number of documents may have a null or the same id, as their texts
+part their keys; rows equal in id and text share the budget in either order. Extra
+columns are not read, or carried, but for those named size, source_size, target or taken, which the
+mix's own replace. Reruns agree because nothing depends on partition numbers.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, word_count
+from .common import checkpointed, rekeyed, table, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -66,16 +70,19 @@ def taken_words(size: Column, prefix: Column, budget: Column, source_size: Colum
     return (turns * size + F.greatest(F.lit(0), F.least(size, budget - turns * source_size - prefix))).cast("long")
 
 
+def random_key(seed: str) -> Column:
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
+
+
 def mix(docs: DataFrame, seed: str = "mix-1", weights=WEIGHTS, share: float = SHARE, epochs: int = MAX_EPOCHS, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each document, and the source."""
-    sizes = checkpointed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    """doc_id, size, source_size, target, taken of each document, and the source and random key."""
+    sizes = checkpointed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), random_key(seed).alias("key")))
     stats = checkpointed(source_targets(sizes, weights, share, epochs, rows_per_range))
     small = stats.count() <= BROADCAST_SOURCES
     s = (F.broadcast if small else lambda x: x)(stats.withColumnRenamed("source", "__s"))
     unit = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     keyed = (
-        sizes.withColumn("key", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-        .join(s, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+        sizes.join(s, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
         .withColumn("rng", F.floor(unit * F.col("ranges") / F.lit(1 << 32)).cast("long"))
     )
     totals = keyed.groupBy("sid", "rng").agg(F.sum("size").alias("t"))
@@ -85,29 +92,27 @@ def mix(docs: DataFrame, seed: str = "mix-1", weights=WEIGHTS, share: float = SH
         keyed.withColumn("run", F.sum("size").over(inside) - F.col("size"))
         .join(earlier, ["sid", "rng"])
         .select(
-            "doc_id", "source", "size", "source_size", "target",
+            "doc_id", "source", "key", "size", "source_size", "target",
             taken_words(F.col("size"), F.col("earlier") + F.col("run"), F.floor("target"), F.col("source_size")).alias("taken"),
         )
     )
 
 
-def in_the_mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` of which the mix takes something, with size, source_size, target and taken.
-
-    Rows that agree in doc_id, source and size are told apart by their texts.
-    """
+def in_the_mix(docs: DataFrame, seed: str = "mix-1", **options) -> DataFrame:
+    """The rows of ``docs`` of which the mix takes something, with size, source_size, target and taken."""
     own = ["size", "source_size", "target", "taken"]
     carried = [c for c in docs.columns if c not in own]
+    # rows that are equal in id, text and source are one row here, with the words taken of each of them
     takes = (
-        mix(docs, **options).filter("taken > 0").groupBy("doc_id", "source", "size")
-        .agg(F.sort_array(F.collect_list("taken"), asc=False).alias("takes"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-        .select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("size"), "takes", "source_size", "target")
+        mix(docs, seed, **options).filter("taken > 0").groupBy("key", "source")
+        .agg(F.sort_array(F.collect_list("taken"), asc=False).alias("takes"), *[F.first(c).alias(c) for c in own[:3]])
+        .select("key", F.col("source").alias("s"), "takes", *own[:3])
     )
     # the row travels as one column, so its columns may have any name
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col("doc_id").alias("i"), F.col("source").alias("o"), word_count(F.col("text")).alias("n"))
-    joined = rows.join(takes, F.col("i").eqNullSafe(F.col("d")) & F.col("o").eqNullSafe(F.col("s")) & (F.col("n") == F.col("size")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), random_key(seed).alias("k"), F.col("source").alias("o"))
+    joined = rows.join(rekeyed(takes, "key"), (F.col("k") == F.col("key")) & F.col("o").eqNullSafe(F.col("s")))
     alone = joined.filter(F.size("takes") == 1).withColumn("taken", F.col("takes")[0])
-    nth = F.row_number().over(Window.partitionBy("d", "s", "size").orderBy(F.md5(F.coalesce(F.col("row")["text"], F.lit("")))))
+    nth = F.row_number().over(Window.partitionBy("k", "s").orderBy(F.col("size")))
     several = joined.filter(F.size("takes") > 1).withColumn("taken", F.get("takes", nth - 1)).filter("taken is not null")
     return alone.unionByName(several).select(*[F.col("row")[c].alias(c) for c in carried], *own)
 
@@ -119,7 +124,7 @@ def op7_source_mixing(spark, sf_dir):
 OP7_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 stats AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS sid FROM sizes GROUP BY source),
 weighed AS (

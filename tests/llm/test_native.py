@@ -49,18 +49,26 @@ def test_urls_against_plain_python(spark):
     assert got == {i: plain_verdict(u, url_filter.RULES) for i, u in enumerate(URLS)}
 
 
-def test_long_lists_and_their_join_agree(spark):
+def test_long_lists_in_one_or_several_parts(spark):
     rng = random.Random(2)
     hosts = [f"h{i}.{rng.choice(['com', 'net', 'org'])}" for i in range(300)]
     rules = [(rng.choice(["allow", "block"]), h + rng.choice(["/", "/en/", "/a"])) for h in hosts]
     urls = [f"http://{rng.choice(['', 'www.', 'a.b.'])}{rng.choice(hosts)}{rng.choice(['/', '/en/1', '/ab', ''])}" for _ in range(1500)]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
     want = {i: plain_verdict(u, rules) for i, u in enumerate(urls)}
-    for limit in (url_filter.MAX_FILTER_BYTES, 1):
+    assert url_filter.parts_of(rules, 3000, 200) > 2
+    for limit in (url_filter.MAX_FILTER_BYTES, 200):
         got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df, rules, max_bytes=limit).collect()}
         assert got == want
 
 
+def test_urls_that_are_long_or_repeated_or_without_id(spark):
+    long = "h://b.net/fr/" + "x" * 200_000
+    rows = [(None, long), (None, "h://a.com/"), (1, long), (1, long), (2, "h://" + "a." * 5000 + "example.com/en/")]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string")).collect()
+    assert sorted((r.page_id or 0, r.rule, r.verdict, len(r.path)) for r in got) == [(0, "com/", "allow", 1), (0, "net/fr/", "block", 200_004), *[(1, "net/fr/", "block", 200_004)] * 2, (2, "example.com/en/", "block", 4)]
+
+
 def test_cascade_is_exact_with_several_levels(spark):
     universe = spark.range(20000).select(F.col("id").cast("string").alias("key"))
     listed = universe.filter("key % 3 = 0")
@@ -114,6 +122,17 @@ def test_mix_meets_targets(spark):
     assert sorted(r.taken for r in kept.collect()) == sorted(r.taken for r in got if r.taken)
 
 
+def test_mix_of_documents_without_ids_and_of_very_long_ones(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(None, f"{k} " + "w " * rng.randrange(50), "en", rng.choice("ab"), 0) for k in range(400)] + [(None, "same", "en", "a", 0)] * 9 + [(1, "long " * 400_000, "en", "c", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    whole = mixing.in_the_mix(df, rows_per_range=32)
+    assert sorted(r.taken for r in whole.collect()) == sorted(r.taken for r in mixing.mix(df, rows_per_range=32).collect() if r.taken)
+    # sources too many to broadcast are joined by a shuffle
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mixing.in_the_mix(df, rows_per_range=32).collect())) == sorted(map(str, whole.collect()))
+
+
 def test_mix_carries_columns_with_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b", "s", "old", 7), (2, "c", "s", "old", 8)], "doc_id bigint, text string, source string, taken string, __size bigint")
     out = mixing.in_the_mix(df)
