@@ -6,7 +6,8 @@ rows sums its normal equations, the sums are added up, and the driver solves one
 system of fixed size. Raw scores become probabilities by isotonic regression on
 labelled rows that the ridge fit has not seen, summed up in bins of raw score.
 
-Edge cases: a null text counts as empty; equal texts get equal scores; labels
+Edge cases: a null text counts as empty, and texts of any length are described whole; equal texts get equal scores; a score
+of exactly the threshold is predicted 1; each text of a labelled id teaches, if several share it; ids may be of any type; labels
 that are null, or given twice with different values, teach nothing; without
 usable labels of both kinds every score is the mean label, or 0.5; an empty table
 gives an empty result. Columns other than doc_id and text are not read.

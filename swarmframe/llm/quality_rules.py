@@ -7,8 +7,9 @@ documents, a document that few random splits isolate is anomalous, and the
 anomaly score from which documents go is calibrated on the labelled rows.
 
 Edge cases: a null or empty text has no words and fails the base rule; equal
-texts get equal verdicts; without labelled good rows the base rules alone decide;
-labels that are null, or given twice with different values, teach nothing; an
+texts get equal verdicts, and texts of any length are counted whole; without labelled good rows the base rules alone decide;
+labels that are null, or given twice with different values, teach nothing; of a labelled id with several
+texts the one of least statistics teaches; ids may be of any type; an
 empty table gives an empty result. Extra columns are carried, or not read.
 """
 
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 from .text_stats import COUNTS, RATIOS, batch_stats
@@ -172,10 +174,11 @@ def labelled_sample(labels: DataFrame, column: str = "quality", limit: int = MAX
 
 def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Rules:
     """Fit on the bounded labelled sample; ids (at most ``limit``) go out, their statistics come back."""
-    sample = labelled_sample(labels, limit=limit).toPandas()
-    ids = docs.sparkSession.createDataFrame([(int(i),) for i in sample["doc_id"]], "doc_id bigint")
-    rows = stats_frame(docs.join(F.broadcast(ids), "doc_id", "left_semi")).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    known = dict(zip(sample["doc_id"], sample["good"], strict=True))
+    sample = labelled_sample(labels, limit=limit)
+    known = {r["doc_id"]: r["good"] for r in sample.collect()}
+    ids = docs.sparkSession.createDataFrame([(i,) for i in known], T.StructType([sample.schema["doc_id"]]))
+    # of an id with several texts the one of least statistics, wherever the rows lie
+    rows = stats_frame(docs.join(F.broadcast(ids), "doc_id", "left_semi")).groupBy("doc_id").agg(F.min(F.struct("counts", "ratios")).alias("s")).select("doc_id", "s.*").toPandas().sort_values("doc_id")
     counts = np.array([list(x) for x in rows["counts"]], np.int64).reshape(len(rows), len(COUNTS))
     ratios = np.array([list(x) for x in rows["ratios"]], np.float64).reshape(len(rows), len(RATIOS))
     return fit(counts, ratios, np.array([bool(known[i]) for i in rows["doc_id"]], bool))

@@ -1,6 +1,7 @@
 """Quality rules and the quality classifier: counts against plain code, verdicts on labelled rows, edge cases."""
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -128,3 +129,105 @@ def test_cosines_approximate_the_kernel():
     phi = quality_model.Cosines.draw(np.zeros(5), np.ones(5), 8192)(x)[:, :-1]
     exact = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / 2 / quality_model.WIDTH**2)
     assert np.abs(phi @ phi.T - exact).max() < 0.06
+
+
+def plain_path(forest, row, at, depth=0):
+    """Edges from a node to a leaf, and what the leaf's size adds, one row at a time."""
+    if forest.feature[at] < 0:
+        return float(forest.depth[at])
+    child = forest.child[at] + (1 if row[forest.feature[at]] > forest.cut[at] else 0)
+    return plain_path(forest, row, child, depth + 1)
+
+
+def plain_tree(x, rng, margin, depth=0):
+    """An isolation tree grown by recursion on its own draws: (feature, cut, left, right) or a leaf's path length."""
+    if depth >= quality_rules.MAX_DEPTH or len(x) < 2:
+        return depth + float(quality_rules.average_path(len(x)))
+    f = int(rng.integers(x.shape[1]))
+    cut = rng.uniform(x[:, f].min() - margin, x[:, f].max() + margin)
+    left = x[:, f] <= cut
+    return f, cut, plain_tree(x[left], rng, margin, depth + 1), plain_tree(x[~left], rng, margin, depth + 1)
+
+
+def plain_depth(tree, row):
+    while isinstance(tree, tuple):
+        f, cut, left, right = tree
+        tree = left if row[f] <= cut else right
+    return tree
+
+
+def test_forest_scores_against_recursion():
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 0.3, (400, 5))
+    forest = quality_rules.grow_forest(x, trees=60)
+    rows = np.concatenate([x[:30], rng.normal(0, 2, (60, 5))])
+    expected = 2 * (np.log(forest.sample - 1) + np.euler_gamma) - 2 * (forest.sample - 1) / forest.sample
+    plain = [2 ** (-np.mean([plain_path(forest, r, root) for root in forest.roots]) / expected) for r in rows]
+    assert forest.score(rows) == pytest.approx(plain)
+    # trees grown apart, with other draws, order the rows alike
+    trees = [plain_tree(x[rng.choice(len(x), forest.sample, replace=False)], rng, quality_rules.MARGIN) for _ in range(600)]
+    other = [2 ** (-np.mean([plain_depth(t, r) for t in trees]) / expected) for r in rows]
+    assert np.corrcoef(forest.score(rows), other)[0, 1] > 0.95
+
+
+def test_threshold_against_all_cuts():
+    rng = np.random.default_rng(6)
+    counts = np.full((900, len(text_stats.COUNTS)), 100)
+    counts[:, 4] = 0
+    good = rng.random(900) < 0.7
+    ratios = np.abs(rng.normal(0.3, 0.05, (900, len(text_stats.RATIOS)))) + (~good & (rng.random(900) < 0.8))[:, None] * 0.4
+    rules = quality_rules.fit(counts, ratios, good, max_good_lost=0.01)
+    s = rules.anomaly(ratios)
+    cost = lambda c: (np.mean(s[good] > c) if np.mean(s[good] > c) <= 0.01 else np.inf) + np.mean(s[~good] <= c)
+    assert cost(rules.threshold) == pytest.approx(min(cost(c) for c in s))
+
+
+def test_verdicts_do_not_depend_on_partitions(spark, labelled):
+    docs, labels = table(spark, labelled, "documents"), table(spark, labelled, "labels")
+    twice = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1))
+    a, b = (quality_rules.learn(twice.repartition(n), labels) for n in (3, 7))
+    assert a.threshold == b.threshold and (a.low == b.low).all() and (a.high == b.high).all()
+    as_text = quality_rules.learn(docs.withColumn("doc_id", F.col("doc_id").cast("string")), labels.withColumn("doc_id", F.col("doc_id").cast("string")))
+    assert as_text.forest is not None
+
+
+def plain_isotonic(y, w):
+    """Largest mean of what ends here of the least means of what begins earlier."""
+    mean = lambda i, j: np.average(y[i : j + 1], weights=w[i : j + 1])
+    return [max(min(mean(i, j) for j in range(k, len(y))) for i in range(k + 1)) for k in range(len(y))]
+
+
+def test_scores_against_a_dense_fit(spark, labelled):
+    """The same statistics on one machine: least squares over stacked rows, plain isotonic means, interpolation."""
+    docs, labels = table(spark, labelled, "documents").limit(700).toPandas(), table(spark, labelled, "labels").toPandas()
+    known = labels.dropna(subset=["quality"]).groupby("doc_id").quality.agg(["min", "max"])
+    known = known[known["min"] == known["max"]]["min"]
+    x = quality_model.inputs(*text_stats.batch_stats(docs.text.tolist()))
+    part = np.array([zlib.crc32(str(i).encode()) % 4 for i in docs.doc_id])
+    y = docs.doc_id.map(known).to_numpy(float)
+    fit, held = ~np.isnan(y) & (part < 2), ~np.isnan(y) & (part == 3)
+    mean, scale = x[fit].mean(0), x[fit].std(0)
+    cosines = quality_model.Cosines.draw(mean, scale)
+    phi = cosines(x)
+    ridge = np.sqrt([quality_model.RIDGE * fit.sum()] * quality_model.FEATURES + [1e-9 * fit.sum()])
+    beta = np.linalg.lstsq(np.concatenate([phi[fit], np.diag(ridge)]), np.concatenate([y[fit], np.zeros(len(ridge))]), rcond=None)[0]
+    raw, bins = phi @ beta, quality_model.BINS
+    at = np.clip(((raw[held] + 0.5) / 2 * bins).astype(int), 0, bins - 1)
+    used = np.unique(at)
+    n = np.array([(at == b).sum() for b in used])
+    share = np.array([(y[held][at == b].sum() + 0.5 * y[fit].mean()) / ((at == b).sum() + 0.5) for b in used])
+    want = np.clip(np.interp(raw, (used + 0.5) / bins * 2 - 0.5, plain_isotonic(share, n)), 0, 1)
+    got = quality_model.classify(spark.createDataFrame(docs[["doc_id", "text"]]), table(spark, labelled, "labels")).toPandas().set_index("doc_id").score
+    assert got.loc[docs.doc_id].to_numpy() == pytest.approx(want, abs=1e-6)
+
+
+def test_very_long_texts_and_ties(spark, labelled):
+    rng = np.random.default_rng(3)
+    long = " ".join(f"w{i}" for i in rng.integers(0, 5000, 300_000))
+    docs = spark.createDataFrame([(1, long), (2, long), (3, None)], "doc_id bigint, text string")
+    labels = table(spark, labelled, "labels")
+    rules = quality_rules.learn(table(spark, labelled, "documents"), labels)
+    rows = {r.doc_id: r for r in quality_rules.judge(docs, rules).collect()}
+    assert rows[1][1:] == rows[2][1:] and rows[1].n_words == 300_000
+    scores = {r.doc_id: r.score for r in quality_model.classify(docs.union(table(spark, labelled, "documents").filter("doc_id > 3").select("doc_id", "text")), labels).collect()}
+    assert scores[1] == scores[2]
