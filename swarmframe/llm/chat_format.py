@@ -45,11 +45,11 @@ _unescape = re.compile("|".join(rf"({re.escape(c[0])})(\\+)({re.escape(c[1:])})"
 
 
 def escape(text: str) -> str:
-    return _escape.sub(lambda m: m[0][0] + "\\" + m[0][1:], text)
+    return _escape.sub(lambda m: m[0][0] + "\\" + m[0][1:], text) if "<" in text or "[" in text else text
 
 
 def unescape(text: str) -> str:
-    return _unescape.sub(lambda m: m[0][0] + m[0][2:], text)
+    return _unescape.sub(lambda m: m[0][0] + m[0][2:], text) if "\\" in text else text
 
 
 def parts(role: str, text: str) -> tuple[str, str, str]:
@@ -257,26 +257,28 @@ def read_back(stream: DataFrame, turns: DataFrame, vocabulary_path: str) -> Data
             first = b.schema.field(0).type
             tokens, spans = b.column(2), b.column(7)
             raw, at = t.bytes_of(np.asarray(tokens.flatten()))
-            ends, span_ends = (np.cumsum(np.asarray(c.value_lengths())).tolist() for c in (tokens, spans))
-            flat = np.asarray(spans.flatten())
-            token, span = 0, 0
-            columns = (b.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6))
-            for conv, k, low, high, start, position, end, span_end in zip(*columns, ends, span_ends, strict=True):
+            n, span_ends = np.asarray(tokens.value_lengths()).astype(np.int64), np.cumsum(np.asarray(spans.value_lengths())).tolist()
+            begin = np.cumsum(n) - n
+            # in bytes: a turn, and what of it is trained on
+            places = (at[begin + x].tolist() for x in (0, n, np.asarray(b.column(3)), np.asarray(b.column(4))))
+            flat, span = np.asarray(spans.flatten()), 0
+            columns = (b.column(i).to_pylist() for i in (0, 1, 5, 6))
+            for conv, k, start, position, size, first_byte, last_byte, low, high, span_end in zip(*columns, n.tolist(), *places, span_ends, strict=True):
                 if k == 1:
                     if state:
                         closed()
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, [], 0, flat[:0]]
-                formatted = raw[at[token] : at[end]].decode()
+                formatted = raw[first_byte:last_byte].decode()
                 role, text = turn_of(formatted)
-                trained = unescape(raw[at[token + low] : at[token + high]].decode())
+                trained = unescape(raw[low:high].decode())
                 state[1] += 1
                 state[2].update(f"{role}\n{text}\n".encode())
                 state[3] += len(trained)
                 state[4].update(trained.encode())
                 state[5] += len(formatted)
-                state[6].append((start, end - token))
-                state[7], state[8] = position + end - token, flat[span:span_end]
-                token, span = end, span_end
+                state[6].append((start, size))
+                state[7], state[8] = position + size, flat[span:span_end]
+                span = span_end
             yield flush()
         if state:
             closed()
