@@ -11,9 +11,11 @@ needed and kept.
 
 White space always parts words, so what a chunk of text does to a running count is
 fully described by its unfinished first word, the tokens of its complete words and
-its unfinished last word. These chunk maps compose associatively; long texts are cut
-into chunks whose maps are combined by a prefix scan, which also tells how many
-tokens precede each chunk.
+its unfinished last word. These chunk maps compose associatively. Long texts are cut
+into chunks whose maps are composed pairwise in a tree: the scan's up-sweep, whose root is all that a count needs.
+``chunk_offsets`` runs the whole prefix scan, which tells how many tokens are complete before each chunk.
+A chunk map keeps its unfinished words as text rather than as transducer states, so a text without any white space is
+walked in one piece.
 
 Edge cases: a null or empty text has no bytes and no tokens; special strings inside
 a text are one token each, as is the library's default; equal texts and repeated
@@ -23,6 +25,7 @@ rows get equal counts. Columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -206,7 +209,9 @@ class Counter(dict):
         self.library = Tokenizer.from_str(source)
         self.transducer = Transducer(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
         self.letters = byte_letters()
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]))
+        specials = [t["content"] for t in spec["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, specials)) or "(?!)")
+        self.mark = os.path.commonprefix(specials)
         letter, number = plain_class("L"), plain_class("N")
         white = "".join(re.escape(chr(c)) for c in range(PLAIN) if chr(c).isspace() and not 0x1C <= c <= 0x1F)
         self.parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{white}{letter}{number}]+")
@@ -223,7 +228,7 @@ class Counter(dict):
     def tokens(self, text: str) -> int:
         """Tokens of any text, without a cut at white space."""
         count = self.transducer.count
-        segments = self.special.split(text) if "<|" in text else [text]
+        segments = self.special.split(text) if self.mark in text else [text]
         return len(segments) - 1 + sum(count(p) for s in segments if s for p in self.pieces(s))
 
     def __missing__(self, word: str) -> int:
@@ -278,6 +283,13 @@ def prefix_scan(maps: list[ChunkMap], counter: Counter) -> list[ChunkMap]:
     return out
 
 
+def chunk_offsets(text: str, counter: Counter, chunk: int = CHUNK) -> list[int]:
+    """Tokens of the words that are complete before each chunk, and of the whole text."""
+    scanned = prefix_scan([chunk_map(text[i : i + chunk], counter) for i in range(0, len(text), chunk)], counter)
+    closed = lambda m: m.inner + (counter[m.head] if m.head and m.tail is not None else 0)
+    return [0, *map(closed, scanned[:-1]), finished(scanned[-1], counter)] if scanned else [0]
+
+
 ODD = re.compile("[\x1c-\x1f]")  # Python parts words here, the tokenizer does not
 
 

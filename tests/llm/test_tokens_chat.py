@@ -101,6 +101,21 @@ def test_token_table(spark, library):
     assert token_counts.count_tokens(df.limit(0), PATH).count() == 0
 
 
+def test_offsets_of_chunks(library):
+    counter = token_counts.counter_of(open(PATH, encoding="utf-8").read())
+    text = "Some words, and some more; " * 40 + "unbroken" * 30 + " end"
+    for chunk in (7, 50, 1000, 10_000):
+        offsets = token_counts.chunk_offsets(text, counter, chunk)
+        assert len(offsets) == -(-len(text) // chunk) + 1
+        assert offsets[-1] == ids(library, text) == token_counts.count_text(text, counter, chunk)
+        for k, n in enumerate(offsets[:-1]):
+            done = text[: k * chunk]
+            if not done.endswith(" "):  # the last word is not complete
+                done = done.rpartition(" ")[0]
+            assert n == ids(library, done)
+    assert token_counts.chunk_offsets("", counter) == [0]
+
+
 def test_documents(spark, sf, library):
     texts = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
     for r in token_counts.op3_token_counts(spark, sf).collect():
