@@ -49,6 +49,7 @@ class Model:
         self._pending: dict[int, dict[str, object]] = {}
         self._agents: DataFrame | None = None
         self._edges: DataFrame | None = None
+        self._by_src: DataFrame | None = None
         self._edges_version = None
         self._settled = False
         self._history: list[tuple[int, DataFrame]] = []
@@ -198,20 +199,38 @@ class Model:
 
     @property
     def edges(self) -> DataFrame:
-        version = getattr(self.space, "version", 0)
+        """src, dst, pos of all links."""
+        return self._links().select("src", "dst", "pos")
+
+    def _links(self) -> DataFrame:
+        """Edges with what never changes of their ``src`` (rank and breed, where a tick asks for them), so that no tick has to look it up."""
+        version = (getattr(self.space, "version", 0), self._built)
         if self._edges is None or self._edges_version != version:
-            self._edges, self._edges_version = self._laid_out(cut(self.space.edges(self.spark))), version
+            edges = self.space.edges(self.spark).select("src", "dst", "pos")
+            if self.workers > 1 or len(self.breeds) > 1:
+                fixed = self.agents.select(F.col("agent_id").alias("src"), F.col("rank").alias("src_rank"), F.col("breed").alias("src_breed"))
+                edges = edges.join(fixed, "src", "left")
+            self._edges, self._edges_version, self._by_src = self._laid_out(cut(edges), "dst"), version, None
         return self._edges
 
-    def _laid_out(self, edges: DataFrame) -> DataFrame:
-        """Edges kept where their ``dst`` hashes to, in order, as agents are by their id: a tick's join then moves nothing.
+    def _links_by_src(self) -> DataFrame:
+        """The same, kept where ``src`` hashes to: for what an agent sends."""
+        links = self._links()
+        if self._by_src is None:
+            self._by_src = self._laid_out(links, "src")
+        return self._by_src
+
+    def _laid_out(self, edges: DataFrame, end: str) -> DataFrame:
+        """Edges kept where one end hashes to, in order, as agents are by their id: a tick's join with that end then moves no edge.
 
-        Not where some agent is read by more than twice a partition's share: then ticks shuffle edges, and adaptive execution splits that agent's.
+        Not where some agent has more than twice a partition's share there: then ticks shuffle edges, and adaptive execution splits that agent's.
         """
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        total, most = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
-        self._settled = bool(total) and most <= 2 * total / n + 1000
-        return cut_in_place(edges.repartition(n, "dst").sortWithinPartitions("dst")) if self._settled else edges
+        total, most = edges.groupBy(end).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+        settled = bool(total) and most <= 2 * total / n + 1000
+        if end == "dst":
+            self._settled = settled
+        return cut_in_place(edges.repartition(n, end).sortWithinPartitions(end)) if settled else edges
 
     def _schema(self) -> T.StructType:
         fields = "agent_id bigint, logical_id bigint, breed int, rank int"
@@ -449,13 +468,15 @@ class Model:
         folds = [f for s in stage for f in s[4]]
         wanted = sorted(set().union(*(s[2].read_of_neighbors for s in stage)))
         own = sorted(set().union(*(s[2].read_of_own for s in stage if s[4])))
-        edges = self.edges
         needs_rank = ghosts is not None and wanted
         if folds:
             breeds = {s[0].index for s in stage if s[4]}
-            if own or needs_rank or len(breeds) < len(self.breeds):
-                mine = frame.filter(F.col("breed").isin(*breeds)) if len(breeds) < len(self.breeds) else frame
-                edges = edges.join(mine.select(F.col("agent_id").alias("src"), F.col("rank").alias("src_rank"), *[F.col(self._column(c)).alias(OWN + c) for c in own]), "src")
+            # an agent's own columns meet its edges where these are kept by src; without them the edges stay where their dst is
+            edges = self._links_by_src() if own else self._links()
+            if len(breeds) < len(self.breeds):
+                edges = edges.filter(F.col("src_breed").isin(*breeds))
+            if own:
+                edges = edges.join(frame.select(F.col("agent_id").alias("src"), *[F.col(self._column(c)).alias(OWN + c) for c in own]), "src")
             seen = frame.select(F.col("agent_id").alias("dst"), F.col("rank").alias("dst_rank"), *[F.col(self._column(c)).alias(NEIGHBOR + c) for c in wanted])
             if needs_rank:
                 old = ghosts.select(F.col("agent_id").alias("dst"), *[F.col(self._column(c)).alias(GHOST + c) for c in wanted])
@@ -471,7 +492,7 @@ class Model:
         for k, (b, _, ctx, _, _) in enumerate(stage):
             if ctx.messages:
                 sender = frame.filter(F.col("breed") == b.index).select(F.col("agent_id").alias("src"), *[F.col(self._column(c)).alias(OWN + c) for c in sorted(ctx.read_of_own)])
-                sent = self.edges.join(sender, "src").groupBy("dst").agg(*[combine(value).alias(f"message__{k}__{n}") for n, (value, combine) in ctx.messages.items()])
+                sent = self._links_by_src().join(sender, "src").groupBy("dst").agg(*[combine(value).alias(f"message__{k}__{n}") for n, (value, combine) in ctx.messages.items()])
                 frame = frame.join(sent.withColumnRenamed("dst", "agent_id"), "agent_id", "left")
         return frame
 
@@ -550,7 +571,7 @@ class Model:
         self._next = (self._agents.agg(F.max("agent_id")).head()[0] or -1) + 1
         space = NetworkSpace()
         space.connect_frame(self.spark.read.parquet(f"{path}/edges"), directed=True)
-        self.space, self._edges, self.is_setup = space, None, True
+        self.space, self._edges, self._by_src, self.is_setup = space, None, None, True
 
 
 def _plain(value) -> float | list[float]:
