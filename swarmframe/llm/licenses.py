@@ -1,14 +1,15 @@
 """Licence scan: Dice coefficient over word bigrams of normalised text.
 
-The units of a document are its lines, its paragraphs (parted by an empty line)
-and the text as a whole. A unit is normalised (lower case, anything but letters
+The units of a document are its lines, its sentences, its paragraphs (parted by an empty line),
+the text as a whole, and the ends of sentences that speak of a licence, as long as the one-line notices. A unit is normalised (lower case, anything but letters
 and digits is one space) and becomes a set of word bigrams. For a threshold t a
 template of b bigrams can reach a unit of a bigrams only if
-``a*t/(2-t) <= b <= a*(2-t)/t``, so most units meet no template at all.
+``a*t/(2-t) <= b <= a*(2-t)/t``, and only if ``a*t/(2-t)`` of the unit's bigrams are in some template at all:
+one set of all templates' bigrams is looked up, and very few units meet the templates themselves.
 
 Edge cases: a null or empty text, and a unit of fewer than two words, has no
-bigrams and matches nothing; of templates with equal Dice the first by name is
-reported; repeated rows each get their row. Columns other than doc_id and text
+bigrams and matches nothing; of several matches the one that shares most bigrams is reported (a licence's whole text before the notice
+that stands in it), of equal ones that of the higher coefficient, then the first by name, and the best other licence found is its runner-up; texts of any length are scanned whole; repeated rows, and rows without an id, each get their row. Columns other than doc_id and text
 are not read.
 """
 
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 THRESHOLD = 0.8
+#: Bounds are this much wider than computed, so that rounding cuts off nothing; the coefficient itself decides.
+EDGE = 1e-9
 
 TEXTS = Path(__file__).parent / "license_texts"
 
@@ -63,41 +66,70 @@ def gnu_only(kind: str, version: str, what: str = "program") -> str:
 #: Notices by which works name their licence, operative paragraphs, and whole texts. A sentence that several
 #: of the licences share (as the first one of the BSD licences) names none of them and stands only within whole texts.
 TEMPLATES = {
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", gnu("Affero General", "3"), gnu_only("Affero General", "3"), whole("AGPL-3.0")],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", whole("AGPL-3.0")],
+    "AGPL-3.0-only": [gnu_only("Affero General", "3")],
+    "AGPL-3.0-or-later": [gnu("Affero General", "3")],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", " ".join(APACHE), *APACHE, whole("Apache-2.0")],
     "BSD-2-Clause": ["Released under the BSD 2-Clause License.", f"{BSD_START} {BSD_END}"],
     "BSD-3-Clause": ["Released under the BSD 3-Clause License.", BSD_NAMES, f"{BSD_START} {BSD_NAMES} {BSD_END}"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "GPL-1.0": [gnu("General", "1"), whole("GPL-1.0")],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", gnu("General", "2"), gnu_only("General", "2"), whole("GPL-2.0")],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", gnu("General", "3"), gnu_only("General", "3"), whole("GPL-3.0")],
+    "GPL-1.0": [whole("GPL-1.0")],
+    "GPL-1.0-or-later": [gnu("General", "1")],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", whole("GPL-2.0")],
+    "GPL-2.0-only": [gnu_only("General", "2")],
+    "GPL-2.0-or-later": [gnu("General", "2")],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", whole("GPL-3.0")],
+    "GPL-3.0-only": [gnu_only("General", "3")],
+    "GPL-3.0-or-later": [gnu("General", "3")],
     "ISC": ["Released under the ISC License.", ISC_GRANT, ISC_END, f"{ISC_GRANT} {ISC_END}"],
-    "LGPL-2.0": [gnu("Library General", "2", "library"), gnu_only("Library General", "2", "library"), whole("LGPL-2.0")],
-    "LGPL-2.1": [gnu("Lesser General", "2.1", "library"), gnu_only("Lesser General", "2.1", "library"), whole("LGPL-2.1")],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", gnu("Lesser General", "3"), gnu_only("Lesser General", "3"), whole("LGPL-3.0")],
+    "LGPL-2.0": [whole("LGPL-2.0")],
+    "LGPL-2.0-only": [gnu_only("Library General", "2", "library")],
+    "LGPL-2.0-or-later": [gnu("Library General", "2", "library")],
+    "LGPL-2.1": [whole("LGPL-2.1")],
+    "LGPL-2.1-only": [gnu_only("Lesser General", "2.1", "library")],
+    "LGPL-2.1-or-later": [gnu("Lesser General", "2.1", "library")],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", whole("LGPL-3.0")],
+    "LGPL-3.0-only": [gnu_only("Lesser General", "3")],
+    "LGPL-3.0-or-later": [gnu("Lesser General", "3")],
     "MIT": ["Released under the MIT License.", MIT_GRANT, MIT_NOTICE, MIT_END, f"{MIT_GRANT} {MIT_NOTICE} {MIT_END}"],
     "MPL-2.0": [MPL, f"{MPL} If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", whole("MPL-2.0")],
     "Unlicense": [*UNLICENSE, " ".join([*UNLICENSE, NO_WARRANTY, MIT_END.removeprefix(NO_WARRANTY).replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS"), "For more information, please refer to <http://unlicense.org/>"])],
 }
 
 
+#: Words of a notice on one line, at most; such notices also stand at the end of longer sentences.
+NOTICE_WORDS = 14
+STOP = "\x01"  # the end of a sentence, in normalised text
+
+
+def template_words(text: str) -> list[str]:
+    return re.sub(r"[\W_]+", " ", text.lower()).split()
+
+
 def template_bigrams(text: str) -> list[str]:
-    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    words = template_words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def notice_lengths(templates: dict[str, list[str]]) -> list[int]:
+    return sorted({n for ts in templates.values() for t in ts for n in [len(template_words(t))] if 1 < n <= NOTICE_WORDS})
+
+
 def normalised(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " "), r" ?\n ?", "\n")
+    ends = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[.!?]+[\"')]*([ \t\n\r\f])", STOP + "$1")
+    return F.regexp_replace(F.regexp_replace(ends, rf"[^\p{{L}}\p{{N}}\n{STOP}]+", " "), r" ?\n ?", "\n")
 
 
-def units(t: Column) -> Column:
-    """Lines, paragraphs and whole of a normalised text, each once."""
-    lines = F.split(t, "\n")
-    blocks = F.transform(F.split(t, "\n\n+"), lambda p: F.replace(p, F.lit("\n"), F.lit(" ")))
-    whole = F.array(F.regexp_replace(t, "\n+", " "))
-    return F.array_distinct(F.transform(F.concat(lines, blocks, whole), lambda u: F.trim(u)))
+def units(t: Column, lengths: list[int]) -> Column:
+    """Lines, sentences, paragraphs and whole of a normalised text, and the ends of sentences that speak of a licence, each once."""
+    plain = lambda x: F.trim(F.regexp_replace(x, rf"[ \n{STOP}]+", " "))
+    blocks = F.split(t, "\n\n+")
+    sentences = F.flatten(F.transform(blocks, lambda p: F.split(p, STOP)))
+    spoken = F.transform(F.filter(sentences, lambda x: F.contains(x, F.lit("licens"))), lambda x: F.split(plain(x), " "))
+    ends = F.flatten(F.transform(spoken, lambda w: F.array(*[F.when(F.size(w) > n, F.array_join(F.slice(w, -n, n), " ")) for n in lengths])))
+    return F.array_distinct(F.concat(F.transform(F.concat(F.split(t, "\n"), sentences, blocks, F.array(t)), plain), F.array_compact(ends)))
 
 
 def bigram_set(words: Column) -> Column:
@@ -105,46 +137,44 @@ def bigram_set(words: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, pairs), F.slice(words, 2, pairs), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
-def best_match(units_: Column, templates: dict[str, list[str]], threshold: float) -> Column:
-    """Struct (dice, name) of the best template at or over the threshold, per unit; null where none is."""
-    prepared = [(name, template_bigrams(t)) for name in sorted(templates) for t in templates[name]]
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    listed = [(name, g) for name, g in prepared if g]
-    bounds = (min(len(g) for _, g in listed) * low, max(len(g) for _, g in listed) * high)
-
-    def score(g: Column) -> Column:
-        found = []
-        for name, t in listed:
-            fixed = F.split(F.lit("\n".join(t)), "\n")
-            both = F.size(F.array_intersect(g, fixed))
-            fits = F.size(g).between(F.lit(len(t) * low), F.lit(len(t) * high))
-            found.append(F.when(fits, F.struct((F.lit(2.0) * both / (F.size(g) + len(t))).alias("dice"), F.lit(name).alias("name"))))
-        return F.filter(F.array_compact(F.array(*found)), lambda s: s["dice"] >= threshold)
-
-    most = int(bounds[1])
+def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, license (null if none), dice, n_matches (unit and template pairs), licenses (all names found), runner_up (the best other name, null if none)."""
+    templates = templates or TEMPLATES
+    listed = [(name, g) for name in sorted(templates) for t in templates[name] if (g := template_bigrams(t))]
+    low, high = threshold / (2 - threshold) - EDGE, (2 - threshold) / threshold + EDGE
+    least, most = min(len(g) for _, g in listed) * low, int(max(len(g) for _, g in listed) * high)
     cut = 3 * most  # words that a long unit is parted into at first; the last of them is its rest
 
     def may_fit(words: Column) -> Column:
         """Exact: a unit has fewer bigrams than words, and no fewer distinct ones than any part of it."""
-        return (F.size(words) > bounds[0]) & ((F.size(words) < cut) | (F.size(bigram_set(F.slice(words, 1, cut - 1))) <= most))
+        return (F.size(words) > least) & ((F.size(words) < cut) | (F.size(bigram_set(F.slice(words, 1, cut - 1))) <= most))
 
-    def whole(words: Column) -> Column:
+    def rest(words: Column) -> Column:
         return F.when(F.size(words) < cut, words).otherwise(F.concat(F.slice(words, 1, cut - 1), F.split(words[cut - 1], " ")))
 
-    parted = F.transform(units_, lambda u: F.split(u, " ", cut))
-    sets = F.filter(F.transform(F.filter(parted, may_fit), lambda w: bigram_set(whole(w))), lambda g: F.size(g).between(F.lit(bounds[0]), F.lit(bounds[1])))
-    return F.flatten(F.transform(sets, score))
-
+    def score(g: Column) -> Column:
+        """Struct (both, dice, name) of the templates that a unit reaches."""
+        found = []
+        for name, t in listed:
+            both = F.size(F.array_intersect(g, F.split(F.lit("\n".join(t)), "\n")))
+            fits = F.size(g).between(F.lit(len(t) * low), F.lit(len(t) * high))
+            found.append(F.when(fits, F.struct(both.alias("both"), (F.lit(2.0) * both / (F.size(g) + len(t))).alias("dice"), F.lit(name).alias("name"))))
+        return F.filter(F.array_compact(F.array(*found)), lambda s: s["dice"] >= threshold)
 
-def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, license (null if none), dice, n_matches (unit and template pairs), licenses (all names found)."""
+    known = ", ".join(f"'{g}'" for g in sorted({x for _, t in listed for x in t}))
     # in steps, so that what is used several times is computed once
     text = docs.select("doc_id", normalised(F.col("text")).alias("t"))
-    found = text.select("doc_id", units(F.col("t")).alias("u")).select("doc_id", best_match(F.col("u"), templates or TEMPLATES, threshold).alias("m"))
-    top = F.reduce("m", F.lit(None).cast("struct<dice:double,name:string>"), lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]) | ((x["dice"] == a["dice"]) & (x["name"] < a["name"])), x).otherwise(a))
-    return found.withColumn("top", top).select(
+    parted = text.select("doc_id", F.transform(units(F.col("t"), notice_lengths(templates)), lambda u: F.split(u, " ", cut)).alias("u"))
+    sets = parted.select("doc_id", F.filter(F.transform(F.filter("u", may_fit), lambda w: bigram_set(rest(w))), lambda g: F.size(g).between(F.lit(least), F.lit(most))).alias("g"))
+    near = sets.select("doc_id", F.expr(f"filter(g, s -> size(filter(s, x -> x IN ({known}))) >= {low!r}D * size(s))").alias("g"))
+    found = near.select("doc_id", F.flatten(F.transform("g", score)).alias("m"))
+    better = lambda a, x: a.isNull() | (x["both"] > a["both"]) | ((x["both"] == a["both"]) & ((x["dice"] > a["dice"]) | ((x["dice"] == a["dice"]) & (x["name"] < a["name"]))))
+    best = lambda rows: F.reduce(rows, F.lit(None).cast("struct<both:int,dice:double,name:string>"), lambda a, x: F.when(better(a, x), x).otherwise(a))
+    top = found.withColumn("top", best(F.col("m")))
+    return top.select(
         "doc_id", F.col("top.name").alias("license"), F.col("top.dice").alias("dice"), F.size("m").cast("long").alias("n_matches"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("m", lambda x: x["name"]))), ",").alias("licenses"),
+        best(F.filter("m", lambda x: x["name"] != F.col("top.name")))["name"].alias("runner_up"),
     )
 
 
@@ -159,18 +189,26 @@ WITH given(name, text) AS (VALUES {rows}),
 tw AS (SELECT name, text, string_split(trim(regexp_replace(text, '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM given),
 templates AS (SELECT name, text, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM tw),
 norm AS (
-  SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g') AS t FROM documents),
+  SELECT row_number() OVER () AS r, doc_id, regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.!?]+["'')]*([ \t\n\r\f])', chr(1) || '\1', 'g'), '[^\p{{L}}\p{{N}}\n\x01]+', ' ', 'g'), ' ?\n ?', chr(10), 'g') AS t FROM documents),
+parts AS (
+  SELECT r, string_split(t, chr(10)) AS lines, string_split_regex(t, '\n\n+') AS blocks, t FROM norm),
+spoken AS (
+  SELECT *, flatten(list_transform(blocks, lambda p: string_split(p, chr(1)))) AS sentences FROM parts),
 unit_lists AS (
-  SELECT doc_id, list_distinct(list_transform(list_concat(string_split(t, chr(10)),
-         list_transform(string_split_regex(t, '\n\n+'), lambda p: replace(p, chr(10), ' ')), [regexp_replace(t, '\n+', ' ', 'g')]), lambda u: trim(u))) AS us FROM norm),
-unit_rows AS (SELECT doc_id, string_split(unnest(us), ' ') AS w FROM unit_lists),
-sets AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM unit_rows WHERE len(w) > 1),
+  SELECT r, list_distinct(list_concat(
+    list_transform(list_concat(lines, sentences, blocks, [t]), lambda u: trim(regexp_replace(u, '[ \n\x01]+', ' ', 'g'))),
+    flatten(list_transform(list_filter(sentences, lambda x: contains(x, 'licens')), lambda x: list_transform(
+      list_filter([{", ".join(map(str, notice_lengths(TEMPLATES)))}], lambda n: len(string_split(trim(regexp_replace(x, '[ \n\x01]+', ' ', 'g')), ' ')) > n),
+      lambda n: array_to_string(string_split(trim(regexp_replace(x, '[ \n\x01]+', ' ', 'g')), ' ')[-n:], ' ')))))) AS us FROM spoken),
+unit_rows AS (SELECT r, string_split(unnest(us), ' ') AS w FROM unit_lists),
+sets AS (SELECT r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM unit_rows WHERE len(w) > 1),
 scored AS (
-  SELECT doc_id, name, 2.0::DOUBLE * len(list_intersect(s.g, t.g)) / (len(s.g) + len(t.g)) AS dice
-  FROM sets s JOIN templates t ON len(s.g) BETWEEN len(t.g) * {THRESHOLD / (2 - THRESHOLD)!r}::DOUBLE AND len(t.g) * {(2 - THRESHOLD) / THRESHOLD!r}::DOUBLE),
+  SELECT r, name, len(list_intersect(s.g, t.g)) AS n_both, 2.0::DOUBLE * len(list_intersect(s.g, t.g)) / (len(s.g) + len(t.g)) AS dice
+  FROM sets s JOIN templates t ON len(s.g) BETWEEN len(t.g) * {THRESHOLD / (2 - THRESHOLD) - EDGE!r}::DOUBLE AND len(t.g) * {(2 - THRESHOLD) / THRESHOLD + EDGE!r}::DOUBLE),
+good AS (SELECT * FROM scored WHERE dice >= {THRESHOLD}::DOUBLE),
 hits AS (
-  SELECT doc_id, first(name ORDER BY dice DESC, name) AS license, max(dice) AS dice, count(*) AS n_matches, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses
-  FROM scored WHERE dice >= {THRESHOLD}::DOUBLE GROUP BY doc_id)
-SELECT d.doc_id, license, dice, coalesce(n_matches, 0)::BIGINT AS n_matches, coalesce(licenses, '') AS licenses
-FROM documents d LEFT JOIN hits USING (doc_id)
+  SELECT r, first(name ORDER BY n_both DESC, dice DESC, name) AS license, first(dice ORDER BY n_both DESC, dice DESC, name) AS dice, count(*) AS n_matches, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM good GROUP BY r),
+others AS (SELECT g.r, first(name ORDER BY n_both DESC, g.dice DESC, name) AS runner_up FROM good g JOIN hits h ON g.r = h.r AND name <> license GROUP BY g.r)
+SELECT doc_id, license, dice, coalesce(n_matches, 0)::BIGINT AS n_matches, coalesce(licenses, '') AS licenses, runner_up
+FROM norm LEFT JOIN hits USING (r) LEFT JOIN others USING (r)
 """

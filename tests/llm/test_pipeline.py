@@ -2,13 +2,15 @@
 
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from swarmframe.llm import decontaminate, near_dup, quality_rules, suffix_dedup
+from swarmframe.llm import decontaminate, near_dup, quality_rules, suffix_dedup, text_stats
 from swarmframe.llm.common import table
-from tests.llm.test_dedup import plain_cut
+from tests.llm.test_dedup import distances, plain_cut
 
 
 @pytest.fixture(scope="module")
@@ -30,11 +32,35 @@ def test_columns_and_ids(stages):
         assert set(after.doc_id) <= set(before.doc_id)
 
 
+def plain_score(forest, rows):
+    """Anomaly of scaled ratios, tree by tree and row by row."""
+    expected = 2 * (np.log(forest.sample - 1) + np.euler_gamma) - 2 * (forest.sample - 1) / forest.sample
+    out = []
+    for row in rows:
+        total = 0.0
+        for root in forest.roots:
+            at = root
+            while forest.feature[at] >= 0:
+                at = forest.child[at] + (1 if row[forest.feature[at]] > forest.cut[at] else 0)
+            total += forest.depth[at]
+        out.append(2 ** (-total / len(forest.roots) / expected))
+    return np.array(out)
+
+
 def test_quality_keeps_what_the_rules_keep(spark, sf, stages):
     before, after = stages[0]
-    verdict = {r.doc_id: r.kept for r in quality_rules.op2_quality_rules(spark, sf).collect()}
-    assert set(after.doc_id) == {i for i, kept in verdict.items() if kept}
+    rules = quality_rules.learn(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    want = set()
+    counts, ratios = text_stats.batch_stats(before.text.tolist())
+    scaled = quality_rules.spread(ratios, rules.low, rules.high)
+    for i, c, a in zip(before.doc_id, counts, plain_score(rules.forest, scaled), strict=True):
+        if c[0] >= 50 and 100 * c[4] <= 50 * c[0] and a <= rules.threshold + 1e-12:
+            want.add(i)
+    assert set(after.doc_id) == want
     assert after.merge(before, on="doc_id").eval("text_x == text_y").all()
+    labels = table(spark, sf, "labels").toPandas().set_index("doc_id").quality
+    good = {i for i, c in zip(before.doc_id, counts, strict=True) if labels.get(i) == 1 and c[0] >= 50 and 100 * c[4] <= 50 * c[0]}
+    assert len(good - want) <= 0.02 * len(good)
 
 
 def test_one_document_of_each_class(stages):
@@ -60,10 +86,19 @@ def test_repeats_are_cut(stages):
 
 def test_contaminated_documents_go(spark, sf, stages):
     before, after = stages[3]
-    marks = [decontaminate.normalise(r.text) for r in table(spark, sf, "benchmark").collect()]
-    gone = before[~before.doc_id.isin(after.doc_id)]
-    assert not any(m in decontaminate.normalise(t) for t in after.text for m in marks)
-    assert len(gone) < 0.1 * len(before)
+    items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
+    marks = [decontaminate.normalise(t) for _, t in items]
+    exact = {i for i, t in zip(before.doc_id, before.text, strict=True) if any(m in decontaminate.normalise(t) for m in marks)}
+    gone = set(before.doc_id) - set(after.doc_id)
+    assert exact <= gone
+    # what goes beside the exact quotes is near an item by the whole table of edits; of what stays, those that share most with an item are not
+    texts = {i: decontaminate.normalise(t) for i, t in zip(before.doc_id, before.text, strict=True)}
+    grams = [{m[k : k + 8] for k in range(len(m) - 7)} for m in marks]
+    shared = {i: sorted(((sum(n.count(x) > 0 for x in g) / len(g), k) for k, g in enumerate(grams)), reverse=True)[:2] for i, n in texts.items()}
+    stay = sorted(set(after.doc_id), key=lambda i: shared[i], reverse=True)[:12]
+    for i in [*(gone - exact), *stay]:
+        found = any((distances(marks[k], texts[i], min(len(marks[k]), 96)) <= min(len(marks[k]), 96) // 10).any() for _, k in shared[i])
+        assert found == (i in gone)
 
 
 def test_mix(stages):
@@ -82,3 +117,32 @@ def test_registered_and_runs(spark, sf, stages):
     assert corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, sf).count() == len(stages[4][1])
     assert suffix_dedup.LENGTH == 100
+
+
+def test_pipeline_on_odd_tables(spark, sf, tmp_path):
+    """Null ids, texts and sources, repeated rows and ids, a very long text, columns with clashing names; then nothing at all."""
+    docs = table(spark, sf, "documents")
+    good = [r.text for r in docs.join(table(spark, sf, "labels").filter("quality = 1"), "doc_id").filter("n_chars > 900").limit(9).collect()]
+    words = " ".join(f"{a}{b}" for a in good[7].split()[:300] for b in range(60))
+    own = [(None, good[0]), (None, good[1]), (None, None), (None, ""), (900001, good[2]), (900001, good[3]), (900002, good[4]), (900002, good[4]), (900003, words), (900004, None)]
+    rows = docs.unionByName(spark.createDataFrame([(i, t, None, "odd" if i else None, len(t or "")) for i, t in own], "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    extra = [F.lit(k).alias(k) for k in ("row", "id", "kind", "key", "digest", "taken", "kept", "node")]
+    rows.select("*", *extra).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        table(spark, sf, name).write.parquet(str(tmp_path / f"{name}.parquet"))
+    kept, seen = rows.select("*", *extra), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = spark.createDataFrame(stage(spark, kept, str(tmp_path)).collect(), kept.schema)
+        assert kept.columns == [*rows.columns, "row", "id", "kind", "key", "digest", "taken", "kept", "node"], name
+        seen.append(kept.toPandas())
+    quality, near = seen[:2]
+    assert {good[0], good[1]} <= set(quality[quality.doc_id.isna()].text)
+    assert quality.text.notna().all() and (quality.text != "").all()
+    assert near.doc_id.dropna().is_unique
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*rows.columns, "row", "id", "kind", "key", "digest", "kept", "node", "size", "source_size", "target", "taken"]
+    assert set(out.select("doc_id").toPandas().doc_id.dropna()) <= set(seen[3].doc_id.dropna())
+    nothing = tmp_path / "nothing"
+    for name in ("documents", "labels", "benchmark"):
+        table(spark, sf, name).limit(0).write.parquet(str(nothing / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(nothing)).count() == 0
