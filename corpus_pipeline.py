@@ -2,17 +2,21 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
 Stages return the columns of ``documents``; the last adds what the mix takes of each row.
+
+Edge cases: empty tables give an empty result; a null text counts as empty, and fails the quality rules; texts of
+any length are taken whole; rows whose doc_id is null are documents of their own, rows that share a doc_id are one
+document, of which the near-duplicates stage keeps one row; doc_id is of an integer type; columns beside those of ``documents`` are carried,
+whatever their names, but for the four that the mix adds.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from swarmframe.llm import decontaminate, mixing, near_dup, quality_rules, suffix_dedup
-from swarmframe.llm.common import table
+from swarmframe.llm.common import checkpoint_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,15 +50,20 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated
 ORACLE_SQL = None
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints, which driver and executors share; a local one only where none is set."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared or tempfile.mkdtemp(prefix='pipeline')}/pipeline-{uuid.uuid4().hex}"
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), work_folder(spark)
+    """All stages over ``documents``. Their tables lie beside the checkpoints, which driver and executors share; each goes when the next is written, the last one stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+        path = f"{folder}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
