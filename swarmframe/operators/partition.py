@@ -81,7 +81,7 @@ def by_communities(agents: DataFrame, edges: DataFrame, workers: int, rounds: in
 
 
 def balanced(agents: DataFrame, edges: DataFrame, workers: int, slack: float = 1.05, rounds: int = 8) -> DataFrame:
-    """agent_id, rank with few cut edges and ranks of equal size: communities are laid end to end and cut into equal lengths.
+    """agent_id, rank with few cut edges and ranks of equal size: communities are laid end to end, by label, and cut into equal lengths.
 
     Stands for a multilevel partitioner: balance is exact to one agent, the cut is that of the communities.
     """
@@ -90,9 +90,7 @@ def balanced(agents: DataFrame, edges: DataFrame, workers: int, slack: float = 1
     if not total:
         raise ValueError("the network is empty")
     found = label_propagation(agents, edges, rounds, max_size=max(1, int(slack * total / workers)))
-    # one row per community in the only global window
-    sizes = found.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("community", (F.sum("n").over(Window.orderBy(F.desc("n"), "community").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    before = prefix_sums(found.groupBy("community").agg(F.count(F.lit(1)).alias("n")), "community", "n", "before").select("community", "before")
     place = F.col("before") + F.row_number().over(Window.partitionBy("community").orderBy("agent_id")) - 1
     return found.join(before, "community").select("agent_id", F.floor(place * workers / total).cast("int").alias("rank"))
 

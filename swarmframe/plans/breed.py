@@ -61,5 +61,8 @@ class Breed:
         self.no_double_buffer |= set(no_double_buffer or ())
 
     def register_pandas_step(self, function: Callable, reads: list[str], writes: list[str], neighbor_reads: list[str] | None = None, priority: int = 0) -> None:
-        """``function(frame, tick)``: a pandas frame with agent_id, the columns read and ``neighbors`` (a list of dicts) to a frame of agent_id and the columns written."""
+        """``function(frame, tick)``: a pandas frame with agent_id, the columns read and ``neighbors`` (a list of dicts) to a frame of agent_id and the columns written.
+
+        All neighbours of an agent are in one row, so this is for networks whose largest neighbourhoods fit in a worker's memory; folds have no such bound.
+        """
         self.steps[priority] = Step(function, priority, PandasStep(list(reads), list(neighbor_reads or ()), list(writes)))

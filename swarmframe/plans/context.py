@@ -50,8 +50,9 @@ class Neighbors:
         return self.fold(F.min_by(value, at if where is None else F.when(where, at)))
 
     def nth(self, value: Column, n: int) -> Column:
-        rows = self.fold(F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col("dst"), value.alias("value")))))
-        return F.get(rows, n)["value"]
+        """Value of the n-th neighbour that exists (from 0), by position, then id. Places are numbered once, so a fold keeps one value however many neighbours there are."""
+        self._ctx._model._places = True
+        return self.fold(F.max(F.when(F.col("place") == n, value)))
 
 
 class Context:

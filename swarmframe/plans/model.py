@@ -15,7 +15,7 @@ import random
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +51,7 @@ class Model:
         self._edges: DataFrame | None = None
         self._by_src: DataFrame | None = None
         self._edges_version = None
+        self._places = False
         self._settled = False
         self._history: list[tuple[int, DataFrame]] = []
         self._tracked: list[str] = []
@@ -200,16 +201,19 @@ class Model:
     @property
     def edges(self) -> DataFrame:
         """src, dst, pos of all links."""
-        return self._links().select("src", "dst", "pos")
+        return self._links().select("src", "dst", "pos") if not self._places else self.space.edges(self.spark).select("src", "dst", "pos")
 
     def _links(self) -> DataFrame:
-        """Edges with what never changes of their ``src`` (rank and breed, where a tick asks for them), so that no tick has to look it up."""
-        version = (getattr(self.space, "version", 0), self._built)
+        """Edges with what never changes (rank and breed of ``src``, and each neighbour's place, where a tick asks for them), so that no tick has to look it up."""
+        version = (getattr(self.space, "version", 0), self._built, self._places)
         if self._edges is None or self._edges_version != version:
             edges = self.space.edges(self.spark).select("src", "dst", "pos")
             if self.workers > 1 or len(self.breeds) > 1:
                 fixed = self.agents.select(F.col("agent_id").alias("src"), F.col("rank").alias("src_rank"), F.col("breed").alias("src_breed"))
                 edges = edges.join(fixed, "src", "left")
+            if self._places:
+                there = self.agents.select(F.col("agent_id").alias("dst"))
+                edges = edges.join(there, "dst", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("pos", "dst")) - 1)
             self._edges, self._edges_version, self._by_src = self._laid_out(cut(edges), "dst"), version, None
         return self._edges
 
