@@ -119,17 +119,19 @@ def notice_lengths(templates: dict[str, list[str]]) -> list[int]:
 
 def normalised(text: Column) -> Column:
     ends = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[.!?]+[\"')]*([ \t\n\r\f])", STOP + "$1")
-    return F.regexp_replace(F.regexp_replace(ends, rf"[^\p{{L}}\p{{N}}\n{STOP}]+", " "), r" ?\n ?", "\n")
+    return F.regexp_replace(F.regexp_replace(ends, rf"[^\p{{L}}\p{{N}}\n{STOP}]+", " "), rf" ?([\n{STOP}])[ {STOP}]*", "$1")
 
 
 def units(t: Column, lengths: list[int]) -> Column:
     """Lines, sentences, paragraphs and whole of a normalised text, and the ends of sentences that speak of a licence, each once."""
-    plain = lambda x: F.trim(F.regexp_replace(x, rf"[ \n{STOP}]+", " "))
+    flat = F.regexp_replace(t, rf"[\n{STOP}]+", " ")
+    # no blank stands beside an end of a line or sentence, so outside the whole text only one sequence makes two
+    plain = lambda x: F.trim(F.translate(F.replace(x, F.lit(STOP + "\n"), F.lit(" ")), STOP + "\n", "  "))
     blocks = F.split(t, "\n\n+")
     sentences = F.flatten(F.transform(blocks, lambda p: F.split(p, STOP)))
     spoken = F.transform(F.filter(sentences, lambda x: F.contains(x, F.lit("licens"))), lambda x: F.split(plain(x), " "))
     ends = F.flatten(F.transform(spoken, lambda w: F.array(*[F.when(F.size(w) > n, F.array_join(F.slice(w, -n, n), " ")) for n in lengths])))
-    return F.array_distinct(F.concat(F.transform(F.concat(F.split(t, "\n"), sentences, blocks, F.array(t)), plain), F.array_compact(ends)))
+    return F.array_distinct(F.concat(F.transform(F.concat(F.split(t, "\n"), sentences, blocks), plain), F.array(F.trim(flat)), F.array_compact(ends)))
 
 
 def bigram_set(words: Column) -> Column:
@@ -162,9 +164,12 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
         return F.filter(F.array_compact(F.array(*found)), lambda s: s["dice"] >= threshold)
 
     known = ", ".join(f"'{g}'" for g in sorted({x for _, t in listed for x in t}))
+    words = ", ".join(f"'{w}'" for w in sorted({w for _, t in listed for x in t for w in x.split()}))
     # in steps, so that what is used several times is computed once
     text = docs.select("doc_id", normalised(F.col("text")).alias("t"))
     parted = text.select("doc_id", F.transform(units(F.col("t"), notice_lengths(templates)), lambda u: F.split(u, " ", cut)).alias("u"))
+    # a word of no template spoils a bigram, which has two words; so of n words 2 (1 - low) n different ones at most may be unknown
+    parted = parted.select("doc_id", F.expr(f"filter(u, w -> size(w) >= {cut} OR size(array_distinct(filter(w, x -> x NOT IN ({words})))) <= {2 * (1 - low)!r}D * size(w))").alias("u"))
     sets = parted.select("doc_id", F.filter(F.transform(F.filter("u", may_fit), lambda w: bigram_set(rest(w))), lambda g: F.size(g).between(F.lit(least), F.lit(most))).alias("g"))
     near = sets.select("doc_id", F.expr(f"filter(g, s -> size(filter(s, x -> x IN ({known}))) >= {low!r}D * size(s))").alias("g"))
     found = near.select("doc_id", F.flatten(F.transform("g", score)).alias("m"))
@@ -189,7 +194,7 @@ WITH given(name, text) AS (VALUES {rows}),
 tw AS (SELECT name, text, string_split(trim(regexp_replace(text, '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM given),
 templates AS (SELECT name, text, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM tw),
 norm AS (
-  SELECT row_number() OVER () AS r, doc_id, regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.!?]+["'')]*([ \t\n\r\f])', chr(1) || '\1', 'g'), '[^\p{{L}}\p{{N}}\n\x01]+', ' ', 'g'), ' ?\n ?', chr(10), 'g') AS t FROM documents),
+  SELECT row_number() OVER () AS r, doc_id, regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.!?]+["'')]*([ \t\n\r\f])', chr(1) || '\1', 'g'), '[^\p{{L}}\p{{N}}\n\x01]+', ' ', 'g'), ' ?([\n\x01])[ \x01]*', '\1', 'g') AS t FROM documents),
 parts AS (
   SELECT r, string_split(t, chr(10)) AS lines, string_split_regex(t, '\n\n+') AS blocks, t FROM norm),
 spoken AS (

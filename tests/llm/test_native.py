@@ -146,7 +146,7 @@ def dice(a, b):
 
 def plain_units(text):
     text = re.sub(r"[.!?]+[\"')]*([ \t\n\r\f])", "\x01\\1", (text or "").lower())
-    text = re.sub(r" ?\n ?", "\n", re.sub(r"[^\w\n\x01]+|_+", " ", text))
+    text = re.sub(r" ?([\n\x01])[ \x01]*", r"\1", re.sub(r"[^\w\n\x01]+|_+", " ", text))
     blocks = re.split("\n\n+", text)
     sentences = [x for p in blocks for x in p.split("\x01")]
     words = [re.split("[ \n\x01]+", x.strip(" \n\x01")) for x in [*text.split("\n"), *sentences, *blocks, text]]
@@ -157,7 +157,7 @@ def plain_units(text):
 def test_licenses_against_plain_python(spark):
     mit = licenses.TEMPLATES["MIT"][1]
     texts = [None, "", "x", "Released under the MIT License.", "Prose before.\nLicensed under CC BY-NC 4.0!\nand after", mit.replace(", ", ",\n"), "a\n\n" + mit[:-40] + "\n\nb", "word " * 5000, ("released under the mit license. " * 3000), "the MIT license is not this"]
-    texts += ["This is our project, and all of it is released under the MIT License. Please read on.", "Text of ours. (Licensed under the Apache License, Version 2.0.) More text.", "It is\nlicensed under\nCC BY-SA 4.0. Bye"]
+    texts += ["This is our project, and all of it is released under the MIT License. Please read on.", "Text of ours. (Licensed under the Apache License, Version 2.0.) More text.", "It is\nlicensed under\nCC BY-SA 4.0. Bye", "Dots. . .\n\n. Released under the\nBSD 2-Clause License! ! x.\n. y"]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(3, texts[3], 1), (None, texts[3], 1)], "doc_id bigint, text string, license int")
     rows = licenses.scan(df).collect()
     got = {r.doc_id: (r.license, r.dice, r.n_matches, r.runner_up) for r in rows}
