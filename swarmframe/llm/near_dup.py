@@ -48,7 +48,7 @@ STAR = 128
 BLOCK_TEXTS, BLOCK_SHINGLES = 256, 1 << 22
 #: Texts whose band keys a worker remembers, for their copies.
 SIGNED = 4096
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Texts that are in no bucket are left out before their shuffle by a Bloom filter of at most so many bits (2 MB). It only saves work: where candidates are many more, the join alone decides.
 FILTER_BITS, FILTER_RATE = 1 << 24, 0.01
 U = np.uint64
@@ -237,10 +237,10 @@ def verified(links: DataFrame, held: DataFrame) -> DataFrame:
         key, one = None, None
         for b in batches:
             out = []
-            for center, part, a, units in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                u = np.frombuffer(units, U)
+            for center, part, a, units in zip(*(c.to_pylist() for c in b.columns[:3]), b.column(3), strict=True):
+                u = np.frombuffer(units.as_buffer(), U)
                 if (center, part) != key:
-                    key, one = (center, part), u  # the center itself comes first
+                    key, one = (center, part), u.copy()  # the center itself comes first
                 elif similar(u, one):
                     out.append((a, center))
             yield links_batch(out)
@@ -269,11 +269,11 @@ def inside_buckets(members: DataFrame, held: DataFrame) -> DataFrame:
 
         for b in batches:
             out = []
-            for g, p, side, i, label, u in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for g, p, side, i, label, u in zip(*(c.to_pylist() for c in b.columns[:5]), b.column(5), strict=True):
                 if (g, p) != key:
                     out += done()
                     key = (g, p)
-                for part, x in zip(kept, (i, np.frombuffer(u, U), side, label), strict=True):
+                for part, x in zip(kept, (i, np.frombuffer(u.as_buffer(), U).copy(), side, label), strict=True):
                     part.append(x)
             yield links_batch(out)
         yield links_batch(done())
