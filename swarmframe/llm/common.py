@@ -39,10 +39,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """The same cut by a table in the checkpoint folder: later plans know its size and read only the columns they use, and what was
-    inferred about the rows does not pile up in them, as it does in loops over checkpoints."""
-    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    inferred about the rows does not pile up in them, as it does in loops over checkpoints. The table goes with the session's end, or by ``discard``."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` has written and that nothing reads any more."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def shared_folder(spark: SparkSession) -> str:
