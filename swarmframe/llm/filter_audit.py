@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rekeyed, stored, table
+from .common import discard, rekeyed, stored, table
 
 #: Filters in the order of their bits.
 FILTERS = "ABCDE"
@@ -209,7 +209,7 @@ def mask_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """part, mask (of all filters), n, n_good, n_toxic: documents by what they fail."""
     one = lambda c: F.coalesce(F.max(F.when(F.col(c) == 1, 1)), F.lit(0))
     marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(one("quality").alias("good"), one("toxic").alias("toxic"))
-    rows = scanned(docs).groupBy("doc_id", "part", "mask", "digest").agg(F.count(F.lit(1)).alias("n"))
+    rows = stored(scanned(docs).groupBy("doc_id", "part", "mask", "digest").agg(F.count(F.lit(1)).alias("n")))
     known = rows.filter("doc_id is not null").join(marks, "doc_id", "left").fillna(0, ["good", "toxic"])
     known = known.unionByName(rows.filter("doc_id is null").withColumns({"good": F.lit(0), "toxic": F.lit(0)}))
     # of each text: how many rows there are by part and marks, and how many of these have the least id of their kind
@@ -217,6 +217,7 @@ def mask_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.min("doc_id").alias("least"), F.min_by("n", "doc_id").alias("n_least")
     )
     kinds = stored(kinds)
+    discard(rows)
     least = kinds.filter("not nameless").groupBy("digest").agg(F.min("least").alias("first"), F.sum("n").alias("copies")).filter("copies > 1").drop("copies")
     judged = kinds.join(rekeyed(least, "digest"), "digest", "left")
     first = F.when(F.col("nameless") | F.col("first").isNull(), F.col("n")).when(F.col("least") == F.col("first"), F.coalesce("n_least", F.lit(0))).otherwise(0)
