@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered, running_sums
+
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
     """Each (src, dst) once, with its first position."""
@@ -43,22 +45,11 @@ def nth_neighbor(edges: DataFrame, n: int) -> DataFrame:
 def csr(agents: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Compressed rows: (agent_id, offset, degree) and (slot, src, dst).
 
-    Offsets are prefix sums over ids: sums within id ranges, then over ranges, so no window holds all rows.
+    Offsets are running sums in sampled ranges of ids, slots are places in the order of agent and position: no window holds all rows, or all of a hub's.
     """
-    offsets = prefix_sums(degree(agents, edges), "agent_id", "degree", "offset")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("pos", "dst")) - 1
-    slots = edges.withColumn("__r", rank).join(offsets.select("agent_id", "offset"), F.col("src") == F.col("agent_id"))
-    return offsets, slots.select((F.col("offset") + F.col("__r")).alias("slot"), "src", "dst")
-
-
-def prefix_sums(df: DataFrame, key: str, value: str, out: str, width: int = 1 << 16) -> DataFrame:
-    """Exclusive prefix sums of ``value`` by a long ``key``, in ranges of ``width`` keys."""
-    ranged = df.withColumn("__g", F.floor(F.col(key) / width))
-    before = ranged.groupBy("__g").agg(F.sum(value).alias("__t"))
-    before = before.select("__g", (F.sum("__t").over(Window.orderBy("__g")) - F.col("__t")).alias("__b"))
-    inside = Window.partitionBy("__g").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    run = ranged.withColumn("__s", F.sum(value).over(inside) - F.col(value)).join(before, "__g")
-    return run.withColumn(out, (F.col("__s") + F.col("__b")).cast("long")).drop("__g", "__s", "__b")
+    offsets = running_sums(degree(agents, edges), [F.col("agent_id")], "degree", "offset")
+    slots = numbered(edges.join(agents.select(F.col("agent_id").alias("src")), "src", "left_semi"), [F.col("src"), F.col("pos"), F.col("dst")], "slot")
+    return offsets, slots.select("slot", "src", "dst")
 
 
 def with_ranks(edges: DataFrame, partition: DataFrame, default: int | None = None) -> DataFrame:

@@ -1,16 +1,18 @@
-"""Partitioning a network: in turn, at random, and by communities found by label propagation."""
+"""Partitioning a network: in turn, at random, by communities, and in levels (``multilevel``)."""
 
 from __future__ import annotations
 
 import heapq
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..plans.lineage import cut
-from .graph import prefix_sums
+from .communities import louvain
+from .multilevel import multilevel
+from .order import numbered, running_sums
 
 #: So many of the largest communities are placed one by one, on the driver; the others fill the room that is left, end to end.
 PLACED = 10_000
@@ -19,8 +21,7 @@ PLACED = 10_000
 def round_robin(agents: DataFrame, workers: int) -> DataFrame:
     """agent_id, rank: ids in order, dealt in turn."""
     _checked(workers)
-    numbered = prefix_sums(agents.select(F.col("agent_id"), F.lit(1).alias("__one")), "agent_id", "__one", "__n")
-    return numbered.select("agent_id", (F.col("__n") % workers).cast("int").alias("rank"))
+    return numbered(agents.select("agent_id"), [F.col("agent_id")], "place").select("agent_id", (F.col("place") % workers).cast("int").alias("rank"))
 
 
 def random(agents: DataFrame, workers: int, seed: int = 42) -> DataFrame:
@@ -59,7 +60,7 @@ def pack(communities: DataFrame, workers: int) -> DataFrame:
     left = rest.agg(F.sum("n")).head()[0]
     if left:
         upto = [0, *itertools.accumulate(room_up_to_a_level([load for load, _ in sorted(loads, key=lambda x: x[1])], left))]
-        spread = prefix_sums(rest, "community", "n", "before")
+        spread = running_sums(rest, [F.col("community")], "n", "before")
         middle = F.col("before") + F.col("n") / 2
         placed = placed.union(spread.select("community", (F.size(F.filter(F.array(*[F.lit(float(x)) for x in upto[1:-1]]), lambda x: x <= middle)) if workers > 1 else F.lit(0)).cast("int")))
     return communities.join(placed, "community").select("agent_id", "rank")
@@ -76,23 +77,23 @@ def room_up_to_a_level(loads: list[int], extra: int) -> list[float]:
 
 
 def by_communities(agents: DataFrame, edges: DataFrame, workers: int, rounds: int = 8) -> DataFrame:
+    """agent_id, rank: communities of greatest modularity, packed."""
     _checked(workers)
-    return pack(label_propagation(agents, edges, rounds), workers)
+    return pack(louvain(agents, edges, rounds), workers)
 
 
 def balanced(agents: DataFrame, edges: DataFrame, workers: int, slack: float = 1.05, rounds: int = 8) -> DataFrame:
     """agent_id, rank with few cut edges and ranks of equal size: communities are laid end to end, by label, and cut into equal lengths.
 
-    Stands for a multilevel partitioner: balance is exact to one agent, the cut is that of the communities.
+    Balance is exact to one agent, the cut is that of the communities; ``multilevel`` cuts less.
     """
     _checked(workers)
     total = agents.count()
     if not total:
         raise ValueError("the network is empty")
     found = label_propagation(agents, edges, rounds, max_size=max(1, int(slack * total / workers)))
-    before = prefix_sums(found.groupBy("community").agg(F.count(F.lit(1)).alias("n")), "community", "n", "before").select("community", "before")
-    place = F.col("before") + F.row_number().over(Window.partitionBy("community").orderBy("agent_id")) - 1
-    return found.join(before, "community").select("agent_id", F.floor(place * workers / total).cast("int").alias("rank"))
+    placed = numbered(found, [F.col("community"), F.col("agent_id")], "place")
+    return placed.select("agent_id", F.floor(F.col("place") * workers / total).cast("int").alias("rank"))
 
 
 def _checked(workers: int) -> None:
@@ -100,5 +101,5 @@ def _checked(workers: int) -> None:
         raise ValueError("at least one worker is needed")
 
 
-METHODS = {"round_robin": lambda a, e, w, s: round_robin(a, w), "random": lambda a, e, w, s: random(a, w, s), "communities": lambda a, e, w, s: by_communities(a, e, w), "balanced": lambda a, e, w, s: balanced(a, e, w)}
-METHODS |= {"roundrobin": METHODS["round_robin"], "community": METHODS["communities"], "metis": METHODS["balanced"]}
+METHODS = {"round_robin": lambda a, e, w, s: round_robin(a, w), "random": lambda a, e, w, s: random(a, w, s), "communities": lambda a, e, w, s: by_communities(a, e, w), "balanced": lambda a, e, w, s: balanced(a, e, w), "multilevel": multilevel}
+METHODS |= {"roundrobin": METHODS["round_robin"], "community": METHODS["communities"], "metis": METHODS["multilevel"]}

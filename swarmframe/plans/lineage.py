@@ -29,6 +29,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same cut by a table, which goes with the session's end: for loops, where what the planner has inferred about a checkpoint's rows would double from round to round."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_in_place(df: DataFrame) -> DataFrame:
     """Checkpoint rows where they are, so that the planner knows their partitioning later. (An adaptive plan does not tell its own.)"""
     conf = df.sparkSession.conf

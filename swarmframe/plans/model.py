@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.graph import prefix_sums
+from ..operators.order import numbered
 from .breed import Breed
 from .context import NEIGHBOR, OWN, Context
 from .lineage import cut, cut_in_place
@@ -278,7 +278,7 @@ class Model:
         free = agents.filter("rank is null")
         n = free.count()
         if n:
-            turn = prefix_sums(free.select("agent_id", F.lit(1).alias("__one")), "agent_id", "__one", "__n")
+            turn = numbered(free.select("agent_id"), [F.col("agent_id")], "__n")
             turn = turn.select("agent_id", F.pmod(F.col("__n") + self._turns, F.lit(self.workers)).cast("int").alias("__turn"))
             agents = agents.join(turn, "agent_id", "left").withColumn("rank", F.coalesce("rank", "__turn")).drop("__turn")
             self._turns = (self._turns + n) % self.workers

@@ -10,10 +10,10 @@ import re
 import xml.etree.ElementTree as ET
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import prefix_sums
+from ..operators.order import numbered
 
 LABELS = "src string, dst string"
 
@@ -38,17 +38,14 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     if nodes.filter(number == "").head() is None:
         ids = nodes.select(number.cast("long").alias("agent_id"), "label")
     else:
-        ids = numbered(nodes)
+        ids = by_label(nodes)
     out = links.join(ids.select(F.col("label").alias("src"), F.col("agent_id").alias("a")), "src").join(ids.select(F.col("label").alias("dst"), F.col("agent_id").alias("b")), "dst")
     return ids, out.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def numbered(nodes: DataFrame) -> DataFrame:
-    """agent_id, label: places in the order of labels, by sums over ranges of hashes of their beginnings, so that no task has all."""
-    ranged = nodes.withColumn("range", F.conv(F.rpad(F.hex(F.substring("label", 1, 3)), 6, "0").substr(1, 6), 16, 10).cast("long"))
-    place = prefix_sums(ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")), "range", "n", "before")
-    inside = F.row_number().over(Window.partitionBy("range").orderBy("label")) - 1
-    return ranged.join(place.select("range", "before"), "range").select((F.col("before") + inside).alias("agent_id"), "label")
+def by_label(nodes: DataFrame) -> DataFrame:
+    """agent_id, label: places in the order of labels."""
+    return numbered(nodes, [F.col("label")], "agent_id").select("agent_id", "label")
 
 
 def edge_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

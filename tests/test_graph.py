@@ -37,12 +37,6 @@ def test_compressed_rows(spark, rows, offsets):
     assert [r.dst for r in slots.orderBy("slot").collect()] == [d for r in rows for d in r]
 
 
-def test_prefix_sums_over_several_ranges(spark):
-    df = agents_of(spark, 100).withColumn("v", F.col("agent_id") % 7)
-    got = [r.s for r in graph.prefix_sums(df, "agent_id", "v", "s", width=8).orderBy("agent_id").collect()]
-    assert got == [sum(i % 7 for i in range(k)) for k in range(100)]
-
-
 def test_degree_and_nth(spark):
     e = edges_of(spark, [[3, 1], [0]])
     assert sorted(map(tuple, graph.degree(agents_of(spark, 3), e).collect())) == [(0, 2), (1, 1), (2, 0)]
