@@ -1,7 +1,6 @@
 """N-gram Jaccard join against brute force."""
 
 import itertools
-import math
 import random
 import re
 
@@ -66,12 +65,18 @@ def corpus(rng):
     return texts
 
 
-def test_sets():
-    rng = random.Random(1)
-    for text in corpus(rng):
-        assert len(join.shingle_set(text)) == len(plain_set(text))
-    long = " ".join(f"v{k % 977} y{k}" for k in range(400_000))
-    assert len(join.shingle_set(long)) == 800_000 - 3
+@pytest.mark.parametrize("block", [16, 1 << 20])
+def test_sets(monkeypatch, block):
+    monkeypatch.setattr(join, "BLOCK", block)
+    texts = corpus(random.Random(1)) + ["\u00e9" * 40 + " b c d e", "x" * 100, "x" * 100 + "\n" + "y" * 100 + " z z"]
+    for array in (pa.array(texts), pa.array(["skipped", *texts]).slice(1), pa.array(texts, pa.large_string())):
+        assert [len(s) for s in join.shingle_sets(array)] == [len(plain_set(t)) for t in texts]
+    # a word's hash does not depend on the block that it lies in
+    whole = join.shingle_sets(pa.array(texts))
+    monkeypatch.setattr(join, "BLOCK", 1 << 20)
+    assert all((a == b).all() for a, b in zip(whole, join.shingle_sets(pa.array(texts))))
+    long = " ".join(f"v{k % 977} y{k}" for k in range(200_000))
+    assert len(join.shingle_sets(pa.array([long, "a b c d"]))[0]) == 400_000 - 3
 
 
 def test_bounds():
@@ -126,7 +131,7 @@ def test_exact_threshold():
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, monkeypatch, seed):
     if seed == 2:  # small blocks of everything
-        for name, value in (("ENTRIES", 300), ("STAR", 3), ("PAGE", 4), ("PAGE_SHINGLES", 500), ("FAN", 2)):
+        for name, value in (("ENTRIES", 300), ("REMEMBERED", 5), ("SCANNED", 3), ("BLOCK", 64), ("STAR", 3), ("PAGE", 4), ("PAGE_SHINGLES", 500), ("FAN", 2)):
             monkeypatch.setattr(join, name, value)
     rng = random.Random(seed)
     docs = list(enumerate(corpus(rng)))
@@ -153,10 +158,3 @@ def test_empty_and_refused(spark):
     assert join.linked_components(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
     with pytest.raises(TypeError):
         join.linked_components(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
-
-
-def test_names_array():
-    names = np.arange(48, dtype=np.uint8).reshape(3, 16)
-    assert join.names_array(names).to_pylist() == [bytes(n) for n in names]
-    assert join.names_array(names[:0]).to_pylist() == [] and math.prod(join.names_array(names[1:]).to_numpy(False).shape) == 2
-    assert isinstance(join.names_array(names), pa.Array)
