@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .order import numbered, running_sums
@@ -38,8 +38,9 @@ def degree(agents: DataFrame, edges: DataFrame) -> DataFrame:
 
 def nth_neighbor(edges: DataFrame, n: int) -> DataFrame:
     """src, dst of each agent's n-th neighbour (from 0) by position, then id."""
-    w = Window.partitionBy("src").orderBy("pos", "dst")
-    return edges.withColumn("__n", F.row_number().over(w) - 1).filter(F.col("__n") == n).select("src", "dst")
+    rows = numbered(edges, [F.col("src"), F.col("pos"), F.col("dst")], "number")
+    wanted = rows.groupBy("src").agg((F.min("number") + n).alias("number"))
+    return rows.select("src", "dst", "number").join(wanted, ["number", "src"]).select("src", "dst")
 
 
 def csr(agents: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -51,3 +51,11 @@ def running_sums(df: DataFrame, order: list[Column], value: str, out: str) -> Da
     amount = F.sum(F.coalesce(F.col(value).cast("long"), F.lit(0)))
     before = _upto(kept.groupBy(RANGE).agg(amount.alias("total__")))
     return kept.join(before, RANGE).withColumn(out, (F.col(RUN) + F.col("before__")).cast("long")).drop(RANGE, PLACE, RUN, "before__")
+
+
+def places_within(df: DataFrame, group: str, order: list[Column], out: str) -> DataFrame:
+    """``df`` and each row's place among those of its group (a long column), from 0: numbers of all rows less the group's least one, so that a large group is no task's own."""
+    rows = numbered(df, [F.col(group), *order], "number__")
+    # another name for the key: the planner does not reuse the sum's partitions then, and adaptive execution can split a large group
+    first = rows.groupBy(group).agg(F.min("number__").alias("first__")).withColumn(group, F.col(group).bitwiseXOR(F.lit(0).cast("long")))
+    return rows.join(first, group).withColumn(out, F.col("number__") - F.col("first__")).drop("number__", "first__")

@@ -123,6 +123,17 @@ def oracle_sql() -> dict[str, str]:
         "breed_local_array": f"{wave(2, False)}, all_t AS (SELECT *, 0 AS k FROM t0 UNION ALL SELECT *, 1 FROM t1 UNION ALL SELECT *, 2 FROM t2), {SPREAD} SELECT id AS agent_id, sum(n) FILTER (k = 0)::BIGINT AS v_0, sum(n) FILTER (k = 1)::BIGINT AS v_1, sum(n) FILTER (k = 2)::BIGINT AS v_2 FROM seen GROUP BY id",
         "invisible_property_zero": f"WITH {RING} SELECT src AS agent_id, sum(CASE WHEN src % 4 = dst % 4 THEN dst % 10 + 1 ELSE 0 END)::BIGINT AS result FROM edges GROUP BY src",
         "message_send_sum": f"WITH {RING} SELECT dst AS agent_id, sum(src % 11)::BIGINT AS inbox FROM edges GROUP BY dst",
+        "messages_two_breeds": f"WITH {RING} SELECT dst AS agent_id, sum(CASE WHEN src % 2 = 0 THEN src % 11 ELSE 10 * (src % 11) END)::BIGINT AS inbox FROM edges GROUP BY dst",
+        "messages_by_priority": "WITH n AS (SELECT count(*) AS n FROM customer), e AS (SELECT DISTINCT c_custkey AS src, (c_custkey * a + b) % (SELECT n FROM n) AS dst FROM customer, (VALUES (7, 3), (5, 1)) v(a, b)) "
+        "SELECT c_custkey AS agent_id, coalesce(sum(10 * (src % 11)) FILTER (src % 2 = 1), sum(src % 11) FILTER (src % 2 = 0), 0)::BIGINT AS inbox FROM customer LEFT JOIN e ON dst = c_custkey GROUP BY 1",
+        "pandas_step_without_neighbors": f"WITH {RING} SELECT c_custkey AS agent_id, count(src) AS n FROM customer LEFT JOIN (SELECT DISTINCT src, dst FROM ring WHERE src % 3 = 0 AND dst % 2 = 0) r ON src = c_custkey GROUP BY 1",
+        "reset_after_load": f"{wave(1, False)} SELECT id AS agent_id, state FROM t1 UNION ALL SELECT max(id) + 1, 5 FROM t1",
+        "partition_multilevel": f"WITH {RING}, n AS (SELECT count(*) AS n FROM customer), c AS (SELECT count(*) FILTER (src * 4 // (SELECT n FROM n) <> dst * 4 // (SELECT n FROM n)) AS cut FROM edges) "
+        "SELECT (SELECT n FROM n) AS n_agents, 4::BIGINT AS n_ranks, floor(1.3 * cut)::BIGINT AS bound, true AS within_bound, true AS balanced FROM c",
+        "modularity_communities": "WITH n AS (SELECT count(*) AS n FROM customer), l AS (SELECT c_custkey AS a, c_custkey + d AS b FROM customer, (VALUES (1), (2), (3)) v(d) WHERE c_custkey // 25 = (c_custkey + d) // 25 AND c_custkey + d < (SELECT n FROM n) "
+        "UNION ALL SELECT c_custkey, (c_custkey * 7 + 1) % (SELECT n FROM n) FROM customer WHERE c_custkey % 10 = 0 AND c_custkey // 25 <> (c_custkey * 7 + 1) % (SELECT n FROM n) // 25), "
+        "p AS (SELECT DISTINCT least(a, b) // 25 AS x, greatest(a, b) // 25 AS y, least(a, b) AS a, greatest(a, b) AS b FROM l), ends AS (SELECT x AS c FROM p UNION ALL SELECT y FROM p), m AS (SELECT count(*)::DOUBLE AS m FROM p), "
+        "v AS (SELECT c, count(*) AS k FROM ends GROUP BY c) SELECT (SELECT n FROM n) AS n_agents, round((SELECT count(*) FILTER (x = y) FROM p) / (SELECT m FROM m) - (SELECT sum(k::DOUBLE * k) FROM v) / (4 * (SELECT m * m FROM m)), 9) AS planted, true AS reached",
         "pandas_step": f"WITH {RING} SELECT src AS agent_id, list_sort(list(dst % 11))[len(list(dst % 11)) // 2 + 1]::BIGINT AS middle FROM edges GROUP BY src",
         "neighbor_folds": f"{FOLDED}, f AS (SELECT src, count(*) AS n, sum(p)::BIGINT AS total, max(p) AS most, min(p) AS least, max(CASE WHEN p > 500000 THEN 1 ELSE 0 END) AS rich, max(p) FILTER (rn = 1) AS first_one, max(p) FILTER (rn = 2) AS second_one, count(*) FILTER (p < 0) AS poor FROM j GROUP BY src) "
         "SELECT c_custkey AS agent_id, " + ", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("n", "total", "most", "least", "rich", "first_one", "second_one", "poor")) + " FROM customer LEFT JOIN f ON src = c_custkey",

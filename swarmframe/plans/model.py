@@ -15,11 +15,11 @@ import random
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.order import numbered
+from ..operators.order import numbered, places_within
 from .breed import Breed
 from .context import NEIGHBOR, OWN, Context
 from .lineage import cut, cut_in_place
@@ -27,6 +27,8 @@ from .space import NetworkSpace, Space
 
 BASE = ["agent_id", "logical_id", "breed", "rank"]
 WRITE, ARRAY, GHOST = "write__", "array__", "ghost__"
+#: Edges that a partition may have of one agent beyond twice its share.
+HUB = 1000
 
 
 class Model:
@@ -45,11 +47,12 @@ class Model:
         self._sizes: list[int | None] = []
         self._built, self._turns = (0, 0), 0
         self._loaded = self._next = 0
+        self._base: DataFrame | None = None
         self._partition: DataFrame | None = None
         self._pending: dict[int, dict[str, object]] = {}
         self._agents: DataFrame | None = None
         self._edges: DataFrame | None = None
-        self._by_src: DataFrame | None = None
+        self._layouts: dict[str, tuple[DataFrame, DataFrame | None, DataFrame | None]] = {}
         self._edges_version = None
         self._places = False
         self._settled = False
@@ -116,6 +119,7 @@ class Model:
     def register_breed_local_array(self, name: str, breed: Breed, shape: int | tuple[int, ...], neighbor_visible: bool = False) -> int:
         """An array of zeros of this shape for each agent of one breed, other agents have none."""
         self._arrays[name] = (breed, (shape,) if isinstance(shape, int) else tuple(shape), neighbor_visible)
+        self._agents, self._base = (None if x is None else self._with_arrays(x) for x in (self._agents, self._base))
         return len(self._arrays) - 1
 
     def set_seed(self, seed: int) -> None:
@@ -213,28 +217,47 @@ class Model:
                 edges = edges.join(fixed, "src", "left")
             if self._places:
                 there = self.agents.select(F.col("agent_id").alias("dst"))
-                edges = edges.join(there, "dst", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("pos", "dst")) - 1)
-            self._edges, self._edges_version, self._by_src = self._laid_out(cut(edges), "dst"), version, None
+                edges = edges.join(there, "dst", "left_semi")
+                edges = places_within(edges, "src", [F.col("pos"), F.col("dst")], "place")
+            self._edges, self._edges_version, self._layouts = cut(edges), version, {}
+            self._settled = self._edges.head() is not None
         return self._edges
 
-    def _links_by_src(self) -> DataFrame:
-        """The same, kept where ``src`` hashes to: for what an agent sends."""
-        links = self._links()
-        if self._by_src is None:
-            self._by_src = self._laid_out(links, "src")
-        return self._by_src
-
-    def _laid_out(self, edges: DataFrame, end: str) -> DataFrame:
-        """Edges kept where one end hashes to, in order, as agents are by their id: a tick's join with that end then moves no edge.
+    def _layout(self, end: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+        """Edges kept where one end hashes to, in order, as agents are by their id, so that a tick's join with that end moves no edge; apart from them those of hubs, and the hubs.
 
-        Not where some agent has more than twice a partition's share there: then ticks shuffle edges, and adaptive execution splits that agent's.
+        A hub has more than twice a partition's share of all edges at that end, so there are fewer hubs than half the partitions. Their edges stay as they lie and meet the hubs' broadcast state.
         """
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        total, most = edges.groupBy(end).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
-        settled = bool(total) and most <= 2 * total / n + 1000
-        if end == "dst":
-            self._settled = settled
-        return cut_in_place(edges.repartition(n, end).sortWithinPartitions(end)) if settled else edges
+        links = self._links()
+        if end not in self._layouts:
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            degrees = cut(links.groupBy(end).agg(F.count(F.lit(1)).alias("n")))
+            total = degrees.agg(F.sum("n")).first()[0] or 0
+            hubs = cut(degrees.filter(F.col("n") > 2 * total / n + HUB).select(end))
+            if hubs.head() is None:
+                self._layouts[end] = (cut_in_place(links.repartition(n, end).sortWithinPartitions(end)), None, None)
+            else:
+                light = links.join(F.broadcast(hubs), end, "left_anti")
+                self._layouts[end] = (cut_in_place(light.repartition(n, end).sortWithinPartitions(end)), cut(links.join(F.broadcast(hubs), end, "left_semi")), hubs)
+        return self._layouts[end]
+
+    def _meet(self, end: str, side: DataFrame) -> DataFrame:
+        """All edges with the columns of ``side`` for one of their ends."""
+        light, heavy, hubs = self._layout(end)
+        out = light.join(side, end)
+        return out if heavy is None else out.unionByName(heavy.join(self._of_hubs(side, hubs, end), end))
+
+    def _meet_also(self, edges: DataFrame, end: str, side: DataFrame) -> DataFrame:
+        """The same for edges that lie by their other end: those of hubs stay, the others move."""
+        _, _, hubs = self._layout(end)
+        if hubs is None:
+            return edges.join(side, end)
+        few = F.broadcast(hubs)
+        return edges.join(few, end, "left_anti").join(side, end).unionByName(edges.join(self._of_hubs(side, hubs, end), end))
+
+    @staticmethod
+    def _of_hubs(side: DataFrame, hubs: DataFrame, end: str) -> DataFrame:
+        return F.broadcast(side.join(F.broadcast(hubs), end, "left_semi"))
 
     def _schema(self) -> T.StructType:
         fields = "agent_id bigint, logical_id bigint, breed int, rank int"
@@ -244,21 +267,18 @@ class Model:
         return schema
 
     def _build(self, state: DataFrame | None) -> DataFrame:
-        """``state`` and the agents that were added to it; all agents if there is none."""
-        schema = self._schema()
+        """``state`` and the agents that were added to it; all agents if there is none, those that were loaded first."""
+        schema, state = self._schema(), self._base if state is None else state
         rows, frames = self._rows[self._built[0] :], self._frames[self._built[1] :]
-        if rows or not (frames or state):
+        if not (rows or frames) and state is not None:
+            return state
+        if rows or not frames:
             frames = [self.spark.createDataFrame([tuple(_typed(r[f.name], f.dataType) for f in schema) for r in rows], schema), *frames]
         new = frames[0]
         for f in frames[1:]:
             new = new.unionByName(f)
         new = self._ranked(new).select(*[f.name for f in schema])
-        for name, (breed, shape, _) in self._arrays.items():
-            zeros, kind = F.lit(0.0), "double"
-            for n in reversed(shape):
-                zeros, kind = F.array_repeat(zeros, n), f"array<{kind}>"
-            zeros = zeros.cast(kind)
-            new = new.withColumn(ARRAY + name, F.when(F.col("breed") == breed.index, zeros))
+        new = self._with_arrays(new)
         out = new if state is None else state.unionByName(new.select(*state.columns))
         out = cut(out.repartition(self.num_partitions, "agent_id") if self.num_partitions else out)
         twice = out.groupBy("agent_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("agent_id").head()
@@ -267,6 +287,16 @@ class Model:
         self._built = (len(self._rows), len(self._frames))
         return out
 
+    def _with_arrays(self, agents: DataFrame) -> DataFrame:
+        """Agents with the breed-local arrays that they do not have yet, as zeros."""
+        for name, (breed, shape, _) in self._arrays.items():
+            if ARRAY + name not in agents.columns:
+                zeros, kind = F.lit(0.0), "double"
+                for n in reversed(shape):
+                    zeros, kind = F.array_repeat(zeros, n), f"array<{kind}>"
+                agents = agents.withColumn(ARRAY + name, F.when(F.col("breed") == breed.index, zeros.cast(kind)))
+        return agents
+
     def _ranked(self, agents: DataFrame) -> DataFrame:
         """Ranks as given, else of the partition, else in turn among those that have none, by id."""
         if self._partition is not None:
@@ -476,16 +506,16 @@ class Model:
         if folds:
             breeds = {s[0].index for s in stage if s[4]}
             # an agent's own columns meet its edges where these are kept by src; without them the edges stay where their dst is
-            edges = self._links_by_src() if own else self._links()
-            if len(breeds) < len(self.breeds):
-                edges = edges.filter(F.col("src_breed").isin(*breeds))
-            if own:
-                edges = edges.join(frame.select(F.col("agent_id").alias("src"), *[F.col(self._column(c)).alias(OWN + c) for c in own]), "src")
             seen = frame.select(F.col("agent_id").alias("dst"), F.col("rank").alias("dst_rank"), *[F.col(self._column(c)).alias(NEIGHBOR + c) for c in wanted])
             if needs_rank:
                 old = ghosts.select(F.col("agent_id").alias("dst"), *[F.col(self._column(c)).alias(GHOST + c) for c in wanted])
                 seen = seen.join(old, "dst", "left")
-            edges = edges.join(seen, "dst")
+            if own:
+                edges = self._meet_also(self._meet("src", frame.select(F.col("agent_id").alias("src"), *[F.col(self._column(c)).alias(OWN + c) for c in own])), "dst", seen)
+            else:
+                edges = self._meet("dst", seen)
+            if len(breeds) < len(self.breeds):
+                edges = edges.filter(F.col("src_breed").isin(*breeds))
             if needs_rank:
                 for c in wanted:
                     kind = edges.schema[GHOST + c].dataType
@@ -493,13 +523,29 @@ class Model:
                     edges = edges.withColumn(NEIGHBOR + c, F.when(F.col("src_rank") == F.col("dst_rank"), F.col(NEIGHBOR + c)).otherwise(far))
             found = edges.groupBy("src").agg(*[a.alias(name) for _, name, a in folds]).withColumnRenamed("src", "agent_id")
             frame = frame.join(found, "agent_id", "left")
-        for k, (b, _, ctx, _, _) in enumerate(stage):
-            if ctx.messages:
-                sender = frame.filter(F.col("breed") == b.index).select(F.col("agent_id").alias("src"), *[F.col(self._column(c)).alias(OWN + c) for c in sorted(ctx.read_of_own)])
-                sent = self._links_by_src().join(sender, "src").groupBy("dst").agg(*[combine(value).alias(f"message__{k}__{n}") for n, (value, combine) in ctx.messages.items()])
-                frame = frame.join(sent.withColumnRenamed("dst", "agent_id"), "agent_id", "left")
+        sends = {priority: [s for s in stage if s[1] == priority and s[2].messages] for priority in dict.fromkeys(s[1] for s in stage)}
+        if any(sends.values()):
+            frame = frame.join(self._sent(frame, sends), "agent_id", "left")
         return frame
 
+    def _sent(self, frame: DataFrame, sends: dict[int, list]) -> DataFrame:
+        """agent_id and what is sent to it: one column for each priority and property, over the senders of all breeds. One join and one aggregate."""
+        own = sorted(set().union(*(c.read_of_own for group in sends.values() for _, _, c, _, _ in group)))
+        breeds = {b.index for group in sends.values() for b, _, _, _, _ in group}
+        senders = frame.filter(F.col("breed").isin(*breeds)).select(F.col("agent_id").alias("src"), F.col("breed").alias("sender__"), *[F.col(self._column(c)).alias(OWN + c) for c in own])
+        columns = []
+        for priority, group in sends.items():
+            values: dict[str, list] = {}
+            for b, _, ctx, _, _ in group:
+                for n, (value, combine) in ctx.messages.items():
+                    values.setdefault(n, []).append((b, value, combine))
+            for n, parts in values.items():
+                if any(c is not parts[0][2] for _, _, c in parts):
+                    raise ValueError(f"messages to {n} at priority {priority} are combined in several ways")
+                kinds = F.coalesce(*[F.when(F.col("sender__") == b.index, v) for b, v, _ in parts])
+                columns.append(parts[0][2](kinds).alias(f"message__{priority}__{n}"))
+        return self._meet("src", senders).groupBy("dst").agg(*columns).withColumnRenamed("dst", "agent_id")
+
     def _apply(self, group: list, frame: DataFrame, in_place: set[str]) -> DataFrame:
         """Writes of one priority: in place, or into the write buffer over earlier priorities' writes."""
         new: dict[str, list[Column]] = {}
@@ -510,11 +556,8 @@ class Model:
             for n, value in writes.items():
                 value = value if isinstance(value, Column) else _literal(value)
                 new.setdefault(n, []).append(F.when(F.col("breed") == b.index, value))
-        for c in frame.columns:
-            if c.startswith("message__"):
-                k, n = c[len("message__") :].split("__", 1)
-                if any(n in ctx.messages for _, _, ctx, _, _ in group):
-                    new.setdefault(n, []).append(F.col(c))
+        for n in dict.fromkeys(n for _, _, ctx, _, _ in group for n in ctx.messages):
+            new.setdefault(n, []).append(F.col(f"message__{group[0][1]}__{n}"))
         types = {f.name: f.dataType for f in frame.schema}
         changed = {}
         for n, values in new.items():
@@ -535,7 +578,7 @@ class Model:
     def _apply_pandas(self, b: Breed, ctx: Context, frame: DataFrame, folds: list) -> DataFrame:
         step = b.steps[ctx._key[0]]
         spec, tick, function = step.pandas, self.tick, step.function
-        given = frame.filter(F.col("breed") == b.index).select("agent_id", "logical_id", *spec.reads, *([F.col(folds[0][1]).alias("neighbors")] if folds else []))
+        given = frame.filter(F.col("breed") == b.index).select("agent_id", "logical_id", *spec.reads, *([F.coalesce(folds[0][1], F.array().cast(frame.schema[folds[0][1]].dataType)).alias("neighbors")] if folds else []))
         schema = T.StructType().add("agent_id", T.LongType())
         for n in spec.writes:
             schema = schema.add(f"pandas__{b.index}__{n}", frame.schema[self._column(n)].dataType)
@@ -558,24 +601,37 @@ class Model:
     # storage
 
     def save(self, path: str) -> None:
-        """State, edges and metadata; step functions are code and are registered again on load."""
+        """State, edges, history, events, partition and metadata; step functions and hooks are code and are registered again before loading."""
         self.agents.write.mode("overwrite").parquet(f"{path}/agents")
         self.edges.write.mode("overwrite").parquet(f"{path}/edges")
+        kept = {"history": self.history if self._history else None, "events": self.events, "partition": self._partition}
+        for name, df in kept.items():
+            if df is not None:
+                df.write.mode("overwrite").parquet(f"{path}/{name}")
+        arrays = {n: [b.index, list(shape), visible] for n, (b, shape, visible) in self._arrays.items()}
         meta = {"seed": self.seed, "tick": self.tick, "globals": self._globals, "workers": self.workers, "breeds": [b.name for b in self.breeds]}
+        meta |= {"arrays": arrays, "tracked": self._tracked, "turns": self._turns, "timings": self.tick_timings, "tables": [n for n, df in kept.items() if df is not None]}
         self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     def load(self, path: str) -> None:
-        """Put a saved state into a model whose breeds are registered in the same order."""
+        """Put a saved state into a model whose breeds are registered in the same order. It is the initial state from now on; agents that are added later join it."""
         meta = json.loads(self.spark.read.text(f"{path}/meta").head()[0])
         if meta["breeds"] != [b.name for b in self.breeds]:
             raise ValueError(f"saved breeds are {meta['breeds']}")
         self.seed, self.tick, self.workers, self._globals = meta["seed"], meta["tick"], meta["workers"], meta["globals"]
-        self._agents = cut(self.spark.read.parquet(f"{path}/agents"))
+        self._arrays |= {n: (self.breeds[k], tuple(shape), visible) for n, (k, shape, visible) in meta["arrays"].items()}
+        self._tracked, self._turns, self.tick_timings = meta["tracked"], meta["turns"], meta["timings"]
+        found = {n: cut(self.spark.read.parquet(f"{path}/{n}")) for n in meta["tables"]}
+        self._history = [(self.tick, found["history"])] if "history" in found else []
+        self._events = [(self.tick, found["events"])] if "events" in found else []
+        self._partition = found.get("partition")
+        self._agents = self._base = self._with_arrays(cut(self.spark.read.parquet(f"{path}/agents")))
         self._loaded, self._rows, self._frames, self._sizes, self._built, self._pending = self._agents.count(), [], [], [], (0, 0), {}
-        self._next = (self._agents.agg(F.max("agent_id")).head()[0] or -1) + 1
+        last = self._agents.agg(F.max("agent_id")).head()[0]
+        self._next = 0 if last is None else last + 1
         space = NetworkSpace()
         space.connect_frame(self.spark.read.parquet(f"{path}/edges"), directed=True)
-        self.space, self._edges, self._by_src, self.is_setup = space, None, None, True
+        self.space, self._edges, self._layouts, self.is_setup = space, None, {}, True
 
 
 def _plain(value) -> float | list[float]:

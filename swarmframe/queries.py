@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .functions import arrays, math, rng
 from .operators import graph, partition, population
+from .operators.communities import louvain, modularity
+from .operators.multilevel import multilevel
 from .plans.breed import Breed
 from .plans.context import get_neighbor, get_num_neighbors
-from .plans.lineage import scratch
+from .plans.lineage import cut, scratch
 from .plans.model import Model
 from .plans.space import NetworkSpace
 from .sources import generators, tables
@@ -312,6 +314,44 @@ def message_send_sum(spark, sf_dir):
     return m.agents.select("agent_id", "inbox")
 
 
+def parity_model(spark, sf_dir, links, priorities):
+    """Customers of even and of odd id as two breeds, whose agents send their points and ten times these to whom they are linked with."""
+    m = Model(spark, NetworkSpace())
+    breeds = [Breed("even"), Breed("odd")]
+    for k, (b, priority) in enumerate(zip(breeds, priorities, strict=True)):
+        b.register_property("points", 0, sql_type="bigint")
+        b.register_property("inbox", 0, sql_type="bigint")
+        b.register_step_func(lambda ctx, k=k: ctx.send("inbox", ctx.own("points") * (10 if k else 1), F.sum), priority)
+        m.register_breed(b)
+    for k, b in enumerate(breeds):
+        m.add_agents(customers(spark, sf_dir).select("agent_id").filter(F.col("agent_id") % 2 == k), b, points=F.col("agent_id") % 11)
+    m.space.connect_frame(links, directed=True)
+    m.simulate(1)
+    return m.agents.select("agent_id", "inbox")
+
+
+def messages_two_breeds(spark, sf_dir):
+    """Two breeds send to one property at one priority: what comes from both adds up."""
+    return parity_model(spark, sf_dir, graph.connect(customer_ring(spark, sf_dir)), (0, 0))
+
+
+def messages_by_priority(spark, sf_dir):
+    """The odd ones send later: their sum replaces that of the even ones where any of them sends."""
+    c = customers(spark, sf_dir).select("agent_id")
+    n = c.count()
+    far = lambda a, b: c.select(F.col("agent_id").alias("src"), ((F.col("agent_id") * a + b) % n).alias("dst"))
+    return parity_model(spark, sf_dir, far(7, 3).union(far(5, 1)), (0, 1))
+
+
+def pandas_step_without_neighbors(spark, sf_dir):
+    """An imperative step that counts its neighbours: none is an empty list."""
+    links = customer_ring(spark, sf_dir).filter("src % 3 = 0 and dst % 2 = 0")
+    m = model_of(spark, customers(spark, sf_dir).select("agent_id"), links, [], {"points": (0, "bigint"), "n": (-1, "bigint")}, directed=True)
+    m.breeds[0].register_pandas_step(lambda frame, tick: frame.assign(n=[len(x) for x in frame["neighbors"]])[["agent_id", "n"]], ["points"], ["n"], ["points"])
+    m.simulate(1)
+    return m.agents.select("agent_id", "n")
+
+
 def pandas_step(spark, sf_dir):
     """An imperative step: the median of the neighbours' points."""
     agents = customers(spark, sf_dir).select("agent_id")
@@ -444,6 +484,22 @@ def saved_and_loaded(spark, sf_dir):
     return other.agents.select("agent_id", "state")
 
 
+def reset_after_load(spark, sf_dir):
+    """A loaded model that ticks and is reset has the state that was loaded, and what has been added since."""
+    path = scratch(spark)
+    agents, links = tables.nation_chain(spark, sf_dir)
+    m = model_of(spark, agents, links, [(infect, 0, None)], state=F.when(F.col("agent_id") == 0, 2).otherwise(1))
+    m.simulate(1)
+    m.save(path)
+    other = Model(spark)
+    other.register_breed(m.breeds[0])
+    other.load(path)
+    other.simulate(2)
+    other.create_agent_of_breed(m.breeds[0], state=5)
+    other.reset(to_initial=True)
+    return other.agents.select("agent_id", "state")
+
+
 def skipped_barriers(spark, sf_dir):
     """Skipping barriers between priorities changes nothing."""
     links = hierarchy_links(spark, sf_dir)
@@ -631,6 +687,36 @@ def partition_communities(spark, sf_dir):
     return partition.by_communities(agents, edges, 4, rounds=2).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
 
 
+def partition_multilevel(spark, sf_dir):
+    """Four ranks of a ring by the multilevel partitioner, against a bound: 1.3 times the cut of four arcs, which is the least one."""
+    agents, edges = customers(spark, sf_dir), graph.connect(customer_ring(spark, sf_dir))
+    n = agents.count()
+    arcs = agents.select("agent_id", F.floor(F.col("agent_id") * 4 / n).cast("int").alias("rank"))
+    bound = int(1.3 * graph.edge_cut(edges, arcs).first().n_cut)
+    found = cut(multilevel(agents, edges, 4))
+    one = graph.analyze(edges, found)
+    return one.select("n_agents", "n_ranks", F.lit(bound).cast("bigint").alias("bound"), (F.col("n_cut") <= bound).alias("within_bound"), ((F.col("least") >= 0.95 * F.col("mean")) & (F.col("most") <= 1.05 * F.col("mean"))).alias("balanced"))
+
+
+def crowds(spark, sf_dir):
+    """Customers linked to the next three by id within crowds of 25, and every tenth to one anywhere."""
+    c = customers(spark, sf_dir).select("agent_id")
+    n = c.count()
+    crowd = lambda x: F.floor(F.col(x) / 25)
+    near = c.select(F.col("agent_id").alias("src"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("d")).select("src", (F.col("src") + F.col("d")).alias("dst"))
+    far = c.filter("agent_id % 10 = 0").select(F.col("agent_id").alias("src"), ((F.col("agent_id") * 7 + 1) % n).alias("dst"))
+    links = near.filter((crowd("src") == crowd("dst")) & (F.col("dst") < n)).union(far.filter(crowd("src") != crowd("dst")))
+    return c, graph.connect(links), c.select("agent_id", crowd("agent_id").alias("community"))
+
+
+def modularity_communities(spark, sf_dir):
+    """Modularity of the crowds, and whether the communities found reach 99 % of it."""
+    agents, edges, truth = crowds(spark, sf_dir)
+    planted = modularity(edges, truth)
+    found = modularity(edges, louvain(agents, edges))
+    return agents.agg(F.count(F.lit(1)).alias("n_agents")).select("n_agents", F.round(F.lit(planted), 9).alias("planted"), F.lit(found >= 0.99 * planted).alias("reached"))
+
+
 def small_world(spark, sf_dir):
     return graph.connect(generators.small_world(spark, customers(spark, sf_dir).count(), 4, 0.1, SEED))
 
@@ -644,11 +730,11 @@ QUERIES = {
     for f in (
         sir_chain_wave, sir_chain_philox, stale_ghost_sync2, sir_trade_network, trade_histogram, trade_breed_data, sir_two_breed_bipartite, state_histogram, breed_data, sir_vector_safety,
         hierarchy_si_one_hop, hierarchy_sir_two_hop, priority_buffered, priority_in_place, priority_last_writer, augassign_snapshot, in_place_neighbor_read,
-        history_circular_buffer, history_pivot, event_recording, set_property, agents_with, breed_local_array, invisible_property_zero, message_send_sum, pandas_step,
+        history_circular_buffer, history_pivot, event_recording, set_property, agents_with, breed_local_array, invisible_property_zero, message_send_sum, messages_two_breeds, messages_by_priority, pandas_step, pandas_step_without_neighbors, reset_after_load,
         third_neighbor, history_last_values, breed_ranges, rank_counts, widest_arrays, community_packing,
         neighbor_folds, edges_directed, edges_undirected, edges_disconnect, degree, nth_neighbor, csr_offsets, csr_values,
         philox_uniform, xorshift_uniform, rand_normal, rand_normal_bounded, scalar_functions, initial_sample,
-        partition_round_robin, partition_random, partition_balance, partition_edge_cut, ghost_topology, comm_volume, partition_quality, partition_communities, partition_balanced,
+        partition_round_robin, partition_random, partition_balance, partition_edge_cut, ghost_topology, comm_volume, partition_quality, partition_communities, partition_balanced, partition_multilevel, modularity_communities,
         partition_precedence, partition_from_file, agents_added_later, clock_reset, saved_and_loaded, skipped_barriers, dangling_neighbors, own_array_in_folds,
         breed_agent_ids, property_read, agents_with_python_predicate, breed_order, padded_arrays, scalar_functions_nan,
         small_world, clustered_ring,

@@ -1,7 +1,7 @@
 """Graph files as tables of nodes and links: edge lists by Spark's reader, GraphML and GML by small parsers.
 
-Nodes whose labels are all whole numbers (in GraphML perhaps after an n) keep them as ids. If any label is not a
-number, all nodes are numbered from 0, by label.
+Nodes whose labels are all whole numbers (in GraphML perhaps after an n), and different ones, keep them as ids. If any label is not a
+number, or two are the same number (1 and 01), all nodes are numbered from 0, by label.
 """
 
 from __future__ import annotations
@@ -35,9 +35,9 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         raise ValueError(f"unknown graph format: {suffix}")
     nodes = nodes.union(links.select("src")).union(links.select("dst")).distinct()
     number = F.regexp_extract("label", r"^n?(\d+)$" if suffix == ".graphml" else r"^(\d+)$", 1)
-    if nodes.filter(number == "").head() is None:
-        ids = nodes.select(number.cast("long").alias("agent_id"), "label")
-    else:
+    ids = nodes.select(number.try_cast("long").alias("agent_id"), "label")
+    # a label that is no number, or two that are the same one
+    if ids.groupBy("agent_id").agg(F.count(F.lit(1)).alias("n")).filter("agent_id is null or n > 1").head() is not None:
         ids = by_label(nodes)
     out = links.join(ids.select(F.col("label").alias("src"), F.col("agent_id").alias("a")), "src").join(ids.select(F.col("label").alias("dst"), F.col("agent_id").alias("b")), "dst")
     return ids, out.select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -66,13 +66,32 @@ def graphml(path: str) -> tuple[list[str], list[tuple[str, str]]]:
     return nodes, links
 
 
+#: A bracket, a quoted text, or a run of anything else.
+TOKEN = re.compile(r"[\[\]]|\"([^\"]*)\"|[^\s\[\]\"]+")
+
+
 def gml(path: str) -> tuple[list[str], list[tuple[str, str]]]:
-    """Nodes go by their label where they have one, as in most readers."""
-    text = Path(path).read_text()
+    """Nodes go by their label where they have one, as in most readers. Blocks inside nodes and edges (``graphics`` and the like) are passed over. The file is read on the driver."""
     names: dict[str, str] = {}
-    for block in re.findall(r"\bnode\s*\[([^\]]*)\]", text):
-        ident = re.search(r"\bid\s+(\S+)", block)[1]
-        label = re.search(r"\blabel\s+(?:\"([^\"]*)\"|(\S+))", block)
-        names[ident] = (label[1] or label[2]) if label else ident
-    links = [(s, t) for s, t in re.findall(r"\bedge\s*\[[^\]]*?\bsource\s+(\S+)[^\]]*?\btarget\s+(\S+)", text)]
-    return list(names.values()), [(names.get(s, s), names.get(t, t)) for s, t in links]
+    links, open_blocks, key = [], [], None
+    for line in Path(path).read_text().splitlines():
+        if line.lstrip().startswith("#"):
+            continue
+        for t in TOKEN.finditer(line):
+            word = t[0]
+            if word == "[":
+                open_blocks.append((key, {}))
+                key = None
+            elif word == "]":
+                kind, values = open_blocks.pop()
+                if kind == "node":
+                    names[values["id"]] = values.get("label", values["id"])
+                elif kind == "edge":
+                    links.append((values["source"], values["target"]))
+            elif key is None:
+                key = word.lower()
+            else:
+                if open_blocks:
+                    open_blocks[-1][1].setdefault(key, t[1] if t[1] is not None else word)
+                key = None
+    return list(names.values()), [(names.get(a, a), names.get(b, b)) for a, b in links]

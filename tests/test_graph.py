@@ -186,3 +186,30 @@ def test_population(spark):
     assert population.priority_ranges(a, {0: [1, 2], 1: [0], 2: [9]}) == {0: (1, 4), 1: (0, 1)}
     assert [r.agent_id for r in population.sorted_by_breed(a, 1).collect()] == [1, 0, 2, 3]
     assert population.counts(a, "breed").count() == 3
+
+
+def test_gml_with_blocks_inside(spark, tmp_path):
+    path = tmp_path / "g.gml"
+    path.write_text('''# made by hand
+Creator "x [ y"
+graph [ directed 0
+  node [ id 1 graphics [ x 1 y [ z 2 ] ] label "A b" ]
+  node [ id 2 label "C]" graphics [ id 9 ] ]
+  node [ id 3 ]
+  edge [ graphics [ width 2 source 7 ] source 1 target 2 ]
+  edge [ source 2
+    target 3 label "e" ]
+]''')
+    nodes, links = graph_files.gml(str(path))
+    assert nodes == ["A b", "C]", "3"] and links == [("A b", "C]"), ("C]", "3")]
+
+
+def test_labels_that_are_the_same_number(spark, tmp_path):
+    path = tmp_path / "g.edgelist"
+    path.write_text("1 01\n01 2\n" + "".join(f"user_{k} user_{k + 1}\n" for k in range(50)))
+    ids, links = graph_files.read_graph(spark, str(path))
+    found = {r.label: r.agent_id for r in ids.collect()}
+    assert sorted(found.values()) == list(range(54)) and sorted(found, key=found.get) == sorted(found)
+    path.write_text("1 01\n01 2\n")
+    ids, links = graph_files.read_graph(spark, str(path))
+    assert {r.label: r.agent_id for r in ids.collect()} == {"01": 0, "1": 1, "2": 2} and links.count() == 2

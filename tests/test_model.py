@@ -390,6 +390,50 @@ def test_no_tick_moves_the_edges(spark, kind):
     assert values(m, "n") == [d if kind != "breeds" or i < 300 else 1 for i, d in enumerate(degree)]
 
 
+@pytest.mark.parametrize("kind", ["fold", "message", "own", "nth", "ranks"])
+def test_hubs_move_no_edges(spark, monkeypatch, kind):
+    """A ring with a star: the hub's edges stay where they lie and meet its broadcast state."""
+    monkeypatch.setattr("swarmframe.plans.model.HUB", 20)
+    n = 400
+    pairs = {p for i in range(n) for j in ((i + 1) % n, 7) if i != j for p in ((i, j), (j, i))}
+
+    def step(ctx):
+        if kind == "message":
+            ctx.send("n", ctx.own("n"))
+            return {}
+        if kind == "nth":
+            return {"n": ctx.neighbors.nth(ctx.nbr("n"), 2)}
+        return {"n": ctx.neighbors.sum(ctx.nbr("n") + (ctx.own("n") if kind == "own" else 0))}
+
+    m, b = Model(spark, workers=2 if kind == "ranks" else 1), Breed("a")
+    b.register_property("n", 1, sql_type="bigint")
+    b.register_step_func(step)
+    m.register_breed(b)
+    m.add_agents(spark.range(n).withColumnRenamed("id", "agent_id"), b, n=F.col("agent_id") % 5)
+    m.space.connect_frame(spark.createDataFrame(sorted(pairs), "src bigint, dst bigint"), directed=True)
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in zip(names, ("false", "-1", "16")):
+        spark.conf.set(k, v)
+    try:
+        m._agents = m._cut(m.agents.repartition(16, "agent_id"))
+        exchanges = exchanged_edges(m)
+        m._layout("dst")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert m._layout("dst")[1].count() == n - 1 and [r[0] for r in m._layout("dst")[2].collect()] == [7]
+    assert len(exchanges) <= (2 if kind == "own" else 1)  # partial aggregates; own columns: the light edges once
+    m.simulate(2)
+    state, near = [i % 5 for i in range(n)], [sorted(j for a, j in pairs if a == i) for i in range(n)]
+    for _ in range(2):
+        if kind == "nth":
+            state = [state[near[i][2]] if len(near[i]) > 2 else state[i] for i in range(n)]
+        else:
+            state = [sum(state[j] + (state[i] if kind == "own" else 0) for j in near[i]) for i in range(n)]
+    assert values(m, "n") == state
+
+
 def test_messages_and_pandas_steps(spark):
     def step(ctx):
         ctx.send("inbox", ctx.own("n"), F.max)
@@ -442,3 +486,45 @@ def test_ghosts(spark):
     p = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "agent_id bigint, rank int")
     assert sorted(map(tuple, graph.ghosts(e, p).collect())) == [(0, 2, 1), (1, 1, 0)]
     assert sorted(map(tuple, graph.communication_volume(e, p).collect())) == [(0, 1, 1), (1, 0, 1)]
+
+
+def test_messages_combined_in_several_ways_are_refused(spark):
+    m = Model(spark)
+    for k, combine in enumerate((F.sum, F.max)):
+        b = Breed(f"b{k}")
+        b.register_property("x", 0)
+        b.register_step_func(lambda ctx, combine=combine: ctx.send("x", ctx.own("x"), combine))
+        m.register_breed(b)
+        m.create_agent_of_breed(b)
+    m.connect_agents(0, 1)
+    with pytest.raises(ValueError, match="several ways"):
+        m.simulate(1)
+
+
+def test_loaded_model_has_arrays_history_and_ids(spark, tmp_path):
+    def model():
+        m, b = Model(spark), Breed("b")
+        b.register_property("x", 1.0)
+        b.register_step_func(lambda ctx: {"x": ctx.self("x") * 2})
+        m.register_breed(b)
+        return m, b
+
+    m, b = model()
+    m.create_agent_of_breed(b)
+    m.register_breed_local_array("early", b, (2, 3))
+    assert m.get_breed_local_array("early").head().v == [[0.0] * 3] * 2
+    m.register_breed_local_array("late", b, 2)  # after agents were looked at
+    assert m.get_breed_local_array("late").head().v == [0.0, 0.0]
+    m.track_history("x")
+    m.post_step = lambda breed, priority, agents: agents.select("tick", "agent_id")
+    m.simulate(3)
+    m.save(str(tmp_path / "m"))
+    other, b = model()
+    other.load(str(tmp_path / "m"))
+    assert [(r.tick, r.x) for r in other.history.orderBy("tick").collect()] == [(0, 1.0), (1, 2.0), (2, 4.0)]
+    assert other.events.count() == 3 and other.get_breed_local_array("late").head().v == [0.0, 0.0]
+    assert other.create_agent_of_breed(b) == 1  # the only agent was 0
+    other.simulate(1)
+    assert {r.agent_id: r.x for r in other.agents.collect()} == {0: 16.0, 1: 2.0} and other.history.count() == 5
+    other.reset(to_initial=True)
+    assert {r.agent_id: r.x for r in other.agents.collect()} == {0: 8.0, 1: 1.0}
