@@ -17,7 +17,7 @@ indexed there in blocks. Shared q-grams are worked on ``HITS`` at a time, howeve
 
 Edge cases: a null or empty text holds nothing; items that normalise to under ``MIN_ITEM`` bytes say too
 little to tell a quote from chance and match nothing (``short_items`` lists them); equal items are each reported, rows that
-share an item_id are one item with several texts; a null item_id or text is no item; repeated rows of documents each get their rows,
+share an item_id (of an integer type, others are refused) are one item with several texts, which go in one pass; a null item_id or text is no item; repeated rows of documents each get their rows,
 whatever the type of doc_id; texts of any length are matched whole; an empty table on either side gives an empty
 result. Extra columns are carried when documents are filtered, or not read.
 """
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import integer_ids, table
 
 #: Q-grams of 7 bytes: at ``RATE`` edits the lemma's count is positive for every length from ``MIN_ITEM`` on.
 Q, WINDOW, RATE, MIN_ITEM = 7, 96, 0.1, 24
@@ -313,12 +313,19 @@ def blocks_of(items: list[tuple[int, str]], block_bytes: int = BLOCK_BYTES) -> l
 
 
 def known_items(benchmark: DataFrame) -> DataFrame:
+    integer_ids(benchmark, "item_id")
     return benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), "text")
 
 
 def short_items(benchmark: DataFrame) -> DataFrame:
     """item_id, text of the items that are too short to be looked for."""
-    return known_items(benchmark).filter(F.udf(lambda t: len(normalise(t)) < MIN_ITEM, "boolean")("text"))
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([len(normalise(t)) < MIN_ITEM for t in b.column(1).to_pylist()], pa.bool_()))
+
+    known = known_items(benchmark)
+    return known.mapInArrow(run, known.schema)
 
 
 def passes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES):
@@ -327,7 +334,8 @@ def passes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, pass_bytes: int
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // pass_bytes)
     for i in range(parts):
-        part = known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) if parts > 1 else known
+        # all texts of an item go in one pass, so that no document has an item twice
+        part = known.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i) if parts > 1 else known
         yield benchmark.sparkSession.sparkContext.broadcast(blocks_of(sorted((r[0], r[1]) for r in part.collect()), block_bytes))
 
 
@@ -345,7 +353,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc_id", "item_id", "item_from", "edits"])
 
         part = docs.select("doc_id", "text").mapInArrow(run, schema)
-        # an item whose texts went to different passes is one item
         out = part if out is None else out.union(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 

@@ -506,7 +506,7 @@ def linked_roots(rows: DataFrame, sets: DataFrame, named: DataFrame) -> DataFram
     pairs = met.select("node", "center").distinct()
     both = pairs.select("node").union(pairs.select("center")).distinct()
     wanted = stored(named.groupBy("node").agg(F.min("digest").alias("digest")).join(both, "node"))
-    held = stored(points(likely(rows.select("digest", "text"), wanted).join(wanted, "digest").dropDuplicates(["digest"])))  # a node has one
+    held = stored(points(likely(rows.select("digest", "text"), wanted).dropDuplicates(["digest"]).join(wanted, "digest")))  # copies go before they are dealt
     true = verified(pairs, held)
     roots = stored(components(true))
     members = met.select("cell", "node").union(met.select("cell", F.col("center").alias("node"))).distinct()

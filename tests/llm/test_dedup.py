@@ -385,6 +385,18 @@ def test_every_planted_item_and_nothing_else(spark):
     assert exact == got
 
 
+def test_item_of_several_texts_in_several_passes(spark, items):
+    several = [(k % 3, t) for k, (_, t) in enumerate(items[:12])]
+    bench = spark.createDataFrame(several, "item_id bigint, text string")
+    docs = frame(spark, [(1, " ".join(t for _, t in items[:12])), (1, items[0][1] + " and " + items[3][1])])
+    whole = sorted(map(str, decontaminate.contaminated(docs, bench).collect()))
+    assert len(whole) == 4
+    for size in (100, 700, 1500):
+        assert whole == sorted(map(str, decontaminate.contaminated(docs, bench, pass_bytes=size).collect()))
+    with pytest.raises(TypeError):
+        decontaminate.contaminated(docs, bench.withColumn("item_id", F.lit("a")))
+
+
 def test_blocks_and_edge_cases(spark, items):
     bench = spark.createDataFrame([*items, (None, "x" * 90), (600, None)], "item_id bigint, text string")
     docs = frame(spark, [(1, "see: " + items[0][1].upper()), (1, "see: " + items[0][1].upper()), (2, None), (3, "clean " * 50), (None, items[3][1] + "\n" + items[4][1])])
