@@ -162,8 +162,9 @@ def oracle_sql() -> dict[str, str]:
         "padded_arrays": "SELECT c_custkey AS agent_id, 6::BIGINT AS width, (5 - c_custkey % 4)::BIGINT AS padded, ((c_custkey % 4) * (c_custkey % 4 + 1) / 2)::DOUBLE AS total FROM customer",
         "scalar_functions_nan": "WITH b AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS b FROM customer) SELECT id AS agent_id, CASE WHEN b IS NOT NULL THEN greatest(0.0::DOUBLE, least(5000.0::DOUBLE, b)) END AS clamped, CASE WHEN abs(b) > 1e-30 THEN 1.0::DOUBLE / b ELSE -1.0::DOUBLE END AS ratio, b + 0.25::DOUBLE * (100.0::DOUBLE - b) AS mixed, CASE WHEN b >= 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS step FROM b",
         "partition_balanced": "WITH t AS (SELECT count(*) AS n FROM customer), p AS (SELECT unnest(range(0, (SELECT n FROM t))) AS place) SELECT (place * 4 // (SELECT n FROM t))::INTEGER AS rank, count(*) AS n FROM p GROUP BY 1",
-        "small_world": f"WITH c AS (SELECT count(*) AS n FROM customer), r AS (SELECT src, (src + d) % n AS dst, n FROM c, (SELECT unnest(range(0, (SELECT n FROM c))) AS src), (VALUES (1), (2)) v(d)), l AS (SELECT *, src * (n + 1) + dst AS link FROM r WHERE src <> dst), "
-        f"m AS (SELECT src, dst, floor({philox(42, 0, 'link', 2)} * n)::BIGINT AS target, {philox(42, 0, 'link', 1)} AS u FROM l), o AS (SELECT src, CASE WHEN u < 0.1::DOUBLE AND target <> src THEN target ELSE dst END AS dst FROM m) SELECT src, dst, 0::BIGINT AS pos FROM (SELECT src, dst FROM o UNION SELECT dst, src FROM o)",
+        "small_world": f"WITH c AS (SELECT count(*) AS n FROM customer), r AS (SELECT DISTINCT least(src, (src + d) % n) AS a, greatest(src, (src + d) % n) AS b, n FROM c, (SELECT unnest(range(0, (SELECT n FROM c))) AS src), (VALUES (1), (2)) v(d)) "
+        f"SELECT count(*) AS n_links, count(*) AS n_pairs, 0::BIGINT AS n_loops, count(*) FILTER ({philox(42, 0, '(a * (n + 1) + b)', 1)} >= 0.1) AS n_kept FROM r WHERE a <> b",
+        "custom_folds": f"WITH {RING} SELECT src AS agent_id, round(exp(avg(ln(dst % 11 + 1))), 6) AS middle, count(DISTINCT dst % 11 % 3) AS kinds FROM edges GROUP BY src",
         "clustered_ring": f"WITH k AS (SELECT count(*) // 10 AS per FROM customer), a AS (SELECT src, d, per, 6 AS n, src // per * per AS base, {philox(42, 0, '(src * 6 + d)', 5)} AS u FROM k, (SELECT unnest(range(0, (SELECT per * 10 FROM k))) AS src), (SELECT unnest(range(0, 6)) AS d)), "
         "i AS (SELECT src, base + (src - base + 1 + floor(d * (per - 1) / 6) + floor(u * (floor((d + 1) * (per - 1) / 6) - floor(d * (per - 1) / 6))))::BIGINT % per AS dst FROM a), "
         f"w AS (SELECT c, r, x, per, {philox(42, 0, '((c * 2 + r - 1) * 20 + x)', 3)} AS u FROM k, (SELECT unnest(range(0, 10)) AS c), (SELECT unnest(range(1, 3)) AS r), (SELECT unnest(range(0, 20)) AS x)), "

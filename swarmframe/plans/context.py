@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import rng
+from ..functions.folds import Fold
 
 NEIGHBOR, OWN = "nbr__", "own__"
 
@@ -18,11 +19,15 @@ class Neighbors:
     def __init__(self, ctx: Context):
         self._ctx = ctx
 
-    def fold(self, aggregate: Column, default=None) -> Column:
+    def fold(self, aggregate: Column | tuple, default=None) -> Column:
         """Any aggregate expression; ``default`` where an agent has no neighbours."""
         name = self._ctx._add_fold(aggregate)
         return F.col(name) if default is None else F.coalesce(F.col(name), default if isinstance(default, Column) else F.lit(default))
 
+    def custom(self, fold: Fold, *values: Column, default=None) -> Column:
+        """A fold of the user's own over the neighbours' values; ``default`` where an agent has no neighbours."""
+        return self.fold((fold, values), default)
+
     def any(self, predicate: Column) -> Column:
         return self.fold(F.max(F.coalesce(predicate, F.lit(False))), False)
 
@@ -118,7 +123,7 @@ class Context:
         self._model._known(name)
         self.messages[name] = (value, combine)
 
-    def _add_fold(self, aggregate: Column) -> str:
+    def _add_fold(self, aggregate: Column | tuple) -> str:
         name = f"fold__{len(self._folds)}"
         self._folds.append((self._key, name, aggregate))
         return name

@@ -19,14 +19,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.folds import folded
 from ..operators.order import numbered, places_within
+from ..streaming.history import Fired
 from .breed import Breed
 from .context import NEIGHBOR, OWN, Context
 from .lineage import cut, cut_in_place
 from .space import NetworkSpace, Space
 
 BASE = ["agent_id", "logical_id", "breed", "rank"]
-WRITE, ARRAY, GHOST = "write__", "array__", "ghost__"
+WRITE, ARRAY, GHOST, EVENT = "write__", "array__", "ghost__", "event__"
 #: Edges that a partition may have of one agent beyond twice its share.
 HUB = 1000
 
@@ -489,9 +491,15 @@ class Model:
             for priority in dict.fromkeys(p for _, p, _, _, _ in stage):
                 frame = self._apply([s for s in stage if s[1] == priority], frame, in_place)
             frame = frame.select(*[c for c in frame.columns if not c.startswith(("fold__", "message__"))])
-        out = frame.select(*[F.coalesce(F.col(WRITE + c), F.col(c)).alias(c) if WRITE + c in frame.columns else F.col(c) for c in columns])
+        events = [c for c in frame.columns if c.startswith(EVENT)]
+        out = frame.select(*[F.coalesce(F.col(WRITE + c), F.col(c)).alias(c) if WRITE + c in frame.columns else F.col(c) for c in columns], *events)
         self.tick += 1
-        self._agents = self._cut(out) if self.tick % self.checkpoint_every == 0 else out
+        if events:
+            done = self._cut(out)
+            fired = done.select(F.explode(F.filter(F.array(*events), lambda e: e.isNotNull())).alias("e")).select("e.*")
+            self._append(self._events, cut(fired))
+            out = done.select(*columns)
+        self._agents = self._cut(out) if self.tick % self.checkpoint_every == 0 and not events else out
 
     def _cut(self, agents: DataFrame) -> DataFrame:
         """With edges laid out, a fixed plan: the state stays where agent ids hash to, and the only shuffle of a tick is of partial aggregates."""
@@ -521,8 +529,14 @@ class Model:
                     kind = edges.schema[GHOST + c].dataType
                     far = F.col(GHOST + c) if self._visible(c) else F.when(F.col(NEIGHBOR + c).isNotNull(), _zero(kind))
                     edges = edges.withColumn(NEIGHBOR + c, F.when(F.col("src_rank") == F.col("dst_rank"), F.col(NEIGHBOR + c)).otherwise(far))
-            found = edges.groupBy("src").agg(*[a.alias(name) for _, name, a in folds]).withColumnRenamed("src", "agent_id")
-            frame = frame.join(found, "agent_id", "left")
+            built_in, custom = [f for f in folds if isinstance(f[2], Column)], [f for f in folds if not isinstance(f[2], Column)]
+            if built_in:
+                found = edges.groupBy("src").agg(*[a.alias(name) for _, name, a in built_in]).withColumnRenamed("src", "agent_id")
+                frame = frame.join(found, "agent_id", "left")
+            if custom:
+                values = [F.struct(*[v.alias(f"v{k}") for k, v in enumerate(columns)]).alias(name) for _, name, (_, columns) in custom]
+                found = folded(edges.select("src", *values), [(name, fold) for _, name, (fold, _) in custom])
+                frame = frame.join(found.withColumnRenamed("src", "agent_id"), "agent_id", "left")
         sends = {priority: [s for s in stage if s[1] == priority and s[2].messages] for priority in dict.fromkeys(s[1] for s in stage)}
         if any(sends.values()):
             frame = frame.join(self._sent(frame, sends), "agent_id", "left")
@@ -568,7 +582,13 @@ class Model:
             else:
                 changed[WRITE + column] = F.coalesce(value, F.col(WRITE + column)) if WRITE + column in frame.columns else value
         out = frame.withColumns(changed) if changed else frame
-        if self.post_step:
+        if isinstance(self.post_step, Fired):
+            # goes through the tick's own checkpoint, as a column
+            now = F.struct(*[(F.lit(self.tick) if c == "tick" else F.col(c)).alias(c) for c in self.post_step.columns])
+            out = out.withColumns({f"{EVENT}{p}__{b.index}": F.when((F.col("breed") == b.index) & self.post_step.condition, now) for b, p, _, _, _ in group})
+        elif self.post_step:
+            # the hook and the rest of the tick read what is computed here once
+            out = self._cut(out)
             for b, p, _, _, _ in group:
                 events = self.post_step(b, p, out.filter(F.col("breed") == b.index).withColumn("tick", F.lit(self.tick)))
                 if events is not None:

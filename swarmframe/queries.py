@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import arrays, math, rng
+from .functions import arrays, folds, math, rng
 from .operators import graph, partition, population
 from .operators.communities import louvain, modularity
 from .operators.multilevel import multilevel
@@ -366,6 +366,17 @@ def pandas_step(spark, sf_dir):
     return m.agents.select("agent_id", F.col("middle").cast("bigint").alias("middle"))
 
 
+def custom_folds(spark, sf_dir):
+    """Folds that a user writes: the geometric mean of the neighbours' points, and a sketch of how many kinds there are (exact for a few)."""
+    def step(ctx):
+        return {"middle": ctx.neighbors.custom(folds.geometric_mean(), ctx.nbr("points") + 1), "kinds": ctx.neighbors.custom(folds.distinct_sketch(), ctx.nbr("points") % 3, default=0)}
+
+    agents = customers(spark, sf_dir).select("agent_id")
+    m = model_of(spark, agents, customer_ring(spark, sf_dir), [(step, 0, None)], {"points": (0, "bigint"), "middle": (0.0, "double"), "kinds": (0, "bigint")}, points=F.col("agent_id") % 11)
+    m.simulate(1)
+    return m.agents.select("agent_id", F.round("middle", 6).alias("middle"), "kinds")
+
+
 def neighbor_folds(spark, sf_dir):
     """All folds over the suppliers of each customer, in one aggregate."""
     buyers, sellers, links = tables.trade_network(spark, sf_dir)
@@ -718,7 +729,12 @@ def modularity_communities(spark, sf_dir):
 
 
 def small_world(spark, sf_dir):
-    return graph.connect(generators.small_world(spark, customers(spark, sf_dir).count(), 4, 0.1, SEED))
+    """Links of a small world, different pairs and loops among them, and the lattice's links that did not move: none is lost."""
+    n = customers(spark, sf_dir).count()
+    links = cut(generators.small_world(spark, n, 4, 0.1, SEED))
+    lattice = generators.ring(spark, n, 4).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    kept = lattice.filter(rng.uniform(SEED, 0, F.col("src") * (n + 1) + F.col("dst"), 1) >= 0.1).join(links, ["src", "dst"], "left_semi").count()
+    return links.agg(F.count(F.lit(1)).alias("n_links"), F.count_distinct(F.least("src", "dst"), F.greatest("src", "dst")).alias("n_pairs"), F.count_if(F.col("src") == F.col("dst")).alias("n_loops"), F.lit(kept).cast("bigint").alias("n_kept"))
 
 
 def clustered_ring(spark, sf_dir):
@@ -732,7 +748,7 @@ QUERIES = {
         hierarchy_si_one_hop, hierarchy_sir_two_hop, priority_buffered, priority_in_place, priority_last_writer, augassign_snapshot, in_place_neighbor_read,
         history_circular_buffer, history_pivot, event_recording, set_property, agents_with, breed_local_array, invisible_property_zero, message_send_sum, messages_two_breeds, messages_by_priority, pandas_step, pandas_step_without_neighbors, reset_after_load,
         third_neighbor, history_last_values, breed_ranges, rank_counts, widest_arrays, community_packing,
-        neighbor_folds, edges_directed, edges_undirected, edges_disconnect, degree, nth_neighbor, csr_offsets, csr_values,
+        neighbor_folds, custom_folds, edges_directed, edges_undirected, edges_disconnect, degree, nth_neighbor, csr_offsets, csr_values,
         philox_uniform, xorshift_uniform, rand_normal, rand_normal_bounded, scalar_functions, initial_sample,
         partition_round_robin, partition_random, partition_balance, partition_edge_cut, ghost_topology, comm_volume, partition_quality, partition_communities, partition_balanced, partition_multilevel, modularity_communities,
         partition_precedence, partition_from_file, agents_added_later, clock_reset, saved_and_loaded, skipped_barriers, dangling_neighbors, own_array_in_folds,

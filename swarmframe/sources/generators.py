@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rng
+from ..plans.lineage import stored
 
 
 def chain(spark: SparkSession, n: int) -> DataFrame:
@@ -19,13 +20,27 @@ def ring(spark: SparkSession, n: int, k: int) -> DataFrame:
     return out.select("src", ((F.col("src") + F.col("d")) % n).alias("dst")).filter("src <> dst")
 
 
-def small_world(spark: SparkSession, n: int, k: int, p: float, seed: int = 0) -> DataFrame:
-    """Ring lattice whose links move their far end to a random agent with probability p; each draw is keyed by the link."""
-    links = ring(spark, n, k)
+def small_world(spark: SparkSession, n: int, k: int, p: float, seed: int = 0, rounds: int = 60) -> DataFrame:
+    """Ring lattice whose links move their far end to a random agent with probability p; every link stays one of its own, so there are as many as in the lattice.
+
+    In each round the links that have to move draw an agent; draws that are no other agent, a link that exists, or another link's draw (the least link has it) are
+    drawn anew in the next. Draws are keyed by link and round. Where no free place turns up in ``rounds`` rounds (networks that are all but complete) that is an error.
+    """
     link = F.col("src") * (n + 1) + F.col("dst")
-    target = F.floor(rng.uniform(seed, 0, link, 2) * n).cast("long")
-    moved = F.when((rng.uniform(seed, 0, link, 1) < p) & (target != F.col("src")), target).otherwise(F.col("dst"))
-    return links.select("src", moved.alias("dst")).distinct()
+    lattice = ring(spark, n, k).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().withColumn("link", link)
+    moves = rng.uniform(seed, 0, F.col("link"), 1) < p
+    taken, left = stored(lattice.filter(~moves).select("src", "dst")), stored(lattice.filter(moves).select(F.col("src").alias("near"), "link"))
+    for r in range(rounds):
+        if left.head() is None:
+            return taken
+        far = F.floor(rng.uniform(seed, r, F.col("link"), 2) * n).cast("long")
+        drawn = left.withColumn("far", far).filter("far <> near").select("near", "link", F.least("near", "far").alias("src"), F.greatest("near", "far").alias("dst"))
+        free = drawn.join(taken, ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.min("link").alias("link"))
+        placed = stored(free)
+        taken = taken.union(placed.select("src", "dst"))
+        taken = stored(taken) if r % 8 == 7 else taken
+        left = stored(left.join(placed.select("link"), "link", "left_anti"))
+    raise RuntimeError("no room for all links")
 
 
 def hierarchy(spark: SparkSession, fan_out: int = 10, levels: int = 3) -> DataFrame:

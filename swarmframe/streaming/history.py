@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import set_at
@@ -44,6 +44,16 @@ def parquet_sink(path: str, *columns: str) -> Callable[[int, DataFrame], None]:
     return write
 
 
-def fired(condition, *columns: str) -> Callable:
+class Fired:
+    """A ``post_step`` hook that records the agents for which a condition holds. It is part of the tick's plan: nothing is computed twice, and nothing is checkpointed but the events."""
+
+    def __init__(self, condition: Column, columns: tuple[str, ...]):
+        self.condition, self.columns = condition, ("tick", "agent_id", *columns)
+
+    def __call__(self, breed, priority: int, agents: DataFrame) -> DataFrame:
+        return agents.filter(self.condition).select(*self.columns)
+
+
+def fired(condition: Column, *columns: str) -> Fired:
     """A ``post_step`` hook that records the agents for which a condition holds, with the tick."""
-    return lambda breed, priority, agents: agents.filter(condition).select("tick", "agent_id", *columns)
+    return Fired(condition, columns)

@@ -1,5 +1,7 @@
 """Registration of breeds, and graphs as sets or lists of neighbours."""
 
+import random
+
 import pytest
 
 from swarmframe import Breed, Model, NetworkSpace
@@ -90,3 +92,39 @@ def test_tables_and_single_links_together(spark):
     s.disconnect_agents(0, 1, directed=True)
     assert {(r.src, r.dst) for r in s.edges(spark).collect()} == {(1, 0), (1, 2), (2, 1), (2, 3), (3, 2)}
     assert s.get_neighbors(1) == {0, 2}
+
+
+def test_single_changes_are_one_join(spark, monkeypatch):
+    rng = random.Random(2)
+    base = {(i, (i + d) % 300) for i in range(300) for d in (1, 2)}
+    for logged in (100_000, 900):
+        monkeypatch.setattr("swarmframe.plans.space.LOGGED", logged)
+        space = NetworkSpace()
+        space.connect_frame(spark.createDataFrame(sorted(base), "src bigint, dst bigint"), directed=True)
+        links = set(base)
+        for _ in range(5000):
+            a, b, one = rng.randrange(300), rng.randrange(300), rng.random() < 0.5
+            if rng.random() < 0.5:
+                space.connect_agents(a, b, directed=one)
+                links |= {(a, b)} if one else {(a, b), (b, a)}
+            else:
+                space.disconnect_agents(a, b, directed=one)
+                links -= {(a, b)} if one else {(a, b), (b, a)}
+        edges = space.edges(spark)
+        assert edges._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+        assert {(r.src, r.dst) for r in edges.collect()} == links and edges.count() == len(links)
+        assert space.neighbors(5) == {b for a, b in links if a == 5}
+        space.disconnect_frame(spark.createDataFrame([(5, x) for x in range(300)], "src bigint, dst bigint"), directed=True)
+        space.connect_agents(5, 6, directed=True)
+        assert space.neighbors(5) == {6} and space.edges(spark).count() == len([x for x in links if x[0] != 5]) + 1
+
+
+def test_a_link_made_again_is_the_last(spark):
+    space = NetworkSpace(ordered=True)
+    space.connect_frame(spark.createDataFrame([(0, 1, 0), (0, 2, 1)], "src bigint, dst bigint, pos bigint"), directed=True)
+    space._next = 10
+    space.disconnect_agents(0, 1, directed=True)
+    space.connect_agents(0, 1, directed=True)
+    space.connect_agents(0, 2, directed=True)
+    assert space.neighbors(0) == [2, 1]
+    assert [r.dst for r in space.edges(spark).orderBy("pos").collect()] == [2, 1]

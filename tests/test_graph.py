@@ -213,3 +213,13 @@ def test_labels_that_are_the_same_number(spark, tmp_path):
     path.write_text("1 01\n01 2\n")
     ids, links = graph_files.read_graph(spark, str(path))
     assert {r.label: r.agent_id for r in ids.collect()} == {"01": 0, "1": 1, "2": 2} and links.count() == 2
+
+
+@pytest.mark.parametrize("n, k, p", [(200, 4, 0.2), (60, 10, 1.0), (40, 6, 0.0), (12, 8, 0.9)])
+def test_small_world_keeps_all_links(spark, n, k, p):
+    links = [tuple(r) for r in generators.small_world(spark, n, k, p, 3).collect()]
+    assert len(links) == len(set(links)) == n * k // 2 and all(a < b for a, b in links)
+    ring = {(min(i, (i + d) % n), max(i, (i + d) % n)) for i in range(n) for d in range(1, k // 2 + 1)}
+    assert (p == 0.0) == (set(links) == ring)
+    with pytest.raises(RuntimeError):
+        generators.small_world(spark, 5, 4, 1.0, 3, rounds=2)

@@ -1,12 +1,13 @@
 """The tick engine: lifecycle, waves, buffers, priorities, ranks, arrays, messages, storage."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from swarmframe import Breed, Model, NetworkSpace
-from swarmframe.functions import arrays
+from swarmframe.functions import arrays, folds
 from swarmframe.operators import graph
 from swarmframe.queries import infect, reader, recover, sir, trade_model, writer
 from swarmframe.sources import generators, tables
@@ -528,3 +529,59 @@ def test_loaded_model_has_arrays_history_and_ids(spark, tmp_path):
     assert {r.agent_id: r.x for r in other.agents.collect()} == {0: 16.0, 1: 2.0} and other.history.count() == 5
     other.reset(to_initial=True)
     assert {r.agent_id: r.x for r in other.agents.collect()} == {0: 8.0, 1: 1.0}
+
+
+def test_hooks_do_not_compute_a_tick_twice(spark):
+    counted = spark.sparkContext.accumulator(0)
+
+    def counting(frame, tick):
+        counted.add(len(frame))
+        return frame.assign(n=frame["n"] + 1)[["agent_id", "n"]]
+
+    def made(hook):
+        m, b = Model(spark), Breed("b")
+        b.register_property("n", 0, sql_type="bigint")
+        b.register_pandas_step(counting, ["n"], ["n"])
+        b.register_step_func(lambda ctx: {"n": ctx.self("n") * 10}, 1)
+        m.register_breed(b)
+        m.add_agents(spark.range(100).withColumnRenamed("id", "agent_id"), b, n=F.col("agent_id"))
+        m.post_step = hook
+        before = counted.value
+        m.simulate(3)
+        return m, counted.value - before
+
+    plain, once = made(None)
+    fired, declared = made(history.fired(F.col("write__n") % 7 == 0, "write__n"))
+    called, free = made(lambda breed, priority, agents: agents.filter("write__n % 7 = 0").select("tick", "agent_id", "write__n"))
+    assert once == declared == free and values(fired, "n") == values(called, "n") == values(plain, "n")
+    rows = lambda m: sorted(map(tuple, m.events.collect()))
+    assert rows(fired) == rows(called) and len(rows(fired)) > 50
+
+
+def test_custom_folds_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr("swarmframe.plans.model.HUB", 20)
+    n = 300
+    pairs = sorted({p for i in range(n) for j in ((i + 1) % n, 7) if i != j for p in ((i, j), (j, i))})
+
+    def step(ctx):
+        own = folds.Fold(lambda: 0, lambda s, a, b: s + int((a * b).sum()), lambda a, b: a + b, lambda s: s, "bigint")
+        return {"mean": ctx.neighbors.custom(folds.geometric_mean(), ctx.nbr("n") + 1), "product": ctx.neighbors.custom(own, ctx.nbr("n"), ctx.own("n"), default=-1), "kinds": ctx.neighbors.custom(folds.distinct_sketch(16), ctx.nbr("n")), "most": ctx.neighbors.max(ctx.nbr("n"))}
+
+    m, b = Model(spark), Breed("b")
+    for name in ("n", "product", "kinds", "most"):
+        b.register_property(name, 0, sql_type="bigint")
+    b.register_property("mean", 0.0)
+    b.register_step_func(step)
+    m.register_breed(b)
+    m.add_agents(spark.range(n + 1).withColumnRenamed("id", "agent_id"), b, n=F.col("agent_id") % 100)
+    m.space.connect_frame(spark.createDataFrame(pairs, "src bigint, dst bigint"), directed=True)
+    m.simulate(1)
+    near = {i: [j % 100 for a, j in pairs if a == i] for i in range(n)}
+    for r in m.agents.collect():
+        if r.agent_id == n:
+            assert (r.product, r.kinds, r.mean) == (-1, 0, 0.0)
+            continue
+        of = near[r.agent_id]
+        assert r.product == sum(of) * (r.agent_id % 100) and r.most == max(of)
+        assert abs(r.mean - math.exp(sum(math.log(x + 1) for x in of) / len(of))) < 1e-9
+        assert r.kinds == len(set(of)) if len(set(of)) < 16 else 60 < r.kinds < 160
