@@ -339,6 +339,14 @@ class Model:
             raise ValueError(f"no property {name}")
         self._pending.setdefault(agent_id, {})[name] = value
 
+    def set_property_values(self, values: DataFrame, name: str) -> None:
+        """Values of one property for many agents: a table of agent_id, value with a row for each. Agents that are not there are passed over, null is no write."""
+        if name not in self.properties:
+            raise ValueError(f"no property {name}")
+        new = values.select(F.col("agent_id").cast("long").alias("agent_id"), F.col("value").cast(self.properties[name].type).alias("__new"))
+        if new.head() is not None:
+            self._agents = cut(self.agents.join(new, "agent_id", "left").withColumn(name, F.coalesce("__new", name)).drop("__new"))
+
     def get_agents_with(self, predicate: Column | Callable[[dict], bool]) -> DataFrame:
         """Agents that fit a column, or a Python predicate on a dict of an agent's columns."""
         if isinstance(predicate, Column):

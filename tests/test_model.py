@@ -1,6 +1,7 @@
 """The tick engine: lifecycle, waves, buffers, priorities, ranks, arrays, messages, storage."""
 
 import math
+import os
 import random
 
 import pytest
@@ -585,3 +586,63 @@ def test_custom_folds_of_a_hub(spark, monkeypatch):
         assert r.product == sum(of) * (r.agent_id % 100) and r.most == max(of)
         assert abs(r.mean - math.exp(sum(math.log(x + 1) for x in of) / len(of))) < 1e-9
         assert r.kinds == len(set(of)) if len(set(of)) < 16 else 60 < r.kinds < 160
+
+
+def test_fed_stream_that_is_killed_and_started_again(spark, tmp_path):
+    """Batches of globals and of agents' properties; the driver fails after a batch's ticks, before the stream knows that it is done."""
+    source = tmp_path / "in"
+    schema = "agent bigint, name string, value double, at int"
+    batches = [[(None, "rate", 2.0, 1), (None, "rate", 3.0, 2), (1, "n", 10.0, 1)], [(1, "n", 7.0, 1), (2, "n", 5.0, 2), (2, "n", 4.0, 1), (99, "n", 1.0, 1), (0, "none", 1.0, 1)], [(None, "rate", 0.5, 1)], [(0, "n", 100.0, 1)]]
+
+    def model():
+        m, b = Model(spark), Breed("b")
+        b.register_property("n", 1.0)
+        b.register_step_func(lambda ctx: {"n": ctx.self("n") * ctx.glob("rate") + ctx.agent_id})
+        m.register_breed(b)
+        m.register_global_property("rate", 1.0)
+        m.add_agents(spark.range(3).withColumnRenamed("id", "agent_id"), b)
+        return m
+
+    def run(m, name, ledger):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        q = feed.drive(m, stream, str(tmp_path / name), 2, order_col="at", agent_col="agent", ledger=ledger)
+        q.awaitTermination()
+
+    source.mkdir()
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"b{k}"))
+        next((tmp_path / f"b{k}").glob("part-*.parquet")).rename(source / f"{k}.parquet")
+        os.utime(source / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    straight = model()
+    run(straight, "straight", None)
+    state, rate = [1.0, 1.0, 1.0], 1.0
+    for rows in batches:
+        for a, name, value, _ in sorted(rows, key=lambda r: r[3]):
+            if a is None:
+                rate = value
+            elif a < 3 and name == "n":
+                state[a] = value
+        for _ in range(2):
+            state = [x * rate + i for i, x in enumerate(state)]
+    assert values(straight, "n") == state and straight.tick == 8
+
+    ledger = str(tmp_path / "ledger")
+    for stop in (1, 2):
+        m = model()
+        keep = feed.Ledger.keep
+
+        def killed(self, model, number, stop=stop, keep=keep):
+            keep(self, model, number)
+            if number == stop:
+                raise RuntimeError("killed")
+
+        feed.Ledger.keep = killed
+        try:
+            with pytest.raises(Exception, match="killed"):
+                run(m, "restarted", ledger)
+        finally:
+            feed.Ledger.keep = keep
+    m = model()
+    run(m, "restarted", ledger)
+    assert values(m, "n") == state and m.tick == 8
+    assert feed.Ledger(spark, ledger).numbers() == [2, 3]
