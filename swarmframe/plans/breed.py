@@ -39,6 +39,7 @@ class PandasStep:
     reads: list[str]
     neighbor_reads: list[str]
     writes: list[str]
+    streamed: bool = False
 
 
 @dataclass
@@ -63,6 +64,13 @@ class Breed:
     def register_pandas_step(self, function: Callable, reads: list[str], writes: list[str], neighbor_reads: list[str] | None = None, priority: int = 0) -> None:
         """``function(frame, tick)``: a pandas frame with agent_id, the columns read and ``neighbors`` (a list of dicts) to a frame of agent_id and the columns written.
 
-        All neighbours of an agent are in one row, so this is for networks whose largest neighbourhoods fit in a worker's memory; folds have no such bound.
+        All neighbours of an agent are in one row, so this is for networks whose largest neighbourhoods fit in a worker's memory; folds and streamed steps have no such bound.
         """
         self.steps[priority] = Step(function, priority, PandasStep(list(reads), list(neighbor_reads or ()), list(writes)))
+
+    def register_streamed_step(self, function: Callable, reads: list[str], writes: list[str], neighbor_reads: list[str], priority: int = 0) -> None:
+        """``function(agent, chunks, tick)``: a dict of agent_id and the columns read, an iterator over pandas frames of neighbours (agent_id and the columns read of them, by position, then id), to a dict of the columns written.
+
+        Neighbours are streamed, so a neighbourhood of any size takes a chunk's memory (and one task's time; folds are dealt to many). No neighbours, no chunks.
+        """
+        self.steps[priority] = Step(function, priority, PandasStep(list(reads), list(neighbor_reads), list(writes), True))

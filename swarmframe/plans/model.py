@@ -10,11 +10,13 @@ aggregate, unless a later step reads of its neighbours what an earlier one wrote
 from __future__ import annotations
 
 import copy
+import itertools
 import json
 import random
 import time
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +30,7 @@ from .lineage import cut, cut_in_place
 from .space import NetworkSpace, Space
 
 BASE = ["agent_id", "logical_id", "breed", "rank"]
-WRITE, ARRAY, GHOST, EVENT = "write__", "array__", "ghost__", "event__"
+WRITE, ARRAY, GHOST, EVENT, STREAMED = "write__", "array__", "ghost__", "event__", "streamed__"
 #: Edges that a partition may have of one agent beyond twice its share.
 HUB = 1000
 
@@ -468,7 +470,11 @@ class Model:
                 step, mine = b.steps[priority], []
                 ctx = Context(self, (priority, b.index), tick, folds)
                 at = len(folds)
-                if step.pandas:
+                if step.pandas and step.pandas.streamed:
+                    ctx.read_of_neighbors |= set(step.pandas.neighbor_reads)
+                    ctx.read_of_own |= set(step.pandas.reads)
+                    writes = dict.fromkeys(step.pandas.writes)
+                elif step.pandas:
                     ctx.read_of_neighbors |= set(step.pandas.neighbor_reads)
                     if step.pandas.neighbor_reads:
                         rows = F.collect_list(F.struct(F.col("dst").alias("agent_id"), *[F.col(NEIGHBOR + n).alias(n) for n in step.pandas.neighbor_reads]))
@@ -498,7 +504,7 @@ class Model:
             frame = self._gather(frame, stage, ghosts)
             for priority in dict.fromkeys(p for _, p, _, _, _ in stage):
                 frame = self._apply([s for s in stage if s[1] == priority], frame, in_place)
-            frame = frame.select(*[c for c in frame.columns if not c.startswith(("fold__", "message__"))])
+            frame = frame.select(*[c for c in frame.columns if not c.startswith(("fold__", "message__", STREAMED))])
         events = [c for c in frame.columns if c.startswith(EVENT)]
         out = frame.select(*[F.coalesce(F.col(WRITE + c), F.col(c)).alias(c) if WRITE + c in frame.columns else F.col(c) for c in columns], *events)
         self.tick += 1
@@ -518,25 +524,8 @@ class Model:
         folds = [f for s in stage for f in s[4]]
         wanted = sorted(set().union(*(s[2].read_of_neighbors for s in stage)))
         own = sorted(set().union(*(s[2].read_of_own for s in stage if s[4])))
-        needs_rank = ghosts is not None and wanted
         if folds:
-            breeds = {s[0].index for s in stage if s[4]}
-            # an agent's own columns meet its edges where these are kept by src; without them the edges stay where their dst is
-            seen = frame.select(F.col("agent_id").alias("dst"), F.col("rank").alias("dst_rank"), *[F.col(self._column(c)).alias(NEIGHBOR + c) for c in wanted])
-            if needs_rank:
-                old = ghosts.select(F.col("agent_id").alias("dst"), *[F.col(self._column(c)).alias(GHOST + c) for c in wanted])
-                seen = seen.join(old, "dst", "left")
-            if own:
-                edges = self._meet_also(self._meet("src", frame.select(F.col("agent_id").alias("src"), *[F.col(self._column(c)).alias(OWN + c) for c in own])), "dst", seen)
-            else:
-                edges = self._meet("dst", seen)
-            if len(breeds) < len(self.breeds):
-                edges = edges.filter(F.col("src_breed").isin(*breeds))
-            if needs_rank:
-                for c in wanted:
-                    kind = edges.schema[GHOST + c].dataType
-                    far = F.col(GHOST + c) if self._visible(c) else F.when(F.col(NEIGHBOR + c).isNotNull(), _zero(kind))
-                    edges = edges.withColumn(NEIGHBOR + c, F.when(F.col("src_rank") == F.col("dst_rank"), F.col(NEIGHBOR + c)).otherwise(far))
+            edges = self._near(frame, ghosts, wanted, own, {s[0].index for s in stage if s[4]})
             built_in, custom = [f for f in folds if isinstance(f[2], Column)], [f for f in folds if not isinstance(f[2], Column)]
             if built_in:
                 found = edges.groupBy("src").agg(*[a.alias(name) for _, name, a in built_in]).withColumnRenamed("src", "agent_id")
@@ -545,11 +534,70 @@ class Model:
                 values = [F.struct(*[v.alias(f"v{k}") for k, v in enumerate(columns)]).alias(name) for _, name, (_, columns) in custom]
                 found = folded(edges.select("src", *values), [(name, fold) for _, name, (fold, _) in custom])
                 frame = frame.join(found.withColumnRenamed("src", "agent_id"), "agent_id", "left")
+        for b, priority, _, _, _ in stage:
+            if (spec := b.steps[priority].pandas) and spec.streamed:
+                frame = frame.join(self._streamed(frame, ghosts, b, priority), "agent_id", "left")
         sends = {priority: [s for s in stage if s[1] == priority and s[2].messages] for priority in dict.fromkeys(s[1] for s in stage)}
         if any(sends.values()):
             frame = frame.join(self._sent(frame, sends), "agent_id", "left")
         return frame
 
+    def _near(self, frame: DataFrame, ghosts: DataFrame | None, wanted: list[str], own: list[str], breeds: set[int]) -> DataFrame:
+        """The edges of agents of these breeds with the columns wanted of their neighbours, as their ranks see them, and own ones."""
+        needs_rank = ghosts is not None and wanted
+        seen = frame.select(F.col("agent_id").alias("dst"), F.col("rank").alias("dst_rank"), *[F.col(self._column(c)).alias(NEIGHBOR + c) for c in wanted])
+        if needs_rank:
+            old = ghosts.select(F.col("agent_id").alias("dst"), *[F.col(self._column(c)).alias(GHOST + c) for c in wanted])
+            seen = seen.join(old, "dst", "left")
+        # an agent's own columns meet its edges where these are kept by src; without them the edges stay where their dst is
+        if own:
+            edges = self._meet_also(self._meet("src", frame.select(F.col("agent_id").alias("src"), *[F.col(self._column(c)).alias(OWN + c) for c in own])), "dst", seen)
+        else:
+            edges = self._meet("dst", seen)
+        if len(breeds) < len(self.breeds):
+            edges = edges.filter(F.col("src_breed").isin(*breeds))
+        if needs_rank:
+            for c in wanted:
+                kind = edges.schema[GHOST + c].dataType
+                far = F.col(GHOST + c) if self._visible(c) else F.when(F.col(NEIGHBOR + c).isNotNull(), _zero(kind))
+                edges = edges.withColumn(NEIGHBOR + c, F.when(F.col("src_rank") == F.col("dst_rank"), F.col(NEIGHBOR + c)).otherwise(far))
+        return edges
+
+    def _streamed(self, frame: DataFrame, ghosts: DataFrame | None, b: Breed, priority: int) -> DataFrame:
+        """agent_id and what a streamed step writes: each agent's row and then its neighbours', in order, go past its function."""
+        step, tick, name = b.steps[priority], self.tick, f"{STREAMED}{priority}__{b.index}__"
+        spec, function = step.pandas, step.function
+        edges = self._near(frame, ghosts, sorted(spec.neighbor_reads), [], {b.index})
+        own = frame.filter(F.col("breed") == b.index).select(F.col("agent_id").alias("src"), F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast("bigint").alias("dst"), *[F.col(self._column(c)).alias(OWN + c) for c in spec.reads])
+        rows = own.unionByName(edges.select("src", "pos", "dst", *[NEIGHBOR + c for c in spec.neighbor_reads]), allowMissingColumns=True)
+        schema = T.StructType().add("agent_id", T.LongType())
+        for n in spec.writes:
+            schema = schema.add(name + n, frame.schema[self._column(n)].dataType)
+
+        def run(batches):
+            def parts():
+                for f in batches:
+                    src = f["src"].to_numpy()
+                    cuts = [0, *((src[1:] != src[:-1]).nonzero()[0] + 1).tolist(), len(src)] if len(src) else []
+                    for lo, hi in itertools.pairwise(cuts):
+                        yield int(src[lo]), f.iloc[lo:hi]
+
+            for ident, mine in itertools.groupby(parts(), lambda p: p[0]):
+                first = next(mine)[1]
+                if not first["dst"].isna().iloc[0]:
+                    continue  # edges of no agent of this breed
+
+                def chunks(first=first, mine=mine):
+                    for p in itertools.chain([first.iloc[1:]], (p for _, p in mine)):
+                        if len(p):
+                            yield p[["dst", *[NEIGHBOR + c for c in spec.neighbor_reads]]].rename(columns={"dst": "agent_id"} | {NEIGHBOR + c: c for c in spec.neighbor_reads}).astype({"agent_id": "int64"})
+
+                out = function({"agent_id": ident} | {c: first[OWN + c].iloc[0] for c in spec.reads}, chunks(), tick)
+                yield pd.DataFrame({"agent_id": [ident]} | {name + n: [out[n]] for n in spec.writes})
+
+        ordered = rows.repartition("src").sortWithinPartitions("src", F.col("dst").isNotNull(), "pos", "dst")
+        return ordered.mapInPandas(run, schema)
+
     def _sent(self, frame: DataFrame, sends: dict[int, list]) -> DataFrame:
         """agent_id and what is sent to it: one column for each priority and property, over the senders of all breeds. One join and one aggregate."""
         own = sorted(set().union(*(c.read_of_own for group in sends.values() for _, _, c, _, _ in group)))
@@ -572,9 +620,9 @@ class Model:
         """Writes of one priority: in place, or into the write buffer over earlier priorities' writes."""
         new: dict[str, list[Column]] = {}
         for b, _, ctx, writes, folds in group:
-            if b.steps[ctx._key[0]].pandas:
-                frame = self._apply_pandas(b, ctx, frame, folds)
-                writes = {n: F.col(f"pandas__{b.index}__{n}") for n in writes}
+            if (spec := b.steps[ctx._key[0]].pandas):
+                frame = frame if spec.streamed else self._apply_pandas(b, ctx, frame, folds)
+                writes = {n: F.col((f"{STREAMED}{ctx._key[0]}__" if spec.streamed else "pandas__") + f"{b.index}__{n}") for n in writes}
             for n, value in writes.items():
                 value = value if isinstance(value, Column) else _literal(value)
                 new.setdefault(n, []).append(F.when(F.col("breed") == b.index, value))

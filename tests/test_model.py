@@ -646,3 +646,41 @@ def test_fed_stream_that_is_killed_and_started_again(spark, tmp_path):
     run(m, "restarted", ledger)
     assert values(m, "n") == state and m.tick == 8
     assert feed.Ledger(spark, ledger).numbers() == [2, 3]
+
+
+def test_streamed_steps(spark):
+    """A hub's neighbours come in several chunks; agents without neighbours get none; in-place writes of earlier priorities are seen."""
+    n, seen = 3000, {}
+    pairs = sorted({(0, i) for i in range(1, n)} | {(i, (i * 3) % n) for i in range(1, n) if i % 4})
+    m, b = Model(spark), Breed("b")
+    for name in ("n", "k", "total", "chunks", "last"):
+        b.register_property(name, 0, sql_type="bigint")
+
+    def step(agent, chunks, tick):
+        total, k, last, count = 0, 0, None, 0
+        for c in chunks:
+            total, k, last, count = total + int(c["n"].sum()), k + len(c), int(c["agent_id"].iloc[-1]), count + 1
+            assert len(c) <= 500
+        return {"total": total + int(agent["k"]), "chunks": count, "last": last}
+
+    b.register_step_func(lambda ctx: {"k": ctx.agent_id % 7}, 0, ["k"])
+    b.register_streamed_step(step, ["k"], ["total", "chunks", "last"], ["n"], 1)
+    m.register_breed(b)
+    m.add_agents(spark.range(n).withColumnRenamed("id", "agent_id"), b, n=F.col("agent_id") % 50)
+    m.space.connect_frame(spark.createDataFrame(pairs, "src bigint, dst bigint"), directed=True)
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "500")
+    try:
+        m.simulate(1)
+    finally:
+        spark.conf.set(conf, before)
+    near = {}
+    for a, c in pairs:
+        near.setdefault(a, []).append(c)
+    for r in m.agents.collect():
+        of = near.get(r.agent_id, [])
+        assert (r.total, r.last) == (sum(x % 50 for x in of) + r.agent_id % 7, max(of, default=0)), r
+        assert (r.chunks > 0) == bool(of)
+        seen[r.agent_id] = r.chunks
+    assert seen[0] >= n // 500
