@@ -106,7 +106,7 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def summed(rows: DataFrame, part, fan_in: int = 64) -> tuple[np.ndarray, ...]:
-    """Add up what ``part(x, y)`` makes of each partition: once per partition, once per ``fan_in`` partitions, and on the driver."""
+    """Add up what ``part(x, y)`` makes of each partition: once per partition, then ``fan_in`` sums at a time until no more than that are left, and these on the driver."""
 
     def one(batches):
         total = None
@@ -128,8 +128,9 @@ def summed(rows: DataFrame, part, fan_in: int = 64) -> tuple[np.ndarray, ...]:
 
     sums = rows.select("x", "y").mapInArrow(one, "sum binary")
     partitions = rows.rdd.getNumPartitions()
-    if partitions > fan_in:
-        sums = sums.repartition(-(-partitions // fan_in)).mapInArrow(more, "sum binary")
+    while partitions > fan_in:
+        partitions = -(-partitions // fan_in)
+        sums = sums.repartition(partitions).mapInArrow(more, "sum binary")
     found = [np.frombuffer(bytes(r[0])) for r in sums.collect()]
     return sum(found) if found else None
 

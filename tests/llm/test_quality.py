@@ -231,3 +231,10 @@ def test_very_long_texts_and_ties(spark, labelled):
     assert rows[1][1:] == rows[2][1:] and rows[1].n_words == 300_000
     scores = {r.doc_id: r.score for r in quality_model.classify(docs.union(table(spark, labelled, "documents").filter("doc_id > 3").select("doc_id", "text")), labels).collect()}
     assert scores[1] == scores[2]
+
+
+def test_sums_meet_in_levels(spark):
+    width = len(quality_model.RATIOS) + 1
+    rows = spark.range(500).selectExpr(f"array_repeat(cast(id as double), {width}) x", "cast(id % 2 as double) y").repartition(30)
+    for fan_in in (2, 5, 64):
+        assert quality_model.summed(rows, lambda x, y: np.array([len(x), y.sum(), x[:, 0].sum()]), fan_in).tolist() == [500, 250, 499 * 250]
