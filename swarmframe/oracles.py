@@ -123,6 +123,12 @@ def oracle_sql() -> dict[str, str]:
         "breed_local_array": f"{wave(2, False)}, all_t AS (SELECT *, 0 AS k FROM t0 UNION ALL SELECT *, 1 FROM t1 UNION ALL SELECT *, 2 FROM t2), {SPREAD} SELECT id AS agent_id, sum(n) FILTER (k = 0)::BIGINT AS v_0, sum(n) FILTER (k = 1)::BIGINT AS v_1, sum(n) FILTER (k = 2)::BIGINT AS v_2 FROM seen GROUP BY id",
         "invisible_property_zero": f"WITH {RING} SELECT src AS agent_id, sum(CASE WHEN src % 4 = dst % 4 THEN dst % 10 + 1 ELSE 0 END)::BIGINT AS result FROM edges GROUP BY src",
         "message_send_sum": f"WITH {RING} SELECT dst AS agent_id, sum(src % 11)::BIGINT AS inbox FROM edges GROUP BY dst",
+        "visible_in_one_breed": f"WITH {RING} SELECT src AS agent_id, sum(dst % 10 + 1)::BIGINT AS result FROM edges GROUP BY src",
+        "periodic_snapshots": f"{wave(4, False)} SELECT 2::INTEGER AS tick, id AS agent_id, state FROM t2 UNION ALL SELECT 4::INTEGER, id, state FROM t4",
+        "partition_from_dict": "WITH g AS (SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey % 4 < 2 THEN n_nationkey // 2 % 3 END AS r FROM nation), t AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) % 3 AS turn FROM g WHERE r IS NULL) "
+        "SELECT id AS agent_id, coalesce(r, turn)::INTEGER AS rank FROM g LEFT JOIN t USING (id)",
+        "single_links": f"WITH {RING}, few AS (SELECT n_nationkey::BIGINT AS id FROM nation WHERE n_nationkey % 3 = 0), k AS (SELECT src, dst FROM edges WHERE src NOT IN (SELECT id FROM few) AND dst NOT IN (SELECT id FROM few)) "
+        "SELECT src, dst FROM k UNION SELECT id, 0 FROM few WHERE id <> 0 UNION SELECT 0, id FROM few WHERE id <> 0",
         "messages_two_breeds": f"WITH {RING} SELECT dst AS agent_id, sum(CASE WHEN src % 2 = 0 THEN src % 11 ELSE 10 * (src % 11) END)::BIGINT AS inbox FROM edges GROUP BY dst",
         "messages_by_priority": "WITH n AS (SELECT count(*) AS n FROM customer), e AS (SELECT DISTINCT c_custkey AS src, (c_custkey * a + b) % (SELECT n FROM n) AS dst FROM customer, (VALUES (7, 3), (5, 1)) v(a, b)) "
         "SELECT c_custkey AS agent_id, coalesce(sum(10 * (src % 11)) FILTER (src % 2 = 1), sum(src % 11) FILTER (src % 2 = 0), 0)::BIGINT AS inbox FROM customer LEFT JOIN e ON dst = c_custkey GROUP BY 1",

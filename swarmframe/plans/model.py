@@ -75,6 +75,7 @@ class Model:
 
     @property
     def num_agents(self) -> int:
+        """Counts tables of agents the first time."""
         self._sizes = [f.count() if n is None else n for n, f in zip(self._sizes, self._frames, strict=True)]
         return self._loaded + len(self._rows) + sum(self._sizes)
 
@@ -438,7 +439,7 @@ class Model:
     def timing_stats(self) -> dict[str, float]:
         """Least, most, mean and standard deviation of the ticks' seconds, agent-ticks a second, and the load imbalance of the ranks in percent.
 
-        Ranks are not processes of their own here, so their load is the agents and edges that a tick reads for them: (most - least) / most.
+        This joins agents with their degrees, so it reads the whole network. Ranks are not processes of their own here, so their load is the agents and edges that a tick reads for them: (most - least) / most.
         """
         t = self.tick_timings
         if not t:

@@ -301,6 +301,44 @@ def invisible_property_zero(spark, sf_dir):
     return m.agents.select("agent_id", "result")
 
 
+def visible_in_one_breed(spark, sf_dir):
+    """A property that one breed hides and another shows is seen across ranks."""
+    m = Model(spark, NetworkSpace(), workers=4)
+    breeds = [Breed("even"), Breed("odd")]
+    for k, b in enumerate(breeds):
+        b.register_property("secret", 0, neighbor_visible=bool(k), sql_type="bigint")
+        b.register_property("result", 0, sql_type="bigint")
+        b.register_step_func(lambda ctx: {"result": ctx.neighbors.sum(ctx.nbr("secret"))})
+        m.register_breed(b)
+    for k, b in enumerate(breeds):
+        m.add_agents(customers(spark, sf_dir).select("agent_id").filter(F.col("agent_id") % 2 == k), b, rank=F.pmod(F.col("agent_id"), F.lit(4)), secret=F.col("agent_id") % 10 + 1)
+    m.space.connect_frame(customer_ring(spark, sf_dir))
+    m.simulate(1)
+    return m.agents.select("agent_id", "result")
+
+
+def periodic_snapshots(spark, sf_dir):
+    """States written after every second tick of four."""
+    path = scratch(spark)
+    agents, links = tables.nation_chain(spark, sf_dir)
+    m = model_of(spark, agents, links, [(infect, 0, None)], state=F.when(F.col("agent_id") == 0, 2).otherwise(1))
+    m.run(4, 2, history.parquet_sink(path, "state"))
+    return spark.read.parquet(path).select(F.col("tick").cast("int").alias("tick"), "agent_id", "state")
+
+
+def single_links(spark, sf_dir):
+    """A table of links, then single ones that come and go, the last change of each counting: customers with every third nation's number leave the ring, and are linked with the first customer."""
+    few = [r[0] for r in tables.nation_chain(spark, sf_dir)[0].filter("agent_id % 3 = 0").collect()]
+    n, space = customers(spark, sf_dir).count(), NetworkSpace()
+    space.connect_frame(customer_ring(spark, sf_dir))
+    for i in few:
+        for d in (-2, -1, 1, 2):
+            space.disconnect_agents(i, (i + d) % n)
+        if i:
+            space.connect_agents(i, 0)
+    return space.edges(spark).select("src", "dst")
+
+
 def message_send_sum(spark, sf_dir):
     """Agents send a third of their points to each neighbour, which adds up what it gets."""
     agents = customers(spark, sf_dir).select("agent_id")
@@ -448,6 +486,16 @@ def partition_precedence(spark, sf_dir):
     return m.agents.select("agent_id", "rank")
 
 
+def partition_from_dict(spark, sf_dir):
+    """Ranks of nations given as a dict; nations without one take turns."""
+    agents, _ = tables.nation_chain(spark, sf_dir)
+    m, breed = Model(spark, workers=3), Breed("agent")
+    m.register_breed(breed)
+    m.load_partition({r[0]: r[0] // 2 % 3 for r in agents.filter("agent_id % 4 < 2").collect()})
+    m.add_agents(agents, breed)
+    return m.agents.select("agent_id", "rank")
+
+
 def partition_from_file(spark, sf_dir):
     """Ranks of a partition kept as text, read in a distributed way."""
     agents, path = customers(spark, sf_dir).select("agent_id"), scratch(spark)
@@ -751,7 +799,7 @@ QUERIES = {
         neighbor_folds, custom_folds, edges_directed, edges_undirected, edges_disconnect, degree, nth_neighbor, csr_offsets, csr_values,
         philox_uniform, xorshift_uniform, rand_normal, rand_normal_bounded, scalar_functions, initial_sample,
         partition_round_robin, partition_random, partition_balance, partition_edge_cut, ghost_topology, comm_volume, partition_quality, partition_communities, partition_balanced, partition_multilevel, modularity_communities,
-        partition_precedence, partition_from_file, agents_added_later, clock_reset, saved_and_loaded, skipped_barriers, dangling_neighbors, own_array_in_folds,
+        partition_precedence, partition_from_file, partition_from_dict, periodic_snapshots, visible_in_one_breed, single_links, agents_added_later, clock_reset, saved_and_loaded, skipped_barriers, dangling_neighbors, own_array_in_folds,
         breed_agent_ids, property_read, agents_with_python_predicate, breed_order, padded_arrays, scalar_functions_nan,
         small_world, clustered_ring,
     )
