@@ -497,6 +497,7 @@ def test_messages_combined_in_several_ways_are_refused(spark):
         b.register_property("x", 0)
         b.register_step_func(lambda ctx, combine=combine: ctx.send("x", ctx.own("x"), combine))
         m.register_breed(b)
+    for b in m.breeds:
         m.create_agent_of_breed(b)
     m.connect_agents(0, 1)
     with pytest.raises(ValueError, match="several ways"):
