@@ -31,7 +31,7 @@ once for steps 2 and 4; only hot hashes, ``MOST_HOT`` at most, are collected and
 Windows of hot hashes are told apart by two independent 64-bit hashes of their bytes: among n such windows two different ones are taken for equal
 with a probability under n * n / 2**129. All other windows are compared byte by byte.
 
-Edge cases: a null text is empty; texts under ``LENGTH`` bytes lose nothing; rows that
+Edge cases: a null text is empty; texts under ``LENGTH`` bytes lose nothing and go into no group, so there may be any number of equal ones; rows that
 share a doc_id are ordered by their texts' hash, equal rows one after the other (rows equal in id and text are in one group); a
 null doc_id counts as the least, for any number of rows; a text of any length is worked on in blocks; an empty table gives an empty result; doc_id is of an integer type,
 others are refused. Extra columns are carried where texts are rewritten, or not read.
@@ -625,8 +625,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, sizes: Sizes = Size
     buckets = shuffle_keys(docs.sparkSession, partitions, max(partitions, -(-total // BUCKET_BYTES)))
     groups = shuffle_keys(docs.sparkSession, partitions, max(GROUPS * partitions, -(-total // GROUP_BYTES)))
     rows = docs.select(ident.alias("id"), tie_of(digest).alias("tie"), text.alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if with_text else []))
-    # what is too short to lose anything may be anywhere
-    rows = rows.withColumn("key", F.when(F.octet_length("text") < LENGTH, groups.column(F.monotonically_increasing_id())).otherwise(groups.column("id", "tie")))
+    # what is too short to lose anything meets no other text, and is not shuffled
+    short = F.octet_length("text") < LENGTH
+    same = rows.filter(short).select(
+        "id", F.octet_length("text").cast("bigint").alias("n_bytes"), *[F.lit(0).cast("bigint").alias(c) for c in ("n_removed", "n_spans")], F.sha2("text", 256).alias("kept_sha256"),
+        *(["row", F.col("text").alias("kept")] if with_text else []),
+    )
+    rows = rows.filter(~short).withColumn("key", groups.column("id", "tie"))
     firsts = ids.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     copies = (
         ids.filter(F.col("bytes") >= LENGTH).join(rekeyed(firsts, "digest"), "digest").filter("id <> first")
@@ -646,7 +651,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, sizes: Sizes = Size
     if with_text:
         schema = schema.add("row", rows.schema["row"].dataType).add("kept", "string")
     out = rows.groupBy("key").cogroup(message(found, REPEATED).union(copies).groupBy("key")).applyInArrow(cut(with_text), schema)
-    return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["row", "kept"] if with_text else []))
+    return out.drop("tie").unionByName(same).select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["row", "kept"] if with_text else []))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
