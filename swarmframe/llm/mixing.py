@@ -12,7 +12,7 @@ most; a column of urls is no source).
 
 Edge cases: a null text has size 0, one of any length is counted whole; null is a source of its own, ordered last; an
 empty source or corpus takes nothing; any number of documents may have a null or the same id, as their texts
-part their keys; rows equal in id and text share the budget in either order. Extra
+part their keys; rows equal in id and text, of which there may be any number, share the budget in either order. Extra
 columns are not read, or carried, but for those named size, source_size, target or taken, which the
 mix's own replace. Reruns agree because nothing depends on partition numbers.
 """
@@ -102,18 +102,22 @@ def in_the_mix(docs: DataFrame, seed: str = "mix-1", **options) -> DataFrame:
     """The rows of ``docs`` of which the mix takes something, with size, source_size, target and taken."""
     own = ["size", "source_size", "target", "taken"]
     carried = [c for c in docs.columns if c not in own]
-    # rows that are equal in id, text and source are one row here, with the words taken of each of them
+    # rows that are equal in id, text and source stand together in the order, so few different numbers of words are taken of them:
+    # those of whole epochs, one more at most, and what the budget's last document gives. Each is one element here, with the rows that it holds for.
+    counts = mix(docs, seed, **options).groupBy("key", "source", "taken").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in own[:3]])
     takes = (
-        mix(docs, seed, **options).filter("taken > 0").groupBy("key", "source")
-        .agg(F.sort_array(F.collect_list("taken"), asc=False).alias("takes"), *[F.first(c).alias(c) for c in own[:3]])
-        .select("key", F.col("source").alias("s"), "takes", *own[:3])
+        counts.groupBy("key", "source").agg(F.sort_array(F.collect_list(F.struct("taken", "n")), asc=False).alias("takes"), *[F.first(c).alias(c) for c in own[:3]])
+        .filter(F.col("takes")[0]["taken"] > 0).select("key", F.col("source").alias("s"), "takes", *own[:3])
     )
     # the row travels as one column, so its columns may have any name
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), random_key(seed).alias("k"), F.col("source").alias("o"))
     joined = rows.join(rekeyed(takes, "key"), (F.col("k") == F.col("key")) & F.col("o").eqNullSafe(F.col("s")))
-    alone = joined.filter(F.size("takes") == 1).withColumn("taken", F.col("takes")[0])
+    alone = joined.filter(F.size("takes") == 1).withColumn("taken", F.col("takes")[0]["taken"])
+    # only where a source's budget ends inside a run of equal rows, so for one key of a source, are these numbered
     nth = F.row_number().over(Window.partitionBy("k", "s").orderBy(F.col("size")))
-    several = joined.filter(F.size("takes") > 1).withColumn("taken", F.get("takes", nth - 1)).filter("taken is not null")
+    place = lambda a, x: F.struct((a["left"] - x["n"]).alias("left"), F.when((a["left"] > 0) & (a["left"] <= x["n"]), x["taken"]).otherwise(a["taken"]).alias("taken"))
+    start = F.struct(F.col("nth").cast("long").alias("left"), F.lit(0).cast("long").alias("taken"))
+    several = joined.filter(F.size("takes") > 1).withColumn("nth", nth).withColumn("taken", F.reduce("takes", start, place)["taken"]).drop("nth").filter("taken > 0")
     return alone.unionByName(several).select(*[F.col("row")[c].alias(c) for c in carried], *own)
 
 
