@@ -1,21 +1,26 @@
 """Licence scan: Dice coefficient over word bigrams of normalised text.
 
 The units of a document are its lines, its sentences, its paragraphs (parted by an empty line),
-the text as a whole, and the ends of sentences that speak of a licence, as long as the one-line notices. A unit is normalised (lower case, anything but letters
+the text as a whole, and parts of sentences that speak of a licence, as long as the one-line notices: the sentence's end, and what
+follows wherever two words stand with which such a notice begins. A unit is normalised (lower case, anything but letters
 and digits is one space) and becomes a set of word bigrams. For a threshold t a
 template of b bigrams can reach a unit of a bigrams only if
 ``a*t/(2-t) <= b <= a*(2-t)/t``, and only if ``a*t/(2-t)`` of the unit's bigrams are in some template at all:
-one set of all templates' bigrams is looked up, and very few units meet the templates themselves.
+one set of all templates' bigrams is looked up, and very few units meet the templates themselves. A one-line notice
+is met only by units that have one of its rarest bigrams: it shares ``b*t/(2-t)`` bigrams at least with any unit that it names, so all others but that many are
+looked at, the rarest among notices first.
 
 Edge cases: a null or empty text, and a unit of fewer than two words, has no
 bigrams and matches nothing; of several matches the one that shares most bigrams is reported (a licence's whole text before the notice
-that stands in it), of equal ones that of the higher coefficient, then the first by name, and the best other licence found is its runner-up; texts of any length are scanned whole; repeated rows, and rows without an id, each get their row. Columns other than doc_id and text
+that stands in it), of equal ones that of the higher coefficient, then the first by name (so a tag that continues, as MIT-0's, counts for the listed one), and the best other licence found is its runner-up; texts of any length are scanned whole; repeated rows, and rows without an id, each get their row. Columns other than doc_id and text
 are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -59,6 +64,23 @@ def gnu(kind: str, version: str, what: str = "program") -> str:
     return f"This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
 
 
+def versions(kind: str, number: str) -> list[str]:
+    """Notices on one line that name a GNU licence and its version."""
+    return [f"This work is licensed under the GNU {kind} Public License, version {number}.", f"Licensed under the GNU {kind} Public License v{number}{'' if '.' in number else '.0'}."]
+
+
+def unversioned(kind: str) -> list[str]:
+    """The same without a version: names of their own, so that no version is read into them."""
+    return [f"This work is licensed under the GNU {kind} Public License.", f"Licensed under the GNU {kind} Public License."]
+
+
+def creative(kind: str, code: str) -> list[str]:
+    return [
+        f"Licensed under CC {code} 4.0.", f"under CC {code} 4.0", f"This work is licensed under a Creative Commons {kind} 4.0 International License.",
+        f"{kind} 4.0 International (CC {code} 4.0)", f"Creative Commons {kind} 4.0 International",
+    ]
+
+
 def gnu_only(kind: str, version: str, what: str = "program") -> str:
     return f"This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} Public License version {version} as published by the Free Software Foundation."
 
@@ -66,40 +88,46 @@ def gnu_only(kind: str, version: str, what: str = "program") -> str:
 #: Notices by which works name their licence, operative paragraphs, and whole texts. A sentence that several
 #: of the licences share (as the first one of the BSD licences) names none of them and stands only within whole texts.
 TEMPLATES = {
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", whole("AGPL-3.0")],
+    "AGPL": unversioned("Affero General"),
+    "AGPL-3.0": [*versions("Affero General", "3"), whole("AGPL-3.0")],
     "AGPL-3.0-only": [gnu_only("Affero General", "3")],
     "AGPL-3.0-or-later": [gnu("Affero General", "3")],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", " ".join(APACHE), *APACHE, whole("Apache-2.0")],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "under the Apache 2.0 license", "under the Apache License 2.0", " ".join(APACHE), *APACHE, whole("Apache-2.0")],
     "BSD-2-Clause": ["Released under the BSD 2-Clause License.", f"{BSD_START} {BSD_END}"],
     "BSD-3-Clause": ["Released under the BSD 3-Clause License.", BSD_NAMES, f"{BSD_START} {BSD_NAMES} {BSD_END}"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-4.0": creative("Attribution", "BY"),
+    "CC-BY-NC-4.0": creative("Attribution-NonCommercial", "BY-NC"),
+    "CC-BY-SA-4.0": creative("Attribution-ShareAlike", "BY-SA"),
+    "GPL": unversioned("General"),
     "GPL-1.0": [whole("GPL-1.0")],
     "GPL-1.0-or-later": [gnu("General", "1")],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", whole("GPL-2.0")],
+    "GPL-2.0": [*versions("General", "2"), whole("GPL-2.0")],
     "GPL-2.0-only": [gnu_only("General", "2")],
     "GPL-2.0-or-later": [gnu("General", "2")],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", whole("GPL-3.0")],
+    "GPL-3.0": [*versions("General", "3"), whole("GPL-3.0")],
     "GPL-3.0-only": [gnu_only("General", "3")],
     "GPL-3.0-or-later": [gnu("General", "3")],
     "ISC": ["Released under the ISC License.", ISC_GRANT, ISC_END, f"{ISC_GRANT} {ISC_END}"],
+    "LGPL": unversioned("Lesser General"),
     "LGPL-2.0": [whole("LGPL-2.0")],
     "LGPL-2.0-only": [gnu_only("Library General", "2", "library")],
     "LGPL-2.0-or-later": [gnu("Library General", "2", "library")],
-    "LGPL-2.1": [whole("LGPL-2.1")],
+    "LGPL-2.1": [*versions("Lesser General", "2.1"), whole("LGPL-2.1")],
     "LGPL-2.1-only": [gnu_only("Lesser General", "2.1", "library")],
     "LGPL-2.1-or-later": [gnu("Lesser General", "2.1", "library")],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", whole("LGPL-3.0")],
+    "LGPL-3.0": [*versions("Lesser General", "3"), whole("LGPL-3.0")],
     "LGPL-3.0-only": [gnu_only("Lesser General", "3")],
     "LGPL-3.0-or-later": [gnu("Lesser General", "3")],
     "MIT": ["Released under the MIT License.", MIT_GRANT, MIT_NOTICE, MIT_END, f"{MIT_GRANT} {MIT_NOTICE} {MIT_END}"],
     "MPL-2.0": [MPL, f"{MPL} If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", whole("MPL-2.0")],
     "Unlicense": [*UNLICENSE, " ".join([*UNLICENSE, NO_WARRANTY, MIT_END.removeprefix(NO_WARRANTY).replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS"), "For more information, please refer to <http://unlicense.org/>"])],
 }
+#: Tags that name a licence by its identifier.
+for name in TEMPLATES:
+    if "-" in name or name in ("ISC", "MIT", "Unlicense"):
+        TEMPLATES[name].append(f"SPDX-License-Identifier: {name}")
 
-
-#: Words of a notice on one line, at most; such notices also stand at the end of longer sentences.
+#: Words of a notice on one line, at most; such notices also stand inside longer sentences.
 NOTICE_WORDS = 14
 STOP = "\x01"  # the end of a sentence, in normalised text
 
@@ -113,8 +141,28 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def notices(templates: dict[str, list[str]]) -> list[list[str]]:
+    """Words of the one-line notices."""
+    return [w for ts in templates.values() for t in ts for w in [template_words(t)] if 1 < len(w) <= NOTICE_WORDS]
+
+
 def notice_lengths(templates: dict[str, list[str]]) -> list[int]:
-    return sorted({n for ts in templates.values() for t in ts for n in [len(template_words(t))] if 1 < n <= NOTICE_WORDS})
+    return sorted({len(w) for w in notices(templates)})
+
+
+def notice_starts(templates: dict[str, list[str]]) -> list[str]:
+    """The bigrams with which one-line notices begin."""
+    return sorted({f"{w[0]} {w[1]}" for w in notices(templates)})
+
+
+def rarest(sets: list[list[str]], low: float) -> dict[str, list[int]]:
+    """Of each set as many bigrams as a unit can not all lack if it shares the least part ``low``; bigram to places in ``sets``."""
+    often = Counter(x for g in sets for x in g)
+    found: dict[str, list[int]] = {}
+    for i, g in enumerate(sets):
+        for x in sorted(g, key=lambda x: (often[x], x))[: len(g) - max(1, math.ceil(low * len(g) - EDGE)) + 1]:
+            found.setdefault(x, []).append(i)
+    return found
 
 
 def normalised(text: Column) -> Column:
@@ -122,8 +170,8 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(ends, rf"[^\p{{L}}\p{{N}}\n{STOP}]+", " "), rf" ?([\n{STOP}])[ {STOP}]*", "$1")
 
 
-def units(t: Column, lengths: list[int]) -> Column:
-    """Lines, sentences, paragraphs and whole of a normalised text, and the ends of sentences that speak of a licence, each once."""
+def units(t: Column, lengths: list[int], starts: list[str]) -> Column:
+    """Lines, sentences, paragraphs and whole of a normalised text, and the notices' lengths of sentences that speak of a licence, at their ends and where a notice may begin, each once."""
     flat = F.regexp_replace(t, rf"[\n{STOP}]+", " ")
     # no blank stands beside an end of a line or sentence, so outside the whole text only one sequence makes two
     plain = lambda x: F.trim(F.translate(F.replace(x, F.lit(STOP + "\n"), F.lit(" ")), STOP + "\n", "  "))
@@ -131,7 +179,11 @@ def units(t: Column, lengths: list[int]) -> Column:
     sentences = F.flatten(F.transform(blocks, lambda p: F.split(p, STOP)))
     spoken = F.transform(F.filter(sentences, lambda x: F.contains(x, F.lit("licens"))), lambda x: F.split(plain(x), " "))
     ends = F.flatten(F.transform(spoken, lambda w: F.array(*[F.when(F.size(w) > n, F.array_join(F.slice(w, -n, n), " ")) for n in lengths])))
-    return F.array_distinct(F.concat(F.transform(F.concat(F.split(t, "\n"), sentences, blocks), plain), F.array(F.trim(flat)), F.array_compact(ends)))
+    begins = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1)).isin(starts))
+    # each stretch once before it is taken at all lengths, so that a notice repeated over a whole text is little
+    heads = F.array_distinct(F.flatten(F.transform(spoken, lambda w: F.transform(begins(w), lambda i: F.array_join(F.slice(w, i + 1, NOTICE_WORDS), " ")))))
+    inside = F.flatten(F.transform(F.transform(heads, lambda h: F.split(h, " ")), lambda w: F.array(*[F.when(F.size(w) >= n, F.array_join(F.slice(w, 1, n), " ")) for n in lengths])))
+    return F.array_distinct(F.concat(F.transform(F.concat(F.split(t, "\n"), sentences, blocks), plain), F.array(F.trim(flat)), F.array_compact(F.concat(ends, inside))))
 
 
 def bigram_set(words: Column) -> Column:
@@ -154,20 +206,30 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
     def rest(words: Column) -> Column:
         return F.when(F.size(words) < cut, words).otherwise(F.concat(F.slice(words, 1, cut - 1), F.split(words[cut - 1], " ")))
 
+    short = [(name, g) for name, g in listed if len(g) < NOTICE_WORDS]
+    index = rarest([g for _, g in short], low)
+    quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    numbers = F.expr(f"map({', '.join(f"'{x}', array({', '.join(map(str, at))})" for x, at in index.items())})") if index else None
+    notice = F.expr(f"array({', '.join(f'array({quoted(g)})' for _, g in short)})")
+    names = F.expr(f"array({quoted(name for name, _ in short)})")
+
+    def hit(g: Column, t: Column, size: Column, name: Column) -> Column:
+        both = F.size(F.array_intersect(g, t))
+        return F.struct(both.alias("both"), (F.lit(2.0) * both / (F.size(g) + size)).alias("dice"), name.alias("name"))
+
     def score(g: Column) -> Column:
         """Struct (both, dice, name) of the templates that a unit reaches."""
-        found = []
-        for name, t in listed:
-            both = F.size(F.array_intersect(g, F.split(F.lit("\n".join(t)), "\n")))
-            fits = F.size(g).between(F.lit(len(t) * low), F.lit(len(t) * high))
-            found.append(F.when(fits, F.struct(both.alias("both"), (F.lit(2.0) * both / (F.size(g) + len(t))).alias("dice"), F.lit(name).alias("name"))))
-        return F.filter(F.array_compact(F.array(*found)), lambda s: s["dice"] >= threshold)
+        found = [F.array_compact(F.array(*[F.when(F.size(g).between(F.lit(len(t) * low), F.lit(len(t) * high)), hit(g, F.split(F.lit("\n".join(t)), "\n"), F.lit(len(t)), F.lit(name))) for name, t in listed if len(t) >= NOTICE_WORDS]))] if len(short) < len(listed) else []
+        if index:
+            met = F.array_distinct(F.flatten(F.transform(F.filter(g, lambda x: x.isin(list(index))), lambda x: F.element_at(numbers, x))))
+            found.append(F.transform(met, lambda i: hit(g, F.get(notice, i), F.size(F.get(notice, i)), F.get(names, i))))
+        return F.filter(F.concat(*found), lambda s: s["dice"] >= threshold)
 
     known = ", ".join(f"'{g}'" for g in sorted({x for _, t in listed for x in t}))
     words = ", ".join(f"'{w}'" for w in sorted({w for _, t in listed for x in t for w in x.split()}))
     # in steps, so that what is used several times is computed once
     text = docs.select("doc_id", normalised(F.col("text")).alias("t"))
-    parted = text.select("doc_id", F.transform(units(F.col("t"), notice_lengths(templates)), lambda u: F.split(u, " ", cut)).alias("u"))
+    parted = text.select("doc_id", F.transform(units(F.col("t"), notice_lengths(templates), notice_starts(templates)), lambda u: F.split(u, " ", cut)).alias("u"))
     # a word of no template spoils a bigram, which has two words; so of n words 2 (1 - low) n different ones at most may be unknown
     parted = parted.select("doc_id", F.expr(f"filter(u, w -> size(w) >= {cut} OR size(array_distinct(filter(w, x -> x NOT IN ({words})))) <= {2 * (1 - low)!r}D * size(w))").alias("u"))
     sets = parted.select("doc_id", F.filter(F.transform(F.filter("u", may_fit), lambda w: bigram_set(rest(w))), lambda g: F.size(g).between(F.lit(least), F.lit(most))).alias("g"))
@@ -189,6 +251,7 @@ def op10_license_scan(spark, sf_dir):
 
 def op10_sql() -> str:
     rows = ",\n".join(f"('{name}', '{t.lower().replace(chr(39), chr(39) * 2)}')" for name in sorted(TEMPLATES) for t in TEMPLATES[name])
+    lengths, starts = ", ".join(map(str, notice_lengths(TEMPLATES))), ", ".join(f"'{x}'" for x in notice_starts(TEMPLATES))
     return rf"""
 WITH given(name, text) AS (VALUES {rows}),
 tw AS (SELECT name, text, string_split(trim(regexp_replace(text, '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM given),
@@ -199,12 +262,17 @@ parts AS (
   SELECT r, string_split(t, chr(10)) AS lines, string_split_regex(t, '\n\n+') AS blocks, t FROM norm),
 spoken AS (
   SELECT *, flatten(list_transform(blocks, lambda p: string_split(p, chr(1)))) AS sentences FROM parts),
+told AS (
+  SELECT *, list_transform(list_filter(sentences, lambda x: contains(x, 'licens')), lambda x: string_split(trim(regexp_replace(x, '[ \n\x01]+', ' ', 'g')), ' ')) AS said FROM spoken),
+begun AS (
+  SELECT *, flatten(list_transform(said, lambda w: list_transform(
+    list_filter(range(1, len(w)), lambda i: list_contains([{starts}], w[i] || ' ' || w[i + 1])), lambda i: w[i:i + {NOTICE_WORDS - 1}]))) AS heads FROM told),
 unit_lists AS (
   SELECT r, list_distinct(list_concat(
     list_transform(list_concat(lines, sentences, blocks, [t]), lambda u: trim(regexp_replace(u, '[ \n\x01]+', ' ', 'g'))),
-    flatten(list_transform(list_filter(sentences, lambda x: contains(x, 'licens')), lambda x: list_transform(
-      list_filter([{", ".join(map(str, notice_lengths(TEMPLATES)))}], lambda n: len(string_split(trim(regexp_replace(x, '[ \n\x01]+', ' ', 'g')), ' ')) > n),
-      lambda n: array_to_string(string_split(trim(regexp_replace(x, '[ \n\x01]+', ' ', 'g')), ' ')[-n:], ' ')))))) AS us FROM spoken),
+    flatten(list_transform(said, lambda w: list_transform(list_filter([{lengths}], lambda n: len(w) > n), lambda n: array_to_string(w[-n:], ' ')))),
+    flatten(list_transform(heads, lambda w: list_transform(list_filter([{lengths}], lambda n: len(w) >= n), lambda n: array_to_string(w[:n], ' '))))
+  )) AS us FROM begun),
 unit_rows AS (SELECT r, string_split(unnest(us), ' ') AS w FROM unit_lists),
 sets AS (SELECT r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM unit_rows WHERE len(w) > 1),
 scored AS (

@@ -133,6 +133,21 @@ def test_mix_of_documents_without_ids_and_of_very_long_ones(spark, monkeypatch):
     assert sorted(map(str, mixing.in_the_mix(df, rows_per_range=32).collect())) == sorted(map(str, whole.collect()))
 
 
+def test_mix_of_many_equal_rows(spark):
+    """The budget of ``a`` ends inside a run of equal rows without ids; the other one of them is taken whole."""
+    equal = spark.range(30_000).selectExpr("cast(null as bigint) doc_id", "'same text here' text", "'en' lang", "'a' source", "id n_chars")
+    other = spark.range(90_000).selectExpr("cast(null as bigint) doc_id", "'b words' text", "'en' lang", "'b' source", "id n_chars")
+    df = equal.unionByName(other)
+    of_each = mixing.mix(df).groupBy("source", "taken").count().filter("taken > 0")
+    kept = mixing.in_the_mix(df)
+    assert sorted(map(tuple, kept.groupBy("source", "taken").count().collect())) == sorted(map(tuple, of_each.collect()))
+    assert kept.count() == kept.distinct().count()
+    weights = mixing.in_the_mix(df, weights=(1.0, 4.0), share=0.3)
+    assert {(r.source, r.taken): r["count"] for r in weights.groupBy("source", "taken").count().collect()} == {("a", 3): 5400, ("b", 2): 32400}
+    ends = mixing.in_the_mix(df, weights=(1.0, 4.0), share=81005.5 / 270_000)
+    assert {(r.source, r.taken): r["count"] for r in ends.groupBy("source", "taken").count().collect()} == {("a", 3): 5400, ("a", 1): 1, ("b", 2): 32402}
+
+
 def test_mix_carries_columns_with_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b", "s", "old", 7), (2, "c", "s", "old", 8)], "doc_id bigint, text string, source string, taken string, __size bigint")
     out = mixing.in_the_mix(df)
@@ -151,7 +166,10 @@ def plain_units(text):
     sentences = [x for p in blocks for x in p.split("\x01")]
     words = [re.split("[ \n\x01]+", x.strip(" \n\x01")) for x in [*text.split("\n"), *sentences, *blocks, text]]
     ends = [w[-n:] for x in sentences if "licens" in x for w in [re.split("[ \n]+", x.strip(" \n"))] for n in licenses.notice_lengths(licenses.TEMPLATES) if len(w) > n]
-    return {tuple(w) for w in words + ends}
+    spoken = [re.split("[ \n]+", x.strip(" \n")) for x in sentences if "licens" in x]
+    starts, lengths = licenses.notice_starts(licenses.TEMPLATES), licenses.notice_lengths(licenses.TEMPLATES)
+    inside = [w[i : i + n] for w in spoken for i in range(len(w) - 1) if " ".join(w[i : i + 2]) in starts for n in lengths if len(w) >= i + n]
+    return {tuple(w) for w in words + ends + inside}
 
 
 def test_licenses_against_plain_python(spark):
@@ -178,6 +196,54 @@ def test_licenses_against_plain_python(spark):
     assert (got[11][0], got[12][0]) == ("Apache-2.0", "CC-BY-SA-4.0")
 
 
+NAMED = {
+    "It was released under the MIT License and maintained by us.": "MIT",
+    "SPDX-License-Identifier: MIT": "MIT",
+    "// SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0-only",
+    "# SPDX-License-Identifier: LGPL-2.1-or-later\nimport os": "LGPL-2.1-or-later",
+    "The head says SPDX-License-Identifier: Apache-2.0 and the rest follows below without any further word of it.": "Apache-2.0",
+    "This project is under the Apache 2.0 license.": "Apache-2.0",
+    "Attribution-ShareAlike 4.0 International (CC BY-SA 4.0)": "CC-BY-SA-4.0",
+    "All pages are available under CC BY-NC 4.0 as a license for readers who want to share them with others for free.": "CC-BY-NC-4.0",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "Our code is licensed under the GNU General Public License v2.0 since the very first day that we wrote it.": "GPL-2.0",
+    "This work is licensed under the GNU General Public License.": "GPL",
+    "Our code is licensed under the GNU Lesser General Public License, which you will find in the folder beside it.": "LGPL",
+    "Our code is released under the terms that follow, and a license is granted to whoever asks us nicely.": None,
+    "You need a driving licence, or a license to fish, under the law of the land.": None,
+    "The fee is under the limit, and the license costs 2.0 pounds.": None,
+    "She released them under the bridge, without a license.": None,
+}
+
+
+def test_notices_inside_sentences_and_tags(spark):
+    df = spark.createDataFrame(list(enumerate(NAMED)), "doc_id bigint, text string")
+    assert {r.doc_id: r.license for r in licenses.scan(df).collect()} == dict(enumerate(NAMED.values()))
+
+
+def test_each_tag_names_its_licence(spark):
+    names = [n for n, ts in licenses.TEMPLATES.items() if f"SPDX-License-Identifier: {n}" in ts]
+    df = spark.createDataFrame([(i, f"/* SPDX-License-Identifier: {n} */") for i, n in enumerate(names)], "doc_id bigint, text string")
+    assert {r.doc_id: r.license for r in licenses.scan(df).collect()} == dict(enumerate(names))
+
+
+def test_no_licence_is_lost_by_looking_at_rare_bigrams_only(spark):
+    """All subsets of a notice's bigrams that reach it meet one of those that are looked at."""
+    low = licenses.THRESHOLD / (2 - licenses.THRESHOLD)
+    sets = [licenses.template_bigrams(t) for ts in licenses.TEMPLATES.values() for t in ts]
+    index = licenses.rarest(sets, low)
+    for i, g in enumerate(sets):
+        first = [x for x in g if i in index.get(x, ())]
+        assert len(g) - len(first) < max(1, low * len(g) - 1e-9)
+
+
+def test_a_list_of_few_templates(spark):
+    df = spark.createDataFrame([(1, "Released under the MIT License."), (2, licenses.MIT_GRANT), (3, None)], "doc_id bigint, text string")
+    for templates in ({"MIT": licenses.TEMPLATES["MIT"][:1]}, {"MIT": licenses.TEMPLATES["MIT"][1:2]}):
+        got = {r.doc_id: r.license for r in licenses.scan(df, templates).collect()}
+        assert got == {1: "MIT" if len(templates["MIT"][0]) < 50 else None, 2: "MIT" if len(templates["MIT"][0]) > 50 else None, 3: None}
+
+
 def test_licences_that_resemble_each_other(spark):
     gnu = "This program is free software{0} you can redistribute it and/or modify it\nunder the terms of the GNU {1}General Public License as published by\nthe Free Software Foundation{2} either version {3} of the License, or\n(at your option) any later version."
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
