@@ -8,11 +8,12 @@ from .sources.tables import SUPPLIER_BASE
 WORD = 1 << 32
 
 
-def philox(seed: int, tick: int, ident: str, salt: int) -> str:
+def philox(seed: int, tick: int | str, ident: str, salt: int) -> str:
     keys = ", ".join(str((seed + r * PHILOX_KEY_STEP) % WORD) for r in range(10))
     product = f"((acc // {WORD}) * {PHILOX_MULTIPLIER})"
     step = f"xor(xor({product} // {WORD}, k), acc % {WORD}) * {WORD} + {product} % {WORD}"
-    start = f"(({(tick * TICK_STRIDE + salt) % WORD})::HUGEINT * {WORD} + ({ident})::HUGEINT % {WORD})"
+    counter = (tick * TICK_STRIDE + salt) % WORD if isinstance(tick, int) else f"(({tick})::HUGEINT * {TICK_STRIDE} + {salt}) % {WORD}"
+    start = f"(({counter})::HUGEINT * {WORD} + ({ident})::HUGEINT % {WORD})"
     return f"((list_reduce([{keys}]::HUGEINT[], lambda acc, k: {step}, {start}) // {WORD} % 8388608)::DOUBLE / 8388608.0::DOUBLE)"
 
 
@@ -168,8 +169,13 @@ def oracle_sql() -> dict[str, str]:
         "padded_arrays": "SELECT c_custkey AS agent_id, 6::BIGINT AS width, (5 - c_custkey % 4)::BIGINT AS padded, ((c_custkey % 4) * (c_custkey % 4 + 1) / 2)::DOUBLE AS total FROM customer",
         "scalar_functions_nan": "WITH b AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS b FROM customer) SELECT id AS agent_id, CASE WHEN b IS NOT NULL THEN greatest(0.0::DOUBLE, least(5000.0::DOUBLE, b)) END AS clamped, CASE WHEN abs(b) > 1e-30 THEN 1.0::DOUBLE / b ELSE -1.0::DOUBLE END AS ratio, b + 0.25::DOUBLE * (100.0::DOUBLE - b) AS mixed, CASE WHEN b >= 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS step FROM b",
         "partition_balanced": "WITH t AS (SELECT count(*) AS n FROM customer), p AS (SELECT unnest(range(0, (SELECT n FROM t))) AS place) SELECT (place * 4 // (SELECT n FROM t))::INTEGER AS rank, count(*) AS n FROM p GROUP BY 1",
-        "small_world": f"WITH c AS (SELECT count(*) AS n FROM customer), r AS (SELECT DISTINCT least(src, (src + d) % n) AS a, greatest(src, (src + d) % n) AS b, n FROM c, (SELECT unnest(range(0, (SELECT n FROM c))) AS src), (VALUES (1), (2)) v(d)) "
-        f"SELECT count(*) AS n_links, count(*) AS n_pairs, 0::BIGINT AS n_loops, count(*) FILTER ({philox(42, 0, '(a * (n + 1) + b)', 1)} >= 0.1) AS n_kept FROM r WHERE a <> b",
+        # s: links after so many rounds; those that still have to move have their number in ``link``
+        "small_world": f"WITH RECURSIVE c AS (SELECT count(*) AS n FROM customer), l AS (SELECT DISTINCT least(src, (src + d) % n) AS a, greatest(src, (src + d) % n) AS b, n FROM c, (SELECT unnest(range(0, (SELECT n FROM c))) AS src), (VALUES (1), (2)) v(d)), "
+        f"m AS (SELECT a, b, a * (n + 1) + b AS link, {philox(42, 0, '(a * (n + 1) + b)', 1)} < 0.1 AS moves FROM l WHERE a <> b), "
+        "s AS (SELECT 0::BIGINT AS r, a AS src, CASE WHEN NOT moves THEN b END AS dst, CASE WHEN moves THEN link END AS link FROM m UNION ALL SELECT r + 1, CASE WHEN won THEN p ELSE src END, CASE WHEN won THEN q ELSE dst END, CASE WHEN NOT won THEN link END FROM ("
+        "SELECT *, coalesce(link IS NOT NULL AND p <> q AND NOT bool_or(link IS NULL) OVER w AND link = min(link) OVER w, false) AS won FROM (SELECT *, least(src, coalesce(far, dst)) AS p, greatest(src, coalesce(far, dst)) AS q, count(link) OVER () AS waiting FROM ("
+        f"SELECT s.*, CASE WHEN link IS NOT NULL THEN floor({philox(42, 'r', 'coalesce(link, 0)', 2)} * n)::BIGINT END AS far FROM s, c)) WHERE waiting > 0 WINDOW w AS (PARTITION BY p, q))), "
+        "k AS (SELECT src, dst FROM s WHERE r = (SELECT max(r) FROM s)) SELECT src, dst, 0::BIGINT AS pos FROM k UNION ALL SELECT dst, src, 0::BIGINT FROM k",
         "custom_folds": f"WITH {RING} SELECT src AS agent_id, round(exp(avg(ln(dst % 11 + 1))), 6) AS middle, count(DISTINCT dst % 11 % 3) AS kinds FROM edges GROUP BY src",
         "clustered_ring": f"WITH k AS (SELECT count(*) // 10 AS per FROM customer), a AS (SELECT src, d, per, 6 AS n, src // per * per AS base, {philox(42, 0, '(src * 6 + d)', 5)} AS u FROM k, (SELECT unnest(range(0, (SELECT per * 10 FROM k))) AS src), (SELECT unnest(range(0, 6)) AS d)), "
         "i AS (SELECT src, base + (src - base + 1 + floor(d * (per - 1) / 6) + floor(u * (floor((d + 1) * (per - 1) / 6) - floor(d * (per - 1) / 6))))::BIGINT % per AS dst FROM a), "

@@ -777,12 +777,8 @@ def modularity_communities(spark, sf_dir):
 
 
 def small_world(spark, sf_dir):
-    """Links of a small world, different pairs and loops among them, and the lattice's links that did not move: none is lost."""
-    n = customers(spark, sf_dir).count()
-    links = cut(generators.small_world(spark, n, 4, 0.1, SEED))
-    lattice = generators.ring(spark, n, 4).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    kept = lattice.filter(rng.uniform(SEED, 0, F.col("src") * (n + 1) + F.col("dst"), 1) >= 0.1).join(links, ["src", "dst"], "left_semi").count()
-    return links.agg(F.count(F.lit(1)).alias("n_links"), F.count_distinct(F.least("src", "dst"), F.greatest("src", "dst")).alias("n_pairs"), F.count_if(F.col("src") == F.col("dst")).alias("n_loops"), F.lit(kept).cast("bigint").alias("n_kept"))
+    """All links of a small world, in both directions."""
+    return graph.connect(generators.small_world(spark, customers(spark, sf_dir).count(), 4, 0.1, SEED))
 
 
 def clustered_ring(spark, sf_dir):

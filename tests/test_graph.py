@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from swarmframe import cli
+from swarmframe import cli, queries
 from swarmframe.functions import arrays
 from swarmframe.operators import graph, partition, population
 from swarmframe.sources import generators, graph_files, partition_files, tables
@@ -154,6 +154,12 @@ def test_partitions_of_any_size(spark, tmp_path):
         partition_files.read(spark, str(tmp_path / "bad.txt"))
 
 
+def test_small_world_query_gives_every_link(spark, sf):
+    n = spark.read.parquet(f"{sf}/customer.parquet").count()
+    links = {(r.src, r.dst) for r in queries.QUERIES["small_world"](spark, sf).collect()}
+    assert len(links) == 4 * n and all(a != b and (b, a) in links for a, b in links)
+
+
 def test_generators(spark, tmp_path):
     assert generators.chain(spark, 5).count() == 4
     assert generators.hierarchy(spark).count() == 110
