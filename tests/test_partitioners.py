@@ -121,3 +121,16 @@ def test_communities_of_planted_groups(spark):
     truth = agents.filter("agent_id < 180").select("agent_id", F.floor(F.col("agent_id") / 30).alias("community"))
     assert communities.modularity(edges, found) >= communities.modularity(edges, truth) - 1e-9
     assert communities.louvain(agents, edges.limit(0)).filter("agent_id = community").count() == 190
+
+
+def test_large_graphs_are_not_broadcast(spark, monkeypatch):
+    """Tables of a graph that is too large reach no driver; communities are the same."""
+    links = [(c * 6 + a, c * 6 + b) for c in range(5) for a in range(6) for b in range(a)] + [(c * 6, (c + 1) % 5 * 6) for c in range(5)]
+    edges = graph.connect(spark.createDataFrame(links, "src bigint, dst bigint"))
+    agents = spark.range(30).withColumnRenamed("id", "agent_id")
+    want = sorted(map(tuple, communities.louvain(agents, edges).collect()))
+    plans, stored = [], communities.stored
+    monkeypatch.setattr(communities, "stored", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), stored(df))[1])
+    monkeypatch.setattr(communities, "BROADCAST", 1, raising=False)
+    assert sorted(map(tuple, communities.louvain(agents, edges).collect())) == want
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
