@@ -17,9 +17,14 @@ def connect(links: DataFrame, directed: bool = False) -> DataFrame:
     """Links to edges; undirected links become both directions. Repeats are ignored."""
     pos = F.col("pos").cast("long") if "pos" in links.columns else F.lit(0).cast("long")
     one = links.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), pos.alias("pos"))
-    if not directed:
-        one = one.union(one.select("dst", "src", "pos"))
-    return distinct_edges(one)
+    if directed:
+        return distinct_edges(one)
+    # both directions of a link are one row until repeats are gone
+    turn = F.coalesce(F.col("src") > F.col("dst"), F.col("src").isNotNull() & F.col("dst").isNull())
+    a, b = F.when(turn, F.col("dst")).otherwise(F.col("src")), F.when(turn, F.col("src")).otherwise(F.col("dst"))
+    there, back = F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    ways = F.when(F.col("src").eqNullSafe(F.col("dst")), F.array(there)).otherwise(F.array(there, back))
+    return distinct_edges(one.select(a.alias("src"), b.alias("dst"), "pos")).select(F.explode(ways).alias("way"), "pos").select("way.src", "way.dst", "pos")
 
 
 def disconnect(edges: DataFrame, links: DataFrame, directed: bool = False) -> DataFrame:

@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut
 
 RANGE, PLACE, RUN = "range__", "place__", "run__"
+#: Rows of a range, where their number is known.
+ROWS = 1_000_000
 
 
-def dealt(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Rows in order, with the number of their range and their place in it."""
-    out = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+def dealt(df: DataFrame, order: list[Column], rows: int = 0) -> DataFrame:
+    """Rows in order, with the number of their range and their place in it. rows: how many there are, if known."""
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+    out = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     return out.withColumn(RANGE, F.spark_partition_id()).withColumn(PLACE, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
 
 
@@ -27,9 +30,9 @@ def _upto(ranges: DataFrame) -> DataFrame:
     return F.broadcast(ranges.select(RANGE, (F.sum("total__").over(Window.orderBy(RANGE)) - F.col("total__")).alias("before__")))
 
 
-def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], out: str, rows: int = 0) -> DataFrame:
     """``df`` and each row's place in the order, from 0, as a long. The order should tell all rows apart: equal rows are one range."""
-    kept = cut(dealt(df, order))
+    kept = cut(dealt(df, order, rows))
     before = _upto(kept.groupBy(RANGE).agg(F.count(F.lit(1)).alias("total__")))
     return kept.join(before, RANGE).withColumn(out, F.col(PLACE) + F.col("before__")).drop(RANGE, PLACE, "before__")
 
@@ -53,9 +56,9 @@ def running_sums(df: DataFrame, order: list[Column], value: str, out: str) -> Da
     return kept.join(before, RANGE).withColumn(out, (F.col(RUN) + F.col("before__")).cast("long")).drop(RANGE, PLACE, RUN, "before__")
 
 
-def places_within(df: DataFrame, group: str, order: list[Column], out: str) -> DataFrame:
+def places_within(df: DataFrame, group: str, order: list[Column], out: str, rows: int = 0) -> DataFrame:
     """``df`` and each row's place among those of its group (a long column), from 0: numbers of all rows less the group's least one, so that a large group is no task's own."""
-    rows = numbered(df, [F.col(group), *order], "number__")
+    placed = numbered(df, [F.col(group), *order], "number__", rows)
     # another name for the key: the planner does not reuse the sum's partitions then, and adaptive execution can split a large group
-    first = rows.groupBy(group).agg(F.min("number__").alias("first__")).withColumn(group, F.col(group).bitwiseXOR(F.lit(0).cast("long")))
-    return rows.join(first, group).withColumn(out, F.col("number__") - F.col("first__")).drop("number__", "first__")
+    first = placed.groupBy(group).agg(F.min("number__").alias("first__")).withColumn(group, F.col(group).bitwiseXOR(F.lit(0).cast("long")))
+    return placed.join(first, group).withColumn(out, F.col("number__") - F.col("first__")).drop("number__", "first__")

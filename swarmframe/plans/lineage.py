@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a shuffle (compressed; about a million links) that a task of ``cut_by_size`` reads, and partitions that are dealt before they are put together to that.
+TASK_BYTES, DEALT = 8 << 20, 200
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's folder for checkpoints, below the one named by ``spark.checkpoint.dir``; a local session without one (tests) gets a folder of its own."""
@@ -38,12 +43,26 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_in_place(df: DataFrame) -> DataFrame:
-    """Checkpoint rows where they are, so that the planner knows their partitioning later. (An adaptive plan does not tell its own.)"""
-    conf = df.sparkSession.conf
-    adaptive = conf.get("spark.sql.adaptive.enabled")
-    conf.set("spark.sql.adaptive.enabled", "false")
-    try:
+def cut_by_size(df: DataFrame) -> DataFrame:
+    """The same in tasks of a bounded size, however large the table is and whatever ``spark.sql.shuffle.partitions``."""
+    dealt = max(DEALT, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    with _with(df.sparkSession, {"adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES), "adaptive.coalescePartitions.initialPartitionNum": str(dealt)}):
+        return cut(df)
+
+
+def cut_in_place(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Checkpoint rows where they are, so that the planner knows their partitioning later. (An adaptive plan does not tell its own.) Shuffles have ``parts`` partitions, if given."""
+    with _with(df.sparkSession, {"adaptive.enabled": "false"} | ({} if parts is None else {"shuffle.partitions": str(parts)})):
         return cut(df)
+
+
+@contextlib.contextmanager
+def _with(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        yield
     finally:
-        conf.set("spark.sql.adaptive.enabled", adaptive)
+        for k, v in before.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)

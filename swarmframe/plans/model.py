@@ -26,13 +26,13 @@ from ..operators.order import numbered, places_within
 from ..streaming.history import Fired
 from .breed import Breed
 from .context import NEIGHBOR, OWN, Context
-from .lineage import cut, cut_in_place
+from .lineage import cut, cut_by_size, cut_in_place
 from .space import NetworkSpace, Space
 
 BASE = ["agent_id", "logical_id", "breed", "rank"]
 WRITE, ARRAY, GHOST, EVENT, STREAMED = "write__", "array__", "ghost__", "event__", "streamed__"
-#: Edges that a partition may have of one agent beyond twice its share.
-HUB = 1000
+#: Edges that a partition may have of one agent beyond twice its share, and edges of a partition where there are more than ``spark.sql.shuffle.partitions`` times as many.
+HUB, EDGES = 1000, 1_000_000
 
 
 class Model:
@@ -58,6 +58,7 @@ class Model:
         self._edges: DataFrame | None = None
         self._layouts: dict[str, tuple[DataFrame, DataFrame | None, DataFrame | None]] = {}
         self._edges_version = None
+        self._parts: int | None = None
         self._places = False
         self._settled = False
         self._history: list[tuple[int, DataFrame]] = []
@@ -223,8 +224,9 @@ class Model:
             if self._places:
                 there = self.agents.select(F.col("agent_id").alias("dst"))
                 edges = edges.join(there, "dst", "left_semi")
-                edges = places_within(edges, "src", [F.col("pos"), F.col("dst")], "place")
-            self._edges, self._edges_version, self._layouts = cut(edges), version, {}
+                edges = cut_by_size(edges)
+                edges = places_within(edges, "src", [F.col("pos"), F.col("dst")], "place", edges.count())
+            self._edges, self._edges_version, self._layouts = cut_by_size(edges), version, {}
             self._settled = self._edges.head() is not None
         return self._edges
 
@@ -235,15 +237,15 @@ class Model:
         """
         links = self._links()
         if end not in self._layouts:
-            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            degrees = cut(links.groupBy(end).agg(F.count(F.lit(1)).alias("n")))
+            degrees = cut_by_size(links.groupBy(end).agg(F.count(F.lit(1)).alias("n")))
             total = degrees.agg(F.sum("n")).first()[0] or 0
+            n = self._parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // EDGES))
             hubs = cut(degrees.filter(F.col("n") > 2 * total / n + HUB).select(end))
             if hubs.head() is None:
-                self._layouts[end] = (cut_in_place(links.repartition(n, end).sortWithinPartitions(end)), None, None)
+                self._layouts[end] = (cut_in_place(links.repartition(n, end).sortWithinPartitions(end), n), None, None)
             else:
                 light = links.join(F.broadcast(hubs), end, "left_anti")
-                self._layouts[end] = (cut_in_place(light.repartition(n, end).sortWithinPartitions(end)), cut(links.join(F.broadcast(hubs), end, "left_semi")), hubs)
+                self._layouts[end] = (cut_in_place(light.repartition(n, end).sortWithinPartitions(end), n), cut(links.join(F.broadcast(hubs), end, "left_semi")), hubs)
         return self._layouts[end]
 
     def _meet(self, end: str, side: DataFrame) -> DataFrame:
@@ -518,7 +520,7 @@ class Model:
 
     def _cut(self, agents: DataFrame) -> DataFrame:
         """With edges laid out, a fixed plan: the state stays where agent ids hash to, and the only shuffle of a tick is of partial aggregates."""
-        return cut_in_place(agents) if self._settled else cut(agents)
+        return cut_in_place(agents, self._parts) if self._settled else cut(agents)
 
     def _gather(self, frame: DataFrame, stage: list, ghosts: DataFrame | None) -> DataFrame:
         """Add the stage's folds over neighbours, and messages, to each agent's row: one join and one aggregate."""

@@ -229,3 +229,14 @@ def test_small_world_keeps_all_links(spark, n, k, p):
     assert (p == 0.0) == (set(links) == ring)
     with pytest.raises(RuntimeError):
         generators.small_world(spark, 5, 4, 1.0, 3, rounds=2)
+
+
+def test_connect_takes_any_ends(spark):
+    """Loops, repeats, both directions and ends that are not there give each edge once, with its first position."""
+    rows = [(1, 2, 5), (2, 1, 3), (1, 2, 4), (4, 4, 7), (4, 4, 6), (None, 5, 2), (5, None, 1), (None, None, 0)]
+    got = graph.connect(spark.createDataFrame(rows, "src bigint, dst bigint, pos bigint")).collect()
+    want = {}
+    for a, b, p in rows:
+        for e in ((a, b), (b, a)):
+            want[e] = min(want.get(e, p), p)
+    assert len(got) == len(want) and {(r.src, r.dst): r.pos for r in got} == want

@@ -7,9 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from swarmframe import Breed, Model, NetworkSpace
+from swarmframe import Breed, Model, NetworkSpace, queries
 from swarmframe.functions import arrays, folds
-from swarmframe.operators import graph
+from swarmframe.operators import graph, order
+from swarmframe.plans import lineage
 from swarmframe.queries import infect, reader, recover, sir, trade_model, writer
 from swarmframe.sources import generators, tables
 from swarmframe.streaming import feed, history
@@ -685,3 +686,33 @@ def test_streamed_steps(spark):
         assert (r.chunks > 0) == bool(of)
         seen[r.agent_id] = r.chunks
     assert seen[0] >= n // 500
+
+
+def test_tasks_hold_a_bounded_number_of_edges(spark, monkeypatch):
+    """Layouts and places have as many partitions as edges need, not as the session's setting; agents lie as edges do, and settings are as before."""
+    n = 400
+    ring = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
+
+    def run():
+        m = queries.model_of(spark, spark.range(n).withColumnRenamed("id", "agent_id"), ring, [(lambda ctx: {"third": ctx.neighbors.nth(ctx.nbr("agent_id"), 1)}, 0, None)], {"third": (-1, "bigint")})
+        m.simulate(2)
+        return m, sorted(map(tuple, m.agents.select("agent_id", "third").collect()))
+
+    want = run()[1]
+    monkeypatch.setattr("swarmframe.plans.model.EDGES", 50, raising=False)
+    monkeypatch.setattr("swarmframe.operators.order.ROWS", 50, raising=False)
+    m, got = run()
+    assert got == want
+    assert m._layouts["dst"][0].rdd.getNumPartitions() >= 16
+    assert m.agents.rdd.getNumPartitions() >= 16
+    assert order.numbered(spark.range(400), [F.col("id")], "n", rows=400).filter("n <> id").count() == 0
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_edges_are_cut_in_tasks_of_bounded_size(spark, monkeypatch):
+    """Edges go through the cut whose tasks are sized by their bytes."""
+    seen, cut_by_size = [], lineage.cut_by_size
+    monkeypatch.setattr("swarmframe.plans.model.cut_by_size", lambda df: (seen.append(set(df.columns)), cut_by_size(df))[1], raising=False)
+    m = queries.model_of(spark, spark.range(9).withColumnRenamed("id", "agent_id"), spark.range(8).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
+    m.setup()
+    assert any({"src", "dst"} <= c for c in seen)
