@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a shuffle (compressed; about a million links) that a task of ``cut_by_size`` reads, and partitions that are dealt before they are put together to that.
 TASK_BYTES, DEALT = 8 << 20, 200
+#: Rows of tables that are few enough for plans made beforehand (one task can hold them all), and rows of such a plan's task.
+FEW, SHARE = 1_000_000, 100_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -56,6 +58,14 @@ def cut_in_place(df: DataFrame, parts: int | None = None) -> DataFrame:
         return cut(df)
 
 
+@contextlib.contextmanager
+def fixed_plans(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Where tables have few rows, what runs inside is planned beforehand: one job instead of one for each shuffle and broadcast. Larger ones stay adaptive."""
+    few = {"adaptive.enabled": "false", "autoBroadcastJoinThreshold": "-1", "shuffle.partitions": str(-(-rows // SHARE) or 1)}
+    with _with(spark, few if rows <= FEW else {}):
+        yield
+
+
 @contextlib.contextmanager
 def _with(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
     before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in settings}

@@ -748,7 +748,7 @@ def partition_communities(spark, sf_dir):
 
 def partition_multilevel(spark, sf_dir):
     """Four ranks of a ring by the multilevel partitioner, against a bound: 1.3 times the cut of four arcs, which is the least one."""
-    agents, edges = customers(spark, sf_dir), graph.connect(customer_ring(spark, sf_dir))
+    agents, edges = customers(spark, sf_dir), cut(graph.connect(customer_ring(spark, sf_dir)))
     n = agents.count()
     arcs = agents.select("agent_id", F.floor(F.col("agent_id") * 4 / n).cast("int").alias("rank"))
     bound = int(1.3 * graph.edge_cut(edges, arcs).first().n_cut)

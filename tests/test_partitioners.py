@@ -91,6 +91,26 @@ def test_multilevel_edge_cases(spark, monkeypatch):
     assert partition.METHODS["metis"] is multilevel.multilevel
 
 
+def test_levels_take_few_jobs(spark, monkeypatch):
+    """Small graphs are planned beforehand, and what nodes want is looked for again only after moves. Ranks are those of adaptive plans, settings are as before."""
+    monkeypatch.setattr(multilevel, "COARSE", 100)
+    agents, edges = network(spark, grid(20), 400)
+    settings = [f"spark.sql.{x}" for x in ("adaptive.enabled", "autoBroadcastJoinThreshold", "shuffle.partitions")]
+    before = [spark.conf.get(x) for x in settings]
+
+    def run(group):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            return sorted(map(tuple, multilevel.multilevel(agents, edges, 4).collect())), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+
+    got, jobs = run("as it is")
+    assert [spark.conf.get(x) for x in settings] == before
+    monkeypatch.setattr("swarmframe.plans.lineage.FEW", 0, raising=False)
+    assert got == run("adaptive")[0] and jobs <= 120
+
+
 def test_halving_a_small_graph():
     near = [{} for _ in range(64)]
     for a, b in grid(8):
